@@ -1 +1,118 @@
-"""placeholder"""
+"""Queries for table layout, retention, statistics and cost (K7-K10, K14,
+P7, G1, G2)."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from stratum.operators import layout, stats
+from stratum.plans import fixtures
+from stratum.plans.oracle import RAW_ORDERS, with_
+from stratum.plans.project import Project
+from stratum.plans.suite import register
+from stratum.session import table
+
+ORDERS = with_(RAW_ORDERS)
+AS_OF = dt.datetime(2001, 9, 1)
+
+
+def _orders_model(spark, sf, **config) -> Project:
+    p = Project(spark)
+    p.add_source("raw", {"orders": lambda: fixtures.raw_orders(spark, sf)})
+    p.model("fct_orders", lambda c: c.source("raw", "orders"), **config)
+    return p
+
+
+@register("time_partition", ORDERS + """
+SELECT *, CAST(date_trunc('month', created_at) AS DATE) AS _partition_time FROM raw_orders""")
+def time_partition(spark, sf):
+    """K7: partitioned by the month of created_at; read back from the files."""
+    p = _orders_model(spark, sf, materialized="table",
+                      partition_by=layout.TimePartitioning("created_at", "MONTH"))
+    return p.run(["fct_orders"])["fct_orders"]
+
+
+@register("ingest_time_partition", ORDERS + """
+SELECT *, DATE '2024-02-01' AS _partition_ingest FROM raw_orders""")
+def ingest_time_partition(spark, sf):
+    """K8: no partition field -- partitioned by the (fixed) load time."""
+    p = _orders_model(spark, sf, materialized="table",
+                      partition_by=layout.TimePartitioning(None, "DAY"))
+    return p.run(["fct_orders"], run_ts=dt.datetime(2024, 2, 1, 6, 0, 0))["fct_orders"]
+
+
+@register("range_partition", """
+SELECT p_partkey, p_name, p_size,
+       CASE WHEN p_size IS NULL THEN NULL
+            WHEN p_size < 0 OR p_size >= 40 THEN -9223372036854775808
+            ELSE CAST(floor(p_size / 10) * 10 AS BIGINT) END AS _partition_range
+FROM part""")
+def range_partition(spark, sf):
+    """K9: integer ranges [0,40) by 10 on p_size; larger sizes share the
+    out-of-range partition."""
+    p = Project(spark)
+    p.add_source("raw", {"part": lambda: table(spark, sf, "part")
+                         .select("p_partkey", "p_name", "p_size")})
+    p.model("parts", lambda c: c.source("raw", "part"), materialized="table",
+            partition_by=layout.RangePartitioning("p_size", 0, 40, 10))
+    return p.run(["parts"])["parts"]
+
+
+@register("cluster_by", ORDERS + "SELECT * FROM raw_orders")
+def cluster_by(spark, sf):
+    """Files range-partitioned and sorted by (user_id, created_at)."""
+    p = _orders_model(spark, sf, materialized="table", cluster_by=["user_id", "created_at"])
+    return p.run(["fct_orders"])["fct_orders"]
+
+
+@register("retention", ORDERS + """
+SELECT *, CAST(date_trunc('month', created_at) AS DATE) AS _partition_time FROM raw_orders
+WHERE CAST(date_trunc('month', created_at) AS DATE) >= DATE '1998-09-02'""")
+def retention(spark, sf):
+    """Month partitions older than 1095 days at 2001-09-01 expire."""
+    p = _orders_model(spark, sf, materialized="table",
+                      partition_by=layout.TimePartitioning("created_at", "MONTH"))
+    p.run(["fct_orders"])
+    return p.store.expire_partitions("fct_orders", 1095, AS_OF)
+
+
+@register("required_partition_filter", ORDERS + """
+SELECT *, CAST(date_trunc('month', created_at) AS DATE) AS _partition_time FROM raw_orders
+WHERE CAST(date_trunc('month', created_at) AS DATE) >= DATE '2000-01-01'""")
+def required_partition_filter(spark, sf):
+    """A flagged table read with the mandatory partition predicate."""
+    p = _orders_model(spark, sf, materialized="table", require_partition_filter=True,
+                      partition_by=layout.TimePartitioning("created_at", "MONTH"))
+    p.run(["fct_orders"])
+    return p.store.scan("fct_orders", F.col("_partition_time") >= F.lit("2000-01-01").cast("date"))
+
+
+@register("table_stats")
+def table_stats(spark, sf):
+    """G1: rows / bytes / files per table and, for a month-partitioned copy
+    of orders, per partition (bytes are Spark's files: rows-only check)."""
+    p = _orders_model(spark, sf, materialized="table",
+                      partition_by=layout.TimePartitioning("created_at", "YEAR"))
+    stored = p.run(["fct_orders"])["fct_orders"]
+    whole = [stats.table_stats(n, table(spark, sf, n)).withColumn("_partition_time",
+                                                                  F.lit(None).cast("date"))
+             for n in ("orders", "lineitem", "customer")]
+    out = stats.table_stats("fct_orders", stored, ["_partition_time"])
+    for w in whole:
+        out = out.unionByName(w)
+    return out
+
+
+@register("scan_cost")
+def scan_cost(spark, sf):
+    """Estimated bytes and price of the revenue mart's scans."""
+    return stats.scan_estimate("mart_revenue", [
+        ("orders", table(spark, sf, "orders"),
+         ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate"]),
+        ("customer", table(spark, sf, "customer"), ["c_custkey", "c_name", "c_acctbal",
+                                                    "c_nationkey"]),
+        ("nation", table(spark, sf, "nation"), ["n_nationkey", "n_regionkey"]),
+        ("region", table(spark, sf, "region"), ["r_regionkey", "r_name"]),
+    ])
