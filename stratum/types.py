@@ -157,7 +157,11 @@ def validate_fields(fields: list[Field], existing: list[str] | None = None,
         if existing is not None and f.alter is None and f.name.lower() not in have:
             raise SchemaError(f"column {f.name!r} is not in the table; annotate it alter='insert'")
         if f.canonical == "STRUCT":
+            if not f.fields:
+                raise SchemaError(f"STRUCT column {f.name!r} needs at least one sub-field")
             validate_fields(f.fields)
+        elif f.fields:
+            raise SchemaError(f"column {f.name!r}: only STRUCT columns have sub-fields")
 
 
 def cast_to(c: Column, dt: T.DataType, safe: bool = False) -> Column:
