@@ -130,3 +130,26 @@ def test_source_checks(spark):
         files.read_external(spark, [], "CSV")
     rows = files.inline_rows(spark, [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}])
     assert rows.count() == 2
+
+
+def test_partitioned_versions_share_untouched_directories(spark):
+    store = TableStore(spark)
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 2, 1)),
+                                (3, dt.datetime(2024, 3, 1))], "id long, ts timestamp_ntz")
+    df, cols = layout.apply_partitioning(df, layout.TimePartitioning("ts", "MONTH"))
+    store.write("p", df, partition_by=cols)
+    v1_paths = {r.path for r in spark.read.parquet(store.info("p")["manifest"]).collect()}
+    new = spark.createDataFrame([(20, dt.datetime(2024, 2, 5))], "id long, ts timestamp_ntz")
+    new, _ = layout.apply_partitioning(new, layout.TimePartitioning("ts", "MONTH"))
+    out = store.replace_partitions("p", new, ["_partition_time=2024-02-01"])
+    assert sorted(r.id for r in out.collect()) == [1, 3, 20]
+    v2_paths = {r.path for r in spark.read.parquet(store.info("p")["manifest"]).collect()}
+    assert len(v1_paths & v2_paths) == 2          # January and March carried over
+    assert sorted(r.id for r in store.read("p", version=1).collect()) == [1, 2, 3]
+    store.replace_partitions("p", new.limit(0), [])  # empty append: nothing changes
+    assert store.read("p").count() == 3
+    kept = store.expire_partitions("p", 20, dt.datetime(2024, 3, 10))
+    # cutoff 2024-02-19: the January and February partitions expire
+    assert sorted(r.id for r in kept.collect()) == [3]
+    # expiry is metadata only: the files of older versions are still readable
+    assert store.read("p", version=1).count() == 3
