@@ -35,10 +35,10 @@ def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str | No
     """Rows of ``left`` for which ``left_key NOT IN (SELECT right_key ...)`` is true."""
     rk = right_key or left_key
     r = right.select(F.col(rk).alias(left_key))
-    facts = r.agg(F.count(F.lit(1)).alias("n"),
-                  F.count_if(F.col(left_key).isNull()).alias("nulls"))
-    n = facts.select("n").scalar()
-    nulls = facts.select("nulls").scalar()
+    # One scalar subquery (a one-row global aggregate) for both facts.
+    facts = r.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                           F.count_if(F.col(left_key).isNull()).alias("nulls"))).scalar()
+    n, nulls = facts.getField("n"), facts.getField("nulls")
     survivors = left.join(r.dropna(), left_key, "left_anti")
     return survivors.filter((nulls == 0) & (F.col(left_key).isNotNull() | (n == 0)))
 

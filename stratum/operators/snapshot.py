@@ -73,11 +73,19 @@ def current_rows(snap: DataFrame) -> DataFrame:
     return snap.filter(F.col(VALID_TO).isNull())
 
 
+def _list_facts(source: DataFrame, key: str) -> tuple[Column, Column]:
+    """Row count and NULL-key count of the source, as one scalar subquery
+    (a global aggregate: one row) used twice -- Spark evaluates it once."""
+    facts = source.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                                F.count_if(F.col(key).isNull()).alias("nulls"))).scalar()
+    return facts.getField("n"), facts.getField("nulls")
+
+
 def _source_facts(source: DataFrame, key: str, updated_at: str) -> tuple[DataFrame, Column, Column]:
     per_key = (source.filter(F.col(key).isNotNull()).groupBy(key)
                .agg(F.max(updated_at).alias("__src_max"), F.lit(True).alias("__in_src")))
-    facts = source.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("nulls"))
-    return per_key, facts.select("n").scalar(), facts.select("nulls").scalar()
+    n, nulls = _list_facts(source, key)
+    return per_key, n, nulls
 
 
 def newer_in_source(open_rows: DataFrame, source: DataFrame, key: str, updated_at: str) -> DataFrame:
@@ -85,7 +93,8 @@ def newer_in_source(open_rows: DataFrame, source: DataFrame, key: str, updated_a
     later version time (the correlated ``IN`` of the invalidate step), as a
     semi join on the per-key maximum."""
     per_key, _, _ = _source_facts(source, key, updated_at)
-    return (open_rows.join(per_key, key, "left_semi").join(per_key, key)
+    # per_key is unique per key, so the inner join never multiplies rows.
+    return (open_rows.join(per_key, key)
             .filter(F.col("__src_max") > F.col(UPDATED_AT))
             .drop("__src_max", "__in_src"))
 
@@ -159,10 +168,11 @@ def invalidate(snap: DataFrame, source: DataFrame, key: str, updated_at: str, ru
     """N2 alone: close open versions with a newer source row."""
     run = _run(run_ts, ts_type)
     per_key, _, _ = _source_facts(source, key, updated_at)
-    j = snap.join(per_key, key, "left")
+    j = snap.filter(F.col(key).isNotNull()).join(per_key, key, "left")
     close = F.col(VALID_TO).isNull() & F.coalesce(F.col("__src_max") > F.col(UPDATED_AT),
                                                   F.lit(False))
-    return j.withColumn(VALID_TO, F.when(close, run).otherwise(F.col(VALID_TO))).select(*snap.columns)
+    closed = j.withColumn(VALID_TO, F.when(close, run).otherwise(F.col(VALID_TO))).select(*snap.columns)
+    return closed.unionByName(snap.filter(F.col(key).isNull()))
 
 
 def insert_versions(snap: DataFrame, source: DataFrame, key: str, updated_at: str, run_ts,
@@ -178,9 +188,12 @@ def hard_delete(snap: DataFrame, source: DataFrame, key: str, run_ts,
     run = _run(run_ts, ts_type)
     per_key = source.filter(F.col(key).isNotNull()).select(key).distinct() \
         .withColumn("__in_src", F.lit(True))
-    facts = source.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("nulls"))
-    n_src, n_null = facts.select("n").scalar(), facts.select("nulls").scalar()
-    j = snap.join(per_key, key, "left")
-    gone = (n_src == 0) | (F.col(key).isNotNull() & F.col("__in_src").isNull() & (n_null == 0))
+    n_src, n_null = _list_facts(source, key)
+    j = snap.filter(F.col(key).isNotNull()).join(per_key, key, "left")
+    gone = (n_src == 0) | (F.col("__in_src").isNull() & (n_null == 0))
     close = F.col(VALID_TO).isNull() & gone
-    return j.withColumn(VALID_TO, F.when(close, run).otherwise(F.col(VALID_TO))).select(*snap.columns)
+    keyed = j.withColumn(VALID_TO, F.when(close, run).otherwise(F.col(VALID_TO))).select(*snap.columns)
+    nulls = snap.filter(F.col(key).isNull())
+    nulls = nulls.withColumn(VALID_TO, F.when(F.col(VALID_TO).isNull() & (n_src == 0), run)
+                             .otherwise(F.col(VALID_TO))).select(*snap.columns)
+    return keyed.unionByName(nulls)

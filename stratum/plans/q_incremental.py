@@ -271,8 +271,12 @@ def self_scan(spark, sf):
             F.sum("amount_cents").alias("total_cents"), F.count(F.lit(1)).alias("n_orders"))
         if not ctx.is_incremental():
             return inc
-        this = ctx.this.select("user_id", F.col("total_cents").alias("old_total"),
-                               F.col("n_orders").alias("old_n"))
+        # Only the stored totals of touched users: the stored table is the
+        # streamed side of a semi join against the increment's keys, then
+        # the (small) result meets the increment.
+        this = (ctx.this.join(inc.select("user_id"), "user_id", "left_semi")
+                .select("user_id", F.col("total_cents").alias("old_total"),
+                        F.col("n_orders").alias("old_n")))
         j = inc.join(this, "user_id", "left")
         return j.select("user_id",
                         (F.col("total_cents") + F.coalesce("old_total", F.lit(0))).alias("total_cents"),
@@ -338,3 +342,28 @@ def append_partitioned(spark, sf):
     """I6 on a month-partitioned table: new directories are added, nothing
     is rewritten."""
     return _two_runs(_partitioned_project(spark, sf, "append", _source), "fct_orders")
+
+
+@register("high_water_partitioned", "WITH x AS (SELECT 1)" + EVENTS_RUN_SQL + """
+SELECT *, CAST(ts AS DATE) AS _partition_time FROM (
+  SELECT * FROM run1 WHERE NOT EXISTS (SELECT 1 FROM hw WHERE hw.event_id = run1.event_id)
+  UNION ALL SELECT * FROM hw)""")
+def high_water_partitioned(spark, sf):
+    """P6 + I8 on a day-partitioned table: the stored maximum is read from
+    the latest partition only, and the merge rewrites only touched days."""
+    from stratum.operators.layout import TimePartitioning
+    p = Project(spark, vars={"run": 1})
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "ts")
+
+    def events():
+        if p.var("run") == 1:
+            return e.filter(F.col("ts") < _ts(EV_SPLIT))
+        return (e.filter(F.col("ts") >= _ts(EV_REPLAY))
+                .withColumn("value", F.col("value") + 1))
+    p.add_source("raw", {"events": events})
+
+    @p.model("daily_events", materialized="incremental", unique_key="event_id",
+             partition_by=TimePartitioning("ts", "DAY"))
+    def daily_events(ctx):
+        return ctx.high_water(ctx.source("raw", "events"), "ts")
+    return _two_runs(p, "daily_events")
