@@ -102,8 +102,9 @@ def cluster(df: DataFrame, cols: list[str], num_partitions: int | None = None) -
     """Range-partition on up to four columns and sort inside partitions."""
     if not cols or len(cols) > 4:
         raise LayoutError("cluster_by takes 1 to 4 columns")
-    out = (df.repartitionByRange(num_partitions, *cols) if num_partitions
-           else df.repartitionByRange(*cols))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    out = (df.repartitionByRange(num_partitions, *cols, tie) if num_partitions
+           else df.repartitionByRange(*cols, tie))
     return out.sortWithinPartitions(*cols)
 
 

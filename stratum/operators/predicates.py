@@ -1,5 +1,10 @@
 """Subquery predicates and one-row attachment.
 
+The subquery side of every semi / anti join is reduced to its distinct
+non-NULL keys first (a partial aggregate): duplicates never change a semi or
+anti join's result, and a key repeated in a third of the rows would
+otherwise land in one build task.
+
 ``NOT IN (subquery)`` has three-valued semantics: one NULL in the list makes
 the predicate NULL for every row, and a NULL probe value matches nothing
 unless the list is empty.  Spark plans ``NOT IN`` as a null-aware anti join,
@@ -28,7 +33,7 @@ def is_in(left: DataFrame, right: DataFrame, left_key, right_key=None) -> DataFr
     """
     lk = key_list(left_key)
     rk = key_list(right_key or left_key)
-    return left.join(_rename(right, rk, lk), lk, "left_semi")
+    return left.join(_rename(right, rk, lk).dropna().distinct(), lk, "left_semi")
 
 
 def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
@@ -39,7 +44,7 @@ def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str | No
     facts = r.agg(F.struct(F.count(F.lit(1)).alias("n"),
                            F.count_if(F.col(left_key).isNull()).alias("nulls"))).scalar()
     n, nulls = facts.getField("n"), facts.getField("nulls")
-    survivors = left.join(r.dropna(), left_key, "left_anti")
+    survivors = left.join(r.dropna().distinct(), left_key, "left_anti")
     return survivors.filter((nulls == 0) & (F.col(left_key).isNotNull() | (n == 0)))
 
 
@@ -48,7 +53,7 @@ def anti(left: DataFrame, right: DataFrame, left_key, right_key=None) -> DataFra
     (NULL keys are kept: they match nothing)."""
     lk = key_list(left_key)
     rk = key_list(right_key or left_key)
-    return left.join(_rename(right, rk, lk), lk, "left_anti")
+    return left.join(_rename(right, rk, lk).dropna().distinct(), lk, "left_anti")
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

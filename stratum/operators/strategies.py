@@ -68,7 +68,9 @@ def duplicate_source_keys(target: DataFrame, source: DataFrame, key) -> DataFram
            .drop("count").dropna(subset=keys))
     tkeys = _resolve_keys(target, keys)
     t = target.select(*[F.col(a).alias(b) for a, b in zip(tkeys, keys)])
-    return dup.join(t, keys, "left_semi")
+    # The target streams; the (small) set of repeated increment keys is the
+    # build side.
+    return t.join(dup, keys, "left_semi").distinct()
 
 
 def _dedupe(source: DataFrame, keys: list[str], on_duplicate: str, order_by, target: DataFrame):
@@ -108,10 +110,18 @@ def merge_upsert(target: DataFrame, source: DataFrame, key, on_duplicate: str =
         return merge_insert_only(target, source, keys)
     s = align_to(source, target)
     s = _dedupe(s, keys, on_duplicate, order_by, target)
-    kept = target.join(s.select(*keys), keys, "left_anti")
+    kept = target.join(_key_set(s, keys), keys, "left_anti")
     return kept.unionByName(s)
 
 
+def _key_set(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct non-NULL keys: the build side of a semi / anti join.  The
+    DISTINCT is a partial aggregate, so a key repeated in a third of the
+    rows collapses on the map side instead of landing in one build task;
+    NULL keys never match, so they are dropped up front."""
+    return df.select(*keys).dropna().distinct()
+
+
 def merge_insert_only(target: DataFrame, source: DataFrame, key) -> DataFrame:
     """Insert S rows whose key has no match in T; never update.
 
@@ -121,7 +131,7 @@ def merge_insert_only(target: DataFrame, source: DataFrame, key) -> DataFrame:
     """
     keys = _resolve_keys(target, key_list(key))
     s = align_to(source, target)
-    matched = target.select(*keys).join(s.select(*keys), keys, "left_semi").distinct()
+    matched = target.select(*keys).join(_key_set(s, keys), keys, "left_semi").distinct()
     new = s.join(matched, keys, "left_anti")
     return target.unionByName(new)
 
@@ -137,7 +147,7 @@ def delete_insert(target: DataFrame, source: DataFrame, key) -> DataFrame:
     """
     keys = _resolve_keys(target, key_list(key))
     s = align_to(source, target)
-    kept = target.join(s.select(*keys), keys, "left_anti")
+    kept = target.join(_key_set(s, keys), keys, "left_anti")
     return kept.unionByName(s)
 
 

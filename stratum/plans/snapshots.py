@@ -79,7 +79,8 @@ class SnapshotTable:
         if self.auto_optimize:
             out = out.withColumn(TIME_PARTITION_COLUMN, time_bucket(F.col(scd.VALID_FROM), "DAY"))
             parts.append(TIME_PARTITION_COLUMN)
-            out = out.repartitionByRange(self.key).sortWithinPartitions(self.key)
+            tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+            out = out.repartitionByRange(self.key, tie).sortWithinPartitions(self.key)
         out.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.base}/{VERSION}={version}")
         self.store.point(self.name, self.base, version,
                          partition_by=[VERSION] + parts,
