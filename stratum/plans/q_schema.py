@@ -209,7 +209,7 @@ NESTED = [
 n AS (SELECT event_id, {'source': event_type, 'version': metadata.k} AS metadata,
              [event_type, region] AS tags FROM raw_events)
 SELECT event_id, metadata.source AS meta_source, metadata.version AS meta_version,
-       len(tags) AS n_tags, tags[2] AS second_tag FROM n""")
+       CAST(len(tags) AS INTEGER) AS n_tags, tags[2] AS second_tag FROM n""")
 def nested_struct(spark, sf):
     """STRUCT and REPEATED columns built, aligned to a declared nested
     schema, then read back by path."""
