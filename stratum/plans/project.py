@@ -56,6 +56,10 @@ class ModelConfig:
     partition_keys_stable: bool = False
     description: str | None = None
     column_comments: dict[str, str] = field(default_factory=dict)
+    # E9 at build time: the declared output schema (stratum.types.Field).
+    # Checked against the plan's schema before anything runs (metadata only);
+    # REQUIRED columns are then enforced inside the write itself.
+    contract: list | None = None
 
     def validate(self, name: str) -> None:
         if self.materialized not in MATERIALIZATIONS:
@@ -260,6 +264,8 @@ class Project:
         incremental = kind == "incremental" and existing
         ctx = Context(self, m, incremental)
         df = m.build(ctx)
+        if cfg.contract:
+            df = self._enforce_contract(m, df)
         if cfg.max_bytes_billed:
             from stratum.operators.stats import enforce_byte_cap
             enforce_byte_cap(df, cfg.max_bytes_billed, m.name)
@@ -292,6 +298,36 @@ class Project:
                                 column_comments=cfg.column_comments,
                                 refreshed_at=self._run_ts)
 
+    def _enforce_contract(self, m: Model, df: DataFrame) -> DataFrame:
+        """Refuse a model whose output schema breaks its contract: an
+        undeclared column, a missing one (REPEATED exempt), a type mismatch,
+        or a unique key / partition / cluster column that does not exist.
+        Columns being added (``alter='insert'``) are skipped."""
+        from stratum.operators.contracts import enforce_required
+        from stratum.types import canonical_of
+        cfg = m.config
+        declared = [f for f in cfg.contract if f.alter != "insert"]
+        names = {f.name.lower() for f in cfg.contract}
+        actual = {f.name.lower(): f for f in df.schema}
+        problems = [f"undeclared column {a.name!r}" for a in df.schema
+                    if a.name.lower() not in names]
+        for f in declared:
+            a = actual.get(f.name.lower())
+            if a is None:
+                if not f.repeated:
+                    problems.append(f"missing column {f.name!r}")
+            elif canonical_of(a.dataType) != f.canonical:
+                problems.append(f"column {f.name!r} is {canonical_of(a.dataType)}, "
+                                f"declared {f.canonical}")
+        part = getattr(cfg.partition_by, "field", None)
+        for role, cols in (("unique key", cfg.unique_key), ("cluster", cfg.cluster_by),
+                           ("partition", [part] if part else [])):
+            problems += [f"{role} column {c!r} is not in the output"
+                         for c in cols or [] if c.lower() not in actual]
+        if problems:
+            raise ProjectError(f"model {m.name!r} breaks its contract: " + "; ".join(problems))
+        return enforce_required(df, declared)
+
     def _incremental_partitions(self, m: Model, s: DataFrame, part_col: str) -> DataFrame:
         """An incremental run on a partitioned table rewrites only the
         partitions it touches: those holding rows of the increment and (for

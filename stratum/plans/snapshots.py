@@ -4,8 +4,8 @@ Layout of one snapshot: a single parquet dataset partitioned by run version
 ``v`` and row state ``_state`` (and, with ``auto_optimize``, by the day of
 ``dbt_valid_from``), files clustered by the key::
 
-    <root>/<name>/v=<n>/_state=open/...     open rows after run n
-    <root>/<name>/v=<n>/_state=closed/...   rows closed by run n
+    <root>/<name>/g=<generation>/v=<n>/_state=open/...     open rows after run n
+    <root>/<name>/g=<generation>/v=<n>/_state=closed/...   rows closed by run n
 
 Run n+1 reads only ``v=n/_state=open`` (the open rows, about one per key)
 plus the source, and writes ``v=n+1``; closed history is never rewritten.
@@ -17,6 +17,8 @@ readers ignore and the next attempt overwrites.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,21 @@ STATE = "_state"
 VERSION = "v"
 
 
+class SnapshotConfigChanged(ValueError):
+    pass
+
+
 class SnapshotTable:
+    """A stored snapshot.  Changing the key, the version column, the
+    strategy or the layout of an existing snapshot starts a new generation
+    (a fresh history in its own folder; the old one stays on disk) when
+    ``replace_on_change`` is set, and is an error otherwise."""
+
+    STRATEGY = "timestamp"
+
     def __init__(self, store: TableStore, name: str, unique_key: str, updated_at: str,
                  hard_deletes: bool = False, auto_optimize: bool = True,
-                 ts_type: str = "timestamp"):
+                 ts_type: str = "timestamp", replace_on_change: bool = False):
         self.store = store
         self.name = name
         self.key = unique_key
@@ -39,11 +52,35 @@ class SnapshotTable:
         self.hard_deletes = hard_deletes
         self.auto_optimize = auto_optimize
         self.ts_type = ts_type
-        self.base = f"{store.root}/{name}"
+        self.replace_on_change = replace_on_change
+        self.config = json.dumps({"unique_key": unique_key, "updated_at": updated_at,
+                                  "strategy": self.STRATEGY, "auto_optimize": auto_optimize},
+                                 sort_keys=True)
+
+    @property
+    def generation(self) -> int:
+        g = self.store.property(self.name, "snapshot_generation")
+        return int(g) if g else 1
+
+    @property
+    def base(self) -> str:
+        return f"{self.store.root}/{self.name}/g={self.generation}"
 
     def version(self) -> int:
         return self.store.info(self.name)["version"] if self.store.exists(self.name) else 0
 
+    def _check_config(self) -> int:
+        """Generation to write into: the current one, or the next after a
+        configuration change."""
+        stored = self.store.property(self.name, "snapshot_config")
+        if stored is None or stored == self.config:
+            return self.generation
+        if not self.replace_on_change:
+            raise SnapshotConfigChanged(
+                f"snapshot {self.name!r} was built with {stored}, now {self.config}; "
+                "pass replace_on_change=True to start a new snapshot")
+        return self.generation + 1
+
     def _dataset(self) -> DataFrame:
         return self.store.spark.read.option("basePath", self.base).parquet(self.base)
 
@@ -63,16 +100,17 @@ class SnapshotTable:
         return self._strip(self._dataset().filter((F.col(STATE) == "open") & (F.col(VERSION) == n)))
 
     def run(self, source: DataFrame, run_ts) -> DataFrame:
-        n = self.version()
+        gen = self._check_config()
+        n = self.version() if gen == self.generation else 0
         if n == 0:
             rows = scd.initial(source, self.key, self.updated_at, run_ts, self.ts_type)
         else:
             rows = scd.cycle_open(self.open_rows(), source, self.key, self.updated_at, run_ts,
                                   self.hard_deletes, self.ts_type)
-        self._write(rows, n + 1)
+        self._write(rows, n + 1, gen)
         return self.read()
 
-    def _write(self, rows: DataFrame, version: int) -> None:
+    def _write(self, rows: DataFrame, version: int, gen: int) -> None:
         out = rows.withColumn(STATE, F.when(F.col(scd.VALID_TO).isNull(), "open")
                               .otherwise("closed"))
         parts = [STATE]
@@ -81,7 +119,9 @@ class SnapshotTable:
             parts.append(TIME_PARTITION_COLUMN)
             tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
             out = out.repartitionByRange(self.key, tie).sortWithinPartitions(self.key)
-        out.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.base}/{VERSION}={version}")
-        self.store.point(self.name, self.base, version,
+        base = f"{self.store.root}/{self.name}/g={gen}"
+        out.write.mode("overwrite").partitionBy(*parts).parquet(f"{base}/{VERSION}={version}")
+        self.store.point(self.name, base, version,
                          partition_by=[VERSION] + parts,
-                         cluster_by=[self.key] if self.auto_optimize else [])
+                         cluster_by=[self.key] if self.auto_optimize else [],
+                         extra={"snapshot_config": self.config, "snapshot_generation": gen})

@@ -90,3 +90,37 @@ def test_new_source_columns_are_null_in_history(spark):
     out = scd.cycle(snap, v2, "id", "ts", R2, False, "timestamp_ntz")
     assert out.columns[:4] == ["id", "name", "ts", "tier"]
     assert {(r.tier, r.dbt_valid_to is None) for r in out.collect()} == {(None, False), ("gold", True)}
+
+
+def test_config_change_starts_a_new_snapshot(spark):
+    import pytest
+    from stratum.plans.snapshots import SnapshotConfigChanged
+    store = TableStore(spark)
+    src = spark.createDataFrame([(1, "a", T1)], SRC)
+    SnapshotTable(store, "s", "id", "ts", ts_type="timestamp_ntz").run(src, R1)
+    SnapshotTable(store, "s", "id", "ts", ts_type="timestamp_ntz").run(src, R2)
+    with pytest.raises(SnapshotConfigChanged):
+        SnapshotTable(store, "s", "name", "ts", ts_type="timestamp_ntz").run(src, R3)
+    st = SnapshotTable(store, "s", "name", "ts", ts_type="timestamp_ntz", replace_on_change=True)
+    out = st.run(src, R3)
+    assert st.generation == 2 and st.version() == 1 and out.count() == 1
+
+
+def test_contract_is_checked_before_running(spark):
+    import pytest
+    from stratum.plans.project import Project, ProjectError
+    from stratum.types import Field
+    p = Project(spark)
+    p.add_source("raw", {"t": lambda: spark.createDataFrame([(1, None)], "id long, v string")})
+    p.model("bad", lambda c: c.source("raw", "t"), contract=[Field("id", "INT64")])
+    with pytest.raises(ProjectError, match="undeclared column 'v'"):
+        p.run(["bad"])
+    p.model("req", lambda c: c.source("raw", "t"),
+            contract=[Field("id", "INT64"), Field("v", "STRING", "REQUIRED")])
+    with pytest.raises(Exception):
+        p.run(["req"])
+    p.model("ok", lambda c: c.source("raw", "t"),
+            contract=[Field("id", "INT64", "REQUIRED"), Field("v", "STRING")],
+            column_comments={"v": "a value"})
+    out = p.run(["ok"])["ok"]
+    assert out.schema["v"].metadata.get("comment") == "a value"
