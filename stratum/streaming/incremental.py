@@ -46,6 +46,21 @@ def stream_incremental(spark: SparkSession, store: TableStore, name: str, input_
                        transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Apply an incremental strategy to every micro-batch of new files;
     runs until the available input is consumed (``availableNow``)."""
+    apply = batch_writer(store, name, strategy, unique_key, transform)
+    reader = spark.readStream.format(fmt).schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    q = (reader.load(input_path).writeStream.foreachBatch(apply)
+         .option("checkpointLocation", checkpoint or scratch_path(spark, f"ckpt-{name}"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return store.read(name)
+
+
+def batch_writer(store: TableStore, name: str, strategy: str = "merge", unique_key=None,
+                 transform: Callable[[DataFrame], DataFrame] | None = None):
+    """The ``foreachBatch`` function of W1: apply the strategy to the batch
+    and commit a new version, unless this batch id was already committed."""
     log = _BatchLog(store, name)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -53,21 +68,13 @@ def stream_incremental(spark: SparkSession, store: TableStore, name: str, input_
             return
         rows = transform(batch) if transform else batch
         if store.exists(name):
-            new = strategies.apply_strategy(strategy, store.read(name), rows, unique_key,
-                                            **({"on_duplicate": "keep"} if strategy == "merge" else {}))
+            kw = {"on_duplicate": "keep"} if strategy == "merge" else {}
+            new = strategies.apply_strategy(strategy, store.read(name), rows, unique_key, **kw)
         else:
             new = rows
         store.write(name, new)
         log.commit(batch_id)
-
-    reader = spark.readStream.format(fmt).schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    q = (reader.load(input_path).writeStream.foreachBatch(apply)
-         .option("checkpointLocation", checkpoint or scratch_path(spark, f"ckpt-{name}"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return store.read(name)
+    return apply
 
 
 def stream_snapshot(spark: SparkSession, snapshot: SnapshotTable, input_path: str, schema,
