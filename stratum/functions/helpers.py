@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratum.functions.util import as_col
+from stratum.functions.util import as_col, ts_literal
 
 # Fixed values that must equal the reference's output.
 # NULL stand-in used by the surrogate key before hashing:
@@ -67,7 +67,7 @@ def run_timestamp(run_ts=None) -> Column:
         return F.current_timestamp()
     if isinstance(run_ts, Column):
         return run_ts
-    return F.lit(run_ts).cast("timestamp")
+    return ts_literal(run_ts, "timestamp")
 
 
 def month_start(expr, granularity: str = "month") -> Column:

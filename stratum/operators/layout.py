@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratum.functions.util import ts_literal
+
 # Derived partition column names, and the partition id used for
 # integer values outside [start, end) (NULL values get Spark's NULL partition).
 TIME_PARTITION_COLUMN = "_partition_time"
@@ -89,7 +91,7 @@ def apply_partitioning(df: DataFrame, spec, run_ts: _dt.datetime | None = None):
                 [RANGE_PARTITION_COLUMN])
     if isinstance(spec, TimePartitioning):
         if spec.field is None:
-            load = F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()
+            load = ts_literal(run_ts) if run_ts else F.current_timestamp()
             return (df.withColumn(INGEST_PARTITION_COLUMN, time_bucket(load, spec.granularity)),
                     [INGEST_PARTITION_COLUMN])
         return (df.withColumn(TIME_PARTITION_COLUMN,
@@ -117,7 +119,7 @@ def retain(df: DataFrame, partition_col: str, expiration_days: float,
         raise LayoutError("partition expiry needs a partitioned table")
     cutoff = as_of - _dt.timedelta(days=expiration_days)
     c = F.col(partition_col)
-    return df.filter(c.isNull() | (c.cast("timestamp_ntz") >= F.lit(cutoff).cast("timestamp_ntz")))
+    return df.filter(c.isNull() | (c.cast("timestamp_ntz") >= ts_literal(cutoff)))
 
 
 def table_expired(expiration_time: _dt.datetime | None, as_of: _dt.datetime,

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions.helpers import SCD_ID_SEPARATOR
+from stratum.functions.util import ts_literal
 
 # The bookkeeping column names of a snapshot table.
 SCD_ID = "dbt_scd_id"
@@ -48,7 +49,7 @@ def scd_id(key: str, updated_at: str) -> Column:
 
 
 def _run(run_ts, ts_type: str) -> Column:
-    return run_ts if isinstance(run_ts, Column) else F.lit(run_ts).cast(ts_type)
+    return run_ts if isinstance(run_ts, Column) else ts_literal(run_ts, ts_type)
 
 
 def _versions(source: DataFrame, key: str, updated_at: str, run: Column, ts_type: str) -> DataFrame:
