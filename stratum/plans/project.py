@@ -46,8 +46,12 @@ class ModelConfig:
     cluster_by: list[str] | None = None
     require_partition_filter: bool = False
     full_replace: bool = False               # K6: keep schema/layout, replace rows
+    enable_refresh: bool | None = None
     refresh_interval: _dt.timedelta | None = None
     max_staleness: _dt.timedelta | None = None
+    partition_expiration_days: float | None = None   # K14, needs partition_by
+    expiration_time: _dt.datetime | None = None      # K14, whole table
+    deletion_protection: bool = False
     max_bytes_billed: int | None = None
     on_duplicate: str = "error"
     # Partitioned incremental models: True asserts a key never moves to
@@ -73,6 +77,18 @@ class ModelConfig:
                                    f"{self.incremental_strategy!r} needs unique_key")
         if self.cluster_by and len(self.cluster_by) > 4:
             raise ProjectError(f"model {name!r}: cluster_by takes at most 4 columns")
+        if self.require_partition_filter and self.partition_by is None:
+            raise ProjectError(f"model {name!r}: require_partition_filter needs partition_by")
+        if self.partition_expiration_days is not None and self.partition_by is None:
+            raise ProjectError(f"model {name!r}: partition_expiration_days needs partition_by")
+        if self.enable_refresh and self.materialized != "materialized_view":
+            raise ProjectError(f"model {name!r}: enable_refresh is only valid for "
+                               "materialized_view")
+        if self.refresh_interval is not None and not self.enable_refresh:
+            raise ProjectError(f"model {name!r}: refresh_interval needs enable_refresh=True")
+        if self.deletion_protection and self.expiration_time is not None:
+            raise ProjectError(f"model {name!r}: deletion_protection cannot be used with "
+                               "expiration_time")
 
 
 @dataclass
@@ -148,11 +164,18 @@ class Context:
 
 
 class Project:
+    """``default_partition_expiration_days`` and ``default_table_expiration``
+    are the dataset defaults, used by models that set no expiry."""
+
     def __init__(self, spark: SparkSession, store: TableStore | None = None,
-                 vars: dict | None = None):
+                 vars: dict | None = None, default_partition_expiration_days: float | None = None,
+                 default_table_expiration: _dt.timedelta | None = None):
         self.spark = spark
         self.store = store or TableStore(spark)
         self.vars = dict(vars or {})
+        self.default_partition_expiration_days = default_partition_expiration_days
+        self.default_table_expiration = default_table_expiration
+        self.edges: set[tuple[str, str]] = set()   # (consumer, upstream) seen by ref()
         self.sources: dict[str, dict[str, Callable[[], DataFrame]]] = {}
         self.models: dict[str, Model] = {}
         self._built: dict[str, DataFrame] = {}
@@ -233,6 +256,8 @@ class Project:
         if name not in self.models:
             who = f" (referenced by {_from!r})" if _from else ""
             raise ProjectError(f"unknown model {name!r}{who}; models: {sorted(self.models)}")
+        if _from is not None:
+            self.edges.add((_from, name))
         if name in self._built:
             return self._built[name]
         if name in self._building:
@@ -292,11 +317,78 @@ class Project:
                     **({"on_duplicate": cfg.on_duplicate}
                        if cfg.incremental_strategy == "merge" else {}))
             df = new
-        return self.store.write(m.name, df, partition_by=part_cols or None,
-                                cluster_by=cfg.cluster_by,
-                                require_partition_filter=cfg.require_partition_filter,
-                                column_comments=cfg.column_comments,
-                                refreshed_at=self._run_ts)
+        out = self.store.write(m.name, df, partition_by=part_cols or None,
+                               cluster_by=cfg.cluster_by,
+                               require_partition_filter=cfg.require_partition_filter,
+                               column_comments=cfg.column_comments,
+                               refreshed_at=self._run_ts)
+        return self._expire(m, out)
+
+    def _now(self) -> _dt.datetime:
+        return self._run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+
+    def _expire(self, m: Model, out: DataFrame) -> DataFrame:
+        """K14 after a write: drop partitions past the model's (or the
+        dataset's default) partition expiry -- a manifest edit, no rewrite."""
+        days = m.config.partition_expiration_days
+        if days is None and m.config.partition_by is not None:
+            days = self.default_partition_expiration_days
+        if days is None or m.config.partition_by is None:
+            return out
+        return self.store.expire_partitions(m.name, days, self._now())
+
+    def expire_tables(self, as_of: _dt.datetime | None = None) -> list[str]:
+        """K14 for whole tables: forget stored models past their expiry time
+        (or the dataset default counted from the first build) unless
+        deletion-protected.  Returns the expired names; their files stay."""
+        from stratum.operators.layout import table_expired
+        as_of = as_of or self._now()
+        gone = []
+        for name, m in self.models.items():
+            cfg = m.config
+            if not self.store.exists(name) or cfg.deletion_protection:
+                continue
+            when = cfg.expiration_time
+            if when is None and self.default_table_expiration is not None:
+                created = self.store.property(name, "created_at")
+                if created:
+                    when = _dt.datetime.fromisoformat(created) + self.default_table_expiration
+            if table_expired(when, as_of):
+                self.store.drop(name)
+                self._built.pop(name, None)
+                gone.append(name)
+        return gone
+
+    def consumers(self, name: str) -> list[str]:
+        """Models that read ``name`` through ref() in this project's runs."""
+        return sorted({c for c, u in self.edges if u == name})
+
+    def evolve_table(self, name: str, fields: list, backfill: bool = False) -> DataFrame:
+        """E1-E5 on a stored model: one projection written as a new version.
+        A drop is refused when the model itself or a consumer uses the
+        column as unique key, partition or cluster column (E2)."""
+        from stratum.operators import evolve
+        from stratum.types import validate_fields
+        df = self.store.read(name)
+        validate_fields(fields, existing=df.columns)
+        plan = evolve.plan(df, fields)
+        if plan.empty:
+            return df
+        roles = []
+        for who in [name] + self.consumers(name):
+            if who in self.models:
+                c = self.models[who].config
+                roles.append({"name": who, "unique_key": c.unique_key or [],
+                              "cluster_by": c.cluster_by or [],
+                              "partition_by": [getattr(c.partition_by, "field", None)]
+                              if getattr(c.partition_by, "field", None) else []})
+        evolve.check_drop_safety(plan.drops, roles)
+        info = self.store.info(name)
+        return self.store.write(name, evolve.apply(df, plan, backfill),
+                                partition_by=info["partition_by"] or None,
+                                cluster_by=info["cluster_by"] or None,
+                                require_partition_filter=info["require_partition_filter"],
+                                column_comments=info["columns"])
 
     def _enforce_contract(self, m: Model, df: DataFrame) -> DataFrame:
         """Refuse a model whose output schema breaks its contract: an
@@ -343,7 +435,8 @@ class Project:
         cfg = m.config
         s = checkpoint(s)
         if cfg.incremental_strategy == "append":
-            return self.store.replace_partitions(m.name, s, [], refreshed_at=self._run_ts)
+            return self._expire(m, self.store.replace_partitions(m.name, s, [],
+                                                                 refreshed_at=self._run_ts))
         keys = cfg.unique_key
         touched = s.select(partition_part(part_col).alias("part"))
         if not cfg.partition_keys_stable:
@@ -354,7 +447,8 @@ class Project:
         target = self.store.read_partitions(m.name, parts)
         kw = {"on_duplicate": cfg.on_duplicate} if cfg.incremental_strategy == "merge" else {}
         new = strategies.apply_strategy(cfg.incremental_strategy, target, s, keys, **kw)
-        return self.store.replace_partitions(m.name, new, parts, refreshed_at=self._run_ts)
+        return self._expire(m, self.store.replace_partitions(m.name, new, parts,
+                                                             refreshed_at=self._run_ts))
 
     def _stale(self, m: Model) -> bool:
         """K3: rebuild when the last refresh is older than the interval / staleness."""

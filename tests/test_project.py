@@ -153,3 +153,50 @@ def test_partitioned_versions_share_untouched_directories(spark):
     assert sorted(r.id for r in kept.collect()) == [3]
     # expiry is metadata only: the files of older versions are still readable
     assert store.read("p", version=1).count() == 3
+
+
+def test_more_config_rules(spark):
+    p = small_project(spark)
+    with pytest.raises(ProjectError, match="require_partition_filter"):
+        p.model("a", lambda c: None, require_partition_filter=True)
+    with pytest.raises(ProjectError, match="partition_expiration_days"):
+        p.model("b", lambda c: None, partition_expiration_days=3)
+    with pytest.raises(ProjectError, match="enable_refresh"):
+        p.model("c", lambda c: None, enable_refresh=True)
+    with pytest.raises(ProjectError, match="refresh_interval"):
+        p.model("d", lambda c: None, materialized="materialized_view",
+                refresh_interval=dt.timedelta(hours=1))
+    with pytest.raises(ProjectError, match="deletion_protection"):
+        p.model("e", lambda c: None, deletion_protection=True,
+                expiration_time=dt.datetime(2030, 1, 1))
+
+
+def test_expiry_with_dataset_defaults(spark):
+    p = Project(spark, default_partition_expiration_days=40,
+                default_table_expiration=dt.timedelta(days=10))
+    rows = [(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 3, 1))]
+    p.add_source("raw", {"t": lambda: spark.createDataFrame(rows, "id long, ts timestamp_ntz")})
+    p.model("part", lambda c: c.source("raw", "t"),
+            partition_by=layout.TimePartitioning("ts", "DAY"))
+    p.model("kept", lambda c: c.source("raw", "t"), deletion_protection=True)
+    out = p.run(run_ts=dt.datetime(2024, 3, 15))
+    assert [r.id for r in out["part"].collect()] == [2]
+    gone = p.expire_tables(as_of=dt.datetime(2030, 1, 1))
+    assert gone == ["part"] and p.store.exists("kept")
+
+
+def test_evolve_table_guards_consumer_keys(spark):
+    from stratum.types import Field
+    p = small_project(spark)
+    p.model("base", lambda c: c.source("raw", "nums").withColumn("m", F.col("n") % 3),
+            materialized="table")
+    p.model("agg", lambda c: c.ref("base").groupBy("m").count(), materialized="incremental",
+            unique_key="m")
+    p.run()
+    assert p.consumers("base") == ["agg"]
+    from stratum.types import SchemaError
+    with pytest.raises(SchemaError, match="agg"):
+        p.evolve_table("base", [Field("m", alter="delete")])
+    out = p.evolve_table("base", [Field("k", "INT64", alter="rename", alter_from="n"),
+                                  Field("m", "INT64")])
+    assert out.columns == ["k", "m"] and p.store.info("base")["version"] == 2
