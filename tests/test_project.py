@@ -200,3 +200,14 @@ def test_evolve_table_guards_consumer_keys(spark):
     out = p.evolve_table("base", [Field("k", "INT64", alter="rename", alter_from="n"),
                                   Field("m", "INT64")])
     assert out.columns == ["k", "m"] and p.store.info("base")["version"] == 2
+
+
+def test_retry_after_a_crash_before_commit(spark):
+    store = TableStore(spark)
+    df = spark.createDataFrame([(1, "a")], "id long, v string")
+    store.write("t", df)
+    # a run that wrote version 2's files and died before repointing
+    spark.createDataFrame([(9, "junk")], "id long, v string").write.parquet(f"{store.root}/t/v=2")
+    assert [r.id for r in store.read("t").collect()] == [1]
+    out = store.write("t", df.union(spark.createDataFrame([(2, "b")], "id long, v string")))
+    assert sorted(r.id for r in out.collect()) == [1, 2]
