@@ -276,16 +276,19 @@ def model_vars(spark, sf):
 
 
 @register("join_cross", with_(RAW_ORDERS) + """,
-stats AS (SELECT avg(amount_cents) AS avg_cents, count(*) AS n_orders FROM raw_orders)
+stats AS (SELECT CAST(sum(amount_cents) AS BIGINT) / count(*) AS avg_cents, count(*) AS n_orders
+          FROM raw_orders)
 SELECT o.order_id, o.amount_cents, s.avg_cents, s.n_orders
 FROM raw_orders o CROSS JOIN stats s""")
 def join_cross(spark, sf):
     """A source with a one-row ephemeral model (global aggregate)."""
     p = Project(spark)
     p.add_source("raw", {"orders": lambda: fixtures.raw_orders(spark, sf)})
+    # An exact integer sum divided once (avg() would sum doubles, whose
+    # rounding depends on the order of the partial sums).
     p.model("stats", lambda c: c.source("raw", "orders").agg(
-        F.avg("amount_cents").alias("avg_cents"), F.count(F.lit(1)).alias("n_orders")),
-        materialized="ephemeral")
+        (F.sum("amount_cents") / F.count(F.lit(1))).alias("avg_cents"),
+        F.count(F.lit(1)).alias("n_orders")), materialized="ephemeral")
     p.model("with_stats", lambda c: predicates.attach_one_row(
         c.source("raw", "orders").select("order_id", "amount_cents"), c.ref("stats")),
         materialized="ephemeral")
