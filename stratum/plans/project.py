@@ -110,8 +110,10 @@ class Context:
     def spark(self) -> SparkSession:
         return self.project.spark
 
-    def ref(self, name: str) -> DataFrame:
-        return self.project.ref(name, _from=self.model.name)
+    def ref(self, name: str, partition_filter=None) -> DataFrame:
+        """S2.  A stored model flagged ``require_partition_filter`` must be
+        referenced with a ``partition_filter`` on its partition column (P7)."""
+        return self.project.ref(name, _from=self.model.name, partition_filter=partition_filter)
 
     def source(self, group: str, table: str) -> DataFrame:
         return self.project.source(group, table)
@@ -251,8 +253,17 @@ class Project:
             return default
         raise ProjectError(f"unknown var {name!r}; known vars: {sorted(self.vars)}")
 
-    def ref(self, name: str, _from: str | None = None) -> DataFrame:
+    def ref(self, name: str, _from: str | None = None, partition_filter=None) -> DataFrame:
         """The result of another model (plan if ephemeral, else stored)."""
+        df = self._ref(name, _from)
+        cfg = self.models[name].config
+        # Building the model itself (run) is not a read; a consumer's ref is.
+        if _from is not None and cfg.require_partition_filter and cfg.materialized in (
+                "table", "incremental", "materialized_view"):
+            return self.store.scan(name, partition_filter)
+        return df.filter(partition_filter) if partition_filter is not None else df
+
+    def _ref(self, name: str, _from: str | None = None) -> DataFrame:
         if name not in self.models:
             who = f" (referenced by {_from!r})" if _from else ""
             raise ProjectError(f"unknown model {name!r}{who}; models: {sorted(self.models)}")

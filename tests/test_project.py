@@ -211,3 +211,17 @@ def test_retry_after_a_crash_before_commit(spark):
     assert [r.id for r in store.read("t").collect()] == [1]
     out = store.write("t", df.union(spark.createDataFrame([(2, "b")], "id long, v string")))
     assert sorted(r.id for r in out.collect()) == [1, 2]
+
+
+def test_ref_of_flagged_table_needs_partition_filter(spark):
+    p = Project(spark)
+    rows = [(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 3, 1))]
+    p.add_source("raw", {"t": lambda: spark.createDataFrame(rows, "id long, ts timestamp_ntz")})
+    p.model("events", lambda c: c.source("raw", "t"), require_partition_filter=True,
+            partition_by=layout.TimePartitioning("ts", "MONTH"))
+    p.model("bad", lambda c: c.ref("events"), materialized="ephemeral")
+    p.model("good", lambda c: c.ref("events", partition_filter="_partition_time >= DATE'2024-02-01'"),
+            materialized="ephemeral")
+    with pytest.raises(layout.PartitionFilterRequired):
+        p.run(["bad"])
+    assert [r.id for r in p.run(["good"])["good"].collect()] == [2]
