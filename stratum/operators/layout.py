@@ -3,9 +3,9 @@ clustering (K10), retention (K14) and the required partition filter (P7).
 
 Partitioning is a derived column plus ``write.partitionBy``; Spark then prunes
 directories statically (literal filters on the partition column) and
-dynamically (a join against a filtered dimension).  Clustering is a range
-repartition plus a sort inside each file, which keeps parquet min/max
-statistics tight so row groups are skipped on the clustering columns.
+dynamically (a join against a filtered dimension).  Clustering groups rows
+by the clustering columns and sorts inside each file, which keeps parquet
+row-group min/max statistics tight so row groups are skipped on them.
 """
 
 from __future__ import annotations
@@ -100,14 +100,13 @@ def apply_partitioning(df: DataFrame, spec, run_ts: _dt.datetime | None = None):
     raise LayoutError(f"unknown partitioning {spec!r}")
 
 
-def cluster(df: DataFrame, cols: list[str], num_partitions: int | None = None) -> DataFrame:
-    """Range-partition on up to four columns and sort inside partitions."""
+def cluster(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Group rows by up to four columns (``rebalance``: AQE splits hot
+    keys, merges small groups) and sort inside each file, so parquet
+    row-group min/max statistics skip data on the clustering columns."""
     if not cols or len(cols) > 4:
         raise LayoutError("cluster_by takes 1 to 4 columns")
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    out = (df.repartitionByRange(num_partitions, *cols, tie) if num_partitions
-           else df.repartitionByRange(*cols, tie))
-    return out.sortWithinPartitions(*cols)
+    return df.hint("rebalance", *cols).sortWithinPartitions(*cols)
 
 
 def retain(df: DataFrame, partition_col: str, expiration_days: float,

@@ -117,8 +117,10 @@ class SnapshotTable:
         if self.auto_optimize:
             out = out.withColumn(TIME_PARTITION_COLUMN, time_bucket(F.col(scd.VALID_FROM), "DAY"))
             parts.append(TIME_PARTITION_COLUMN)
-            tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
-            out = out.repartitionByRange(self.key, tie).sortWithinPartitions(self.key)
+            # Files sorted by key (row-group statistics prune key lookups);
+            # rebalance splits a hot partition day over several writers.
+            out = (out.hint("rebalance", STATE, TIME_PARTITION_COLUMN)
+                   .sortWithinPartitions(STATE, TIME_PARTITION_COLUMN, self.key))
         base = f"{self.store.root}/{self.name}/g={gen}"
         out.write.mode("overwrite").partitionBy(*parts).parquet(f"{base}/{VERSION}={version}")
         self.store.point(self.name, base, version,
