@@ -73,14 +73,17 @@ def duplicate_source_keys(target: DataFrame, source: DataFrame, key) -> DataFram
     return t.join(dup, keys, "left_semi").distinct()
 
 
+DUPLICATE_MESSAGE = ("MERGE would match one target row with several source rows; "
+                     "pass on_duplicate='last' with order_by, or 'keep'")
+
+
 def _dedupe(source: DataFrame, keys: list[str], on_duplicate: str, order_by, target: DataFrame):
-    if on_duplicate == "keep":
+    if on_duplicate in ("keep", "error"):
+        # 'error' is checked inside the merge plan itself (see merge_upsert).
         return source
-    if on_duplicate == "error":
+    if on_duplicate == "check":
         if duplicate_source_keys(target, source, keys).limit(1).count() > 0:
-            raise DuplicateKeyError(
-                f"MERGE would match one target row with several source rows on {keys}; "
-                "pass on_duplicate='last' with order_by, or 'keep'")
+            raise DuplicateKeyError(DUPLICATE_MESSAGE + f" (keys {keys})")
         return source
     if on_duplicate == "last":
         if order_by is None:
@@ -94,7 +97,8 @@ def _dedupe(source: DataFrame, keys: list[str], on_duplicate: str, order_by, tar
         nulls = source.filter(" OR ".join(f"`{k}` IS NULL" for k in keys))
         kept = latest.dropna(subset=keys).select(*keys, "__row.*").select(*source.columns)
         return kept.unionByName(nulls)
-    raise ValueError(f"on_duplicate must be 'error', 'last' or 'keep', got {on_duplicate!r}")
+    raise ValueError("on_duplicate must be 'error', 'check', 'last' or 'keep', "
+                     f"got {on_duplicate!r}")
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, key, on_duplicate: str = "error",
@@ -104,13 +108,29 @@ def merge_upsert(target: DataFrame, source: DataFrame, key, on_duplicate: str =
 
     If every target column is a key there is nothing to update and this is
     ``merge_keys_only`` (I2).
+
+    Several S rows matching one T row make a MERGE ambiguous.  With
+    ``on_duplicate='error'`` (default) that is detected inside the same
+    join that drops the replaced T rows: T is left-joined to S's per-key row
+    counts, rows without a count are kept, and a count above one raises when
+    the result is computed -- no extra job and no second scan of T.
+    ``'check'`` raises eagerly (one extra job), ``'last'`` keeps the latest
+    S row per key, ``'keep'`` inserts them all.
     """
     keys = _resolve_keys(target, key_list(key))
     if {c.lower() for c in target.columns} <= {k.lower() for k in keys}:
         return merge_insert_only(target, source, keys)
     s = align_to(source, target)
     s = _dedupe(s, keys, on_duplicate, order_by, target)
-    kept = target.join(_key_set(s, keys), keys, "left_anti")
+    if on_duplicate != "error":
+        kept = target.join(_key_set(s, keys), keys, "left_anti")
+        return kept.unionByName(s)
+    # Per-key counts: a partial aggregate, unique per key (a hot key is one
+    # row), so it is a safe build side.
+    counts = s.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    j = target.join(counts, keys, "left")
+    guard = F.when(F.col("__n") > 1, F.raise_error(F.lit(DUPLICATE_MESSAGE)))
+    kept = j.filter(guard.isNull() & F.col("__n").isNull()).select(*target.columns)
     return kept.unionByName(s)
 
 

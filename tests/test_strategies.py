@@ -34,7 +34,10 @@ def test_merge_duplicate_source_keys(spark):
     t = spark.createDataFrame([(1, "a")], SCHEMA)
     s = spark.createDataFrame([(1, "x"), (1, "y"), (5, "p"), (5, "q")], SCHEMA)
     with pytest.raises(S.DuplicateKeyError):
-        S.merge_upsert(t, s, "id")
+        S.merge_upsert(t, s, "id", on_duplicate="check")
+    lazy = S.merge_upsert(t, s, "id")          # checked inside the plan
+    with pytest.raises(Exception, match="several source rows"):
+        lazy.collect()
     kept = S.merge_upsert(t, s, "id", on_duplicate="keep")
     assert kept.count() == 4
     s2 = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "id long, v string, o int")
@@ -116,6 +119,9 @@ def test_merge_is_idempotent_and_matches_model(spark, tr, sr):
     expected = [r for r in tr if r[0] is None or r[0] not in model_keys] + list(sr)
     got = sorted((tuple(r) for r in once.collect()), key=str)
     assert got == sorted(expected, key=str)
+    # the default (duplicate check inside the plan) gives the same rows
+    default = S.merge_upsert(t, s, "id")
+    assert sorted((tuple(r) for r in default.collect()), key=str) == got
     # NULL-key source rows are inserted again by the second merge (they never
     # match), everything else is unchanged.
     n_null_s = sum(1 for k, _ in sr if k is None)
