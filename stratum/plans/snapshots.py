@@ -21,6 +21,7 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratum.operators import snapshot as scd
 from stratum.operators.layout import TIME_PARTITION_COLUMN, time_bucket
@@ -82,7 +83,13 @@ class SnapshotTable:
         return self.generation + 1
 
     def _dataset(self) -> DataFrame:
-        return self.store.spark.read.option("basePath", self.base).parquet(self.base)
+        r = self.store.spark.read.option("basePath", self.base)
+        recorded = self.store.property(self.name, "snapshot_schema")
+        if recorded:
+            # The latest schema covers every version (a column the source
+            # gained reads as NULL in older files) and spares an inference job.
+            r = r.schema(T.StructType.fromJson(json.loads(recorded)))
+        return r.parquet(self.base)
 
     def _strip(self, df: DataFrame) -> DataFrame:
         return df.drop(VERSION, STATE, TIME_PARTITION_COLUMN)
@@ -126,4 +133,5 @@ class SnapshotTable:
         self.store.point(self.name, base, version,
                          partition_by=[VERSION] + parts,
                          cluster_by=[self.key] if self.auto_optimize else [],
-                         extra={"snapshot_config": self.config, "snapshot_generation": gen})
+                         extra={"snapshot_config": self.config, "snapshot_generation": gen,
+                                "snapshot_schema": out.schema.add(VERSION, T.IntegerType()).json()})

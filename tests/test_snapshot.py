@@ -124,3 +124,11 @@ def test_contract_is_checked_before_running(spark):
             column_comments={"v": "a value"})
     out = p.run(["ok"])["ok"]
     assert out.schema["v"].metadata.get("comment") == "a value"
+
+
+def test_stored_snapshot_source_gains_a_column(spark):
+    st = SnapshotTable(TableStore(spark), "grow", "id", "ts", ts_type="timestamp_ntz")
+    st.run(spark.createDataFrame([(1, "a", T1)], SRC), R1)
+    out = st.run(spark.createDataFrame([(1, "a", T2, "gold")], SRC + ", tier string"), R2)
+    got = {(r.tier, r.dbt_valid_to is None) for r in out.collect()}
+    assert got == {(None, False), ("gold", True)}
