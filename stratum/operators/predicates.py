@@ -60,9 +60,9 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """The cross join of a table with a one-row model.
 
     ``one_row`` must be a global aggregate (no grouping), which has exactly
-    one row by construction; each of its columns becomes a scalar subquery,
+    one row by construction; the row becomes one scalar subquery (a struct),
     evaluated once and shipped to every task as a literal -- no pair
     enumeration, no shuffle.
     """
-    cols = [one_row.select(c).scalar().alias(c) for c in one_row.columns]
-    return df.select("*", *cols)
+    row = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns])).scalar()
+    return df.select("*", *[row.getField(c).alias(c) for c in one_row.columns])
