@@ -104,10 +104,7 @@ def stream_snapshot(spark: SparkSession, snapshot: SnapshotTable, input_path: st
     return snapshot.read()
 
 
-def land_in_order(frames: list[DataFrame], path: str) -> None:
-    """Write each frame as one new file of a landing folder, in order (the
-    file stream takes files by modification time)."""
-    for df in frames:
-        df.coalesce(1).write.mode("append").parquet(path)
-
-
+def land(df: DataFrame, path: str) -> None:
+    """Add one batch of new files to a landing folder (a normal parallel
+    write); the next run of the stream picks up exactly those files."""
+    df.write.mode("append").parquet(path)
