@@ -129,9 +129,11 @@ class SnapshotTable:
             out = (out.hint("rebalance", STATE, TIME_PARTITION_COLUMN)
                    .sortWithinPartitions(STATE, TIME_PARTITION_COLUMN, self.key))
         base = f"{self.store.root}/{self.name}/g={gen}"
+        full = T.StructType(list(out.schema.fields)).add(VERSION, T.IntegerType())
         out.write.mode("overwrite").partitionBy(*parts).parquet(f"{base}/{VERSION}={version}")
         self.store.point(self.name, base, version,
                          partition_by=[VERSION] + parts,
                          cluster_by=[self.key] if self.auto_optimize else [],
                          extra={"snapshot_config": self.config, "snapshot_generation": gen,
-                                "snapshot_schema": out.schema.add(VERSION, T.IntegerType()).json()})
+                                "snapshot_schema": full.json()},
+                         schema=full)
