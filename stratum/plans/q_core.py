@@ -11,7 +11,7 @@ from stratum.functions import helpers as H
 from stratum.functions.macros import Macros
 from stratum.operators import predicates
 from stratum.plans import fixtures
-from stratum.plans.marts import revenue_by_region_month, revenue_project
+from stratum.plans.marts import revenue_project
 from stratum.plans.oracle import RAW_EVENTS, RAW_ORDERS, RAW_USERS, STAGING, with_
 from stratum.plans.project import Project
 from stratum.plans.suite import register
@@ -498,5 +498,3 @@ def mart_revenue_textbook(spark, sf):
         buyers.alias("unique_buyers"), total.alias("total_revenue"),
         H.safe_divide(total, buyers).alias("revenue_per_buyer"))
 
-
-__all__ = ["mart_revenue", "revenue_by_region_month"]
