@@ -56,25 +56,32 @@ def revenue_project(spark: SparkSession, sf: str, project: Project | None = None
     return p
 
 
-def revenue_by_region_month(orders: DataFrame, users: DataFrame) -> DataFrame:
-    """GROUP BY region, month over orders JOIN users, with the aggregation
-    pushed below the join.
+def revenue_by_region_month(orders: DataFrame, users: DataFrame,
+                            preaggregate: bool = True) -> DataFrame:
+    """GROUP BY region, month over orders JOIN users.
 
-    Orders are first reduced to one row per (user, month) -- a partial
+    With ``preaggregate`` (default) the aggregation is pushed below the join:
+    orders are first reduced to one row per (user, month) -- a partial
     aggregate, so a user holding a third of all orders becomes at most one row
     per month and task before the shuffle.  Only those rows meet the user
     table in the join, and the final group by (region, month) sums the partial
     sums.  With duplicate user rows the join multiplies partial sums exactly
     as it would multiply the raw orders, and the distinct-buyer count is
-    unchanged, so the result equals the textbook plan.
+    unchanged, so the result equals the textbook plan (``preaggregate=False``:
+    join the orders, then aggregate), which shuffles less when (user, month)
+    pairs hold about one order each and leaves hot users to AQE's skew join.
 
     Money is summed as DECIMAL(18,2) (exact, order independent) and returned
     as DOUBLE.
     """
-    per_user_month = (orders
-                      .groupBy("user_id", month_start("created_at").alias("month"))
-                      .agg(F.sum(F.col("amount_dollars").cast("decimal(18,2)")).alias("rev")))
-    joined = per_user_month.join(users.select("user_id", "region"), "user_id")
+    month = month_start("created_at").alias("month")
+    if preaggregate:
+        rows = (orders.groupBy("user_id", month)
+                .agg(F.sum(F.col("amount_dollars").cast("decimal(18,2)")).alias("rev")))
+    else:
+        rows = orders.select("user_id", month,
+                             F.col("amount_dollars").cast("decimal(18,2)").alias("rev"))
+    joined = rows.join(users.select("user_id", "region"), "user_id")
     total = F.sum("rev").cast("double")
     buyers = F.count_distinct("user_id")
     return (joined.groupBy("region", "month")

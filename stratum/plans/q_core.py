@@ -11,7 +11,7 @@ from stratum.functions import helpers as H
 from stratum.functions.macros import Macros
 from stratum.operators import predicates
 from stratum.plans import fixtures
-from stratum.plans.marts import revenue_project
+from stratum.plans.marts import revenue_by_region_month, revenue_project
 from stratum.plans.oracle import RAW_EVENTS, RAW_ORDERS, RAW_USERS, STAGING, with_
 from stratum.plans.project import Project
 from stratum.plans.suite import register
@@ -488,13 +488,9 @@ def macro_compose(spark, sf):
 
 @register("mart_revenue_textbook", MART_SQL)
 def mart_revenue_textbook(spark, sf):
-    """A8 as written in the reference (aggregate after the join), kept to
-    check that the pre-aggregated plan of ``mart_revenue`` gives equal rows."""
+    """A8 with the aggregate after the join (``preaggregate=False``), kept to
+    check that both plans of the revenue mart give equal rows."""
     p = revenue_project(spark, sf)
-    j = p.run(["int_joined"])["int_joined"]
-    total = F.sum(F.col("amount_dollars").cast("decimal(18,2)")).cast("double")
-    buyers = F.count_distinct("user_id")
-    return j.groupBy("region", H.month_start("created_at").alias("month")).agg(
-        buyers.alias("unique_buyers"), total.alias("total_revenue"),
-        H.safe_divide(total, buyers).alias("revenue_per_buyer"))
+    return revenue_by_region_month(p.run(["int_enriched"])["int_enriched"],
+                                   p.run(["stg_users"])["stg_users"], preaggregate=False)
 
