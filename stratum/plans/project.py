@@ -224,10 +224,15 @@ class Project:
         def build(ctx: Context) -> DataFrame:
             frames = {r: ctx.ref(r) for r in refs}
             frames.update({k: ctx.source(*v) for k, v in sources.items()})
-            frames["this"] = ctx.this if ctx.is_incremental() else None
-            if frames["this"] is None:
-                del frames["this"]
-            return ctx.spark.sql(sql, args=self._sql_args(), **frames)
+            if ctx.is_incremental():
+                frames["this"] = ctx.this
+            try:
+                return ctx.spark.sql(sql, args=self._sql_args(), **frames)
+            except KeyError as e:
+                raise ProjectError(
+                    f"model {name!r} uses {{{e.args[0]}}} but it is not wired: declare it in "
+                    f"refs or sources (wired: {sorted(frames)}; models: {sorted(self.models)})"
+                ) from None
 
         return self.model(name, build, **config)
 

@@ -243,3 +243,13 @@ def test_partitioned_merge_handles_moved_keys_and_stable_fast_path(spark):
         got = sorted((r.id, r.ts.month) for r in out.collect())
         # exact by default; the fast path trusts that keys never move
         assert got == expect
+
+
+def test_unwired_ref_in_sql_model_is_an_error(spark):
+    p = small_project(spark)
+    p.sql_model("a", "SELECT n FROM {nums}", sources={"nums": ("raw", "nums")},
+                materialized="ephemeral")
+    p.sql_model("b", "SELECT * FROM {a} JOIN {ghost} USING (n)", refs=["a"],
+                materialized="ephemeral")
+    with pytest.raises(ProjectError, match="ghost.*not wired"):
+        p.run(["b"])
