@@ -62,7 +62,7 @@ def range_partition(spark, sf):
 
 @register("cluster_by", ORDERS + "SELECT * FROM raw_orders")
 def cluster_by(spark, sf):
-    """Files range-partitioned and sorted by (user_id, created_at)."""
+    """Rows grouped by (user_id, created_at) and files sorted by them."""
     p = _orders_model(spark, sf, materialized="table", cluster_by=["user_id", "created_at"])
     return p.run(["fct_orders"])["fct_orders"]
 
