@@ -132,3 +132,24 @@ def test_stored_snapshot_source_gains_a_column(spark):
     out = st.run(spark.createDataFrame([(1, "a", T2, "gold")], SRC + ", tier string"), R2)
     got = {(r.tier, r.dbt_valid_to is None) for r in out.collect()}
     assert got == {(None, False), ("gold", True)}
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as hst
+
+_keys = hst.one_of(hst.none(), hst.integers(0, 4))
+_days = hst.integers(1, 4)
+_rows = hst.lists(hst.tuples(_keys, hst.sampled_from(["a", "b"]), _days), max_size=7)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(v1=_rows, v2=_rows, hard=hst.booleans())
+def test_one_pass_matches_three_statements_on_random_sources(spark, v1, v2, hard):
+    """NULL keys, duplicate keys and ties in the version time included."""
+    def frame(rows):
+        return spark.createDataFrame(
+            [(k, n, dt.datetime(2024, 1, d)) for k, n, d in rows], SRC)
+    snap = scd.initial(frame(v1), "id", "ts", R1, "timestamp_ntz")
+    a = scd.cycle(snap, frame(v2), "id", "ts", R2, hard, "timestamp_ntz")
+    b = three_steps(snap, frame(v2), R2, hard)
+    assert as_set(a) == as_set(b)
