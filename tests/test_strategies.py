@@ -126,3 +126,19 @@ def test_merge_is_idempotent_and_matches_model(spark, tr, sr):
     # match), everything else is unchanged.
     n_null_s = sum(1 for k, _ in sr if k is None)
     assert twice.count() == once.count() + n_null_s
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(tr=pairs, sr=pairs)
+def test_delete_insert_and_insert_only_match_models(spark, tr, sr):
+    """Duplicates and NULL keys on both sides; a NULL key never matches."""
+    t = spark.createDataFrame(tr, SCHEMA)
+    s = spark.createDataFrame(sr, SCHEMA)
+    s_keys = {k for k, _ in sr if k is not None}
+    t_keys = {k for k, _ in tr if k is not None}
+    di = [r for r in tr if r[0] is None or r[0] not in s_keys] + list(sr)
+    io = list(tr) + [r for r in sr if r[0] is None or r[0] not in t_keys]
+    got_di = sorted((tuple(r) for r in S.delete_insert(t, s, "id").collect()), key=str)
+    got_io = sorted((tuple(r) for r in S.merge_insert_only(t, s, "id").collect()), key=str)
+    assert got_di == sorted(di, key=str)
+    assert got_io == sorted(io, key=str)
