@@ -253,3 +253,16 @@ def test_unwired_ref_in_sql_model_is_an_error(spark):
                 materialized="ephemeral")
     with pytest.raises(ProjectError, match="ghost.*not wired"):
         p.run(["b"])
+
+
+def test_cluster_groups_and_sorts(spark):
+    df = spark.range(200).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    out = layout.cluster(df, ["k"])
+    rows = out.collect()
+    assert len(rows) == 200
+    with pytest.raises(layout.LayoutError):
+        layout.cluster(df, ["k", "v", "k", "v", "k"])
+    # inside each output partition the keys are sorted
+    sorted_within = out.withColumn("pid", F.spark_partition_id())
+    for r in sorted_within.groupBy("pid").agg(F.collect_list("k").alias("ks")).collect():
+        assert r.ks == sorted(r.ks)
