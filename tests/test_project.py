@@ -266,3 +266,15 @@ def test_cluster_groups_and_sorts(spark):
     sorted_within = out.withColumn("pid", F.spark_partition_id())
     for r in sorted_within.groupBy("pid").agg(F.collect_list("k").alias("ks")).collect():
         assert r.ks == sorted(r.ks)
+
+
+def test_partitioned_incremental_starting_empty(spark):
+    p = Project(spark, vars={"run": 1})
+    rows = [(1, dt.datetime(2024, 1, 5)), (2, dt.datetime(2024, 2, 5))]
+    p.add_source("raw", {"t": lambda: spark.createDataFrame(
+        [] if p.var("run") == 1 else rows, "id long, ts timestamp_ntz")})
+    p.model("m", lambda c: c.source("raw", "t"), materialized="incremental", unique_key="id",
+            partition_by=layout.TimePartitioning("ts", "MONTH"))
+    assert p.run()["m"].count() == 0
+    p.vars["run"] = 2
+    assert sorted(r.id for r in p.run()["m"].collect()) == [1, 2]

@@ -153,3 +153,10 @@ def test_one_pass_matches_three_statements_on_random_sources(spark, v1, v2, hard
     a = scd.cycle(snap, frame(v2), "id", "ts", R2, hard, "timestamp_ntz")
     b = three_steps(snap, frame(v2), R2, hard)
     assert as_set(a) == as_set(b)
+
+
+def test_snapshot_first_run_with_empty_source(spark):
+    st = SnapshotTable(TableStore(spark), "empty_first", "id", "ts", ts_type="timestamp_ntz")
+    assert st.run(spark.createDataFrame([], SRC), R1).count() == 0
+    out = st.run(spark.createDataFrame([(1, "a", T1)], SRC), R2)
+    assert [(r.id, r.dbt_valid_to) for r in out.collect()] == [(1, None)]
