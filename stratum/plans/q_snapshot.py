@@ -74,27 +74,37 @@ snap1 AS (
          CAST(NULL AS TIMESTAMP) AS dbt_valid_to
   FROM v1)"""
 
-STEPS_SQL = V_SQL + f""",
+
+def steps_sql(src: str = "v2") -> str:
+    """The three statements of a snapshot run as CTEs over source ``src``:
+    s1 = after invalidate, ins = inserted versions, s2 = after insert,
+    s3 = after hard delete."""
+    return f""",
 s1 AS (
   SELECT * REPLACE (
     CASE WHEN dbt_valid_to IS NULL AND customer_id IN (
-           SELECT v2.customer_id FROM v2 WHERE v2.updated_at > snap1.dbt_updated_at)
+           SELECT {src}.customer_id FROM {src} WHERE {src}.updated_at > snap1.dbt_updated_at)
          THEN TIMESTAMP '{RUN2}' ELSE dbt_valid_to END AS dbt_valid_to)
   FROM snap1),
 ins AS (
-  SELECT v2.*, md5(CAST(v2.customer_id AS VARCHAR) || '|' || CAST(v2.updated_at AS VARCHAR)) AS dbt_scd_id,
-         v2.updated_at AS dbt_updated_at, TIMESTAMP '{RUN2}' AS dbt_valid_from,
+  SELECT {src}.*,
+         md5(CAST({src}.customer_id AS VARCHAR) || '|' || CAST({src}.updated_at AS VARCHAR))
+           AS dbt_scd_id,
+         {src}.updated_at AS dbt_updated_at, TIMESTAMP '{RUN2}' AS dbt_valid_from,
          CAST(NULL AS TIMESTAMP) AS dbt_valid_to
-  FROM v2 LEFT JOIN s1 ON v2.customer_id = s1.customer_id AND s1.dbt_valid_to IS NULL
-  WHERE s1.customer_id IS NULL OR v2.updated_at > s1.dbt_updated_at),
+  FROM {src} LEFT JOIN s1 ON {src}.customer_id = s1.customer_id AND s1.dbt_valid_to IS NULL
+  WHERE s1.customer_id IS NULL OR {src}.updated_at > s1.dbt_updated_at),
 s2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM ins),
 s3 AS (
   SELECT * REPLACE (
-    CASE WHEN dbt_valid_to IS NULL AND customer_id NOT IN (SELECT customer_id FROM v2)
+    CASE WHEN dbt_valid_to IS NULL AND customer_id NOT IN (SELECT customer_id FROM {src})
          THEN TIMESTAMP '{RUN2}' ELSE dbt_valid_to END AS dbt_valid_to)
   FROM s2)"""
 
 
+STEPS_SQL = V_SQL + steps_sql("v2")
+
+
 def _snap1(spark, sf):
     return scd.initial(source_v1(spark, sf), "customer_id", "updated_at", RUN1, TS)
 
@@ -181,14 +191,10 @@ def scd2_scd_id(spark, sf):
     return v.select("customer_id", scd.scd_id("customer_id", "updated_at").alias("dbt_scd_id"))
 
 
-@register("scd2_new_columns", "WITH " + STEPS_SQL.replace(
-    "  FROM v1 WHERE nation < 3)",
-    "  FROM v1 WHERE nation < 3),\nv2t AS (SELECT *, CASE WHEN balance > 5000 THEN 'gold' "
-    "ELSE 'std' END AS tier FROM v2)").replace(
-    "  SELECT v2.*, md5(", "  SELECT v2.*, v2t_tier.tier, md5(").replace(
-    "  FROM v2 LEFT JOIN s1", "  FROM v2 JOIN (SELECT customer_id AS k, name AS nm, updated_at AS ua, "
-    "tier FROM v2t) v2t_tier ON v2t_tier.k = v2.customer_id AND v2t_tier.nm = v2.name "
-    "AND v2t_tier.ua = v2.updated_at\n  LEFT JOIN s1") + """
+@register("scd2_new_columns", "WITH " + V_SQL + """,
+v2t AS (SELECT *, CASE WHEN balance > 5000 THEN 'gold' ELSE 'std' END AS tier FROM v2)"""
+          + steps_sql("v2t").replace("s2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM ins),",
+                                     "s2 AS (SELECT *, NULL AS tier FROM s1),") + """
 SELECT customer_id, name, balance, segment, nation, updated_at, NULL AS tier,
        dbt_scd_id, dbt_updated_at, dbt_valid_from, dbt_valid_to FROM s1
 UNION ALL
