@@ -380,8 +380,8 @@ class Project:
         return sorted({c for c, u in self.edges if u == name})
 
     def evolve_table(self, name: str, fields: list, backfill: bool = False) -> DataFrame:
-        """E1-E5 on a stored model: one projection written as a new version.
-        A drop is refused when the model itself or a consumer uses the
+        """E1-E5 on a stored model, as a new version that changes metadata
+        only (no data is rewritten).  A drop is refused when the model itself or a consumer uses the
         column as unique key, partition or cluster column (E2)."""
         from stratum.operators import evolve
         from stratum.types import validate_fields
@@ -399,12 +399,8 @@ class Project:
                               "partition_by": [getattr(c.partition_by, "field", None)]
                               if getattr(c.partition_by, "field", None) else []})
         evolve.check_drop_safety(plan.drops, roles)
-        info = self.store.info(name)
-        return self.store.write(name, evolve.apply(df, plan, backfill),
-                                partition_by=info["partition_by"] or None,
-                                cluster_by=info["cluster_by"] or None,
-                                require_partition_filter=info["require_partition_filter"],
-                                column_comments=info["columns"])
+        # A metadata change: no data file is rewritten (TableStore.evolve).
+        return self.store.evolve(name, fields, backfill)
 
     def _enforce_contract(self, m: Model, df: DataFrame) -> DataFrame:
         """Refuse a model whose output schema breaks its contract: an

@@ -278,3 +278,45 @@ def test_partitioned_incremental_starting_empty(spark):
     assert p.run()["m"].count() == 0
     p.vars["run"] = 2
     assert sorted(r.id for r in p.run()["m"].collect()) == [1, 2]
+
+
+def test_evolution_is_metadata_only_and_composes(spark):
+    import glob
+    from stratum.types import Field
+    store = TableStore(spark)
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, name string, city string")
+    store.write("e", df)
+    files_before = sorted(glob.glob(f"{store.root}/e/**/*.parquet", recursive=True))
+    store.evolve("e", [Field("full_name", alter="rename", alter_from="name"),
+                       Field("city", alter="delete"),
+                       Field("src", "STRING", alter="insert", default_value_expression="'old'")],
+                 backfill=True)
+    out = store.evolve("e", [Field("nm", alter="rename", alter_from="full_name")])
+    assert out.columns == ["id", "nm", "src"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", "old"), (2, "b", "old")]
+    assert sorted(glob.glob(f"{store.root}/e/**/*.parquet", recursive=True)) == files_before
+    # a full write stores the evolved columns and drops the projection
+    again = store.write("e", out.filter("id = 1"))
+    assert again.columns == ["id", "nm", "src"] and store.info("e")["projection"] is None
+
+
+def test_partitioned_evolution_mixes_old_and_new_directories(spark):
+    from stratum.types import Field
+    store = TableStore(spark)
+    rows = [(1, "a", dt.datetime(2024, 1, 1)), (2, "b", dt.datetime(2024, 2, 1))]
+    df, cols = layout.apply_partitioning(
+        spark.createDataFrame(rows, "id long, name string, ts timestamp_ntz"),
+        layout.TimePartitioning("ts", "MONTH"))
+    store.write("pe", df, partition_by=cols)
+    store.evolve("pe", [Field("label", alter="rename", alter_from="name"),
+                        Field("n", "INT64", alter="insert")])
+    # February is rewritten after the evolution, January keeps its old files
+    new, _ = layout.apply_partitioning(
+        spark.createDataFrame([(3, "c", dt.datetime(2024, 2, 9), 7)],
+                              "id long, label string, ts timestamp_ntz, n long"),
+        layout.TimePartitioning("ts", "MONTH"))
+    store.replace_partitions("pe", new.select(*store.read("pe").columns),
+                             ["_partition_time=2024-02-01"])
+    out = store.evolve("pe", [Field("tag", alter="rename", alter_from="label")])
+    got = sorted((r.id, r.tag, r.n) for r in out.collect())
+    assert got == [(1, "a", None), (3, "c", 7)]
