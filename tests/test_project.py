@@ -320,3 +320,23 @@ def test_partitioned_evolution_mixes_old_and_new_directories(spark):
     out = store.evolve("pe", [Field("tag", alter="rename", alter_from="label")])
     got = sorted((r.id, r.tag, r.n) for r in out.collect())
     assert got == [(1, "a", None), (3, "c", 7)]
+
+
+def test_incremental_merge_after_metadata_evolution(spark):
+    from stratum.types import Field
+    p = Project(spark, vars={"run": 1})
+    first = [(1, "a", dt.datetime(2024, 1, 5)), (2, "b", dt.datetime(2024, 2, 5))]
+    later = [(2, "B", dt.datetime(2024, 2, 5), 9), (3, "c", dt.datetime(2024, 3, 5), 1)]
+    p.add_source("raw", {"t": lambda: (
+        spark.createDataFrame(first, "id long, name string, ts timestamp_ntz")
+        if p.var("run") == 1 else
+        spark.createDataFrame(later, "id long, label string, ts timestamp_ntz, score long"))})
+    p.model("m", lambda c: c.source("raw", "t"), materialized="incremental", unique_key="id",
+            partition_by=layout.TimePartitioning("ts", "MONTH"))
+    p.run()
+    p.evolve_table("m", [Field("label", alter="rename", alter_from="name"),
+                         Field("score", "INT64", alter="insert")])
+    p.vars["run"] = 2
+    out = p.run()["m"]
+    got = sorted((r.id, r.label, r.score) for r in out.collect())
+    assert got == [(1, "a", None), (2, "B", 9), (3, "c", 1)]
