@@ -49,3 +49,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hands rows to Python in small batches, so that very long texts fit beside each other."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

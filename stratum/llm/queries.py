@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import chat, exact_dedup, license_scan
+from stratum.llm import chat, exact_dedup, lang_id, license_scan
 from stratum.llm.common import read
 from stratum.session import scratch_path
 
@@ -37,10 +37,23 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def fold(n: int) -> Column:
+    """Whether a document is in the fold whose crc32(doc_id as text) mod 5 is ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == n
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = lang_id.fit(docs.filter(~fold(0)))
+    out = docs.select("doc_id", fold(0).alias("held_out"), lang_id.predict(model, F.col("text")).alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_license_scan": op7_license_scan,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {
