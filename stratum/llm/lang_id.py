@@ -5,8 +5,8 @@ weighted by log(1 + count) times inverse document frequency and scaled to
 length 1.  Each language has several centroids, found by clustering; a text
 gets the language of the centroid with the largest cosine.  It is rejected when
 it holds no letter, or when that cosine is below the centroid's limit:
-``SLACK`` times the smallest cosine that a sampled text of its language has with
-the nearest of them.
+``SLACK`` times the first percentile of the cosines that sampled texts of its
+language have with the nearest of them.
 
 Document frequencies and language counts cover all training rows.  Centroids
 are fitted, one task a language, on a sample of ``SAMPLE`` rows per language in
@@ -37,6 +37,8 @@ DIM = 1 << BITS
 CLUSTERS = 4
 #: Expected training rows per language for the centroids.
 SAMPLE = 400
+#: The model has CLUSTERS x DIM floats for each; beyond this many, fit() raises.
+MOST_LANGUAGES = 200
 SLACK = 0.1
 UNKNOWN = "und"
 
@@ -71,7 +73,7 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
 
 
 def clustered(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, float]:
-    """Spherical k-means from random first points: centroids, and the smallest cosine of a row with its own.
+    """Spherical k-means from random first points: centroids, and the first percentile of the rows' cosines with their own.
 
     A cluster of fewer than a tenth of the rows goes: it is made of outliers and wrong labels.
     """
@@ -82,7 +84,7 @@ def clustered(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, floa
         c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
     c = c[size >= 0.1 * len(x)]
-    return c, float((x @ c.T).max(1).min())
+    return c, float(np.quantile((x @ c.T).max(1), 0.01))
 
 
 @dataclass
@@ -125,8 +127,12 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", clust
     seen = np.array([of.get(d, 0) for d in range(DIM)], float)
     idf = np.log((1 + of.get(-1, 0)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
 
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
-    picked = rows.join(share, "lang").filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    n = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(n) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # The sample is taken in the scan, before texts move to their language's task.
+    share = F.create_map(*[x for r in n for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))]) if n else F.create_map(F.lit(""), F.lit(0.0))
+    picked = rows.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         c, least = clustered(vectors(list(pdf.sort_values("row")["text"]), idf), clusters)
