@@ -9,14 +9,14 @@ registers a pair at similarity 0.85 is missed with probability 4e-7.  Bucket
 mates are compared by the likelihood of their registers given the set sizes;
 what could be a link is verified on the full sets of words.
 
-Documents with the same words in the same order are one item (the smallest id);
-the rest of the work is on items.  Links need not be listed in full, see
+Rows with the same words in the same order are one item; the rest of the work is
+on items.  Links need not be listed in full, see
 ``near_links``; components do not change by that.
 
 Null or empty texts, or texts without words, have the empty set and no links;
-with fewer words than a shingle the whole sequence is the one shingle.  Rows
-that share an id are one document with several texts, all of them linked.
-Rows with a null id are no documents and give no row.  No rows give no rows.
+with fewer words than a shingle the whole sequence is the one shingle.  Repeated
+rows are linked like any others.  A null id comes after all others; a component
+of such rows alone has a null component.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import LOWER, UPPER, WHITE, small_batches, staged
+from stratum.llm.common import LOWER, UPPER, WHITE, fresh, numbered, small_batches, staged
 from stratum.llm.components import components
 from stratum.llm.near_links import linked
 
@@ -112,25 +112,22 @@ def _sketched(size: int):
         hashes = WordHashes()
         for batch in batches:
             out = []
-            for i, text in zip(batch["id"], batch["text"]):
+            for row, i, text in zip(batch["row"], batch["id"], batch["text"]):
                 words = words_of(text)
                 h = shingle_hashes(words, size, hashes)
                 s = registers(h) if len(h) else None
-                out.append((i, xxhash.xxh3_128_digest("\n".join(words)), len(shingles(words, size)) if len(h) else 0, None if s is None else s.tobytes(), None if s is None else band_keys(s)))
-            yield pd.DataFrame(out, columns=["id", "words", "n", "sketch", "bands"])
+                out.append((row, i, xxhash.xxh3_128_digest("\n".join(words)), len(h), None if s is None else s.tobytes(), None if s is None else band_keys(s)))
+            yield pd.DataFrame(out, columns=["row", "id", "words", "n", "sketch", "bands"]).astype({"id": "Int64"})
 
     return of
 
 
-def _estimated(least: float):
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                sketch = [np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), -1) for c in ("sketch_a", "sketch_b")]
-                b["jaccard"] = likely_jaccard(*sketch, b["n_a"].to_numpy(float), b["n_b"].to_numpy(float))
-                yield b[["a", "b", "jaccard"]]
-
-    return of
+def _estimated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        if len(b):
+            sketch = [np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), -1) for c in ("sketch_a", "sketch_b")]
+            b["jaccard"] = likely_jaccard(*sketch, b["n_a"].to_numpy(float), b["n_b"].to_numpy(float))
+            yield b[["a", "b", "jaccard"]]
 
 
 def verified(size: int):
@@ -152,25 +149,36 @@ def verified(size: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, n_shingles, component) of each id: the component is the smallest id that links reach."""
+    """(row, id, n_shingles, component, kept), one row per row of ``docs`` (``row``: see ``numbered``).
+
+    The component is the smallest id that links reach; kept is true for one row of each component, the first of that id.
+    """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
-    all_docs = staged(texts.mapInPandas(_sketched(size), "id long, words binary, n int, sketch binary, bands array<long>"), "sketches")
-    some = all_docs.filter("n > 0")
-    items = staged(some.groupBy("words").agg(F.min("id").alias("id")), "items")
-    # An item's sketch is that of its smallest id; an id with several texts may have several.
-    full = staged(some.join(items, ["words", "id"]).dropDuplicates(["words"]).select("id", "n", "sketch", "bands"), "item_sketches")
+    texts = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "row")
+    rows = staged(texts.mapInPandas(_sketched(size), "row long, id long, words binary, n int, sketch binary, bands array<long>"), "sketches")
+    some = rows.filter("n > 0")
+    items = staged(some.groupBy("words").agg(F.min("row").alias("item")), "items")
+    full = staged(some.join(items.select(F.col("item").alias("row")), "row", "left_semi").select("row", "n", "sketch", "bands"), "item_sketches")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        side = lambda c: full.dropDuplicates(["id"]).select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-        guess = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_estimated(least), "a long, b long, jaccard double"), "estimates")
+        side = lambda c: full.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        guess = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_estimated, "a long, b long, jaccard double"), "estimates")
         likely = guess.filter(F.col("jaccard") >= least - ERROR).select("a", "b")
-        text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-        sure = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInPandas(verified(size), "a long, b long, jaccard double, exact boolean")
+        text = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
+        sure = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInPandas(verified(size), "a long, b long, jaccard double, exact boolean")
         return sure.union(guess.filter(F.col("jaccard") < least - ERROR).select("a", "b", "jaccard", F.lit(False)))
 
-    links = linked(full.select(F.explode("bands").alias("key"), "id"), compare, least, ERROR)
-    same = some.join(items.withColumnRenamed("id", "to"), "words").filter("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))
-    label = components(links.union(same))
-    ids = all_docs.groupBy("id").agg(F.max("n").cast("long").alias("n_shingles"))
-    return ids.join(label, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    links = linked(full.select(F.explode("bands").alias("key"), F.col("row").alias("id")), compare, least, ERROR)
+    same = some.join(items, "words").filter("row <> item").select(F.col("row").alias("a"), F.col("item").alias("b"))
+    label = components(links.union(same)).select(F.col("id").alias("row"), F.col("component").alias("root"))
+    placed = staged(rows.select("row", "id", "n").join(label, "row", "left").withColumn("root", F.coalesce("root", "row")), "placed")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")
+    first = staged(placed.groupBy("root").agg(best), "first")
+    return placed.join(first, "root").select("row", "id", F.col("n").cast("long").alias("n_shingles"), F.col("best.id").alias("component"), (F.col("best.row") == F.col("row")).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each component, with all its columns."""
+    row = fresh(docs, "row")
+    kept = near_duplicates(docs, id_col, text_col, size, least).filter("kept").select(F.col("row").alias(row))
+    return numbered(docs, row).join(kept, row, "left_semi").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import chat, exact_dedup, lang_id, license_scan
+from stratum.llm import chat, exact_dedup, lang_id, license_scan, near_dedup, substring_dedup
 from stratum.llm.common import read
 from stratum.session import scratch_path
 
@@ -37,6 +37,17 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=3, least=0.85)
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of documents that repeat passages which other documents keep."""
+    rows = substring_dedup.spans(read(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.element_at("keep_ids", 1).alias("keep_id"), "keep_ids")
+
+
 def fold(n: int) -> Column:
     """Whether a document is in the fold whose crc32(doc_id as text) mod 5 is ``n``."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == n
@@ -51,8 +62,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_license_scan": op7_license_scan,
+    "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
 }
 
