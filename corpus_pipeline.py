@@ -3,19 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratum.llm import exact_dedup
-from stratum.llm.common import read, staged
+from stratum.llm import exact_dedup, lang_id, near_dedup, packing, substring_dedup
+from stratum.llm.common import fresh, read, staged
+from stratum.llm.queries import tokenizer
 from stratum.session import scratch_path
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns languages from the labelled documents; those that the model rejects go."""
+    model = lang_id.fit(docs)
+    found = fresh(docs, "language")
+    return docs.withColumn(found, lang_id.predict(model, F.col("text"))).filter(~F.col(found)["rejected"]).select(*docs.columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index"))
     return exact_dedup.kept_rows(docs, index, batch="first")
 
 
-STAGES = [("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of near duplicates."""
+    return near_dedup.kept_rows(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that an earlier document has, and counts the characters anew."""
+    return substring_dedup.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, packed into sequences."""
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("packing", pack),
+]
 
 #: Language ID, likelihoods and packing are not for SQL; tests/llm holds the brute-force versions.
 ORACLE_SQL = None

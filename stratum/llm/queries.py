@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import chat, exact_dedup, lang_id, license_scan, near_dedup, substring_dedup
+from stratum.llm import chat, exact_dedup, lang_id, license_scan, near_dedup, packing, substring_dedup
 from stratum.llm.common import read
 from stratum.session import scratch_path
 
@@ -37,6 +37,17 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=3, least=0.85)
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
@@ -65,6 +76,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_license_scan": op7_license_scan,
+    "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
 }
