@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import LOWER, UPPER, WHITE, fresh, numbered, small_batches, staged
+from stratum.llm.common import fresh, numbered, small_batches, staged
 from stratum.llm.components import components
 from stratum.llm.near_links import linked
 
@@ -39,19 +39,17 @@ BANDS, ROWS = 20, 4
 #: An estimate this far below the threshold is six standard deviations off.
 ERROR = 0.25
 
-_TO_LOWER = str.maketrans(UPPER, LOWER)
-_TO_SPACE = str.maketrans(WHITE, " " * len(WHITE))
 _RNG = np.random.default_rng(20240501)
 _MUL = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text, A-Z lower-cased; only space and \\t-\\r separate."""
-    return [w for w in (text or "").translate(_TO_LOWER).translate(_TO_SPACE).split(" ") if w]
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8.  On bytes, lower() changes A-Z alone, and split() parts at space and \\t-\\r alone."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingles(words: list[str], size: int) -> set[tuple[str, ...]]:
+def shingles(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
     if len(words) < size:
         return {tuple(words)} if words else set()
     return set(zip(*(words[i:] for i in range(size))))
@@ -60,14 +58,14 @@ def shingles(words: list[str], size: int) -> set[tuple[str, ...]]:
 class WordHashes(dict):
     """word -> 64 hash bits; forgets all when large, which costs time only."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-def shingle_hashes(words: list[str], size: int, hashes: WordHashes) -> np.ndarray:
+def shingle_hashes(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
     """Distinct hashes of the shingles."""
     if not words:
         return np.empty(0, np.uint64)
@@ -116,7 +114,7 @@ def _sketched(size: int):
                 words = words_of(text)
                 h = shingle_hashes(words, size, hashes)
                 s = registers(h) if len(h) else None
-                out.append((row, i, xxhash.xxh3_128_digest("\n".join(words)), len(h), None if s is None else s.tobytes(), None if s is None else band_keys(s)))
+                out.append((row, i, xxhash.xxh3_128_digest(b"\n".join(words)), len(h), None if s is None else s.tobytes(), None if s is None else band_keys(s)))
             yield pd.DataFrame(out, columns=["row", "id", "words", "n", "sketch", "bands"]).astype({"id": "Int64"})
 
     return of

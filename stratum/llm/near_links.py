@@ -1,11 +1,13 @@
 """Links between similar items, from rows (key, id) of the buckets they share.
 
-No bucket is expanded into all its pairs and none is capped.  First each item
-of a bucket is compared with the bucket's smallest id, its pivot, and the links
-found give components.  A pair of a bucket that is in two components then still
-has to be compared, unless the pivot rules it out: the Jaccard distance is a
-metric, so |d(p, x) - d(p, y)| is at most d(x, y).  The second step compares
-just those.  Every pair that shares a bucket is thus linked, in one component
+No bucket is expanded into all its pairs and none is capped.  Each item of a
+bucket is compared with one pivot, the bucket's smallest id, and the links found
+give components.  Items that are not in a random pivot's component are compared
+with it, too: in a large group of copies that differ here and there, this joins
+nearly all, at a cost that is linear in the group.  A pair of a bucket that is
+still in two components has to be compared, unless the first pivot rules it
+out: the Jaccard distance is a metric, so |d(p, x) - d(p, y)| is at most
+d(x, y).  Every pair that shares a bucket is thus linked, in one component
 already, or known to be too far apart.
 """
 
@@ -21,6 +23,8 @@ from stratum.llm.components import components
 
 #: (a, b) -> (a, b, jaccard, exact): the Jaccard similarity, or an estimate where that shows well enough that there is no link.
 Compare = Callable[[DataFrame], DataFrame]
+#: Random pivots drawn from each bucket.
+DRAWS = 2
 
 
 def linked(rows: DataFrame, compare: Compare, least: float, error: float) -> DataFrame:
@@ -32,16 +36,31 @@ def linked(rows: DataFrame, compare: Compare, least: float, error: float) -> Dat
     members = staged(rows.join(shared, "key").filter("id <> pivot"), "members")
     pairs = members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     near = staged(compare(pairs), "compared")
-    links = near.filter(F.col("exact") & (F.col("jaccard") >= least)).select("a", "b")
+    is_link = F.col("exact") & (F.col("jaccard") >= least)
+    links = near.filter(is_link).select("a", "b")
+
+    def labelled(rows: DataFrame, label: DataFrame, id_col: str, name: str) -> DataFrame:
+        """``rows`` with the component of ``id_col``: its own id where it has no link."""
+        got = label.select(F.col("id").alias(id_col), F.col("component").alias(name))
+        return rows.join(got, id_col, "left").withColumn(name, F.coalesce(name, id_col))
+
+    label = staged(components(links), "components")
+    every = members.select("key", "id").union(shared.select("key", F.col("pivot").alias("id")))
+    drawn = every.groupBy("key").agg(*[F.min_by("id", F.xxhash64("id", "key", F.lit(r))).alias(f"p{r}") for r in range(DRAWS)])
+    drawn = staged(drawn.select("key", F.explode(F.array_distinct(F.array(*[f"p{r}" for r in range(DRAWS)]))).alias("drawn")), "drawn")
+    apart = labelled(labelled(every.join(drawn, "key").filter("id <> drawn").select("id", "drawn").distinct(), label, "id", "x"), label, "drawn", "y").filter("x <> y")
+    pairs = staged(apart.select(F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), "drawn_pairs")
+    links = links.union(staged(compare(pairs), "compared").filter(is_link).select("a", "b"))
 
     label = staged(components(links), "components")
     place = members.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "jaccard", "exact"), ["pivot", "id"])
-    place = place.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    place = staged(place.withColumn("in", F.col("exact") & (F.col("jaccard") >= least)), "places")
+    place = staged(labelled(place, label, "id", "component").withColumn("in", is_link), "places")
+    mixed = staged(place.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
+    place = place.join(mixed, "key", "left_semi")
     x, y = (place.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "jaccard", "exact", "component", "in")]) for n in "xy")
     off = 1 - least + F.when(F.col("exact_x"), 0.0).otherwise(error) + F.when(F.col("exact_y"), 0.0).otherwise(error)
     rest = x.filter("not in_x").join(y, "key").filter(
         (F.col("component_x") != F.col("component_y")) & (F.abs(F.col("jaccard_x") - F.col("jaccard_y")) <= off + 1e-9)
         & (F.col("in_y") | (F.col("id_x") < F.col("id_y"))))
     more = compare(staged(rest.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "rest"))
-    return links.union(staged(more, "compared").filter(F.col("exact") & (F.col("jaccard") >= least)).select("a", "b"))
+    return links.union(staged(more, "compared").filter(is_link).select("a", "b"))

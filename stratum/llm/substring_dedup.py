@@ -24,7 +24,8 @@ among them is left alone.  No rows give no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -61,74 +62,85 @@ def _digests(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) ->
     return _mixed(sums + (ends - starts).astype(np.uint64) * _M + np.uint64(salt)).astype(np.int64)
 
 
-def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and digests of the pieces of a stream of word hashes."""
-    pair = _mixed(h[1:] ^ _mixed(h[:-1]))
-    padded = np.pad(pair, REACH, constant_values=_LARGEST)
-    around = np.lib.stride_tricks.sliding_window_view(padded, REACH).min(1)
-    cut = np.flatnonzero((pair < around[: len(pair)]) & (pair <= around[REACH + 1 : REACH + 1 + len(pair)])) + 1
-    starts = np.concatenate([[0], cut]).astype(np.int64)
-    ends = np.append(starts[1:], len(h))
-    return starts, ends, _digests(h, starts, ends, 1)
-
-
-def lines(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All words of a text, and the starts and ends of its lines that have words."""
-    words: list[str] = []
-    starts = []
-    for line in text.split("\n"):
-        if some := words_of(line):
-            starts.append(len(words))
-            words += some
-    starts_ = np.array(starts, np.int64)
-    return words, starts_, np.append(starts_[1:], len(words)).astype(np.int64)
-
-
-def _hashed(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, starts, ends = lines(text)
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), starts, ends
-
-
-def _paragraph_digests(text: str, hashes: WordHashes) -> tuple[tuple, tuple]:
-    """(starts, ends, digests) of the pieces, and of the lines that are long enough."""
-    h, starts, ends = _hashed(text, hashes)
-    long = ends - starts >= LEAST_WORDS
-    return pieces(h), (starts[long], ends[long], _digests(h, starts, ends, 2)[long])
+@dataclass
+class Batch:
+    """The word hashes of some texts, one after the other, with the starts of texts and lines (those that have words)."""
+
+    h: np.ndarray
+    text: np.ndarray  # which text each start belongs to
+    starts: np.ndarray
+    line_text: np.ndarray
+    line_starts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Iterable[str | None], hashes: WordHashes) -> Batch:
+        words: list[bytes] = []
+        text, starts, line_text, line_starts = [], [], [], []
+        for i, t in enumerate(texts):
+            at = len(words)
+            for line in (t or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
+                if some := line.split():
+                    line_text.append(i)
+                    line_starts.append(len(words))
+                    words += some
+            if len(words) > at:
+                text.append(i)
+                starts.append(at)
+        return cls(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), *(np.array(x, np.int64) for x in (text, starts, line_text, line_starts)))
+
+    def ends(self, starts: np.ndarray) -> np.ndarray:
+        return np.append(starts[1:], len(self.h)).astype(np.int64)
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which text, starts, ends and digests of the pieces."""
+        n = np.diff(np.append(self.starts, len(self.h)))
+        which = np.repeat(np.arange(len(n)), n)
+        pair = _mixed(self.h ^ _mixed(np.concatenate([self.h[:1], self.h[:-1]])))
+        pair[self.starts] = _LARGEST  # the first word of a text has none before it
+        at = np.arange(len(self.h)) + (which + 1) * REACH
+        apart = np.full(len(self.h) + (len(n) + 1) * REACH, _LARGEST)
+        apart[at] = pair
+        left, right = apart[at - 1], apart[at + 1]
+        for k in range(2, REACH + 1):
+            left, right = np.minimum(left, apart[at - k]), np.minimum(right, apart[at + k])
+        starts = np.union1d(self.starts, np.flatnonzero((pair < left) & (pair <= right)))
+        ends = self.ends(starts)
+        return self.text[which[starts]], starts, ends, _digests(self.h, starts, ends, 1)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same of the lines that are long enough."""
+        ends = self.ends(self.line_starts)
+        long = ends - self.line_starts >= LEAST_WORDS
+        return self.line_text[long], self.line_starts[long], ends[long], _digests(self.h, self.line_starts, ends, 2)[long]
 
 
 def _digest_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for b in batches:
-        docs, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, text in zip(b["id"], b["text"]):
-            if words_of(text):
-                p, q = _paragraph_digests(text, hashes)
-                found.append(np.unique(np.concatenate([p[2], q[2]])))
-                docs.append(np.full(len(found[-1]), i))
-        yield pd.DataFrame({"digest": np.concatenate(found), "doc": np.concatenate(docs)})
+        x = Batch.of(b["text"], hashes)
+        if len(x.h):
+            (t, _, _, d), (lt, _, _, ld) = x.pieces(), x.lines()
+            yield pd.DataFrame({"digest": np.concatenate([d, ld]), "doc": b["id"].to_numpy()[np.concatenate([t, lt])]}).drop_duplicates()
 
 
 def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for b in batches:
-        rows = [np.empty((0, BANDS + 2), np.int64)]
-        for i, text in zip(b["id"], b["text"]):
-            h, starts, ends = _hashed(text or "", hashes)
-            long = ends - starts >= LEAST_WORDS
-            if not long.any():
-                continue
-            mixed = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-            for k in range(SHINGLE):
-                mixed = _mixed(mixed ^ h[k : len(h) - SHINGLE + 1 + k])
-            at = np.stack([starts[long], ends[long] - SHINGLE + 1], 1).ravel()
-            at = at[:-1] if at[-1] == len(mixed) else at
-            least = np.stack([np.minimum.reduceat(mixed * m + a, at)[::2] for m, a in zip(_MUL, _ADD)], 1)
-            keys = least[:, 0::2].copy()
-            for r in range(1, ROWS):
-                keys = _mixed(keys) ^ least[:, r::ROWS]
-            keys = _mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64)).astype(np.int64)
-            rows.append(np.column_stack([_digests(h, starts, ends, 2)[long], np.full(len(keys), i), keys]))
-        yield pd.DataFrame(np.concatenate(rows), columns=["digest", "doc", *[f"b{k}" for k in range(BANDS)]])
+        x = Batch.of(b["text"], hashes)
+        which, starts, ends, digests = x.lines()
+        if not len(which):
+            continue
+        mixed = np.zeros(len(x.h) - SHINGLE + 1, np.uint64)
+        for k in range(SHINGLE):
+            mixed = _mixed(mixed ^ x.h[k : len(x.h) - SHINGLE + 1 + k])
+        at = np.stack([starts, ends - SHINGLE + 1], 1).ravel()
+        at = at[:-1] if at[-1] == len(mixed) else at
+        least = np.stack([np.minimum.reduceat(mixed * m + a, at)[::2] for m, a in zip(_MUL, _ADD)], 1)
+        keys = least[:, 0::ROWS].copy()
+        for r in range(1, ROWS):
+            keys = _mixed(keys) ^ least[:, r::ROWS]
+        keys = _mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64)).astype(np.int64)
+        yield pd.DataFrame(np.column_stack([digests, b["id"].to_numpy()[which], keys]), columns=["digest", "doc", *[f"b{k}" for k in range(BANDS)]])
 
 
 def _line_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,16 +149,20 @@ def _line_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = {}
         for text, wanted in zip(b["text"], b["wanted"]):
             wanted = set(wanted)
-            for line in text.split("\n"):
-                h, starts, ends = _hashed(line, hashes)
-                if len(h) >= LEAST_WORDS and (d := int(_digests(h, starts, ends, 2)[0])) in wanted:
-                    got[d] = line
+            lines = [x for x in text.split("\n") if words_of(x)]
+            found = Batch.of(lines, hashes)
+            for i, d in zip(found.lines()[0].tolist(), found.lines()[3].tolist()):
+                if d in wanted:
+                    got[d] = lines[i]
         yield pd.DataFrame({"digest": list(got), "line": list(got.values())}, columns=["digest", "line"]).astype({"digest": "int64", "line": "object"})
 
 
 def repeats(text: str, keepers: dict[int, int], hashes: WordHashes) -> list[tuple[int, int, int, list[int]]]:
     """Spans to take out: first and last character, words, ids of the documents that keep the paragraphs."""
-    (s, e, d), (ls, le, ld) = _paragraph_digests(text, hashes)
+    found = Batch.of([text], hashes)
+    if not len(found.h):
+        return []
+    (_, s, e, d), (_, ls, le, ld) = found.pieces(), found.lines()
     cover: list[tuple[int, int, int]] = [(a, b, keepers[x]) for a, b, x in zip(ls.tolist(), le.tolist(), ld.tolist()) if x in keepers]
     run: list[tuple[int, int, int]] = []
     for a, b, x in [*zip(s.tolist(), e.tolist(), d.tolist()), (0, 0, None)]:
