@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import chat, exact_dedup, lang_id, license_scan, near_dedup, packing, substring_dedup
+from stratum.llm import ann, bpe, chat, exact_dedup, lang_id, license_scan, near_dedup, packing, substring_dedup
 from stratum.llm.common import read
 from stratum.session import scratch_path
 
@@ -44,6 +44,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encoded(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return rows.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return rows.withColumnRenamed("id", "vec_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
@@ -74,6 +84,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_bpe": op4_bpe,
+    "op5_neighbours": op5_neighbours,
     "op6_chat_format": op6_chat_format,
     "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
