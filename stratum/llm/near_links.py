@@ -27,10 +27,12 @@ Compare = Callable[[DataFrame], DataFrame]
 DRAWS = 2
 
 
-def linked(rows: DataFrame, compare: Compare, least: float, error: float) -> DataFrame:
+def linked(rows: DataFrame, compare: Compare, least: float, error: float, pivots_only: bool = False) -> DataFrame:
     """Enough links (a, b) to connect all that ``rows`` (key, id) and ``compare`` link.
 
     ``least``: the similarity of a link; ``error``: how far an estimate may be off.
+    ``pivots_only``: leaves out the last step, and with it links between items
+    of which no pivot they share is near either.
     """
     shared = staged(rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot <> last").select("key", "pivot"), "buckets")
     members = staged(rows.join(shared, "key").filter("id <> pivot"), "members")
@@ -51,6 +53,8 @@ def linked(rows: DataFrame, compare: Compare, least: float, error: float) -> Dat
     apart = labelled(labelled(every.join(drawn, "key").filter("id <> drawn").select("id", "drawn").distinct(), label, "id", "x"), label, "drawn", "y").filter("x <> y")
     pairs = staged(apart.select(F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), "drawn_pairs")
     links = links.union(staged(compare(pairs), "compared").filter(is_link).select("a", "b"))
+    if pivots_only:
+        return links
 
     label = staged(components(links), "components")
     place = members.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "jaccard", "exact"), ["pivot", "id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import ann, bpe, chat, exact_dedup, lang_id, license_scan, near_dedup, packing, substring_dedup
+from stratum.llm import ann, bpe, chat, exact_dedup, hpylm, lang_id, license_scan, near_dedup, packing, substring_dedup
 from stratum.llm.common import read
 from stratum.session import scratch_path
 
@@ -44,6 +44,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_hpylm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = hpylm.score(docs, ~fold(1))
+    rows = rows.withColumnRenamed("id", "doc_id").withColumn("held_out", fold(1))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encoded(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return rows.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -83,6 +90,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_hpylm_score": op2_hpylm_score,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_bpe": op4_bpe,
     "op5_neighbours": op5_neighbours,
