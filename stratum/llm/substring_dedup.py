@@ -4,8 +4,6 @@ Two kinds of paragraph are compared.  Lines of at least LEAST_WORDS words are
 sketched by MinHash over five-word shingles; BANDS bands of ROWS hashes (a pair
 at similarity 0.8 is missed with probability 3e-4) bring candidates together,
 exact Jaccard similarity verifies them, and components of the links are classes.
-A line is compared with three pivots of each of its buckets, not with all lines
-there: hundreds of variants of one line would be as many pairs squared.
 Since a passage may stand anywhere within a line, the word stream is also cut
 where its content says: before each word whose hash with its predecessor is the
 smallest among REACH neighbours on either side.  A passage thus has the same cuts in
