@@ -128,7 +128,7 @@ def test_packing_round_trip(stored, none):
     lengths = np.random.default_rng(3).integers(1, 2048, 3000)
     window, offset = packing.windows(lengths)
     fill = np.bincount(window, lengths)
-    assert fill.max() <= 2048 and (fill < 2048).sum() <= 2 + 0.01 * len(fill)
+    assert fill.max() <= 2048 and fill.sum() >= 0.99 * 2048 * len(fill)
     order = np.lexsort((offset, window))
     assert all(o == 0 or lengths[a] + offset[a] == o for a, o in zip(order, offset[order][1:]))
 
