@@ -70,13 +70,13 @@ def run_timestamp(run_ts=None) -> Column:
     return ts_literal(run_ts, "timestamp")
 
 
-def month_start(expr, granularity: str = "month") -> Column:
-    """truncate to the granularity, keeping the input's timestamp flavour.
+def month_start(expr, granularity: str = "month", ts_type: str = "timestamp_ntz") -> Column:
+    """truncate to the granularity.
 
-    ``date_trunc`` returns TIMESTAMP (with zone); cast back to TIMESTAMP_NTZ so a
-    NTZ input stays NTZ.
+    ``date_trunc`` returns TIMESTAMP (with zone) for any input; the result is
+    cast to ``ts_type``, so pass "timestamp" for a column with zone.
     """
-    return F.date_trunc(granularity, as_col(expr)).cast("timestamp_ntz")
+    return F.date_trunc(granularity, as_col(expr)).cast(ts_type)
 
 
 def safe_divide(num, den) -> Column:
@@ -107,4 +107,5 @@ def listagg(measure, delimiter: str = ",", order_by=None) -> Column:
         return F.expr(f"listagg({measure}, '{d}') WITHIN GROUP (ORDER BY {order_by})")
     pairs = F.array_sort(F.collect_list(F.struct(as_col(order_by).alias("o"),
                                                  as_col(measure).alias("m"))))
-    return F.array_join(F.transform(pairs, lambda p: p["m"]), delimiter)
+    # NULL for a group without values, as the native aggregate gives.
+    return F.when(F.count(as_col(measure)) > 0, F.array_join(F.transform(pairs, lambda p: p["m"]), delimiter))

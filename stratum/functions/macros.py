@@ -1,8 +1,8 @@
 """User macros (F11): named Python functions from Columns to a Column.
 
 A macro body may call other macros by name through the registry; calls are
-checked for arity and the expansion depth is bounded, so accidental
-recursion is an error instead of a stack overflow.  The result is one
+checked for arity, and a macro that calls itself, directly or through others,
+is an error instead of a stack overflow.  The result is one
 ordinary Spark expression -- there is no text expansion.
 """
 
@@ -13,8 +13,6 @@ from typing import Callable
 
 from pyspark.sql import Column
 
-MAX_DEPTH = 10
-
 
 class MacroError(ValueError):
     pass
@@ -45,8 +43,6 @@ class Macros:
                              f"arguments, got {len(args)}")
         if name in self._stack:
             raise MacroError(f"recursive macro call: {' -> '.join(self._stack + [name])}")
-        if len(self._stack) >= MAX_DEPTH:
-            raise MacroError(f"macro nesting deeper than {MAX_DEPTH}")
         self._stack.append(name)
         try:
             return fn(*args)

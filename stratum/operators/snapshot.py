@@ -28,7 +28,7 @@ partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.helpers import SCD_ID_SEPARATOR
@@ -144,6 +144,52 @@ def cycle_open(open_rows: DataFrame, source: DataFrame, key: str, updated_at: st
     return _union(_union(updated, null_rows), inserted)
 
 
+def cycle_changes(open_rows: DataFrame | None, changes: DataFrame, key: str, updated_at: str,
+                  run_ts=None, ts_type: str = "timestamp") -> DataFrame:
+    """The open rows after a batch of change rows that may hold several
+    versions of a key: each becomes a version, in the order of ``updated_at``,
+    closed by the next; a row that is not newer than its key's open version is
+    ignored.  ``open_rows`` is None before the first batch.
+
+    With ``run_ts`` all versions of the batch open, and are closed, at that
+    time.  Without it a version is valid from its own ``updated_at`` to the
+    next one's, so that the result does not depend on how changes are cut into
+    batches.  Rows that agree in key and ``updated_at`` are one version (the
+    greatest row); NULL keys are always inserted.
+    """
+    def at(c):
+        return _run(run_ts, ts_type) if run_ts is not None else c.cast(ts_type)
+
+    others = [c for c in changes.columns if c not in (key, updated_at)]
+    dated = changes.filter(F.col(key).isNotNull())
+    if others:
+        dated = (dated.groupBy(key, updated_at).agg(F.max(F.struct(*others)).alias("__row"))
+                 .select(key, updated_at, "__row.*").select(*changes.columns))
+    else:
+        dated = dated.distinct()
+    if open_rows is not None:
+        have = open_rows.filter(F.col(key).isNotNull()).select(key, F.col(UPDATED_AT).alias("__u"), F.lit(True).alias("__has"))
+        dated = (dated.join(have, key, "left").filter(F.col("__has").isNull() | (F.col(updated_at) > F.col("__u")))
+                 .drop("__u", "__has"))
+    # lead() needs one row ahead only: a key with very many versions is sorted
+    # with spill, not held in memory.
+    ahead = F.lead(F.struct(F.col(updated_at).alias("t"))).over(Window.partitionBy(key).orderBy(updated_at))
+    new = dated.withColumn("__next", ahead)
+    null_keyed = changes.filter(F.col(key).isNull()).withColumn("__next", F.lit(None).cast(new.schema["__next"].dataType))
+    rows = new.unionByName(null_keyed)
+    versions = rows.select(
+        *changes.columns, scd_id(key, updated_at).alias(SCD_ID), F.col(updated_at).alias(UPDATED_AT),
+        at(F.col(updated_at)).alias(VALID_FROM),
+        F.when(F.col("__next").isNotNull(), at(F.col("__next.t"))).cast(ts_type).alias(VALID_TO))
+    if open_rows is None:
+        return versions
+    first = dated.groupBy(key).agg(F.min(updated_at).alias("__first"), F.lit(True).alias("__newer"))
+    kept = (open_rows.join(first, key, "left")
+            .withColumn(VALID_TO, F.when(F.col("__newer"), at(F.col("__first"))).otherwise(F.col(VALID_TO)))
+            .select(*open_rows.columns))
+    return _union(kept, versions)
+
+
 def _union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union by name, case-insensitive; columns missing on one side are
     NULL there (a source that gains a column adds it to history)."""

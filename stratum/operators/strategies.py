@@ -29,14 +29,28 @@ class DuplicateKeyError(ValueError):
     pass
 
 
+class NewColumnsError(ValueError):
+    """The source has columns that the target lacks."""
+
+
+def extra_columns(source: DataFrame, target: DataFrame) -> list[str]:
+    """Columns of ``source`` that ``target`` lacks, by case-insensitive name."""
+    have = {c.lower() for c in target.columns}
+    return [c for c in source.columns if c.lower() not in have]
+
+
 def align_to(df: DataFrame, like: DataFrame | list[str]) -> DataFrame:
     """Project ``df`` onto the columns of ``like`` by case-insensitive name,
-    in ``like``'s order (INSERT ROW follows the target's columns)."""
+    in ``like``'s order (INSERT ROW follows the target's columns).  A column
+    that a target DataFrame lacks raises: it is never left out silently."""
     names = like if isinstance(like, list) else like.columns
     have = {c.lower(): c for c in df.columns}
     missing = [n for n in names if n.lower() not in have]
     if missing:
         raise ValueError(f"source lacks target columns {missing}; source has {df.columns}")
+    if not isinstance(like, list) and (new := extra_columns(df, like)):
+        raise NewColumnsError(f"the target lacks the source's columns {new}; add them to it "
+                              "(on_schema_change='append' on a model) or leave them out")
     types = None if isinstance(like, list) else {f.name: f.dataType for f in like.schema}
     cols = []
     for n in names:
@@ -97,7 +111,7 @@ def _dedupe(source: DataFrame, keys: list[str], on_duplicate: str, order_by, tar
         nulls = source.filter(" OR ".join(f"`{k}` IS NULL" for k in keys))
         kept = latest.dropna(subset=keys).select(*keys, "__row.*").select(*source.columns)
         return kept.unionByName(nulls)
-    raise ValueError("on_duplicate must be 'error', 'check', 'last' or 'keep', "
+    raise ValueError("on_duplicate must be 'error', 'check', 'last', 'newest' or 'keep', "
                      f"got {on_duplicate!r}")
 
 
@@ -115,11 +129,14 @@ def merge_upsert(target: DataFrame, source: DataFrame, key, on_duplicate: str =
     counts, rows without a count are kept, and a count above one raises when
     the result is computed -- no extra job and no second scan of T.
     ``'check'`` raises eagerly (one extra job), ``'last'`` keeps the latest
-    S row per key, ``'keep'`` inserts them all.
+    S row per key, ``'keep'`` inserts them all.  ``'newest'`` keeps the row of T and S
+    with the greatest ``order_by`` (see ``merge_newest``).
     """
     keys = _resolve_keys(target, key_list(key))
     if {c.lower() for c in target.columns} <= {k.lower() for k in keys}:
         return merge_insert_only(target, source, keys)
+    if on_duplicate == "newest":
+        return merge_newest(target, source, keys, order_by)
     s = align_to(source, target)
     s = _dedupe(s, keys, on_duplicate, order_by, target)
     if on_duplicate != "error":
@@ -134,6 +151,39 @@ def merge_upsert(target: DataFrame, source: DataFrame, key, on_duplicate: str =
     return kept.unionByName(s)
 
 
+def require_unique(rows: DataFrame, key) -> None:
+    """Raise if a non-NULL key repeats, matched or not (one partial aggregate)."""
+    keys = _resolve_keys(rows, key_list(key))
+    if not rows.dropna(subset=keys).groupBy(*keys).count().filter(F.col("count") > 1).isEmpty():
+        raise DuplicateKeyError(f"the increment repeats keys {keys}; give an order_by column")
+
+
+def newest(rows: DataFrame, key, order_by: str) -> DataFrame:
+    """One row per key: the greatest by ``order_by`` (NULL first), ties by the
+    other columns in order; rows with a NULL key all stay.  The maximum of a
+    struct is a partial aggregate, so a hot key is reduced on the map side."""
+    keys = _resolve_keys(rows, key_list(key))
+    by = _resolve_keys(rows, [order_by])[0]
+    others = [by] + [c for c in rows.columns if c not in keys and c != by]
+    best = rows.dropna(subset=keys).groupBy(*keys).agg(F.max(F.struct(*others)).alias("__row"))
+    nulls = rows.filter(" OR ".join(f"`{k}` IS NULL" for k in keys))
+    return best.select(*keys, "__row.*").select(*rows.columns).unionByName(nulls)
+
+
+def merge_newest(target: DataFrame, source: DataFrame, key, order_by: str) -> DataFrame:
+    """Upsert that keeps, per key, the row of T or S with the greatest
+    ``order_by``.  However S is cut into increments, and in whatever order they
+    come, the result is the same."""
+    if order_by is None:
+        raise ValueError("on_duplicate='newest' needs order_by")
+    keys = _resolve_keys(target, key_list(key))
+    s = align_to(source, target)
+    touched = _key_set(s, keys)
+    rest = target.join(touched, keys, "left_anti")
+    both = target.join(touched, keys, "left_semi").unionByName(s)
+    return rest.unionByName(newest(both, keys, order_by))
+
+
 def _key_set(df: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct non-NULL keys: the build side of a semi / anti join.  The
     DISTINCT is a partial aggregate, so a key repeated in a third of the

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.operators import strategies
+from stratum.plans.increment import ON_SCHEMA_CHANGE, apply_increment
 from stratum.plans.store import TableStore
 
 MATERIALIZATIONS = ("view", "table", "materialized_view", "ephemeral", "incremental")
@@ -54,6 +55,10 @@ class ModelConfig:
     deletion_protection: bool = False
     max_bytes_billed: int | None = None
     on_duplicate: str = "error"
+    order_by: str | None = None              # for on_duplicate='last' | 'newest'
+    # Incremental models whose result gains a column: 'fail', or 'append' to
+    # add it to the table (metadata only, old rows read NULL).
+    on_schema_change: str = "fail"
     # Partitioned incremental models: True asserts a key never moves to
     # another partition, which skips the scan of the target's keys that
     # finds the old partition of a moved key.
@@ -75,6 +80,10 @@ class ModelConfig:
             if self.incremental_strategy != "append" and not self.unique_key:
                 raise ProjectError(f"model {name!r}: incremental strategy "
                                    f"{self.incremental_strategy!r} needs unique_key")
+        if self.on_duplicate in ("last", "newest") and not self.order_by:
+            raise ProjectError(f"model {name!r}: on_duplicate={self.on_duplicate!r} needs order_by")
+        if self.on_schema_change not in ON_SCHEMA_CHANGE:
+            raise ProjectError(f"model {name!r}: on_schema_change must be one of {ON_SCHEMA_CHANGE}")
         if self.cluster_by and len(self.cluster_by) > 4:
             raise ProjectError(f"model {name!r}: cluster_by takes at most 4 columns")
         if self.require_partition_filter and self.partition_by is None:
@@ -220,6 +229,8 @@ class Project:
         """A SQL model: ``{x}`` placeholders bind to ``ref(x)`` or a declared source."""
         refs = list(refs)
         sources = dict(sources or {})
+        # Known before any run, so that drop safety holds from the start.
+        self.edges.update((name, r) for r in refs)
 
         def build(ctx: Context) -> DataFrame:
             frames = {r: ctx.ref(r) for r in refs}
@@ -303,6 +314,8 @@ class Project:
         kind = cfg.materialized
         existing = self.store.exists(m.name)
         incremental = kind == "incremental" and existing
+        if kind == "materialized_view" and existing and not self._stale(m):
+            return self.store.read(m.name)   # fresh: nothing upstream is built
         ctx = Context(self, m, incremental)
         df = m.build(ctx)
         if cfg.contract:
@@ -316,23 +329,16 @@ class Project:
             view = f"{self.store.database}__{m.name}"
             df.createOrReplaceTempView(view)
             return self.spark.table(view)
-        if kind == "materialized_view" and existing and not self._stale(m):
-            return self.store.read(m.name)
         part_cols: list[str] = []
         if cfg.partition_by is not None:
             df, part_cols = layout.apply_partitioning(df, cfg.partition_by, self._run_ts)
-        if incremental and part_cols:
-            return self._incremental_partitions(m, df, part_cols[0])
-        if incremental or (kind == "table" and cfg.full_replace and existing):
-            target = self.store.read(m.name)
-            if kind == "table":
-                new = strategies.full_replace(target, df)
-            else:
-                new = strategies.apply_strategy(
-                    cfg.incremental_strategy, target, df, cfg.unique_key,
-                    **({"on_duplicate": cfg.on_duplicate}
-                       if cfg.incremental_strategy == "merge" else {}))
-            df = new
+        if incremental:
+            return self._expire(m, apply_increment(
+                self.store, m.name, df, cfg.incremental_strategy, cfg.unique_key,
+                cfg.on_duplicate, cfg.order_by, cfg.partition_keys_stable, cfg.on_schema_change,
+                self._run_ts))
+        if kind == "table" and cfg.full_replace and existing:
+            df = strategies.full_replace(self.store.read(m.name), df)
         out = self.store.write(m.name, df, partition_by=part_cols or None,
                                cluster_by=cfg.cluster_by,
                                require_partition_filter=cfg.require_partition_filter,
@@ -344,12 +350,16 @@ class Project:
         return self._run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
     def _expire(self, m: Model, out: DataFrame) -> DataFrame:
-        """K14 after a write: drop partitions past the model's (or the
-        dataset's default) partition expiry -- a manifest edit, no rewrite."""
-        days = m.config.partition_expiration_days
-        if days is None and m.config.partition_by is not None:
-            days = self.default_partition_expiration_days
-        if days is None or m.config.partition_by is None:
+        """K14 after a write: drop partitions past the model's, its
+        partitioning's or the dataset's default expiry -- a manifest edit, no
+        rewrite.  Only time partitions grow old; integer ranges never expire."""
+        from stratum.operators.layout import TimePartitioning
+        spec = m.config.partition_by
+        if not isinstance(spec, TimePartitioning):
+            return out
+        days = next((d for d in (m.config.partition_expiration_days, spec.expiration_days,
+                                 self.default_partition_expiration_days) if d is not None), None)
+        if days is None:
             return out
         return self.store.expire_partitions(m.name, days, self._now())
 
@@ -432,40 +442,11 @@ class Project:
             raise ProjectError(f"model {m.name!r} breaks its contract: " + "; ".join(problems))
         return enforce_required(df, declared)
 
-    def _incremental_partitions(self, m: Model, s: DataFrame, part_col: str) -> DataFrame:
-        """An incremental run on a partitioned table rewrites only the
-        partitions it touches: those holding rows of the increment and (for
-        key strategies) those holding target rows with the increment's keys.
-
-        The touched list is one row per partition (metadata-sized) and the
-        target is read only for those partitions; untouched partition
-        directories carry over into the new version unchanged.  The increment
-        is checkpointed once because it feeds several steps.
-        """
-        from stratum.plans.store import partition_part
-        from stratum.session import checkpoint
-        cfg = m.config
-        s = checkpoint(s)
-        if cfg.incremental_strategy == "append":
-            return self._expire(m, self.store.replace_partitions(m.name, s, [],
-                                                                 refreshed_at=self._run_ts))
-        keys = cfg.unique_key
-        touched = s.select(partition_part(part_col).alias("part"))
-        if not cfg.partition_keys_stable:
-            t_keys = self.store.read(m.name).select(*keys, partition_part(part_col).alias("part"))
-            touched = touched.unionByName(
-                t_keys.join(s.select(*keys), keys, "left_semi").select("part"))
-        parts = [r["part"] for r in touched.distinct().collect()]
-        target = self.store.read_partitions(m.name, parts)
-        kw = {"on_duplicate": cfg.on_duplicate} if cfg.incremental_strategy == "merge" else {}
-        new = strategies.apply_strategy(cfg.incremental_strategy, target, s, keys, **kw)
-        return self._expire(m, self.store.replace_partitions(m.name, new, parts,
-                                                             refreshed_at=self._run_ts))
-
     def _stale(self, m: Model) -> bool:
-        """K3: rebuild when the last refresh is older than the interval / staleness."""
+        """K3: rebuild when the refresh interval has passed, or when the stored
+        result is older than readers accept (whichever comes first)."""
         cfg = m.config
-        limit = cfg.max_staleness or cfg.refresh_interval
+        limit = min((x for x in (cfg.refresh_interval, cfg.max_staleness) if x is not None), default=None)
         if limit is None:
             return True
         last = _dt.datetime.fromisoformat(self.store.info(m.name)["refreshed_at"])

@@ -117,7 +117,17 @@ class SnapshotTable:
         self._write(rows, n + 1, gen)
         return self.read()
 
-    def _write(self, rows: DataFrame, version: int, gen: int) -> None:
+    def run_changes(self, changes: DataFrame, run_ts=None, extra: dict | None = None) -> DataFrame:
+        """A run over change rows with any number of versions per key (see
+        ``snapshot.cycle_changes``); ``extra`` properties are committed with it."""
+        gen = self._check_config()
+        n = self.version() if gen == self.generation else 0
+        rows = scd.cycle_changes(self.open_rows() if n else None, changes, self.key,
+                                 self.updated_at, run_ts, self.ts_type)
+        self._write(rows, n + 1, gen, extra)
+        return self.read()
+
+    def _write(self, rows: DataFrame, version: int, gen: int, extra: dict | None = None) -> None:
         out = rows.withColumn(STATE, F.when(F.col(scd.VALID_TO).isNull(), "open")
                               .otherwise("closed"))
         parts = [STATE]
@@ -135,5 +145,5 @@ class SnapshotTable:
                          partition_by=[VERSION] + parts,
                          cluster_by=[self.key] if self.auto_optimize else [],
                          extra={"snapshot_config": self.config, "snapshot_generation": gen,
-                                "snapshot_schema": full.json()},
+                                "snapshot_schema": full.json()} | (extra or {}),
                          schema=full)

@@ -10,6 +10,7 @@ happens in tests and on a laptop.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,9 +31,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    cores = os.cpu_count() or 8
     conf = {
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or cores),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -41,6 +40,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         "spark.ui.enabled": "false",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
+    if shuffle_partitions or (master or "").startswith("local"):
+        # A cluster keeps its own setting: the driver's core count says nothing about it.
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or os.cpu_count() or 8)
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -64,6 +66,8 @@ def shared_dir(spark: SparkSession) -> str:
         # getCheckpointDir() returns <dir>/<uuid>; keep the parent.
         return cur.rstrip("/").rsplit("/", 1)[0]
     key = id(sc)
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if key not in _LOCAL_FALLBACK:
         d = tempfile.mkdtemp(prefix="stratum-shared-")
         sc.setCheckpointDir(d)
@@ -82,20 +86,10 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-_SCHEMAS: dict[tuple[int, str], object] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the parquet input tables.
 
-    Input tables are treated as immutable for the life of a session: the
-    schema inferred on the first read is handed to later reads, which saves
-    a schema-inference job each time.
+    The schema is read from the files each time: a replaced file may have
+    other columns.
     """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if key in _SCHEMAS:
-        return spark.read.schema(_SCHEMAS[key]).parquet(path)
-    df = spark.read.parquet(path)
-    _SCHEMAS[key] = df.schema
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
