@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratum.types import Field, canonical_of, spark_type
+from stratum.types import Field, canonical_of, declared_type, spark_type
 
 REPORT_SCHEMA = "table_name string, column_name string, kind string, declared_type string, " \
                 "actual_type string, affected_rows bigint"
@@ -30,8 +31,14 @@ def _row(table: str, column: str, kind: str, declared, actual, affected: Column
                     .alias("affected_rows"))
 
 
-def _uncastable(col: str, to: T.DataType) -> Column:
+def _uncastable(df: DataFrame, col: str, to: T.DataType) -> Column:
+    """Values that do not cast to the declared type: all that are not NULL
+    where Spark has no cast between the two types."""
     c = F.col(f"`{col}`")
+    try:
+        df.select(c.try_cast(to)).schema
+    except AnalysisException:
+        return F.count(c)
     return F.count_if(c.isNotNull() & c.try_cast(to).isNull())
 
 
@@ -46,16 +53,16 @@ def drift(table: str, df: DataFrame, declared: list[Field]) -> DataFrame:
         if a is None:
             rows.append(("missing", f.name, f.canonical, None, None))
             continue
-        at = canonical_of(a.dataType)
+        at = declared_type(a)
         if at != f.canonical:
             k = f"m{len(aggs)}"
-            aggs[k] = _uncastable(a.name, spark_type(f))
+            aggs[k] = _uncastable(df, a.name, spark_type(f))
             rows.append(("type_mismatch", f.name, f.canonical, at, k))
     for a in df.schema:
         if a.name.lower() not in decl:
             k = f"m{len(aggs)}"
             aggs[k] = F.count(F.col(f"`{a.name}`"))
-            rows.append(("extra", a.name, None, canonical_of(a.dataType), k))
+            rows.append(("extra", a.name, None, declared_type(a), k))
     spark = df.sparkSession
     if not rows:
         return spark.createDataFrame([], REPORT_SCHEMA)
@@ -111,17 +118,17 @@ def contract(df: DataFrame, declared: list[Field], unique_key: list[str] | None
 
     for a in df.schema:
         if a.name.lower() not in names:
-            rows.append(("undeclared_column", a.name, canonical_of(a.dataType), None))
+            rows.append(("undeclared_column", a.name, declared_type(a), None))
     for f in decl:
         a = actual.get(f.name.lower())
         if a is None:
             if not f.repeated:
                 rows.append(("missing_column", f.name, f.canonical, None))
             continue
-        at = canonical_of(a.dataType)
+        at = declared_type(a)
         if at != f.canonical:
             rows.append(("type_mismatch", f.name, f"{f.canonical} <> {at}",
-                         agg(_uncastable(a.name, spark_type(f)))))
+                         agg(_uncastable(df, a.name, spark_type(f)))))
         if f.mode == "REQUIRED":
             rows.append(("required_null", f.name, None,
                          agg(F.count_if(F.col(f"`{a.name}`").isNull()))))

@@ -3,17 +3,19 @@ clustering (K10), retention (K14) and the required partition filter (P7).
 
 Partitioning is a derived column plus ``write.partitionBy``; Spark then prunes
 directories statically (literal filters on the partition column) and
-dynamically (a join against a filtered dimension).  Clustering groups rows
-by the clustering columns and sorts inside each file, which keeps parquet
-row-group min/max statistics tight so row groups are skipped on them.
+dynamically (a join against a filtered dimension).  Clustering deals rows
+by ranges of the clustering columns and sorts inside each file, so that files
+and row groups are skipped by their min/max statistics.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import re
+import json
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,12 +103,37 @@ def apply_partitioning(df: DataFrame, spec, run_ts: _dt.datetime | None = None):
 
 
 def cluster(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Group rows by up to four columns (``rebalance``: AQE splits hot
-    keys, merges small groups) and sort inside each file, so parquet
-    row-group min/max statistics skip data on the clustering columns."""
+    """Deal rows by ranges of up to four columns and sort inside each
+    file, so that files cover disjoint ranges and the min/max statistics of
+    files and row groups skip data on the clustering columns.  A hash of the
+    other columns ends the order of the ranges: a hot key is split over files."""
     if not cols or len(cols) > 4:
         raise LayoutError("cluster_by takes 1 to 4 columns")
-    return df.hint("rebalance", *cols).sortWithinPartitions(*cols)
+    # A hash cannot be taken of maps and variants.
+    rest = [f.name for f in df.schema if f.name not in cols
+            and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    spread = [F.xxhash64(*[F.col(f"`{c}`") for c in rest])] if rest else []
+    return df.repartitionByRange(*cols, *spread).sortWithinPartitions(*cols)
+
+
+def described(spec) -> dict[str, str]:
+    """Table properties that say which field a table is partitioned by."""
+    if getattr(spec, "field", None) is None:
+        return {}
+    return {"partition_spec": json.dumps({"kind": type(spec).__name__} | vars(spec))}
+
+
+def bounds(spec_json: str, low, high) -> tuple[str, Column | None, Column | None, bool]:
+    """(field, first bucket, last bucket, buckets are numbers) for field values from ``low`` to ``high``."""
+    spec = json.loads(spec_json)
+    if spec["kind"] == "TimePartitioning":
+        bucket = lambda x: time_bucket(F.lit(x).cast("timestamp_ntz"), spec["granularity"])
+    else:
+        # Values outside the declared range share one partition and count as its first and last bucket.
+        at = lambda x: F.greatest(F.lit(spec["start"]), F.least(F.lit(x), F.lit(spec["end"] - 1)))
+        bucket = lambda x: range_bucket(at(x), spec["start"], spec["end"], spec["interval"])
+    return (spec["field"], None if low is None else bucket(low), None if high is None else bucket(high),
+            spec["kind"] != "TimePartitioning")
 
 
 def retain(df: DataFrame, partition_col: str, expiration_days: float,
@@ -141,15 +168,18 @@ def read_with_partition_filter(df: DataFrame, partition_col: str, predicate) ->
         raise PartitionFilterRequired(
             f"table requires a filter on partition column {partition_col!r}")
     pred = F.expr(predicate) if isinstance(predicate, str) else predicate
-    refs = _referenced_columns(df, pred)
-    if partition_col.lower() not in refs:
+    if not _references(df, pred, partition_col):
         raise PartitionFilterRequired(
             f"the filter does not reference partition column {partition_col!r}")
     return df.filter(pred)
 
 
-def _referenced_columns(df: DataFrame, pred: Column) -> set[str]:
-    # Column names that appear as identifiers in the predicate's text form.
-    text = str(pred).lower()
-    return {c.lower() for c in df.columns
-            if re.search(rf"(^|[^a-z0-9_]){re.escape(c.lower())}([^a-z0-9_]|$)", text)}
+def _references(df: DataFrame, pred: Column, col: str) -> bool:
+    """Whether the predicate refers to the column: without it, it does not
+    resolve.  Text that merely names the column does not count."""
+    df.select(pred).schema   # a predicate that is wrong in itself raises here
+    try:
+        df.withColumnRenamed(col, f"__no_{uuid.uuid4().hex}").select(pred).schema
+    except AnalysisException:
+        return True
+    return False

@@ -343,7 +343,8 @@ class Project:
                                cluster_by=cfg.cluster_by,
                                require_partition_filter=cfg.require_partition_filter,
                                column_comments=cfg.column_comments,
-                               refreshed_at=self._run_ts)
+                               refreshed_at=self._run_ts,
+                               extra=layout.described(cfg.partition_by))
         return self._expire(m, out)
 
     def _now(self) -> _dt.datetime:
@@ -418,7 +419,7 @@ class Project:
         or a unique key / partition / cluster column that does not exist.
         Columns being added (``alter='insert'``) are skipped."""
         from stratum.operators.contracts import enforce_required
-        from stratum.types import canonical_of
+        from stratum.types import declared_type
         cfg = m.config
         declared = [f for f in cfg.contract if f.alter != "insert"]
         names = {f.name.lower() for f in cfg.contract}
@@ -430,8 +431,8 @@ class Project:
             if a is None:
                 if not f.repeated:
                     problems.append(f"missing column {f.name!r}")
-            elif canonical_of(a.dataType) != f.canonical:
-                problems.append(f"column {f.name!r} is {canonical_of(a.dataType)}, "
+            elif declared_type(a) != f.canonical:
+                problems.append(f"column {f.name!r} is {declared_type(a)}, "
                                 f"declared {f.canonical}")
         part = getattr(cfg.partition_by, "field", None)
         for role, cols in (("unique key", cfg.unique_key), ("cluster", cfg.cluster_by),

@@ -49,6 +49,46 @@ def merge_upsert(spark, sf):
     return S.merge_upsert(_target(spark, sf), _source(spark, sf), "order_id")
 
 
+LAST_SQL = f"""t AS (SELECT * FROM raw_orders WHERE created_at < TIMESTAMP '{T_END}'),
+s AS (SELECT order_id, user_id, amount_cents + v AS amount_cents, 'v' || v AS status,
+             created_at + INTERVAL 1 DAY * v AS created_at
+      FROM raw_orders, (VALUES (1), (3), (2)) AS x(v) WHERE created_at >= TIMESTAMP '{S_START}')"""
+
+
+@register("merge_last", with_(RAW_ORDERS, LAST_SQL) + """
+SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.order_id = t.order_id)
+UNION ALL SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY created_at DESC) = 1""")
+def merge_last(spark, sf):
+    """I1 with three rows per key in the increment of an incremental model:
+    the latest by ``order_by`` is merged."""
+    rows = [_target(spark, sf)]
+    p = Project(spark)
+    p.model("orders_latest", lambda ctx: rows[-1], materialized="incremental", unique_key="order_id",
+            on_duplicate="last", order_by="created_at")
+    p.run()
+    o = fixtures.raw_orders(spark, sf).filter(F.col("created_at") >= _ts(S_START))
+    v = F.explode(F.array(*[F.lit(i) for i in (1, 3, 2)])).alias("v")
+    rows.append(o.select("*", v).select(
+        "order_id", "user_id", (F.col("amount_cents") + F.col("v")).alias("amount_cents"),
+        F.concat(F.lit("v"), F.col("v").cast("string")).alias("status"),
+        (F.col("created_at") + F.make_dt_interval("v")).alias("created_at")))
+    return p.run()["orders_latest"]
+
+
+@register("incremental_new_column", with_(RAW_ORDERS, SPLIT_SQL) + """
+SELECT t.*, CAST(NULL AS BIGINT) AS bonus FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.order_id = t.order_id)
+UNION ALL SELECT s.*, CAST(user_id AS BIGINT) AS bonus FROM s""")
+def incremental_new_column(spark, sf):
+    """K5: a model gains a column; ``on_schema_change='append'`` adds it and old rows read NULL."""
+    rows = [_target(spark, sf)]
+    p = Project(spark)
+    p.model("orders_wider", lambda ctx: rows[-1], materialized="incremental", unique_key="order_id",
+            on_schema_change="append")
+    p.run()
+    rows.append(_source(spark, sf).withColumn("bonus", F.col("user_id").cast("long")))
+    return p.run()["orders_wider"]
+
+
 NULL_KEYS_SQL = f"""t AS (SELECT CASE WHEN order_id % 11 = 0 THEN NULL ELSE order_id END AS order_id,
              user_id, amount_cents, status, created_at
       FROM raw_orders WHERE created_at < TIMESTAMP '{T_END}'),

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.operators import snapshot as scd
-from stratum.plans.snapshots import SnapshotTable
+from stratum.plans.snapshots import VERSION, SnapshotTable
 from stratum.plans.store import TableStore
 from stratum.plans.suite import register
 from stratum.session import table
@@ -173,8 +173,8 @@ def scd2_layout(spark, sf):
     st = _stored_cycle(spark, sf)
     n = st.version()
     d = st._dataset()
-    keep = (((F.col("_state") == "closed") & (F.col("v") <= n))
-            | ((F.col("_state") == "open") & (F.col("v") == n)))
+    keep = (((F.col("_state") == "closed") & (F.col(VERSION) <= n))
+            | ((F.col("_state") == "open") & (F.col(VERSION) == n)))
     return d.filter(keep).select("customer_id", "dbt_valid_from", "dbt_valid_to",
                                  "_partition_time", "_state")
 

@@ -4,14 +4,14 @@ Layout of one snapshot: a single parquet dataset partitioned by run version
 ``v`` and row state ``_state`` (and, with ``auto_optimize``, by the day of
 ``dbt_valid_from``), files clustered by the key::
 
-    <root>/<name>/g=<generation>/v=<n>/_state=open/...     open rows after run n
-    <root>/<name>/g=<generation>/v=<n>/_state=closed/...   rows closed by run n
+    <root>/<name>/g=<generation>/__version=<n>/_state=open/...     open rows after run n
+    <root>/<name>/g=<generation>/__version=<n>/_state=closed/...   rows closed by run n
 
-Run n+1 reads only ``v=n/_state=open`` (the open rows, about one per key)
-plus the source, and writes ``v=n+1``; closed history is never rewritten.
+Run n+1 reads only ``__version=n/_state=open`` (the open rows, about one per key)
+plus the source, and writes ``__version=n+1``; closed history is never rewritten.
 The committed version lives in the catalog pointer, and readers select
-``(_state='closed' AND v<=n) OR (_state='open' AND v=n)``, which Spark turns
-into directory pruning.  A failed run leaves an uncommitted ``v=n+1`` that
+``(_state='closed' AND __version<=n) OR (_state='open' AND __version=n)``, which Spark turns
+into directory pruning.  A failed run leaves an uncommitted ``__version=n+1`` that
 readers ignore and the next attempt overwrites.
 """
 
@@ -28,7 +28,7 @@ from stratum.operators.layout import TIME_PARTITION_COLUMN, time_bucket
 from stratum.plans.store import TableStore
 
 STATE = "_state"
-VERSION = "v"
+VERSION = "__version"   # no column of a source is called so
 
 
 class SnapshotConfigChanged(ValueError):

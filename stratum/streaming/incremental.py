@@ -90,7 +90,7 @@ def batch_writer(store: TableStore, name: str, strategy: str = "merge", unique_k
         if not store.exists(name):
             store.write(name, rows, partition_by=part_cols or None, cluster_by=cluster_by,
                         require_partition_filter=require_partition_filter,
-                        column_comments=column_comments, extra=extra)
+                        column_comments=column_comments, extra=extra | layout.described(partition_by))
             return
         apply_increment(store, name, rows, strategy, unique_key,
                         on_duplicate="newest" if order_by is not None else "keep",

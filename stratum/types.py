@@ -95,6 +95,8 @@ def metadata(f: Field) -> dict:
         m["default"] = f.default_value_expression
     if f.rounding_mode is not None:
         m["rounding_mode"] = f.rounding_mode
+    if f.canonical in ("JSON", "GEOGRAPHY"):
+        m["declared_type"] = f.canonical
     return m
 
 
@@ -123,6 +125,12 @@ def canonical_of(dt: T.DataType) -> str:
     }.get(type(dt), "TIME" if type(dt).__name__ == "TimeType" else "UNKNOWN")
 
 
+def declared_type(f: T.StructField) -> str:
+    """Canonical type of a column; JSON and GEOGRAPHY, stored as strings, are
+    told from strings by the metadata that ``struct_field`` gives them."""
+    return (f.metadata or {}).get("declared_type") or canonical_of(f.dataType)
+
+
 def validate_fields(fields: list[Field], existing: list[str] | None = None,
                     first_create: bool = False) -> None:
     """Declaration rules (no Spark work): names, reserved prefixes,

@@ -74,8 +74,8 @@ def test_stored_history_invariants(spark):
         for (f1, t1), (f2, _) in zip(iv, iv[1:]):
             assert t1 is not None and t1 <= f2
     assert st.version() == 3
-    # history is append-only: the first run's rows are still in v=1
-    assert st._dataset().filter(F.col("v") == 1).count() == 3
+    # history is append-only: the first run's rows are still in version 1
+    assert st._dataset().filter(F.col("__version") == 1).count() == 3
 
 
 def test_scd_id_null_part_gives_null(spark):
