@@ -128,6 +128,17 @@ def _estimated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield b[["a", "b", "jaccard"]]
 
 
+def hash_sets(size: int):
+    """(id, text) -> (id, elements): the distinct hashes of the text's shingles."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "elements": [shingle_hashes(words_of(t), size, hashes).view(np.int64) for t in b["text"]]})
+
+    return of
+
+
 def verified(size: int):
     """(a, b, text_a, text_b) -> (a, b, jaccard, exact), on the sets of the words themselves."""
 
@@ -166,7 +177,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sure = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInPandas(verified(size), "a long, b long, jaccard double, exact boolean")
         return sure.union(guess.filter(F.col("jaccard") < least - ERROR).select("a", "b", "jaccard", F.lit(False)))
 
-    links = linked(full.select(F.explode("bands").alias("key"), F.col("row").alias("id")), compare, least, ERROR)
+    def sets(ids: DataFrame) -> DataFrame:
+        return texts.select(F.col("row").alias("id"), "text").join(ids, "id").mapInPandas(hash_sets(size), "id long, elements array<long>")
+
+    links = linked(full.select(F.explode("bands").alias("key"), F.col("row").alias("id")), compare, sets, least, ERROR)
     same = some.join(items, "words").filter("row <> item").select(F.col("row").alias("a"), F.col("item").alias("b"))
     label = components(links.union(same)).select(F.col("id").alias("row"), F.col("component").alias("root"))
     placed = staged(rows.select("row", "id", "n").join(label, "row", "left").withColumn("root", F.coalesce("root", "row")), "placed")

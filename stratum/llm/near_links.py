@@ -2,13 +2,25 @@
 
 No bucket is expanded into all its pairs and none is capped.  Each item of a
 bucket is compared with one pivot, the bucket's smallest id, and the links found
-give components.  Items that are not in a random pivot's component are compared
-with it, too: in a large group of copies that differ here and there, this joins
-nearly all, at a cost that is linear in the group.  A pair of a bucket that is
-still in two components has to be compared, unless the first pivot rules it
-out: the Jaccard distance is a metric, so |d(p, x) - d(p, y)| is at most
-d(x, y).  Every pair that shares a bucket is thus linked, in one component
-already, or known to be too far apart.
+give components.  A pair of a bucket that is still in two components has to be
+compared, unless a bound rules it out.
+
+The first pivot gives one: the Jaccard distance is a metric, so
+|d(p, x) - d(p, y)| is at most d(x, y).  The sets give the other.  What no other
+item that is left has can be in no intersection, so an item of n elements, u of
+them its own, has at most n - u in common with any, and is linked only to sets of
+at most (n - u) * (1 + 1 / least) - n elements.  Items to which no set of their
+buckets is small enough leave, by which more elements become others' own, until
+few leave.  Then elements of up to FEW items count as own, too, and the pairs
+that share one, which are linear in the elements, are compared whatever their
+bounds say.  Variants of one text just under the threshold are told apart so, by
+aggregates over their elements.
+
+Of what is left, items are first compared with random pivots of their buckets: in a
+large group of copies that differ here and there, this joins nearly all, at a
+cost that is linear in the group.  Then every pair of two components that the
+bounds allow is compared.  Every pair that shares a bucket is thus linked, in
+one component already, or known to be too far apart.
 """
 
 from __future__ import annotations
@@ -23,11 +35,34 @@ from stratum.llm.components import components
 
 #: (a, b) -> (a, b, jaccard, exact): the Jaccard similarity, or an estimate where that shows well enough that there is no link.
 Compare = Callable[[DataFrame], DataFrame]
+#: (id) -> (id, elements array<long>): the sets of some items, as distinct hashes.
+Sets = Callable[[DataFrame], DataFrame]
 #: Random pivots drawn from each bucket.
 DRAWS = 2
+#: Elements of at most so many items are looked at pair by pair.
+FEW = 8
+
+
+def bounds(found: DataFrame, least: float, held: DataFrame | None = None) -> DataFrame:
+    """(id, n, most) from (id, elements): set sizes, and the largest that a set linked to any other of ``found`` may have.
+
+    ``held`` (e, id): elements that count as their items' own; without it, those that one item alone has.
+    """
+    if held is None:
+        held = found.select("id", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("times"), F.min("id").alias("id")).filter("times = 1")
+    own = held.groupBy("id").agg(F.count("*").alias("own"))
+    sized = found.select("id", F.size("elements").alias("n")).join(own, "id", "left")
+    return sized.select("id", "n", ((F.col("n") - F.coalesce("own", F.lit(0))) * (1 + 1 / least) - F.col("n") + 1e-6).alias("most"))
+
+
+def still_open(place: DataFrame, bound: DataFrame, least: float) -> DataFrame:
+    """The rows of ``place`` whose items may have a link in their bucket, with n and most."""
+    place = staged(place.join(bound, "id"), "bounded")
+    buckets = place.groupBy("key").agg(F.min("n").alias("smallest"), F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("key", "smallest")
+    return staged(place.join(buckets, "key").filter((F.col("most") >= F.col("smallest")) & (F.col("most") >= F.col("n") * least)).drop("smallest"), "open")
 
 
-def linked(rows: DataFrame, compare: Compare, least: float, error: float) -> DataFrame:
+def linked(rows: DataFrame, compare: Compare, sets: Sets, least: float, error: float) -> DataFrame:
     """Enough links (a, b) to connect all that ``rows`` (key, id) and ``compare`` link.
 
     ``least``: the similarity of a link; ``error``: how far an estimate may be off.
@@ -44,22 +79,48 @@ def linked(rows: DataFrame, compare: Compare, least: float, error: float) -> Dat
         got = label.select(F.col("id").alias(id_col), F.col("component").alias(name))
         return rows.join(got, id_col, "left").withColumn(name, F.coalesce(name, id_col))
 
-    label = staged(components(links), "components")
-    every = members.select("key", "id").union(shared.select("key", F.col("pivot").alias("id")))
-    drawn = every.groupBy("key").agg(*[F.min_by("id", F.xxhash64("id", "key", F.lit(r))).alias(f"p{r}") for r in range(DRAWS)])
-    drawn = staged(drawn.select("key", F.explode(F.array_distinct(F.array(*[f"p{r}" for r in range(DRAWS)]))).alias("drawn")), "drawn")
-    apart = labelled(labelled(every.join(drawn, "key").filter("id <> drawn").select("id", "drawn").distinct(), label, "id", "x"), label, "drawn", "y").filter("x <> y")
-    pairs = staged(apart.select(F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), "drawn_pairs")
-    links = links.union(staged(compare(pairs), "compared").filter(is_link).select("a", "b"))
+    def sides(place: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(place.select("key", *[F.col(c).alias(f"{c}_{n}") for c in place.columns if c != "key"]) for n in "xy")
+
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    fits = (F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y")) & (F.col("component_x") != F.col("component_y"))
+
     label = staged(components(links), "components")
     place = members.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "jaccard", "exact"), ["pivot", "id"])
     place = staged(labelled(place, label, "id", "component").withColumn("in", is_link), "places")
     mixed = staged(place.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
-    place = place.join(mixed, "key", "left_semi")
-    x, y = (place.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "jaccard", "exact", "component", "in")]) for n in "xy")
+    place = staged(place.join(mixed, "key", "left_semi").select("key", "id", "jaccard", "exact", "component", "in"), "apart")
+    if place.isEmpty():
+        return links
+    ids = place.select("id").distinct()
+    found, before = staged(sets(ids), "sets"), None
+    n = found.count()
+    while before is None or n < 0.9 * before:
+        place = still_open(place.drop("n", "most"), bounds(found, least), least)
+        found, before = staged(found.join(place.select("id").distinct(), "id", "left_semi"), "sets"), n
+        n = found.count()
+    every = found.select("id", F.explode("elements").alias("e"))
+    seldom = staged(every.groupBy("e").agg(F.count("*").alias("times")).filter(F.col("times") <= FEW).select("e"), "seldom")
+    held = staged(every.join(seldom, "e"), "held")
+    met = held.groupBy("e").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) > 1")
+    met = met.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).filter("a < b").distinct()
+    whole = place.select("id", "component", "n", "most").distinct()
+    x, y = (whole.select(*[F.col(c).alias(f"{c}_{n}") for c in whole.columns]) for n in "xy")
+    met = staged(met.join(x.withColumnRenamed("id_x", "a"), "a").join(y.withColumnRenamed("id_y", "b"), "b").filter(fits).select("a", "b"), "met")
+    place = still_open(place.drop("n", "most"), bounds(found, least, held), least)
+
+    x, y = sides(place)
+    drawn = place.groupBy("key").agg(*[F.min_by("id", F.xxhash64("id", "key", F.lit(r))).alias(f"p{r}") for r in range(DRAWS)])
+    drawn = drawn.select("key", F.explode(F.array_distinct(F.array(*[f"p{r}" for r in range(DRAWS)]))).alias("id"))
+    drawn = staged(place.join(drawn, ["key", "id"], "left_semi").select("key", "id", "component", "n", "most"), "drawn")
+    pairs = x.join(sides(drawn)[1], "key").filter(fits).select(*pair("id_x", "id_y"))
+    pairs = staged(met.union(pairs).distinct(), "drawn_pairs")
+    links = links.union(staged(compare(pairs), "compared").filter(is_link).select("a", "b"))
+
+    label = staged(components(links), "components")
+    x, y = sides(labelled(place.drop("component"), label, "id", "component"))
     off = 1 - least + F.when(F.col("exact_x"), 0.0).otherwise(error) + F.when(F.col("exact_y"), 0.0).otherwise(error)
     rest = x.filter("not in_x").join(y, "key").filter(
-        (F.col("component_x") != F.col("component_y")) & (F.abs(F.col("jaccard_x") - F.col("jaccard_y")) <= off + 1e-9)
-        & (F.col("in_y") | (F.col("id_x") < F.col("id_y"))))
-    more = compare(staged(rest.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "rest"))
-    return links.union(staged(more, "compared").filter(is_link).select("a", "b"))
+        fits & (F.abs(F.col("jaccard_x") - F.col("jaccard_y")) <= off + 1e-9) & (F.col("in_y") | (F.col("id_x") < F.col("id_y"))))
+    rest = staged(rest.select(*pair("id_x", "id_y")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    return links.union(staged(compare(rest), "compared").filter(is_link).select("a", "b"))

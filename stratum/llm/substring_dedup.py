@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from stratum.llm.common import fresh, small_batches, staged
 from stratum.llm.components import components
-from stratum.llm.near_dedup import WordHashes, verified, words_of
+from stratum.llm.near_dedup import WordHashes, hash_sets, verified, words_of
 from stratum.llm.near_links import linked
 
 LEAST_WORDS = 15
@@ -189,14 +189,21 @@ def _near_lines(texts: DataFrame, least: float) -> DataFrame:
     rows = texts.mapInPandas(_band_rows, "digest long, doc long, " + ", ".join(f"{b} long" for b in bands))
     distinct = staged(rows.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), *[F.min(b).alias(b) for b in bands]), "lines")
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    def lines(ids: DataFrame) -> DataFrame:
+        """(digest, line) of the digests ``ids``, from the first document that has each."""
         wanted = distinct.join(ids, "digest", "left_semi").groupBy(F.col("lo").alias("id")).agg(F.collect_list("digest").alias("wanted"))
-        found = staged(texts.join(wanted, "id").select("text", "wanted").mapInPandas(_line_texts, "digest long, line string").dropDuplicates(["digest"]), "line_texts")
+        return staged(texts.join(wanted, "id").select("text", "wanted").mapInPandas(_line_texts, "digest long, line string").dropDuplicates(["digest"]), "line_texts")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        found = lines(ids.withColumnRenamed("id", "digest"))
+        return found.select(F.col("digest").alias("id"), F.col("line").alias("text")).mapInPandas(hash_sets(SHINGLE), "id long, elements array<long>")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        found = lines(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct())
         text = lambda c: found.select(F.col("digest").alias(c), F.col("line").alias(f"text_{c}"))
         return pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInPandas(verified(SHINGLE), "a long, b long, jaccard double, exact boolean")
 
-    label = staged(components(linked(distinct.select(F.explode(F.array(*bands)).alias("key"), F.col("digest").alias("id")), compare, least, 0.0)), "line_classes")
+    label = staged(components(linked(distinct.select(F.explode(F.array(*bands)).alias("key"), F.col("digest").alias("id")), compare, sets, least, 0.0)), "line_classes")
     members = staged(distinct.select("digest", "lo", "hi").join(label.withColumnRenamed("id", "digest"), "digest"), "line_members")
     classes = staged(members.groupBy("component").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi")).filter("keep < hi").select("component", "keep"), "line_keepers")
     return members.join(classes, "component").select("digest", "keep")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratum.llm import ann, bpe, chat, components, exact_dedup, hpylm, lang_id, license_scan, near_dedup, packing, substring_dedup
+from stratum.llm import ann, bpe, chat, components, exact_dedup, hpylm, lang_id, license_scan, near_dedup, near_links, packing, substring_dedup
 from stratum.session import scratch_path
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -91,6 +91,41 @@ def test_near_duplicates_match_brute_force(spark, stored, none, tmp_path):
     assert near_dedup.kept_rows(none).count() == 0
 
 
+def test_variants_just_under_the_threshold_match_brute_force(spark, tmp_path):
+    """One text in many variants, some sharing a changed word: most pairs are near 0.85, linked or not."""
+    rng = random.Random(5)
+    base = [f"a{i}" for i in range(120)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = f"b{rng.randrange(12)}"
+        texts.append(" ".join(w[: rng.choice((120, 120, 110))]))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "x"))
+    got = {r["id"]: r["component"] for r in near_dedup.near_duplicates(spark.read.parquet(str(tmp_path / "x")), size=3, least=0.85).collect()}
+    sets, label = [near_dedup.shingles(near_dedup.words_of(t), 3) for t in texts], list(range(120))
+    for i in range(120):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert 1 < len(set(label)) < 120 and [got[i] for i in range(120)] == label
+
+
+def test_bounds_never_exclude_a_link(spark):
+    rng = random.Random(7)
+    sets = {i: sorted(rng.sample(range(60), rng.randrange(1, 50))) for i in range(60)}
+    sets |= {60 + i: sorted({*rng.sample(sets[i], max(1, len(sets[i]) - 2)), 1000 + i}) for i in range(60)}
+    found = spark.createDataFrame(list(sets.items()), "id long, elements array<long>")
+    got = {r["id"]: r for r in near_links.bounds(found, 0.7).collect()}
+    assert len(got) == 120 and all(r["n"] == len(sets[i]) for i, r in got.items())
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and len({*a} & {*b}) >= 0.7 * len({*a} | {*b}):
+                assert len(b) <= got[i]["most"] and len(a) <= got[j]["most"]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.components(edges).collect()}
