@@ -1,8 +1,9 @@
 """Row / byte statistics and scan cost.
 
-File sizes come from the ``_metadata`` columns of the file scan, so the
-statistics are computed by Spark over the files (grouped first per file,
-then per partition) rather than by listing on the driver.
+Bytes are logical: what the values hold, whatever the files' encoding is.  A
+number, date or time has a fixed width, a text its UTF-8 bytes, NULL nothing.
+They are partial aggregates over the columns asked for.  ``file_stats`` gives
+the bytes of the files instead, from the ``_metadata`` columns of the scan.
 """
 
 from __future__ import annotations
@@ -41,10 +42,47 @@ def cost_text(n_bytes: Column) -> Column:
             .otherwise(F.format_string("~$%.2f (%.1f GB)", cost, b / F.lit(GIB)))
 
 
+def logical_bytes(value: Column, dt: T.DataType) -> Column:
+    """Bytes of one value: 8 for a number, date or time, 16 for a decimal, 1
+    for a boolean, the length of a text or binary; nested values are summed;
+    NULL is 0."""
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        n = F.octet_length(value).cast("long")
+    elif isinstance(dt, T.StructType):
+        n = sum((logical_bytes(value[f.name], f.dataType) for f in dt.fields), F.lit(0).cast("long"))
+    elif isinstance(dt, T.ArrayType):
+        n = F.aggregate(value, F.lit(0).cast("long"),
+                        lambda total, x: total + logical_bytes(x, dt.elementType))
+    elif isinstance(dt, T.MapType):
+        n = (logical_bytes(F.map_keys(value), T.ArrayType(dt.keyType))
+             + logical_bytes(F.map_values(value), T.ArrayType(dt.valueType)))
+    else:
+        n = F.lit(16 if isinstance(dt, T.DecimalType) else 1 if isinstance(dt, T.BooleanType) else 8)
+    return F.when(value.isNull(), F.lit(0)).otherwise(n).cast("long")
+
+
+def _logical_sum(df: DataFrame, columns: list[str]) -> Column:
+    used = {c.lower() for c in columns}
+    row = sum((logical_bytes(df[f"`{f.name}`"], f.dataType) for f in df.schema if f.name.lower() in used),
+              F.lit(0).cast("long"))
+    return F.coalesce(F.sum(row), F.lit(0).cast("long"))
+
+
 def table_stats(name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """G1: rows, bytes and files of a file-backed table, per partition when
-    ``partition_by`` is given.  Rows are counted per file first (a small
-    aggregate keyed by file), then rolled up."""
+    """G1: rows and logical bytes of a table, per partition when
+    ``partition_by`` is given (partition columns hold no bytes).  An empty
+    table is one row of zeros, or no row with ``partition_by``."""
+    parts = list(partition_by or [])
+    own = {c.lower() for c in parts}
+    data = [c for c in df.columns if c.lower() not in own]
+    out = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("num_rows"),
+                                 _logical_sum(df, data).alias("num_bytes"))
+    return out.select(F.lit(name).alias("table_name"), *parts, "num_rows", "num_bytes")
+
+
+def file_stats(name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Rows, bytes and number of the files of a file-backed table, counted
+    per file first (a small aggregate keyed by file), then rolled up."""
     parts = list(partition_by or [])
     per_file = (df.select(*parts, F.col("_metadata.file_path").alias("__f"),
                           F.col("_metadata.file_size").alias("__s"))
@@ -56,46 +94,12 @@ def table_stats(name: str, df: DataFrame, partition_by: list[str] | None = None)
     return out.select(F.lit(name).alias("table_name"), *parts, "num_rows", "num_bytes", "num_files")
 
 
-# Per-value size estimates of each Spark type, used to scale a
-# file's bytes by the share of the columns a query projects.
-_DEFAULT_SIZE = {
-    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8,
-    T.FloatType: 4, T.DoubleType: 8, T.DateType: 4, T.TimestampType: 8,
-    T.TimestampNTZType: 8, T.StringType: 20, T.BinaryType: 100,
-}
-
-
-def _size(dt: T.DataType) -> int:
-    if isinstance(dt, T.DecimalType):
-        return 8 if dt.precision <= 18 else 16
-    if isinstance(dt, T.StructType):
-        return sum(_size(f.dataType) for f in dt.fields)
-    if isinstance(dt, (T.ArrayType, T.MapType)):
-        return 100
-    return _DEFAULT_SIZE.get(type(dt), 20)
-
-
-def projected_share(df: DataFrame, columns: list[str]) -> float:
-    total = sum(_size(f.dataType) for f in df.schema)
-    used = {c.lower() for c in columns}
-    part = sum(_size(f.dataType) for f in df.schema if f.name.lower() in used)
-    return part / total if total else 0.0
-
-
 def scan_estimate(model: str, inputs: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
-    """Estimated bytes and price of a model from the tables it reads and
-    the columns it uses: file bytes x projected column share, per input and
-    in total."""
-    parts = []
-    for name, df, cols in inputs:
-        share = projected_share(df, cols)
-        b = (df.select(F.col("_metadata.file_path").alias("f"),
-                       F.col("_metadata.file_size").alias("s"))
-             .groupBy("f").agg(F.max("s").alias("s")).agg(F.sum("s").alias("file_bytes")))
-        parts.append(b.select(F.lit(model).alias("model"), F.lit(name).alias("input_table"),
-                              "file_bytes",
-                              F.ceil(F.col("file_bytes") * F.lit(share)).cast("long")
-                              .alias("estimated_bytes")))
+    """Logical bytes and price of a model from the tables it reads and the
+    columns it uses, per input."""
+    parts = [df.agg(_logical_sum(df, cols).alias("estimated_bytes"))
+             .select(F.lit(model).alias("model"), F.lit(name).alias("input_table"), "estimated_bytes")
+             for name, df, cols in inputs]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

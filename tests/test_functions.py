@@ -110,3 +110,21 @@ def test_routines(spark):
     assert one(spark.range(3, 4).select(f("id"))) == 6
     with pytest.raises(routines.RoutineError):
         routines.python_function(twice, "long", "MAYBE")
+
+
+def test_logical_bytes_of_nested_null_and_empty_values(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stratum.operators import stats
+    df = spark.createDataFrame(
+        [(1, "äb", True, [1, None], {"k": 2}, (3, None)), (None, None, None, None, None, None), (2, "", False, [], {}, (None, "xy"))],
+        "i int, s string, b boolean, a array<int>, m map<string,int>, t struct<x:int,y:string>")
+    got = stats.table_stats("t", df).first().asDict()
+    assert got == {"table_name": "t", "num_rows": 3, "num_bytes": 8 * 2 + 3 + 2 + 8 + (1 + 8) + (8 + 2)}
+    parts = {r["i"]: (r["num_rows"], r["num_bytes"]) for r in stats.table_stats("t", df.select("i", "s"), ["i"]).collect()}
+    assert parts == {1: (1, 3), None: (1, 0), 2: (1, 0)}
+    assert stats.table_stats("t", df.filter(F.lit(False))).first()["num_bytes"] == 0
+    assert stats.scan_estimate("m", [("t", df, ["S"])]).first()["estimated_bytes"] == 3
+    df.write.parquet(str(tmp_path / "t"))
+    files = stats.file_stats("t", spark.read.parquet(str(tmp_path / "t"))).first()
+    assert files["num_rows"] == 3 and files["num_bytes"] > 0 and files["num_files"] >= 1
