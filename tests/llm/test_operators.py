@@ -212,3 +212,30 @@ def test_spelling_is_a_distribution():
     context = int(cells[1]) >> 8 << 8
     assert abs(spelling.probability(context + np.arange(256)).sum() - 1) < 1e-9
     assert list(np.bincount(which)) == [len(w) + 1 for w in words] and spelling.words(words).max() < 1
+
+
+def test_spelling_sees_five_bytes_in_subtrees(spark, tmp_path):
+    rows = [(i, f"{i}qbcdx {i}zbcdy", True) for i in range(300)] + [(1000, "999qbcdx", False), (1001, "999qbcdy", False)]
+    spark.createDataFrame(rows, "doc_id long, text string, learn boolean").write.parquet(str(tmp_path / "x"))
+    got = {r["id"]: r for r in hpylm.score(spark.read.parquet(str(tmp_path / "x")), F.col("learn")).collect()}
+    assert len(got) == 302 and got[1000]["n_known"] == got[1001]["n_known"] == 1
+    assert got[1000]["score"] > got[1001]["score"] + 0.5  # x or y depends on the fourth byte before
+    assert not hasattr(hpylm, "MOST_CELLS")
+
+
+def test_subtrees_are_a_distribution():
+    words = [b"abcdefg", b"abcdefh", b"bbcdefg", b"abc"] * 3
+    cells, n = np.unique(hpylm.contexts(words)[1], return_counts=True)
+    rng, low = np.random.default_rng(1), hpylm.Spelling([hpylm._NONE] * hpylm.SPLIT)
+    keys, up = np.arange(1 << 16), Counter()
+    states = {}
+    for sub in set(((cells >> 8) & 0xFFFF).tolist()):
+        mine = (cells >> 8) & 0xFFFF == sub
+        before = hpylm.Spelling([hpylm._NONE] * (hpylm.ORDER + 1 - hpylm.SPLIT), hpylm.SPLIT, low.probability(keys))
+        states[sub] = hpylm.Spelling.sampled(cells[mine], n[mine], before, rng, [0.5] * 4)
+        for k, t in zip(*states[sub].up):
+            up[int(k) & 0xFFFF] += int(t)
+    low = hpylm.Spelling.sampled(np.array(sorted(up)), np.array([up[k] for k in sorted(up)]), low, rng)
+    for cell in cells[:: 3].tolist():
+        state = hpylm.Spelling(states[cell >> 8 & 0xFFFF].levels, hpylm.SPLIT, low.probability(keys))
+        assert abs(state.probability((cell >> 8 << 8) + np.arange(256)).sum() - 1) < 1e-9
