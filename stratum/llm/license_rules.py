@@ -13,7 +13,7 @@ from dataclasses import dataclass
 #: The phrases every scan looks for, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Label, keyword, name as words (a regex), identifier as words.
+#: Label, keyword that is a word of every form of the name, name as words (a regex), identifier as words.
 NAMES = (
     ("mit", "mit", "mit", "mit"),
     ("mit-0", "mit", "mit (?:0|no attribution)", "mit 0"),
@@ -44,10 +44,10 @@ NAMES = (
     ("cc-by", "cc", "cc by(?: [1-4] [05])?", "cc by 4 0"),
     ("cc-by", "attribution", "creative commons attribution(?: [1-4] [05])?(?: international)?", "cc by 3 0"),
     ("cc-by-sa", "cc", "cc by sa(?: [1-4] [05])?", "cc by sa 4 0"),
-    ("cc-by-sa", "sharealike", "creative commons attribution share ?alike(?: [1-4] [05])?", "cc by sa 3 0"),
+    ("cc-by-sa", "attribution", "creative commons attribution share ?alike(?: [1-4] [05])?", "cc by sa 3 0"),
     ("cc-by-nd", "cc", "cc by nd(?: [1-4] [05])?", "cc by nd 4 0"),
     ("cc-by-nc", "cc", "cc by nc(?: [1-4] [05])?", "cc by nc 4 0"),
-    ("cc-by-nc", "noncommercial", "creative commons attribution non ?commercial(?: [1-4] [05])?", "cc by nc 3 0"),
+    ("cc-by-nc", "attribution", "creative commons attribution non ?commercial(?: [1-4] [05])?", "cc by nc 3 0"),
     ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?", "cc by nc sa 4 0"),
     ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [05])?", "cc by nc nd 4 0"),
     ("unlicense", "unlicense", "unlicense", "unlicense"),
@@ -55,7 +55,8 @@ NAMES = (
     ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
     ("boost-1", "boost", "boost software license(?: version| v)? 1(?: 0)?", "bsl 1 0"),
     ("artistic-2", "artistic", "artistic license(?: version| v)? 2(?: 0)?", "artistic 2 0"),
-    ("ofl-1.1", "ofl", "(?:sil )?(?:open font license|ofl)(?: version| v)? 1 1", "ofl 1 1"),
+    ("ofl-1.1", "ofl", "(?:sil )?ofl(?: version| v)? 1 1", "ofl 1 1"),
+    ("ofl-1.1", "font", "(?:sil )?open font license(?: version| v)? 1 1", "ofl 1 1"),
     ("eupl-1.2", "eupl", "eupl(?: version| v)? 1 2", "eupl 1 2"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa", "ncsa"),

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -8,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratum.llm import ann, bpe, chat, components, exact_dedup, hpylm, lang_id, license_scan, near_dedup, near_links, packing, substring_dedup
+from stratum.llm import ann, bpe, chat, components, exact_dedup, hpylm, lang_id, license_rules, license_scan, near_dedup, near_links, packing, substring_dedup
 from stratum.session import scratch_path
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -239,3 +240,32 @@ def test_subtrees_are_a_distribution():
     for cell in cells[:: 3].tolist():
         state = hpylm.Spelling(states[cell >> 8 & 0xFFFF].levels, hpylm.SPLIT, low.probability(keys))
         assert abs(state.probability((cell >> 8 << 8) + np.arange(256)).sum() - 1) < 1e-9
+
+
+def _forms(pattern):
+    """Every text that a pattern of literals, groups, options and alternatives matches."""
+    out = [""]
+    for op, arg in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(c) for kind, x in arg for c in ([x] if str(kind) == "LITERAL" else range(x[0], x[1] + 1))]
+        elif name == "BRANCH":
+            more = [x for branch in arg[1] for x in _forms(branch)]
+        elif name == "SUBPATTERN":
+            more = _forms(arg[-1])
+        else:
+            assert name == "MAX_REPEAT" and arg[:2] == (0, 1)
+            more = ["", *_forms(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_keywords_are_in_every_form(spark):
+    for label, keyword, name, _ in license_rules.NAMES:
+        for form in _forms(re._parser.parse(name)):
+            assert f" {keyword} " in f" {form} ", (label, keyword, form)
+    texts = ["Creative Commons Attribution-Non-Commercial 3.0", "Creative Commons Attribution Share Alike", "the SIL Open Font License Version 1.1"]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["id"]: r["labels"] for r in rows.collect()} == {0: "cc-by-nc", 1: "cc-by-sa", 2: "ofl-1.1"}
