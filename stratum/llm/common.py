@@ -37,9 +37,9 @@ def fresh(df: DataFrame, stem: str) -> str:
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a row number that is unique, though not dense, in the column ``name``.
 
-    ``df`` must come straight from files, a table or a checkpoint: such input
-    is split alike whenever it is read, so a lost task and a second read give
-    the same numbers.
+    The numbers hold for one evaluation only: Spark splits files by the number of
+    cores it has then, so a second scan may number the rows otherwise.  What is
+    read more than once must be ``staged`` first.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 

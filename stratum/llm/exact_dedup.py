@@ -48,9 +48,10 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
 
 
-def decide(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: row (see ``numbered``), id, keep_id, group_size (rows of this batch with that text), kept, text_sha256."""
-    rows = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "row")
+def decide(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text", number: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: row (see ``numbered``; a column ``number`` of ``docs`` is taken instead), id, keep_id, group_size (rows of this batch with that text), kept, text_sha256."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(n).alias("row") for n in [number] if n])
+    rows = rows if number else numbered(rows, "row")
     rows = staged(rows.select("row", "id", F.char_length(whole("text")).alias("chars"), F.sha2(F.translate(whole("text"), WHITE, ""), 256).alias(DIGEST)), "digests")
     best = F.min(F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")
     groups = rows.groupBy(DIGEST).agg(F.count(F.lit(1)).alias("group_size"), best)
@@ -64,5 +65,6 @@ def decide(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_i
 def kept_rows(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.  Texts move once, by row number, which no text can skew."""
     row = fresh(docs, "row")
-    kept = decide(docs, index, batch, id_col, text_col).filter("kept").select(F.col("row").alias(row))
-    return numbered(docs, row).join(kept, row, "left_semi").select(*docs.columns)
+    rows = staged(numbered(docs, row), "numbered")
+    kept = decide(rows, index, batch, id_col, text_col, row).filter("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

@@ -157,13 +157,14 @@ def verified(size: int):
     return of
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """(row, id, n_shingles, component, kept), one row per row of ``docs`` (``row``: see ``numbered``).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, number: str | None = None) -> DataFrame:
+    """(row, id, n_shingles, component, kept), one row per row of ``docs`` (``row``: see ``numbered``; a column ``number`` of ``docs`` is taken instead).
 
     The component is the smallest id that links reach; kept is true for one row of each component, the first of that id.
     """
     small_batches(docs.sparkSession)
-    texts = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "row")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(n).alias("row") for n in [number] if n])
+    texts = texts if number else staged(numbered(texts, "row"), "numbered")
     rows = staged(texts.mapInPandas(_sketched(size), "row long, id long, words binary, n int, sketch binary, bands array<long>"), "sketches")
     some = rows.filter("n > 0")
     items = staged(some.groupBy("words").agg(F.min("row").alias("item")), "items")
@@ -192,5 +193,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each component, with all its columns."""
     row = fresh(docs, "row")
-    kept = near_duplicates(docs, id_col, text_col, size, least).filter("kept").select(F.col("row").alias(row))
-    return numbered(docs, row).join(kept, row, "left_semi").select(*docs.columns)
+    rows = staged(numbered(docs, row), "numbered")
+    kept = near_duplicates(rows, id_col, text_col, size, least, row).filter("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

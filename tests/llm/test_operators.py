@@ -269,3 +269,14 @@ def test_license_keywords_are_in_every_form(spark):
     texts = ["Creative Commons Attribution-Non-Commercial 3.0", "Creative Commons Attribution Share Alike", "the SIL Open Font License Version 1.1"]
     rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r["id"]: r["labels"] for r in rows.collect()} == {0: "cc-by-nc", 1: "cc-by-sa", 2: "ofl-1.1"}
+
+
+def _scans_of(spark, df, path):
+    """The files a plan reads, less those it may read again."""
+    return [f for f in df.inputFiles() if path in f]
+
+
+def test_row_numbers_are_read_from_one_table(spark, stored, tmp_path):
+    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index"))
+    for out in (exact_dedup.kept_rows(stored, index, "first"), near_dedup.kept_rows(stored)):
+        assert not _scans_of(spark, out, str(tmp_path))  # the input is not numbered anew
