@@ -6,7 +6,8 @@ at similarity 0.8 is missed with probability 3e-4) bring candidates together,
 exact Jaccard similarity verifies them, and components of the links are classes.
 Since a passage may stand anywhere within a line, the word stream is also cut
 where its content says: before each word whose hash with its predecessor is the
-smallest among REACH neighbours on either side.  A passage thus has the same cuts in
+smallest among REACH neighbours on either side, and in stretches of a period of
+up to REACH words, where none is, at every few periods.  A passage thus has the same cuts in
 every document, but near its ends; pieces are equal when their 64-bit digests
 are.  Of each class the smallest document id keeps its text; in the others a
 line of the class, and a run of repeated pieces of at least LEAST_WORDS words,
@@ -91,6 +92,23 @@ class Batch:
     def ends(self, starts: np.ndarray) -> np.ndarray:
         return np.append(starts[1:], len(self.h)).astype(np.int64)
 
+    def periodic(self, which: np.ndarray) -> np.ndarray:
+        """For each word 0, or the place (from 1) of the cut before it in a stretch of period up to REACH, where no pair is the smallest.
+
+        Cuts follow each other from where the smallest rotation of the period first starts.
+        """
+        place, taken = np.zeros(len(self.h), np.uint64), np.zeros(len(self.h), bool)
+        for p in range(1, REACH + 1):
+            same = np.zeros(len(self.h) + 2, np.int8)
+            same[p + 1 : -1] = (self.h[p:] == self.h[:-p]) & (which[p:] == which[:-p])
+            a, b = np.flatnonzero(np.diff(same) == 1) - p, np.flatnonzero(np.diff(same) == -1)
+            for start, end in zip(a[b - a >= LEAST_WORDS].tolist(), b[b - a >= LEAST_WORDS].tolist()):
+                if not taken[start:end].all():
+                    first = min(range(start, start + p), key=lambda i: tuple(self.h[i : i + p].tolist()))
+                    at = np.arange(first, end, p * -(-(REACH + 1) // p))
+                    place[at], taken[start:end] = np.arange(1, len(at) + 1), True
+        return place
+
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Which text, starts, ends and digests of the pieces."""
         n = np.diff(np.append(self.starts, len(self.h)))
@@ -103,9 +121,12 @@ class Batch:
         left, right = apart[at - 1], apart[at + 1]
         for k in range(2, REACH + 1):
             left, right = np.minimum(left, apart[at - k]), np.minimum(right, apart[at + k])
-        starts = np.union1d(self.starts, np.flatnonzero((pair < left) & (pair <= right)))
+        place = self.periodic(which)
+        starts = np.union1d(self.starts, np.flatnonzero((pair < left) & (pair <= right) | (place > 0)))
         ends = self.ends(starts)
-        return self.text[which[starts]], starts, ends, _digests(self.h, starts, ends, 1)
+        # The place is in the digest: a stretch is no repeat beyond the length that another document has.
+        digests = _digests(self.h, starts, ends, 1) ^ np.where(place[starts] > 0, _mixed(place[starts]), 0).astype(np.uint64).view(np.int64)
+        return self.text[which[starts]], starts, ends, digests
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The same of the lines that are long enough."""

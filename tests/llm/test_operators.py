@@ -280,3 +280,16 @@ def test_row_numbers_are_read_from_one_table(spark, stored, tmp_path):
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index"))
     for out in (exact_dedup.kept_rows(stored, index, "first"), near_dedup.kept_rows(stored)):
         assert not _scans_of(spark, out, str(tmp_path))  # the input is not numbered anew
+
+
+def test_periodic_passages_have_pieces():
+    hashes = near_dedup.WordHashes()
+    digests = lambda text: set(substring_dedup.Batch.of([text], hashes).pieces()[3].tolist())
+    for period in ("x", "a b", "c a b", "b a d c", "e b c d a"):
+        passage = " ".join([period] * 60)
+        keepers = dict.fromkeys(digests("one two " + passage + " three four"), 1)
+        spans = substring_dedup.repeats("five six seven " + passage + " eight", keepers, hashes)
+        assert sum(n for _, _, n, _ in spans) >= len(passage.split()) - 15
+        short = dict.fromkeys(digests("one two " + " ".join([period] * 20) + " three four"), 1)
+        spans = substring_dedup.repeats("five six seven " + passage + " eight", short, hashes)
+        assert sum(n for _, _, n, _ in spans) <= 20 * len(period.split())  # no more than the keeper has
