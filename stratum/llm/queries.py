@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import ann, bpe, chat, exact_dedup, hpylm, lang_id, license_scan, near_dedup, packing, substring_dedup
+from stratum.llm import align, ann, bpe, byte_bpe, chat, exact_dedup, hpylm, lang_id, license_scan, near_dedup, packing, substring_dedup
 from stratum.llm.common import read
 from stratum.session import scratch_path
 
@@ -88,6 +88,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = align.aligned(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = byte_bpe.encoded(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+    return rows.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_hpylm_score": op2_hpylm_score,
@@ -99,6 +109,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE = {
