@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import align, ann, bpe, byte_bpe, chat, exact_dedup, hpylm, lang_id, license_scan, near_dedup, packing, substring_dedup
+from stratum.llm import align, ann, bpe, byte_bpe, chat, exact_dedup, hpylm, lang_id, license_scan, near_dedup, packing, substring_dedup, whiten
 from stratum.llm.common import read
 from stratum.session import scratch_path
 
@@ -88,6 +88,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector and component; ``deviation`` is null where it leaves the range of a long, ``exact_deviation`` never is."""
+    rows = read(spark, sf_dir, "embeddings")
+    model = whiten.fit(rows)
+    share = F.element_at(F.lit([*model.explained, 0.0]), F.col("pos") + 1)
+    out = whiten.whitened(rows, model).select("id", "deviation", F.posexplode("whitened").alias("pos", "whitened"))
+    return out.select(
+        F.col("id").alias("vec_id"), (F.col("pos") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", share.alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"), F.col("deviation").alias("exact_deviation"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = align.aligned(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
     return rows.withColumnRenamed("id", "doc_id")
@@ -109,6 +121,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_whitening": op11_whitening,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_byte_bpe": op13_byte_bpe,
 }
