@@ -199,11 +199,15 @@ def merge_insert_only(target: DataFrame, source: DataFrame, key) -> DataFrame:
     followed by an anti join of S against that small key set, so T is never
     the build side of a join.
     """
+    return target.unionByName(new_rows(target, source, key))
+
+
+def new_rows(target: DataFrame, source: DataFrame, key) -> DataFrame:
+    """The rows of S whose key has no match in T: what insert-only adds."""
     keys = _resolve_keys(target, key_list(key))
     s = align_to(source, target)
     matched = target.select(*keys).join(_key_set(s, keys), keys, "left_semi").distinct()
-    new = s.join(matched, keys, "left_anti")
-    return target.unionByName(new)
+    return s.join(matched, keys, "left_anti")
 
 
 merge_keys_only = merge_insert_only

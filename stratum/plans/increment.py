@@ -7,20 +7,29 @@ JDBC, clock or random column could differ between the reads.
 
 A partitioned table has only the touched partitions rewritten: those that hold
 increment rows and, for key strategies, those that hold target rows with the
-increment's keys.  An append to any table only adds files.  Other strategies on
-an unpartitioned table write it anew, as plain parquet has no row-level update.
+increment's keys.  An append to any table only adds files, and so does inserting
+rows with new keys.
+
+Merge and delete+insert on an unpartitioned table rewrite only touched files:
+plain parquet has no row-level update, but a file without any of the increment's
+keys stays as it is.  A semi join of the target's keys (no other column is read)
+with the increment's finds the files; the least and greatest key of the
+increment bound that scan, so files of a clustered table are skipped by their
+own minima and maxima.  The rows of the touched files and the increment go
+through the same strategies as whole tables do.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratum.operators import strategies
-from stratum.plans.store import TableStore, partition_part
+from stratum.plans.store import Entry, TableStore, bare_path, partition_part
 from stratum.session import checkpoint
 from stratum.types import Field, canonical_of
 
@@ -51,10 +60,14 @@ def apply_increment(store: TableStore, name: str, source: DataFrame, strategy: s
         return store.append_rows(name, s, refreshed_at, extra)
     kw = {"on_duplicate": on_duplicate, "order_by": order_by} if strategy == "merge" else {}
     if not info["partition_by"]:
-        new = strategies.apply_strategy(strategy, store.read(name), s, key, **kw)
-        return store.write(name, new, cluster_by=info["cluster_by"],
-                           require_partition_filter=info["require_partition_filter"],
-                           column_comments=info["columns"], refreshed_at=refreshed_at, extra=extra)
+        target = store.read(name)
+        keys = strategies._resolve_keys(target, [key] if isinstance(key, str) else list(key))
+        if strategy == "insert_only" or (strategy == "merge" and {c.lower() for c in target.columns} <= {k.lower() for k in keys}):
+            return store.replace_entries(name, info, store.entries(name), strategies.new_rows(target, s, keys),
+                                         refreshed_at, extra)
+        rows, kept = _touched(store, name, info, s, keys)
+        return store.replace_entries(name, info, kept, strategies.apply_strategy(strategy, rows, s, keys, **kw),
+                                     refreshed_at, extra)
     part_col = info["partition_by"][0]
     keys = [key] if isinstance(key, str) else list(key)
     touched = s.select(partition_part(part_col).alias("part"))
@@ -66,3 +79,29 @@ def apply_increment(store: TableStore, name: str, source: DataFrame, strategy: s
     parts = [r["part"] for r in touched.distinct().collect()]
     new = strategies.apply_strategy(strategy, store.read_partitions(name, parts), s, keys, **kw)
     return store.replace_partitions(name, new, parts, refreshed_at, extra)
+
+
+FILE = "__file"
+
+
+def _touched(store: TableStore, name: str, info: dict, s: DataFrame, keys: list[str]) -> tuple[DataFrame, list[Entry]]:
+    """The rows of the files that hold any of the increment's keys, and what stays of the table besides."""
+    entries = store.entries(name)
+    rows = store.read_entries(name, info, entries, file_col=FILE)
+    have = {c.lower(): c for c in s.columns}
+    wanted = s.select(*[F.col(f"`{have[k.lower()]}`").cast(rows.schema[k].dataType).alias(k) for k in keys]).dropna().distinct()
+    for k in keys:
+        ends = wanted.agg(F.min(k).alias("low"), F.max(k).alias("high"))
+        rows = rows.filter(F.col(k).between(ends.select("low").scalar(), ends.select("high").scalar()))
+    found = rows.select(*keys, FILE).join(wanted, keys, "left_semi").select(FILE).distinct()
+    files = {bare_path(r[FILE]) for r in found.collect()}   # at most one row a file of the table
+    touched, kept = [], []
+    for e in entries:
+        inside = [e.path] if bare_path(e.path) in files else []
+        if not inside and not any(f.startswith(bare_path(e.path) + "/") for f in files):
+            kept.append(e)
+            continue
+        for f in inside or store.files(name, e):
+            # What is left of a folder: its statistics are those of the folder no longer.
+            (touched if bare_path(f) in files else kept).append(replace(e, path=f, stats=None))
+    return store.read_entries(name, info, touched), kept

@@ -142,37 +142,15 @@ class Context:
     def high_water(self, df: DataFrame, column: str) -> DataFrame:
         """On incremental runs keep rows newer than the stored maximum.
 
-        The maximum is a scalar subquery over the stored table (a global
-        aggregate: exactly one row), evaluated once and used as a literal in
-        the filter, so the filter still reaches the parquet scan of ``df``.
+        The maximum comes from the table's statistics, which were taken when
+        its folders were written: no stored row is read, and the filter is a
+        literal that reaches the parquet scan of ``df``.
         """
         if not self._incremental:
             return df
-        hw = self._high_water_scope(column).agg(F.max(column)).scalar()
+        hw = self.project.store.bound(self.model.name, column)
         return df.filter(hw.isNull() | (F.col(column) > hw))
 
-    def _high_water_scope(self, column: str) -> DataFrame:
-        """The stored rows that can hold ``max(column)``.
-
-        When the table is time-partitioned on ``column`` itself, partition
-        values are truncations of the column (monotone), so the maximum lies
-        in the latest non-NULL partition: read that one partition instead of
-        the column across the whole table.  Otherwise the whole table.
-        """
-        from stratum.operators.layout import TimePartitioning
-        from stratum.plans.store import NULL_PARTITION
-        store = self.project.store
-        part = self.model.config.partition_by
-        info = store.info(self.model.name)
-        if not (isinstance(part, TimePartitioning) and part.field == column and info["manifest"]):
-            return self.this
-        latest = (store.spark.read.parquet(info["manifest"])
-                  .filter(~F.col("part").endswith(NULL_PARTITION))
-                  .agg(F.max("part")).first()[0])
-        if latest is None:
-            return self.this.filter(F.lit(False))
-        return store.read_partitions(self.model.name, [latest])
-
 
 class Project:
     """``default_partition_expiration_days`` and ``default_table_expiration``

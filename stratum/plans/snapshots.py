@@ -108,26 +108,28 @@ class SnapshotTable:
 
     def run(self, source: DataFrame, run_ts) -> DataFrame:
         gen = self._check_config()
-        n = self.version() if gen == self.generation else 0
+        before = self.version()
+        n = before if gen == self.generation else 0
         if n == 0:
             rows = scd.initial(source, self.key, self.updated_at, run_ts, self.ts_type)
         else:
             rows = scd.cycle_open(self.open_rows(), source, self.key, self.updated_at, run_ts,
                                   self.hard_deletes, self.ts_type)
-        self._write(rows, n + 1, gen)
+        self._write(rows, n + 1, gen, before)
         return self.read()
 
     def run_changes(self, changes: DataFrame, run_ts=None, extra: dict | None = None) -> DataFrame:
         """A run over change rows with any number of versions per key (see
         ``snapshot.cycle_changes``); ``extra`` properties are committed with it."""
         gen = self._check_config()
-        n = self.version() if gen == self.generation else 0
+        before = self.version()
+        n = before if gen == self.generation else 0
         rows = scd.cycle_changes(self.open_rows() if n else None, changes, self.key,
                                  self.updated_at, run_ts, self.ts_type)
-        self._write(rows, n + 1, gen, extra)
+        self._write(rows, n + 1, gen, before, extra)
         return self.read()
 
-    def _write(self, rows: DataFrame, version: int, gen: int, extra: dict | None = None) -> None:
+    def _write(self, rows: DataFrame, version: int, gen: int, previous: int, extra: dict | None = None) -> None:
         out = rows.withColumn(STATE, F.when(F.col(scd.VALID_TO).isNull(), "open")
                               .otherwise("closed"))
         parts = [STATE]
@@ -146,4 +148,4 @@ class SnapshotTable:
                          cluster_by=[self.key] if self.auto_optimize else [],
                          extra={"snapshot_config": self.config, "snapshot_generation": gen,
                                 "snapshot_schema": full.json()} | (extra or {}),
-                         schema=full)
+                         schema=full, previous=previous)

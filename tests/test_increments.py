@@ -63,11 +63,11 @@ def test_stream_keeps_the_layout(spark):
     apply = batch_writer(store, "t", "merge", "id", partition_by=layout.RangePartitioning("id", 0, 100, 10),
                          column_comments={"v": "value"}, order_by="t")
     apply(spark.createDataFrame([(1, "a", 1), (25, "b", 1)], SCHEMA), 0)
-    before = {r.path for r in store._manifest(store.info("t")["manifest"]).collect()}
+    before = {e.path for e in store.entries("t")}
     apply(spark.createDataFrame([(1, "A", 2)], SCHEMA), 1)
     info = store.info("t")
     assert info["partition_by"] == [layout.RANGE_PARTITION_COLUMN] and info["columns"] == {"v": "value"}
-    assert len(before & {r.path for r in store._manifest(info["manifest"]).collect()}) == 1
+    assert len(before & {e.path for e in store.entries("t")}) == 1
     assert rows_of(store.read("t").select("id", "v", "t")) == [(1, "A", 2), (25, "b", 1)]
 
 
