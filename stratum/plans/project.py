@@ -12,7 +12,9 @@ Materializations (K1-K6):
 * ``view``          temp view over the plan; consumers read the view.
 * ``ephemeral``     nothing stored; consumers inline the plan.
 * ``table``         written as a new version; consumers read the stored files.
-* ``materialized_view`` a table plus refresh time; rebuilt when stale.
+* ``materialized_view`` a table plus refresh time; rebuilt when stale.  An
+                    ``aggregate_view`` takes in what its input gained and
+                    lost since its last refresh instead.
 * ``incremental``   first run builds the table, later runs apply a strategy
                     to the (high-water filtered) result.
 """
@@ -20,6 +22,7 @@ Materializations (K1-K6):
 from __future__ import annotations
 
 import datetime as _dt
+import json
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -27,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.operators import strategies
+from stratum.operators.maintain import MergeableAggregate
 from stratum.plans.increment import ON_SCHEMA_CHANGE, apply_increment
-from stratum.plans.store import TableStore
+from stratum.plans.store import Entry, TableStore, bare_path
 
 MATERIALIZATIONS = ("view", "table", "materialized_view", "ephemeral", "incremental")
+STORED = ("table", "materialized_view", "incremental")
 INCREMENTAL_STRATEGIES = ("merge", "delete+insert", "append", "insert_only")
 
 
@@ -105,6 +110,15 @@ class Model:
     name: str
     build: Callable[["Context"], DataFrame]
     config: ModelConfig
+    maintained: "Maintained | None" = None
+
+
+@dataclass
+class Maintained:
+    """An aggregate over ``rows`` of a stored model."""
+    upstream: str
+    aggregate: MergeableAggregate
+    rows: Callable[["Context", DataFrame], DataFrame]
 
 
 class Context:
@@ -125,6 +139,7 @@ class Context:
         return self.project.ref(name, _from=self.model.name, partition_filter=partition_filter)
 
     def source(self, group: str, table: str) -> DataFrame:
+        self.project.source_edges.add((self.model.name, group, table))
         return self.project.source(group, table)
 
     def var(self, name: str, default=None):
@@ -165,6 +180,7 @@ class Project:
         self.default_partition_expiration_days = default_partition_expiration_days
         self.default_table_expiration = default_table_expiration
         self.edges: set[tuple[str, str]] = set()   # (consumer, upstream) seen by ref()
+        self.source_edges: set[tuple[str, str, str]] = set()   # (consumer, group, table)
         self.sources: dict[str, dict[str, Callable[[], DataFrame]]] = {}
         self.models: dict[str, Model] = {}
         self._built: dict[str, DataFrame] = {}
@@ -225,6 +241,30 @@ class Project:
 
         return self.model(name, build, **config)
 
+    def aggregate_view(self, name: str, upstream: str, keys: list[str], measures: dict,
+                       rows: Callable[[Context, DataFrame], DataFrame] | None = None, **config) -> "Project":
+        """K3: a materialized view ``SELECT keys, measures FROM rows(upstream) GROUP BY keys``
+        that is maintained: a refresh reads only the folders and files that the
+        stored model ``upstream`` gained, or lost, since the last one.
+
+        ``measures`` maps names to ``(kind, value)``, see ``operators.maintain``.
+        ``rows`` prepares upstream rows (filter, columns, joins with other models).
+        It must treat rows by themselves, so that the rows of a part of the input
+        are the part's rows.  The view is built whole when that is not known to
+        give the same: another model it reads has a new version, or it reads
+        sources directly; upstream's columns or the definition have changed; rows
+        were lost that the measures cannot take back; or the version of the last
+        refresh is no longer kept."""
+        aggregate = MergeableAggregate(keys, measures)
+        prepared = rows or (lambda ctx, df: df)
+        config = {"materialized": "materialized_view"} | config
+        if config["materialized"] != "materialized_view" or config.get("partition_by") is not None:
+            raise ProjectError(f"model {name!r}: a maintained aggregate is a materialized_view without partitions")
+        self.model(name, lambda ctx: aggregate.finished(aggregate.state(prepared(ctx, ctx.ref(upstream)))), **config)
+        self.models[name].maintained = Maintained(upstream, aggregate, prepared)
+        self.edges.add((name, upstream))
+        return self
+
     def _sql_args(self) -> dict:
         return {k: v for k, v in self.vars.items()
                 if isinstance(v, (int, float, str, bool, _dt.date, _dt.datetime))}
@@ -252,8 +292,7 @@ class Project:
         df = self._ref(name, _from)
         cfg = self.models[name].config
         # Building the model itself (run) is not a read; a consumer's ref is.
-        if _from is not None and cfg.require_partition_filter and cfg.materialized in (
-                "table", "incremental", "materialized_view"):
+        if _from is not None and cfg.require_partition_filter and cfg.materialized in STORED:
             return self.store.scan(name, partition_filter)
         return df.filter(partition_filter) if partition_filter is not None else df
 
@@ -293,9 +332,17 @@ class Project:
         existing = self.store.exists(m.name)
         incremental = kind == "incremental" and existing
         if kind == "materialized_view" and existing and not self._stale(m):
-            return self.store.read(m.name)   # fresh: nothing upstream is built
+            return self._shown(m, self.store.read(m.name))   # fresh: nothing upstream is built
         ctx = Context(self, m, incremental)
+        extra = {}
+        if m.maintained:
+            if self._ref(m.maintained.upstream, m.name) is not None and existing:
+                done = self._maintain(m, ctx)
+                if done is not None:
+                    return done
         df = m.build(ctx)
+        if m.maintained:
+            extra = {"maintained": json.dumps(self._inputs(m))}
         if cfg.contract:
             df = self._enforce_contract(m, df)
         if cfg.max_bytes_billed:
@@ -322,8 +369,74 @@ class Project:
                                require_partition_filter=cfg.require_partition_filter,
                                column_comments=cfg.column_comments,
                                refreshed_at=self._run_ts,
-                               extra=layout.described(cfg.partition_by))
-        return self._expire(m, out)
+                               extra=layout.described(cfg.partition_by) | extra)
+        return self._shown(m, self._expire(m, out))
+
+    # -- maintained aggregates (K3) ------------------------------------------
+    def _shown(self, m: Model, df: DataFrame) -> DataFrame:
+        return df.select(*m.maintained.aggregate.columns) if m.maintained else df
+
+    def _inputs(self, m: Model) -> dict:
+        """What a maintained view was computed from: the version of its upstream
+        and of the other stored models it reads, and whether it reads anything
+        that has no versions."""
+        d = m.maintained
+        if self.models[d.upstream].config.materialized not in STORED:
+            raise ProjectError(f"model {m.name!r}: its upstream {d.upstream!r} must be a stored model")
+        others, todo, seen, unversioned = {}, [m.name], set(), False
+        while todo:
+            name = todo.pop()
+            seen.add(name)
+            unversioned |= any(c == name for c, _, _ in self.source_edges)
+            for u in {u for c, u in self.edges if c == name} - seen - {d.upstream}:
+                if self.models[u].config.materialized in STORED:
+                    others[u] = self.store.info(u)["version"]
+                else:
+                    todo.append(u)
+        info = self.store.info(d.upstream)
+        return {"version": info["version"], "schema": info["schema"], "others": others,
+                "unversioned": unversioned, "definition": d.aggregate.described()}
+
+    def _maintain(self, m: Model, ctx: Context) -> DataFrame | None:
+        """The view with what its upstream gained and lost merged in; None if it must be built whole."""
+        d, store = m.maintained, self.store
+        before = json.loads(store.property(m.name, "maintained") or "{}")
+        # Planned on no rows, so that the models it reads are built and known.
+        d.rows(ctx, store.read(d.upstream).limit(0))
+        now = self._inputs(m)
+        if now["unversioned"] or {k: v for k, v in before.items() if k != "version"} != {k: v for k, v in now.items() if k != "version"}:
+            return None
+        if before["version"] not in store.kept_versions(d.upstream):
+            return None
+        gained, lost = self._changes(d.upstream, before["version"])
+        if not gained and not lost:
+            store.touch(m.name, self._run_ts, {"maintained": json.dumps(now)})
+            return self._shown(m, store.read(m.name))
+        info = store.info(d.upstream)
+        part = lambda entries: d.aggregate.state(d.rows(ctx, store.read_entries(d.upstream, info, entries)))
+        states = [d.aggregate.unfinished(store.read(m.name)), part(gained)]
+        if lost:
+            if not d.aggregate.retractable(states[1]):
+                return None
+            states.append(d.aggregate.negated(part(lost)))
+        out = store.write(m.name, d.aggregate.finished(d.aggregate.merged(states)), cluster_by=m.config.cluster_by,
+                          column_comments=m.config.column_comments, refreshed_at=self._run_ts,
+                          extra={"maintained": json.dumps(now)})
+        return self._shown(m, out)
+
+    def _changes(self, name: str, version: int) -> tuple[list[Entry], list[Entry]]:
+        """The folders and files that a stored model has and ``version`` lacked, and the other way round."""
+        old, new = ({(bare_path(e.path), e.proj): e for e in self.store.entries(name, v)} for v in (version, None))
+        only_new, only_old = [e for k, e in new.items() if k not in old], [e for k, e in old.items() if k not in new]
+        # A merge replaces some files of a folder: what is left of it is in both.
+        files = lambda entries: {bare_path(f): Entry(e.part, f, e.proj) for e in entries for f in self.store.files(name, e)}
+        shared = {bare_path(e.path).rsplit("/", 1)[0] for e in only_new if e.path.endswith(".parquet")}
+        split = [e for e in only_old if bare_path(e.path) in shared or e.path.endswith(".parquet")]
+        mine = files(e for e in only_new if e.path.endswith(".parquet"))
+        theirs = files(split)
+        gained = [e for e in only_new if not e.path.endswith(".parquet")] + [e for k, e in mine.items() if k not in theirs]
+        lost = [e for e in only_old if e not in split] + [e for k, e in theirs.items() if k not in mine]
+        return gained, lost
 
     def _now(self) -> _dt.datetime:
         return self._run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)

@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     # Importing the modules registers their queries.
     from stratum.plans import (q_core, q_incremental, q_snapshot, q_schema,  # noqa: F401
-                               q_layout, q_io, q_routines, q_stream)
+                               q_layout, q_io, q_routines, q_stream, q_maintained)
