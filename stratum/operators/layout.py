@@ -123,11 +123,19 @@ def described(spec) -> dict[str, str]:
     return {"partition_spec": json.dumps({"kind": type(spec).__name__} | vars(spec))}
 
 
+def time_value(x) -> Column:
+    """A literal of a Python time: one with a time zone is that instant, another has none."""
+    if isinstance(x, _dt.datetime) and x.tzinfo is not None:
+        micros = (x - _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)) // _dt.timedelta(microseconds=1)
+        return F.timestamp_micros(F.lit(micros).cast("long"))
+    return ts_literal(x) if isinstance(x, (str, _dt.date)) else F.lit(x)
+
+
 def bounds(spec_json: str, low, high) -> tuple[str, Column | None, Column | None, bool]:
     """(field, first bucket, last bucket, buckets are numbers) for field values from ``low`` to ``high``."""
     spec = json.loads(spec_json)
     if spec["kind"] == "TimePartitioning":
-        bucket = lambda x: time_bucket(F.lit(x).cast("timestamp_ntz"), spec["granularity"])
+        bucket = lambda x: time_bucket(time_value(x).cast("timestamp_ntz"), spec["granularity"])
     else:
         # Values outside the declared range share one partition and count as its first and last bucket.
         at = lambda x: F.greatest(F.lit(spec["start"]), F.least(F.lit(x), F.lit(spec["end"] - 1)))
@@ -168,13 +176,13 @@ def read_with_partition_filter(df: DataFrame, partition_col: str, predicate) ->
         raise PartitionFilterRequired(
             f"table requires a filter on partition column {partition_col!r}")
     pred = F.expr(predicate) if isinstance(predicate, str) else predicate
-    if not _references(df, pred, partition_col):
+    if not references(df, pred, partition_col):
         raise PartitionFilterRequired(
             f"the filter does not reference partition column {partition_col!r}")
     return df.filter(pred)
 
 
-def _references(df: DataFrame, pred: Column, col: str) -> bool:
+def references(df: DataFrame, pred: Column, col: str) -> bool:
     """Whether the predicate refers to the column: without it, it does not
     resolve.  Text that merely names the column does not count."""
     df.select(pred).schema   # a predicate that is wrong in itself raises here

@@ -11,6 +11,7 @@ asks must read it.
 
 from __future__ import annotations
 
+import datetime as _dt
 import json
 import math
 from dataclasses import dataclass, field
@@ -57,6 +58,39 @@ def decoded(text: str | None, dt: T.DataType) -> Column:
     return F.lit(text).cast(dt)
 
 
+def text_of(value, dt: T.DataType) -> str | None:
+    """A Python value (as the driver gets one of type ``dt``) as a bound's text; None if it has no such form."""
+    if isinstance(dt, T.DateType) and type(value) is _dt.date:
+        return str((value - _dt.date(1970, 1, 1)).days)
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)) and isinstance(value, _dt.datetime):
+        if isinstance(dt, T.TimestampType) != (value.tzinfo is not None):
+            return None
+        return str((value - _dt.datetime(1970, 1, 1, tzinfo=value.tzinfo and _dt.timezone.utc)) // _dt.timedelta(microseconds=1))
+    if isinstance(dt, T.BooleanType) and isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(dt, T.StringType) and isinstance(value, str):
+        return value
+    if isinstance(dt, T.NumericType) and isinstance(value, (int, float, Decimal)) and not isinstance(value, bool):
+        return str(value)
+    return None
+
+
+def may_hold(p: "Profile", column: str, dt: T.DataType, low, high, null: bool = False) -> bool:
+    """Whether rows of a profile can have a value from ``low`` to ``high`` (None: open), or NULL."""
+    c = p.columns.get(column)
+    if c is None or not p.rows:
+        return bool(p.rows) or c is None
+    if null:
+        return c.nulls > 0
+    if c.nulls == p.rows:
+        return False
+    if c.low is None or c.high is None:
+        return True
+    low, high = (None if x is None else text_of(x, dt) for x in (low, high))
+    at = lambda t: _order(t, dt)
+    return not ((low is not None and at(c.high) < at(low)) or (high is not None and at(high) < at(c.low)))
+
+
 def _order(text: str, dt: T.DataType):
     """What bounds of one type are compared by, as Spark orders their values."""
     if isinstance(dt, T.StringType):

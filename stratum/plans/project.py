@@ -135,7 +135,9 @@ class Context:
 
     def ref(self, name: str, partition_filter=None) -> DataFrame:
         """S2.  A stored model flagged ``require_partition_filter`` must be
-        referenced with a ``partition_filter`` on its partition column (P7)."""
+        referenced with a ``partition_filter`` on its partition column, or one
+        that bounds the field it is partitioned by (P7).  Folders that cannot
+        hold rows of the filter are not read, whichever columns it is on."""
         return self.project.ref(name, _from=self.model.name, partition_filter=partition_filter)
 
     def source(self, group: str, table: str) -> DataFrame:
@@ -292,8 +294,8 @@ class Project:
         df = self._ref(name, _from)
         cfg = self.models[name].config
         # Building the model itself (run) is not a read; a consumer's ref is.
-        if _from is not None and cfg.require_partition_filter and cfg.materialized in STORED:
-            return self.store.scan(name, partition_filter)
+        if _from is not None and cfg.materialized in STORED and (cfg.require_partition_filter or partition_filter is not None):
+            return self._shown(self.models[name], self.store.scan(name, partition_filter))
         return df.filter(partition_filter) if partition_filter is not None else df
 
     def _ref(self, name: str, _from: str | None = None) -> DataFrame:

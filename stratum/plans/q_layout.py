@@ -89,6 +89,26 @@ def required_partition_filter(spark, sf):
     return p.store.scan("fct_orders", F.col("_partition_time") >= F.lit("2000-01-01").cast("date"))
 
 
+@register("implied_partition_filter", ORDERS + """
+SELECT order_id, user_id, amount_cents, status, created_at, CAST(date_trunc('month', created_at) AS DATE) AS _partition_time, 'text' AS filter
+FROM raw_orders WHERE created_at >= TIMESTAMP '1996-02-10' AND created_at < TIMESTAMP '1996-05-03 12:00:00' AND amount_cents > 1000000
+UNION ALL
+SELECT order_id, user_id, amount_cents, status, created_at, CAST(date_trunc('month', created_at) AS DATE), 'column'
+FROM raw_orders WHERE created_at BETWEEN TIMESTAMP '1997-12-24' AND TIMESTAMP '1998-01-06' AND (status = 'open' OR user_id % 2 = 0)""")
+def implied_partition_filter(spark, sf):
+    """A flagged model referenced with filters on the field that it is
+    partitioned by; only the months that can hold such rows are read."""
+    p = _orders_model(spark, sf, materialized="table", require_partition_filter=True,
+                      partition_by=layout.TimePartitioning("created_at", "MONTH"))
+    p.model("spring", lambda c: c.ref("fct_orders", "created_at >= '1996-02-10' AND created_at < '1996-05-03 12:00:00' AND amount_cents > 1000000")
+            .withColumn("filter", F.lit("text")), materialized="ephemeral")
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    p.model("holidays", lambda c: c.ref("fct_orders", F.col("created_at").between(day("1997-12-24"), day("1998-01-06")) & ((F.col("status") == "open") | (F.col("user_id") % 2 == 0)))
+            .withColumn("filter", F.lit("column")), materialized="ephemeral")
+    p.model("both", lambda c: c.ref("spring").unionByName(c.ref("holidays")), materialized="ephemeral")
+    return p.run(["both"])["both"]
+
+
 def _bytes(fixed: list[str], texts: list[str]) -> str:
     """SQL for the logical bytes of all rows: 8 for each number or time, UTF-8 bytes for each text."""
     one = [f"CASE WHEN {c} IS NULL THEN 0 ELSE 8 END" for c in fixed] + [f"coalesce(strlen({c}), 0)" for c in texts]
