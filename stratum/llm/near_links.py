@@ -16,6 +16,16 @@ that share one, which are linear in the elements, are compared whatever their
 bounds say.  Variants of one text just under the threshold are told apart so, by
 aggregates over their elements.
 
+The pivot's set P gives a third bound.  Let x be an item's elements without its
+own.  Two items that share no element of few have at most
+
+    |P| - |(P without x) or (P without y)| + min(|x outside P|, |y outside P|)
+
+in common.  What of P an item lacks is noted in BITS bits, an element's hash
+telling its bit, so the bits set in either are no more than the elements that
+either lacks.  Variants that differ from the text they come from in different
+places are told apart so without being compared.
+
 Of what is left, items are first compared with random pivots of their buckets: in a
 large group of copies that differ here and there, this joins nearly all, at a
 cost that is linear in the group.  Then every pair of two components that the
@@ -27,7 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.common import staged
@@ -41,6 +51,8 @@ Sets = Callable[[DataFrame], DataFrame]
 DRAWS = 2
 #: Elements of at most so many items are looked at pair by pair.
 FEW = 8
+#: Bits that note what of a pivot's set an item lacks; parts that a pivot with very many items is dealt to.
+BITS, SALTS = 256, 16
 
 
 def bounds(found: DataFrame, least: float, held: DataFrame | None = None) -> DataFrame:
@@ -62,6 +74,23 @@ def still_open(place: DataFrame, bound: DataFrame, least: float) -> DataFrame:
     return staged(place.join(buckets, "key").filter((F.col("most") >= F.col("smallest")) & (F.col("most") >= F.col("n") * least)).drop("smallest"), "open")
 
 
+def against_pivots(place: DataFrame, found: DataFrame, held: DataFrame, sets: Sets) -> DataFrame:
+    """``place`` with what each item lacks of its bucket's pivot's set, in bits (m0, m1, ...), and has beside it (extra); n_p is that set's size."""
+    own = held.groupBy("id").agg(F.collect_list("e").alias("own"))
+    common = found.join(own, "id", "left").select("id", F.when(F.col("own").isNull(), F.col("elements")).otherwise(F.array_except("elements", "own")).alias("x"))
+    pivots = staged(sets(place.select(F.col("pivot").alias("id")).distinct()), "pivot_sets")
+    salted = pivots.select(F.col("id").alias("pivot"), F.col("elements").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = place.select("pivot", "id").distinct().join(common, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    pairs = pairs.join(salted, ["pivot", "salt"]).withColumn("lacks", F.array_except("p", "x"))
+
+    def bits(word: int) -> Column:
+        mine = F.filter("lacks", lambda e: F.shiftright(F.pmod(e, F.lit(BITS)).cast("int"), 6) == word)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(e, F.lit(64)).cast("int"))))
+
+    noted = pairs.select("pivot", "id", F.size("p").alias("n_p"), F.size(F.array_except("x", "p")).alias("extra"), *[bits(w).alias(f"m{w}") for w in range(BITS // 64)])
+    return place.join(staged(noted, "noted"), ["pivot", "id"])
+
+
 def linked(rows: DataFrame, compare: Compare, sets: Sets, least: float, error: float) -> DataFrame:
     """Enough links (a, b) to connect all that ``rows`` (key, id) and ``compare`` link.
 
@@ -89,7 +118,7 @@ def linked(rows: DataFrame, compare: Compare, sets: Sets, least: float, error: f
     place = members.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "jaccard", "exact"), ["pivot", "id"])
     place = staged(labelled(place, label, "id", "component").withColumn("in", is_link), "places")
     mixed = staged(place.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
-    place = staged(place.join(mixed, "key", "left_semi").select("key", "id", "jaccard", "exact", "component", "in"), "apart")
+    place = staged(place.join(mixed, "key", "left_semi").select("key", "pivot", "id", "jaccard", "exact", "component", "in"), "apart")
     if place.isEmpty():
         return links
     ids = place.select("id").distinct()
@@ -108,11 +137,15 @@ def linked(rows: DataFrame, compare: Compare, sets: Sets, least: float, error: f
     x, y = (whole.select(*[F.col(c).alias(f"{c}_{n}") for c in whole.columns]) for n in "xy")
     met = staged(met.join(x.withColumnRenamed("id_x", "a"), "a").join(y.withColumnRenamed("id_y", "b"), "b").filter(fits).select("a", "b"), "met")
     place = still_open(place.drop("n", "most"), bounds(found, least, held), least)
+    place = staged(against_pivots(place, found, held, sets), "against_pivots")
+    lacking = sum((F.bit_count(F.col(f"m{w}_x").bitwiseOR(F.col(f"m{w}_y"))) for w in range(BITS // 64)), F.lit(0))
+    common = F.col("n_p_x") - lacking + F.least("extra_x", "extra_y")
+    fits = fits & (common * (1 + 1 / least) >= F.col("n_x") + F.col("n_y") - 1e-6)
 
     x, y = sides(place)
     drawn = place.groupBy("key").agg(*[F.min_by("id", F.xxhash64("id", "key", F.lit(r))).alias(f"p{r}") for r in range(DRAWS)])
     drawn = drawn.select("key", F.explode(F.array_distinct(F.array(*[f"p{r}" for r in range(DRAWS)]))).alias("id"))
-    drawn = staged(place.join(drawn, ["key", "id"], "left_semi").select("key", "id", "component", "n", "most"), "drawn")
+    drawn = staged(place.join(drawn, ["key", "id"], "left_semi"), "drawn")
     pairs = x.join(sides(drawn)[1], "key").filter(fits).select(*pair("id_x", "id_y"))
     pairs = staged(met.union(pairs).distinct(), "drawn_pairs")
     links = links.union(staged(compare(pairs), "compared").filter(is_link).select("a", "b"))
