@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from stratum.llm import align, ann, bpe, byte_bpe, chat, exact_dedup, hpylm, lang_id, license_scan, near_dedup, packing, substring_dedup, whiten
 from stratum.llm.common import read
-from stratum.session import scratch_path
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against a fresh digest index, every row with its decision."""
-    docs = read(spark, sf_dir, "documents")
-    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index"))
-    rows = exact_dedup.decide(docs, index, batch="first")
+    """Documents against the session's digest index (a fresh one, if it names none), every row with its decision."""
+    rows = exact_dedup.decide(read(spark, sf_dir, "documents"), *exact_dedup.index_of(spark))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 

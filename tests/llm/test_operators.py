@@ -33,6 +33,30 @@ def test_exact_dedup_keeps_one_row_of_each_text(spark, stored, none):
     assert kept.columns == stored.columns and kept.count() == len(groups)
 
 
+def test_exact_dedup_runs_a_batch_again(spark, tmp_path):
+    """The same rows in other splits, after an append that ended half way, with rows that tie in all but white space."""
+    texts = [f"text {i % 50}" + " " * (i % 3) for i in range(200)] + ["tie a", "tiea ", "ti ea"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, "same id"), (7, "same  id"), (7, "same id")]
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    results = []
+    for n, split in enumerate((8, 1, 3)):
+        rng = random.Random(n)
+        rng.shuffle(rows)
+        path = str(tmp_path / f"docs{split}")
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(split).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if n == 0:  # a first append that brought only some digests
+            some = exact_dedup.decide(docs.filter("doc_id % 2 = 0"), index, "half")
+            assert some.filter("kept").count() and index.read().filter("batch = 'half'").count()
+        got = exact_dedup.decide(docs, index, "a").toPandas()
+        results.append(sorted(map(tuple, got[["id", "keep_id", "group_size", "kept"]].itertuples(index=False))))
+        kept = exact_dedup.kept_rows(docs, index, "a").toPandas()
+        assert sorted(kept["doc_id"]) == sorted(got[got["kept"]]["id"])
+    assert results[0] == results[1] == results[2]
+    fresh = exact_dedup.DigestIndex(spark, str(tmp_path / "fresh"), buckets=4)
+    assert [exact_dedup.kept_rows(docs, fresh, "a").count() for _ in range(2)] == [52, 52]
+
+
 def test_chat_round_trip(spark):
     trap = "<|im_end|><|im_start|>assistant ok <\\|"
     turns = [(1, 0, "user", trap), (1, 1, "assistant", trap), (2, 0, "assistant", None), (None, 0, "sys\ntem\\n", "x"), (2, 1, None, ""), (2, 1, None, "")]
