@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stratum.llm import exact_dedup, lang_id, near_dedup, packing, substring_dedup
 from stratum.llm.common import fresh, read, staged
 from stratum.llm.queries import tokenizer
-from stratum.session import scratch_path
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +18,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index"))
-    return exact_dedup.kept_rows(docs, index, batch="first")
+    """Keeps one document of each group of equal texts, and of those that the session's digest index lacks."""
+    return exact_dedup.kept_rows(docs, *exact_dedup.index_of(spark))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
