@@ -59,10 +59,10 @@ def anti(left: DataFrame, right: DataFrame, left_key, right_key=None) -> DataFra
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """The cross join of a table with a one-row model.
 
-    ``one_row`` must be a global aggregate (no grouping), which has exactly
-    one row by construction; the row becomes one scalar subquery (a struct),
-    evaluated once and shipped to every task as a literal -- no pair
-    enumeration, no shuffle.
+    The row becomes one scalar subquery (a struct), evaluated once and shipped
+    to every task as a literal -- no pair enumeration, no shuffle.  A global
+    aggregate has one row by construction; a model that turns out empty gives
+    no rows, as a cross join does, and one with several rows raises.
     """
     row = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns])).scalar()
-    return df.select("*", *[row.getField(c).alias(c) for c in one_row.columns])
+    return df.filter(row.isNotNull()).select("*", *[row.getField(c).alias(c) for c in one_row.columns])
