@@ -51,6 +51,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Marks that ids are hashed to: the table of those that occur has at most so many rows, whatever the data's size.
+MARKS = 1 << 20
+
+
+def by_mark(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows that may have one of ``ids`` (its one column) as ``key``, and rows that cannot.
+
+    Whether they may is told by a hash of MARKS values, so the broadcast table is
+    bounded; with more ids than that all rows may, which costs time only.  Wide
+    rows that a join would drop are thus not moved.
+    """
+    mark = fresh(df, "mark")
+    of = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(MARKS)).cast("int")
+    marks = F.broadcast(staged(ids.select(of(ids.columns[0]).alias(mark)).distinct(), "marks"))
+    marked = df.withColumn(mark, F.when(F.col(key).isNotNull(), of(key)))
+    return marked.join(marks, mark, "left_semi").drop(mark), marked.join(marks, mark, "left_anti").drop(mark)
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not among ``ids`` (its one column, of another name)."""
+    may, cannot = by_mark(df, key, ids)
+    return cannot.unionByName(may.join(ids, may[key] == ids[ids.columns[0]], "left_anti"))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Hands rows to Python in small batches, so that very long texts fit beside each other."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

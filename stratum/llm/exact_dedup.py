@@ -24,7 +24,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import WHITE, fresh, numbered, staged, whole
+from stratum.llm.common import WHITE, fresh, numbered, staged, whole, without
 from stratum.session import scratch_path
 
 DIGEST = "text_sha256"
@@ -77,8 +77,8 @@ def index_of(spark: SparkSession) -> tuple[DigestIndex, str]:
 
 
 def kept_rows(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.  Texts move once, by row number, which no text can skew."""
+    """The rows of ``docs`` that stay, with all their columns.  Only rows that may go move, by row number, which no text can skew."""
     row = fresh(docs, "row")
     rows = staged(numbered(docs, row), "numbered")
-    kept = decide(rows, index, batch, id_col, text_col, row).filter("kept").select(F.col("row").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    gone = staged(decide(rows, index, batch, id_col, text_col, row).filter("NOT kept").select(F.col("row").alias(fresh(rows, "gone"))), "gone")
+    return without(rows, row, gone).select(*docs.columns)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import fresh, numbered, small_batches, staged
+from stratum.llm.common import by_mark, fresh, numbered, small_batches, staged, without
 from stratum.llm.components import components
 from stratum.llm.near_links import linked
 
@@ -174,12 +174,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         side = lambda c: full.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
         guess = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_estimated, "a long, b long, jaccard double"), "estimates")
         likely = guess.filter(F.col("jaccard") >= least - ERROR).select("a", "b")
-        text = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
+        some_texts, _ = by_mark(texts, "row", likely.select("a").union(likely.select("b")))
+        text = lambda c: some_texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
         sure = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInPandas(verified(size), "a long, b long, jaccard double, exact boolean")
         return sure.union(guess.filter(F.col("jaccard") < least - ERROR).select("a", "b", "jaccard", F.lit(False)))
 
     def sets(ids: DataFrame) -> DataFrame:
-        return texts.select(F.col("row").alias("id"), "text").join(ids, "id").mapInPandas(hash_sets(size), "id long, elements array<long>")
+        some_texts, _ = by_mark(texts, "row", ids)
+        return some_texts.select(F.col("row").alias("id"), "text").join(ids, "id").mapInPandas(hash_sets(size), "id long, elements array<long>")
 
     links = linked(full.select(F.explode("bands").alias("key"), F.col("row").alias("id")), compare, sets, least, ERROR)
     same = some.join(items, "words").filter("row <> item").select(F.col("row").alias("a"), F.col("item").alias("b"))
@@ -194,5 +196,5 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """One row of each component, with all its columns."""
     row = fresh(docs, "row")
     rows = staged(numbered(docs, row), "numbered")
-    kept = near_duplicates(rows, id_col, text_col, size, least, row).filter("kept").select(F.col("row").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    gone = staged(near_duplicates(rows, id_col, text_col, size, least, row).filter("NOT kept").select(F.col("row").alias(fresh(rows, "gone"))), "gone")
+    return without(rows, row, gone).select(*docs.columns)

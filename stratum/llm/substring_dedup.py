@@ -30,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import fresh, small_batches, staged
+from stratum.llm.common import by_mark, fresh, small_batches, staged
 from stratum.llm.components import components
 from stratum.llm.near_dedup import WordHashes, hash_sets, verified, words_of
 from stratum.llm.near_links import linked
@@ -135,20 +136,19 @@ class Batch:
         return self.line_text[long], self.line_starts[long], ends[long], _digests(self.h, self.line_starts, ends, 2)[long]
 
 
-def _digest_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
-    for b in batches:
-        x = Batch.of(b["text"], hashes)
-        if len(x.h):
-            (t, _, _, d), (lt, _, _, ld) = x.pieces(), x.lines()
-            yield pd.DataFrame({"digest": np.concatenate([d, ld]), "doc": b["id"].to_numpy()[np.concatenate([t, lt])]})
+PARAGRAPHS = "digest long, doc long, " + ", ".join(f"b{k} long" for k in range(BANDS))
 
 
-def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
+def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest and document of every piece and long line; lines have their bands besides, pieces none."""
+    hashes, names = WordHashes(), [c.split()[0] for c in PARAGRAPHS.split(", ")]
     for b in batches:
-        x = Batch.of(b["text"], hashes)
-        which, starts, ends, digests = x.lines()
+        x = Batch.of(b.column("text").to_pylist(), hashes)
+        if not len(x.h):
+            continue
+        ids = b.column("id").to_numpy()
+        (t, _, _, d), (which, starts, ends, digests) = x.pieces(), x.lines()
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(ids[t]), *[pa.nulls(len(d), pa.int64())] * BANDS], names)
         if not len(which):
             continue
         mixed = np.zeros(len(x.h) - SHINGLE + 1, np.uint64)
@@ -161,7 +161,7 @@ def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in range(1, ROWS):
             keys = _mixed(keys) ^ least[:, r::ROWS]
         keys = _mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64)).astype(np.int64)
-        yield pd.DataFrame(np.column_stack([digests, b["id"].to_numpy()[which], keys]), columns=["digest", "doc", *[f"b{k}" for k in range(BANDS)]])
+        yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(ids[which]), *(pa.array(keys[:, k].copy()) for k in range(BANDS))], names)
 
 
 def _line_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,16 +204,17 @@ def repeats(text: str, keepers: dict[int, int], hashes: WordHashes) -> list[tupl
     return [(at[a][0], at[b - 1][1], b - a, sorted(keep)) for a, b, keep in spans]
 
 
-def _near_lines(texts: DataFrame, least: float) -> DataFrame:
+def _near_lines(texts: DataFrame, paragraphs: DataFrame, least: float) -> DataFrame:
     """(digest, keep): lines whose class has several documents."""
     bands = [f"b{k}" for k in range(BANDS)]
-    rows = texts.mapInPandas(_band_rows, "digest long, doc long, " + ", ".join(f"{b} long" for b in bands))
-    distinct = staged(rows.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), *[F.min(b).alias(b) for b in bands]), "lines")
+    distinct = staged(paragraphs.filter("b0 IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), *[F.min(b).alias(b) for b in bands]), "lines")
 
     def lines(ids: DataFrame) -> DataFrame:
         """(digest, line) of the digests ``ids``, from the first document that has each."""
         wanted = distinct.join(ids, "digest", "left_semi").groupBy(F.col("lo").alias("id")).agg(F.collect_list("digest").alias("wanted"))
-        return staged(texts.join(wanted, "id").select("text", "wanted").mapInPandas(_line_texts, "digest long, line string").dropDuplicates(["digest"]), "line_texts")
+        wanted = staged(wanted, "wanted")
+        some_texts, _ = by_mark(texts, "id", wanted.select("id"))
+        return staged(some_texts.join(wanted, "id").select("text", "wanted").mapInPandas(_line_texts, "digest long, line string").dropDuplicates(["digest"]), "line_texts")
 
     def sets(ids: DataFrame) -> DataFrame:
         found = lines(ids.withColumnRenamed("id", "digest"))
@@ -234,9 +235,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """(id, keepers map<digest, id of the document that keeps it>) of documents with paragraphs that another one keeps."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    rows = texts.mapInPandas(_digest_rows, "digest long, doc long")
+    paragraphs = staged(texts.mapInArrow(_paragraphs, PARAGRAPHS), "paragraphs")
+    rows = paragraphs.select("digest", "doc")
     exact = rows.groupBy("digest").agg(F.min("doc").alias("keep"), F.max("doc").alias("hi")).filter("keep < hi").select("digest", "keep")
-    known = staged(exact.union(_near_lines(texts, least)).groupBy("digest").agg(F.min("keep").alias("keep")), "repeats")
+    known = staged(exact.union(_near_lines(texts, paragraphs, least)).groupBy("digest").agg(F.min("keep").alias("keep")), "repeats")
     mine = rows.join(known, "digest").filter("doc <> keep").groupBy(F.col("doc").alias("id"))
     return staged(mine.agg(F.map_from_entries(F.collect_set(F.struct("digest", "keep"))).alias("keepers")), "keepers")
 
@@ -252,7 +254,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """(id, start, end, n_words, keep_ids): the stretches of characters that repeat what other documents keep."""
     keepers = repeated(docs, id_col, text_col, least)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    return texts.join(keepers, "id").mapInPandas(_spans, "id long, start long, end long, n_words long, keep_ids array<long>")
+    some_texts, _ = by_mark(texts, "id", keepers.select("id"))
+    return some_texts.join(keepers, "id").mapInPandas(_spans, "id long, start long, end long, n_words long, keep_ids array<long>")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
@@ -269,6 +272,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(found, docs[id_col].cast("long") == F.col(own), "left")
+    may, untouched = by_mark(docs, id_col, found.select(own))
+    joined = may.join(found, may[id_col].cast("long") == F.col(own), "left")
     joined = joined.withColumn(text_col, F.when(F.col(keepers).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(keepers))))
-    return joined.filter(F.col(keepers).isNull() | F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
+    joined = joined.filter(F.col(keepers).isNull() | F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
+    return untouched.select(*docs.columns).unionByName(joined)
