@@ -91,6 +91,12 @@ def may_hold(p: "Profile", column: str, dt: T.DataType, low, high, null: bool =
     return not ((low is not None and at(c.high) < at(low)) or (high is not None and at(high) < at(c.low)))
 
 
+def ends(p: "Profile", column: str, dt: T.DataType) -> tuple:
+    """What the known bounds of a column are ordered by."""
+    c = p.columns[column]
+    return _order(c.low, dt), _order(c.high, dt)
+
+
 def _order(text: str, dt: T.DataType):
     """What bounds of one type are compared by, as Spark orders their values."""
     if isinstance(dt, T.StringType):

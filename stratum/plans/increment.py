@@ -48,7 +48,7 @@ def apply_increment(store: TableStore, name: str, source: DataFrame, strategy: s
                     on_duplicate: str = "error", order_by: str | None = None,
                     keys_stable: bool = False, on_schema_change: str = "fail",
                     refreshed_at: _dt.datetime | None = None,
-                    extra: dict | None = None) -> DataFrame:
+                    extra: dict | None = None, unique: bool = False) -> DataFrame:
     """Apply ``source`` (with the derived partition column, if the table has
     one) to the stored table and commit the next version; ``extra`` properties
     are part of the same commit."""
@@ -62,12 +62,13 @@ def apply_increment(store: TableStore, name: str, source: DataFrame, strategy: s
     if not info["partition_by"]:
         target = store.read(name)
         keys = strategies._resolve_keys(target, [key] if isinstance(key, str) else list(key))
+        check = keys if unique else None
         if strategy == "insert_only" or (strategy == "merge" and {c.lower() for c in target.columns} <= {k.lower() for k in keys}):
             return store.replace_entries(name, info, store.entries(name), strategies.new_rows(target, s, keys),
-                                         refreshed_at, extra)
+                                         refreshed_at, extra, check)
         rows, kept = _touched(store, name, info, s, keys)
         return store.replace_entries(name, info, kept, strategies.apply_strategy(strategy, rows, s, keys, **kw),
-                                     refreshed_at, extra)
+                                     refreshed_at, extra, check)
     part_col = info["partition_by"][0]
     keys = [key] if isinstance(key, str) else list(key)
     touched = s.select(partition_part(part_col).alias("part"))
@@ -78,7 +79,7 @@ def apply_increment(store: TableStore, name: str, source: DataFrame, strategy: s
     # One row per touched partition: bounded by the partition count.
     parts = [r["part"] for r in touched.distinct().collect()]
     new = strategies.apply_strategy(strategy, store.read_partitions(name, parts), s, keys, **kw)
-    return store.replace_partitions(name, new, parts, refreshed_at, extra)
+    return store.replace_partitions(name, new, parts, refreshed_at, extra, keys if unique else None)
 
 
 FILE = "__file"

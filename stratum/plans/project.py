@@ -72,7 +72,8 @@ class ModelConfig:
     column_comments: dict[str, str] = field(default_factory=dict)
     # E9 at build time: the declared output schema (stratum.types.Field).
     # Checked against the plan's schema before anything runs (metadata only);
-    # REQUIRED columns are then enforced inside the write itself.
+    # REQUIRED columns are enforced inside the write itself, and a unique_key
+    # between write and commit: a model that breaks it leaves the old version.
     contract: list | None = None
 
     def validate(self, name: str) -> None:
@@ -363,7 +364,7 @@ class Project:
             return self._expire(m, apply_increment(
                 self.store, m.name, df, cfg.incremental_strategy, cfg.unique_key,
                 cfg.on_duplicate, cfg.order_by, cfg.partition_keys_stable, cfg.on_schema_change,
-                self._run_ts))
+                self._run_ts, unique=bool(cfg.contract)))
         if kind == "table" and cfg.full_replace and existing:
             df = strategies.full_replace(self.store.read(m.name), df)
         out = self.store.write(m.name, df, partition_by=part_cols or None,
@@ -371,7 +372,9 @@ class Project:
                                require_partition_filter=cfg.require_partition_filter,
                                column_comments=cfg.column_comments,
                                refreshed_at=self._run_ts,
-                               extra=layout.described(cfg.partition_by) | extra)
+                               extra=layout.described(cfg.partition_by) | extra,
+                               unique_key=cfg.unique_key if cfg.contract else None,
+                               required=[f.name for f in cfg.contract or [] if f.mode == "REQUIRED" and f.alter != "insert"])
         return self._shown(m, self._expire(m, out))
 
     # -- maintained aggregates (K3) ------------------------------------------

@@ -78,6 +78,39 @@ def retention(spark, sf):
     return p.store.expire_partitions("fct_orders", 1095, AS_OF)
 
 
+@register("retention_sweep", ORDERS + """
+SELECT DISTINCT strftime(date_trunc('month', created_at), '_partition_time=%Y-%m-%d') AS part, created_at < TIMESTAMP '1998-10-01' AS expired
+FROM raw_orders WHERE created_at < TIMESTAMP '1998-10-01' OR (created_at >= TIMESTAMP '1999-03-01' AND created_at < TIMESTAMP '1999-05-01')""")
+def retention_sweep(spark, sf):
+    """The dry run of a sweep.  Months expired and, of those kept, the two
+    that a later run rewrote are files that no readable version holds."""
+    p = _orders_model(spark, sf, materialized="table",
+                      partition_by=layout.TimePartitioning("created_at", "MONTH"))
+    store = p.store
+    store.keep_versions = 1
+    p.run(["fct_orders"])
+    store.expire_partitions("fct_orders", 1095, AS_OF)
+    parts = ["_partition_time=1999-03-01", "_partition_time=1999-04-01"]
+    store.replace_partitions("fct_orders", store.read_partitions("fct_orders", parts), parts)
+    found = store.unreachable_files("fct_orders", older_than=dt.timedelta(0))
+    return found.select("part", (F.col("part") < "_partition_time=1998-10").alias("expired")).distinct()
+
+
+@register("cluster_overlaps", ORDERS + """
+SELECT order_id, user_id, amount_cents, status, created_at, true AS bounded FROM raw_orders""")
+def cluster_overlaps(spark, sf):
+    """Ten appends that each span all keys, put together as they come;
+    ``bounded`` says that no more than five folders overlap in the end."""
+    o = fixtures.raw_orders(spark, sf)
+    store = Project(spark).store
+    part = lambda i: o.filter(F.pmod(F.xxhash64("order_id"), F.lit(10)) == i)
+    store.write("orders", part(0), cluster_by=["order_id"])
+    for i in range(1, 10):
+        store.append_rows("orders", part(i))
+        store.recluster("orders")
+    return store.read("orders").withColumn("bounded", F.lit(len(store.entries("orders")) <= 5))
+
+
 @register("required_partition_filter", ORDERS + """
 SELECT *, CAST(date_trunc('month', created_at) AS DATE) AS _partition_time FROM raw_orders
 WHERE CAST(date_trunc('month', created_at) AS DATE) >= DATE '2000-01-01'""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stratum.operators import contracts, evolve
@@ -223,3 +224,31 @@ def nested_struct(spark, sf):
     return a.select("event_id", F.col("metadata.source").alias("meta_source"),
                     F.col("metadata.version").alias("meta_version"),
                     F.size("tags").alias("n_tags"), F.col("tags")[1].alias("second_tag"))
+
+
+@register("contract_enforced", ORDERS + """
+SELECT order_id, user_id, amount_cents, status, 'unique key' AS refused FROM raw_orders WHERE order_id % 2 = 0
+UNION ALL SELECT order_id, user_id, amount_cents, status, 'REQUIRED' FROM raw_orders WHERE order_id % 2 = 0""")
+def contract_enforced(spark, sf):
+    """E9, E10 at build time: a rebuild that repeats a key, and one that has
+    NULLs where none may be, are not committed; the first version stays."""
+    from stratum.plans.project import Project
+    from stratum.plans.store import CheckFailed
+    good = fixtures.raw_orders(spark, sf).filter("order_id % 2 = 0").select("order_id", "user_id", "amount_cents", "status")
+    broken = {"unique key": good.unionByName(good.filter("order_id % 16 = 0")),
+              "REQUIRED": good.withColumn("user_id", F.when(F.col("order_id") % 16 != 0, F.col("user_id")))}
+    out = None
+    for why, rows in broken.items():
+        p = Project(spark, vars={"rows": good})
+        p.model("orders", lambda c: c.var("rows"), materialized="table", unique_key="order_id",
+                contract=[Field("order_id", "INT64", "REQUIRED"), Field("user_id", "INT64", "REQUIRED"), Field("amount_cents", "INT64"), Field("status", "STRING")])
+        p.run()
+        p.vars["rows"] = rows
+        try:
+            p.run()
+            refused = "nothing"
+        except (CheckFailed, PySparkException) as e:   # noqa: PERF203
+            refused = why if why in str(e) else "something else"
+        kept = p.store.read("orders").withColumn("refused", F.lit(refused))
+        out = kept if out is None else out.unionByName(kept)
+    return out

@@ -150,6 +150,18 @@ def scd2_full_cycle(spark, sf):
     return _stored_cycle(spark, sf).read()
 
 
+@register("scd2_as_of", "WITH " + STEPS_SQL + f"""
+SELECT *, 'first' AS at FROM s3 WHERE dbt_valid_from <= TIMESTAMP '2024-01-15 00:00:00' AND (dbt_valid_to IS NULL OR dbt_valid_to > TIMESTAMP '2024-01-15 00:00:00')
+UNION ALL SELECT *, 'second' AS at FROM s3 WHERE dbt_valid_from <= TIMESTAMP '{RUN2}' AND (dbt_valid_to IS NULL OR dbt_valid_to > TIMESTAMP '{RUN2}')
+UNION ALL SELECT *, 'before' AS at FROM s3 WHERE dbt_valid_from <= TIMESTAMP '2020-01-01 00:00:00'""")
+def scd2_as_of(spark, sf):
+    """N5 as of three times: between the runs, at the second, before the first;
+    each reads the folders whose validity can hold the time."""
+    st = _stored_cycle(spark, sf)
+    at = lambda when, name: st.as_of(when).withColumn("at", F.lit(name))
+    return at("2024-01-15 00:00:00", "first").unionByName(at(RUN2, "second")).unionByName(at("2020-01-01 00:00:00", "before"))
+
+
 @register("scd2_one_pass", "WITH " + STEPS_SQL + " SELECT * FROM s3")
 def scd2_one_pass(spark, sf):
     """N5 as a pure function over an in-memory snapshot (no store)."""

@@ -4,31 +4,38 @@ Layout of one snapshot: a single parquet dataset partitioned by run version
 ``v`` and row state ``_state`` (and, with ``auto_optimize``, by the day of
 ``dbt_valid_from``), files clustered by the key::
 
-    <root>/<name>/g=<generation>/__version=<n>/_state=open/...     open rows after run n
-    <root>/<name>/g=<generation>/__version=<n>/_state=closed/...   rows closed by run n
-
-Run n+1 reads only ``__version=n/_state=open`` (the open rows, about one per key)
-plus the source, and writes ``__version=n+1``; closed history is never rewritten.
-The committed version lives in the catalog pointer, and readers select
-``(_state='closed' AND __version<=n) OR (_state='open' AND __version=n)``, which Spark turns
-into directory pruning.  A failed run leaves an uncommitted ``__version=n+1`` that
-readers ignore and the next attempt overwrites.
+    <root>/<name>/g=<generation>/__version=<n>/__write=<id>/_state=open/...     open rows after run n
+    <root>/<name>/g=<generation>/__version=<n>/__write=<id>/_state=closed/...   rows closed by run n
+
+Run n+1 reads only the open rows of run n (about one per key) plus the source,
+and writes ``__version=n+1``; closed history is never rewritten.
+
+The committed version lives in the catalog pointer, with an index of its
+folders: for each, the state of its rows and the bounds of their validity
+(from the statistics of what each run wrote).  Readers list the folders of the
+index alone: ``open_rows`` those of open rows, ``as_of`` those whose interval
+can hold the time asked for.  A failed run, or one that lost to another writer,
+leaves a folder of its own that no index names.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratum.functions.util import ts_literal
+from stratum.operators import profile
 from stratum.operators import snapshot as scd
 from stratum.operators.layout import TIME_PARTITION_COLUMN, time_bucket
-from stratum.plans.store import TableStore
+from stratum.plans.store import Entry, TableStore, decoded_path
 
 STATE = "_state"
-VERSION = "__version"   # no column of a source is called so
+VERSION, WRITE = "__version", "__write"   # no column of a source is called so
+OPEN, CLOSED = "open", "closed"
 
 
 class SnapshotConfigChanged(ValueError):
@@ -92,19 +99,43 @@ class SnapshotTable:
         return r.parquet(self.base)
 
     def _strip(self, df: DataFrame) -> DataFrame:
-        return df.drop(VERSION, STATE, TIME_PARTITION_COLUMN)
+        return df.drop(VERSION, WRITE, STATE, TIME_PARTITION_COLUMN)
+
+    def entries(self) -> list[Entry]:
+        """The folders of the current version: ``part`` is the state of their rows."""
+        path = self.store.property(self.name, "snapshot_index")
+        return self.store._manifest(path) if path else []
+
+    def _of(self, entries: list[Entry]) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(self.store.property(self.name, "snapshot_schema")))
+        if not entries:
+            return self._strip(self.store.spark.createDataFrame([], schema))
+        # The latest schema covers every version: a column the source gained reads as NULL in older files.
+        r = self.store.spark.read.option("basePath", self.base).schema(schema)
+        return self._strip(r.parquet(*[e.path for e in entries]))
 
     def read(self) -> DataFrame:
         """The whole snapshot: all closed history plus the current open rows."""
-        n = self.version()
-        d = self._dataset()
-        keep = (((F.col(STATE) == "closed") & (F.col(VERSION) <= n))
-                | ((F.col(STATE) == "open") & (F.col(VERSION) == n)))
-        return self._strip(d.filter(keep))
+        return self._of(self.entries())
 
     def open_rows(self) -> DataFrame:
-        n = self.version()
-        return self._strip(self._dataset().filter((F.col(STATE) == "open") & (F.col(VERSION) == n)))
+        return self._of([e for e in self.entries() if e.part == OPEN])
+
+    def as_of(self, when) -> DataFrame:
+        """The versions that were valid at a time: from ``dbt_valid_from`` on, up to but not at ``dbt_valid_to``.
+        Folders whose validity cannot hold the time are neither listed nor read."""
+        at = ts_literal(when, self.ts_type)
+        dt = T.TimestampNTZType() if self.ts_type == "timestamp_ntz" else T.TimestampType()
+        text = self.store.spark.range(1).select(profile.encoded(at, dt)).first()[0]
+        return self._of(self._entries_at(int(text))).filter(
+            (F.col(scd.VALID_FROM) <= at) & (F.col(scd.VALID_TO).isNull() | (F.col(scd.VALID_TO) > at)))
+
+    def _entries_at(self, micros: int) -> list[Entry]:
+        def can(e: Entry) -> bool:
+            p = e.profile()
+            start, end = p.columns[scd.VALID_FROM], p.columns[scd.VALID_TO]
+            return (start.low is None or int(start.low) <= micros) and (end.nulls > 0 or end.high is None or int(end.high) > micros)
+        return [e for e in self.entries() if can(e)]
 
     def run(self, source: DataFrame, run_ts) -> DataFrame:
         gen = self._check_config()
@@ -142,10 +173,20 @@ class SnapshotTable:
                    .sortWithinPartitions(STATE, TIME_PARTITION_COLUMN, self.key))
         base = f"{self.store.root}/{self.name}/g={gen}"
         full = T.StructType(list(out.schema.fields)).add(VERSION, T.IntegerType())
-        out.write.mode("overwrite").partitionBy(*parts).parquet(f"{base}/{VERSION}={version}")
+        folder = f"{base}/{VERSION}={version}/{WRITE}={uuid.uuid4().hex[:8]}"
+        out.write.partitionBy(*parts).parquet(folder)
+        written = self.store.spark.read.option("basePath", base).schema(full).parquet(folder)
+        path = F.regexp_extract(decoded_path(F.col("_metadata.file_path")), r"^(.*)/[^/]+$", 1)
+        bounds = [scd.VALID_FROM, scd.VALID_TO]
+        # Two columns of what this run wrote; one row a folder.
+        found = written.groupBy(path.alias("__path")).agg(*profile.aggregates(written, bounds)).collect()
+        new = [Entry(CLOSED if f"/{STATE}={CLOSED}" in r["__path"] else OPEN, r["__path"], None,
+                     profile.from_row(written.schema, r, bounds).json()) for r in found]
+        history = [e for e in self.entries() if e.part == CLOSED] if version > 1 else []
         self.store.point(self.name, base, version,
                          partition_by=[VERSION] + parts,
                          cluster_by=[self.key] if self.auto_optimize else [],
                          extra={"snapshot_config": self.config, "snapshot_generation": gen,
+                                "snapshot_index": self.store._write_manifest(self.name, version, [*history, *new]),
                                 "snapshot_schema": full.json()} | (extra or {}),
                          schema=full, previous=previous)
