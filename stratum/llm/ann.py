@@ -70,16 +70,30 @@ def inner(a: str, b: str) -> Column:
 
 
 def _best(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k candidates of largest inner product of each query."""
+    """The k candidates of largest inner product of each query, of equal ones those of smallest number.
+
+    Products by blocks are off by rounding, so all candidates near the cut are
+    summed again, component by component as ``inner`` does, before any is left out."""
     if not len(q) or not len(x):
         return pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64"})
     v, ids = np.array(x["v"].tolist(), float), x["c"].to_numpy()
     qs, qv = q["q"].to_numpy(), np.array(q["v"].tolist(), float)
     k, got = min(k, len(ids)), []
+    longest = np.sqrt((v * v).sum(1).max())
     for at in range(0, len(qs), 256):
-        s = qv[at : at + 256] @ v.T
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        got.append(pd.DataFrame({"q": np.repeat(qs[at : at + 256], k), "c": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
+        mine = qv[at : at + 256]
+        s = mine @ v.T
+        cut = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
+        cut -= 1e-12 * np.sqrt((mine * mine).sum(1)) * longest
+        i, j = np.nonzero(s >= cut[:, None])
+        score = np.zeros(len(i))
+        for d in range(v.shape[1]):
+            score += mine[i, d] * v[j, d]
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        first = np.searchsorted(i, i)
+        best = np.arange(len(i)) - first < k
+        got.append(pd.DataFrame({"q": qs[at : at + 256][i[best]], "c": ids[j[best]], "score": score[best]}))
     return pd.concat(got)
 
 
@@ -121,7 +135,8 @@ def neighbours(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     # Classes of equal vectors; Spark keeps each task's k + 1 first rows of a class before they move.
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
     classes = first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    classes = staged(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    # Numbered by their smallest ids, so that ties of classes go to the smaller id.
+    classes = staged(classes.orderBy("ids").withColumn("c", F.monotonically_increasing_id()), "classes")
     asked = staged(rows.filter("is_query").select("id", "v").distinct().join(classes.select("c", "v"), "v").select("id", "c"), "asked")
     queries = classes.join(asked.select("c").distinct(), "c", "left_semi").select(F.col("c").alias("q"), "v")
 
@@ -145,10 +160,10 @@ def neighbours(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     near = staged(near, "windows")
     blocks = placed.select("curve", F.floor(F.col("place") / BLOCK).cast("int").alias("block"), "c", "v").join(near.select("curve", "block", "part").distinct().toDF("curve", "block", "part"), ["curve", "block"])
     keys = ["curve", "block", "part"]
-    found = near.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(lambda q, x: _best(q, x, k + 6), "q long, c long, score double")
+    found = near.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(lambda q, x: _best(q, x, k + 1), "q long, c long, score double")
     merged = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    merged = merged.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= 2 * k + 2).select("q", "c")
+    merged = merged.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("q", "c")
 
     exact = merged.join(queries.withColumnRenamed("v", "qv"), "q").join(classes, "c").select("q", "ids", inner("qv", "v").alias("score"))
     exact = staged(exact, "exact")
