@@ -4,13 +4,16 @@ A text is the vector of its byte 1- to 3-grams, hashed to ``DIM`` dimensions,
 weighted by log(1 + count) times inverse document frequency and scaled to
 length 1.  Each language has several centroids, found by clustering; a text
 gets the language of the centroid with the largest cosine.  It is rejected when
-it holds no letter, or when that cosine is below the centroid's limit:
-``SLACK`` times the first percentile of the cosines that sampled texts of its
-language have with the nearest of them.
+it holds no letter, or when that cosine is too small for its length.  Cosines
+rise with the number of distinct n-grams, so there is a limit for each doubling
+of it: ``SLACK`` times the first percentile of the cosines that sampled texts of
+the language, and windows of them of 1 to 512 words, have with the nearest of
+its centroids; lengths with fewer than ``ENOUGH`` of those have the next
+shorter ones' limit.
 
 Document frequencies and language counts cover all training rows.  Centroids
-are fitted, one task a language, on a sample of ``SAMPLE`` rows per language in
-expectation, drawn by a hash of the row number; that is the only bounded step.
+and limits are fitted, one task a language, on a sample of ``SAMPLE`` rows per
+language in expectation, drawn by a hash of the text; that is the only bounded step.
 The model (languages x CLUSTERS x DIM floats) goes to every task.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected.
@@ -21,16 +24,16 @@ rows count as often as they occur; of equal cosines the language that sorts firs
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import numbered, small_batches
+from stratum.llm.common import small_batches
 
 BITS = 15
 DIM = 1 << BITS
@@ -39,10 +42,11 @@ CLUSTERS = 4
 SAMPLE = 400
 #: The model has CLUSTERS x DIM floats for each; beyond this many, fit() raises.
 MOST_LANGUAGES = 200
-SLACK = 0.1
+#: Rejection: share of the first percentile, doublings of the length (from 32 n-grams on), texts that make a percentile.
+SLACK, LENGTHS, ENOUGH = 0.6, 10, 20
 UNKNOWN = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII letters in lower case, all other ASCII as a space; bytes of other characters as they are.
 PLAIN = bytes(c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -72,8 +76,34 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return x
 
 
-def clustered(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, float]:
-    """Spherical k-means from random first points: centroids, and the first percentile of the rows' cosines with their own.
+def length_class(n: int) -> int:
+    """Which limit a text of ``n`` distinct n-grams has."""
+    return min(LENGTHS - 1, max(0, n.bit_length() - 5))
+
+
+def limits(texts: list[str], idf: np.ndarray, centroids: np.ndarray) -> list[float]:
+    """The smallest cosine, by length, that a text of the language may have with its nearest centroid."""
+    rng, by_dim = np.random.default_rng(11), np.ascontiguousarray(centroids.T)
+    found: list[list[float]] = [[] for _ in range(LENGTHS)]
+    for text in texts:
+        words = text.split()
+        windows = [text]
+        for size in 2 ** np.arange(10):
+            if size < len(words):
+                at = int(rng.integers(len(words) - size + 1))
+                windows.append(" ".join(words[at : at + size]))
+        for part in filter(LETTER.search, windows):
+            dims, w = sparse(part, idf)
+            found[length_class(len(dims))].append(float((w @ by_dim[dims]).max()))
+    out, last = [], 0.0
+    for cosines in found:
+        last = SLACK * float(np.quantile(cosines, 0.01)) if len(cosines) >= ENOUGH else last
+        out.append(last)
+    return out
+
+
+def clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means from random first points: the centroids.
 
     A cluster of fewer than a tenth of the rows goes: it is made of outliers and wrong labels.
     """
@@ -83,8 +113,7 @@ def clustered(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, floa
         sums = np.stack([x[own == j].sum(0) if (own == j).any() else c[j] for j in range(len(c))])
         c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
-    c = c[size >= 0.1 * len(x)]
-    return c, float(np.quantile((x @ c.T).max(1), 0.01))
+    return c[size >= 0.1 * len(x)]
 
 
 @dataclass
@@ -92,6 +121,7 @@ class Model:
     idf: np.ndarray
     languages: list[str]  # of each centroid
     centroids: np.ndarray
+    #: Of each centroid, by length.
     limits: np.ndarray
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
@@ -106,13 +136,13 @@ class Model:
             dims, w = sparse(texts.iloc[i], self.idf)
             cos = w @ by_dim[dims]
             best = int(cos.argmax())
-            pred[i], score[i], rejected[i] = self.languages[best], min(1.0, max(0.0, float(cos[best]))), cos[best] < self.limits[best]
+            pred[i], score[i], rejected[i] = self.languages[best], min(1.0, max(0.0, float(cos[best]))), cos[best] < self.limits[best, length_class(len(dims))]
         return pd.DataFrame({"lang_pred": pred, "score": score, "rejected": rejected})
 
 
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", clusters: int = CLUSTERS, sample: int = SAMPLE) -> Model:
     small_batches(train.sparkSession)
-    rows = numbered(train.select(F.col(text_col).alias("text"), F.col(label_col).alias("lang")), "row")
+    rows = train.select(F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,15 +162,16 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", clust
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # The sample is taken in the scan, before texts move to their language's task.
     share = F.create_map(*[x for r in n for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))]) if n else F.create_map(F.lit(""), F.lit(0.0))
-    picked = rows.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, least = clustered(vectors(list(pdf.sort_values("row")["text"]), idf), clusters)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": range(len(c)), "least": least, "centroid": list(c.astype(np.float32))})
+        texts = sorted(pdf["text"])
+        c = clustered(vectors(texts, idf), clusters).astype(np.float32)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": range(len(c)), "limits": [limits(texts, idf, c)] * len(c), "centroid": list(c)})
 
-    got = picked.select("row", "lang", "text").groupBy("lang").applyInPandas(centroids, "lang string, cluster int, least double, centroid array<float>").toPandas()
+    got = picked.select("lang", "text").groupBy("lang").applyInPandas(centroids, "lang string, cluster int, limits array<double>, centroid array<float>").toPandas()
     got = got.sort_values(["lang", "cluster"])
-    return Model(idf, list(got["lang"]), np.array(list(got["centroid"]), np.float32).reshape(len(got), DIM), SLACK * got["least"].to_numpy(float))
+    return Model(idf, list(got["lang"]), np.array(list(got["centroid"]), np.float32).reshape(len(got), DIM), np.array(list(got["limits"]), float).reshape(len(got), LENGTHS))
 
 
 def predict(model: Model, text: Column) -> Column:

@@ -290,11 +290,62 @@ def test_license_keywords_are_in_every_form(spark):
     for label, keyword, name, _ in license_rules.NAMES:
         for form in _forms(re._parser.parse(name)):
             assert f" {keyword} " in f" {form} ", (label, keyword, form)
+    for label, keyword, body, _ in license_rules.BODIES:
+        for form in _forms(re._parser.parse(body.replace("(?:[^ ]+ ){1,12}", "x "))):
+            assert f" {keyword} " in f" {form} ", (label, keyword, form)
     texts = ["Creative Commons Attribution-Non-Commercial 3.0", "Creative Commons Attribution Share Alike", "the SIL Open Font License Version 1.1"]
     rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r["id"]: r["labels"] for r in rows.collect()} == {0: "cc-by-nc", 1: "cc-by-sa", 2: "ofl-1.1"}
 
 
+def test_license_texts_are_labelled_and_product_names_are_not(spark):
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal",
+        "bsd,bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "apache-2": "you may not use this file except in compliance with the License.",
+        "gpl-2": "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or",
+        "": "zlib, w3c and bsd servers; ncsa mosaic, openssl and postgresql; python 2 scripts on an apache 2 server under x11, isc bind, mit students",
+        "zlib": "released under the zlib license",
+    }
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")).collect()
+    assert {list(texts)[r["id"]]: r["labels"] for r in rows} == {k: k for k in texts}
+
+
+def test_language_rejection(spark):
+    """Letters shuffled or drawn at random are rejected, held-out documents are not; numbers are no letters."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    model = lang_id.fit(spark.createDataFrame([d for d in docs if not held(d[0])], "doc_id long, text string, lang string"))
+    rng = random.Random(8)
+
+    def shuffled(text):
+        letters = [c for c in text if not c.isspace()]
+        rng.shuffle(letters)
+        return "".join(c if c.isspace() else letters.pop() for c in text)
+    texts = [t for i, t, _ in docs if held(i) and t and re.search("[a-zA-Z]{2}", t)]
+    long = [t for t in texts if len(t) > 200]
+    kept = ~model.predict(pd.Series(texts))["rejected"]
+    assert kept.mean() >= 0.99
+    assert model.predict(pd.Series([shuffled(t) for t in long]))["rejected"].mean() >= 0.9
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)) for _ in range(100)]
+    assert model.predict(pd.Series(noise))["rejected"].mean() >= 0.9
+    odd = model.predict(pd.Series(["\u00bd \u00b2 \u2460", "12 34", "_", None, ""]))
+    assert list(odd["lang_pred"]) == ["und"] * 5 and odd["rejected"].all()
+
+
+def test_tied_neighbours_go_to_smaller_ids(spark, tmp_path):
+    """299 vectors whose product with the query is the same, and as many just below."""
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])]
+    for i in range(1, 599):
+        rest = rng.normal(size=3)
+        rows.append((i, [0.5 if i % 2 else 0.5 - 1e-14, *(rest / np.linalg.norm(rest)).tolist()]))
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5).write.parquet(str(tmp_path / "v"))
+    got = ann.neighbours(spark.read.parquet(str(tmp_path / "v")), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["id"] for r in got] == list(range(1, 41, 2)) and {r["score"] for r in got} == {0.5}
+
+
 def _scans_of(spark, df, path):
     """The files a plan reads, less those it may read again."""
     return [f for f in df.inputFiles() if path in f]
