@@ -125,16 +125,17 @@ def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 def check_drop_safety(drops: list[str], consumers: list[dict]) -> None:
     """Refuse to drop a column a consumer uses as unique key, partition
-    or cluster column.  ``consumers`` are dicts with ``name`` and optional
-    ``unique_key`` / ``partition_by`` / ``cluster_by`` lists."""
+    or cluster column, or as a snapshot's version column.  ``consumers`` are
+    dicts with ``name`` and optional ``unique_key`` / ``partition_by`` /
+    ``cluster_by`` / ``version_column`` lists."""
     d = {x.lower() for x in drops}
     for c in consumers:
-        for role in ("unique_key", "partition_by", "cluster_by"):
+        for role in ("unique_key", "partition_by", "cluster_by", "version_column"):
             used = c.get(role) or []
             used = [used] if isinstance(used, str) else used
             for col in used:
                 if col.lower() in d:
-                    raise SchemaError(f"cannot drop {col!r}: model {c.get('name')!r} uses it "
+                    raise SchemaError(f"cannot drop {col!r}: {c.get('name')!r} uses it "
                                       f"as {role.replace('_', ' ')}")
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 import datetime as _dt
 import json
 from dataclasses import dataclass, field
-from typing import Callable
+from typing import TYPE_CHECKING, Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,9 @@ from stratum.operators.maintain import MergeableAggregate
 from stratum.plans.increment import ON_SCHEMA_CHANGE, apply_increment
 from stratum.plans.store import Entry, TableStore, bare_path
 
+if TYPE_CHECKING:
+    from stratum.plans.snapshots import SnapshotTable
+
 MATERIALIZATIONS = ("view", "table", "materialized_view", "ephemeral", "incremental")
 STORED = ("table", "materialized_view", "incremental")
 INCREMENTAL_STRATEGIES = ("merge", "delete+insert", "append", "insert_only")
@@ -183,6 +186,7 @@ class Project:
         self.default_partition_expiration_days = default_partition_expiration_days
         self.default_table_expiration = default_table_expiration
         self.edges: set[tuple[str, str]] = set()   # (consumer, upstream) seen by ref()
+        self.snapshots: dict[str, "SnapshotTable"] = {}
         self.source_edges: set[tuple[str, str, str]] = set()   # (consumer, group, table)
         self.sources: dict[str, dict[str, Callable[[], DataFrame]]] = {}
         self.models: dict[str, Model] = {}
@@ -482,8 +486,23 @@ class Project:
                 gone.append(name)
         return gone
 
+    def snapshot(self, name: str, upstream: str, unique_key: str, updated_at: str, **options) -> "SnapshotTable":
+        """Declare a snapshot of a model.  It is a consumer of the model from then
+        on, so that its key and version column cannot be dropped there."""
+        from stratum.plans.snapshots import SnapshotTable
+        if name in self.models or name in self.snapshots:
+            raise ProjectError(f"{name!r} declared twice")
+        self.snapshots[name] = SnapshotTable(self.store, name, unique_key, updated_at, **options)
+        self.edges.add((name, upstream))
+        return self.snapshots[name]
+
+    def run_snapshot(self, name: str, run_ts) -> DataFrame:
+        """One run of a declared snapshot over its model as it is now."""
+        upstream = next(u for c, u in self.edges if c == name)
+        return self.snapshots[name].run(self.ref(upstream, _from=name), run_ts)
+
     def consumers(self, name: str) -> list[str]:
-        """Models that read ``name`` through ref() in this project's runs."""
+        """Models that read ``name`` through ref() in this project's runs, and snapshots of it."""
         return sorted({c for c, u in self.edges if u == name})
 
     def evolve_table(self, name: str, fields: list, backfill: bool = False) -> DataFrame:
@@ -505,6 +524,9 @@ class Project:
                               "cluster_by": c.cluster_by or [],
                               "partition_by": [getattr(c.partition_by, "field", None)]
                               if getattr(c.partition_by, "field", None) else []})
+            elif who in self.snapshots:
+                s = self.snapshots[who]
+                roles.append({"name": who, "unique_key": [s.key], "version_column": [s.updated_at]})
         evolve.check_drop_safety(plan.drops, roles)
         # A metadata change: no data file is rewritten (TableStore.evolve).
         return self.store.evolve(name, fields, backfill)

@@ -340,3 +340,21 @@ def test_incremental_merge_after_metadata_evolution(spark):
     out = p.run()["m"]
     got = sorted((r.id, r.label, r.score) for r in out.collect())
     assert got == [(1, "a", None), (2, "B", 9), (3, "c", 1)]
+
+
+def test_snapshots_are_consumers(spark):
+    from pyspark.sql import functions as F
+
+    from stratum.plans.project import Project, ProjectError
+    from stratum.types import Field, SchemaError
+    p = Project(spark)
+    p.model("base", lambda c: spark.range(3).select("id", F.lit("2024-01-01").cast("timestamp_ntz").alias("at"), F.lit(1).alias("v")), materialized="table")
+    p.snapshot("base_history", "base", "id", "at", ts_type="timestamp_ntz")
+    p.run()
+    assert p.run_snapshot("base_history", "2024-01-02 00:00:00").count() == 3 and p.consumers("base") == ["base_history"]
+    for column, role in (("id", "unique key"), ("at", "version column")):
+        with pytest.raises(SchemaError, match=f"base_history.*{role}"):
+            p.evolve_table("base", [Field(column, "INT64", alter="delete")])
+    p.evolve_table("base", [Field("v", "INT64", alter="delete")])
+    with pytest.raises(ProjectError, match="twice"):
+        p.snapshot("base_history", "base", "id", "at")
