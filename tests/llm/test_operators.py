@@ -151,7 +151,19 @@ def test_bounds_never_exclude_a_link(spark):
                 assert len(b) <= got[i]["most"] and len(a) <= got[j]["most"]
 
 
-def test_components_of_a_chain(spark):
+def test_small_graphs_are_joined_as_large_ones(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(5, 5), (7, 9), (9, 7)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    found = []
+    for small in (0, 20, components.SMALL):
+        monkeypatch.setattr(components, "SMALL", small)
+        found.append(sorted(map(tuple, components.components(df).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len({x for e in edges if e[0] != e[1] for x in e})
+
+
+def test_components_of_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", 0)
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.components(edges).collect()}
     assert got == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
