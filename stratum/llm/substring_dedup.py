@@ -9,9 +9,12 @@ where its content says: before each word whose hash with its predecessor is the
 smallest among REACH neighbours on either side, and in stretches of a period of
 up to REACH words, where none is, at every few periods.  A passage thus has the same cuts in
 every document, but near its ends; pieces are equal when their 64-bit digests
-are.  Of each class the smallest document id keeps its text; in the others a
-line of the class, and a run of repeated pieces of at least LEAST_WORDS words,
-is a repeat.  Repeats within one document are left alone.
+are.  Of each class the smallest document id keeps its text.  In the others a
+line that equals another of the class, and a run of repeated pieces of at least
+LEAST_WORDS words, is a repeat; of a line that only nearly equals the keeper's, what
+its shingles share with the keeper's line is, in stretches of LEAST_WORDS words.  So
+no line takes along words that its keeper does not have.  Repeats within one
+document are left alone.
 
 Classes are known by minima and maxima of document ids, which are partial
 aggregates, so a passage in a third of all documents is one row per task.  Only
@@ -178,13 +181,37 @@ def _line_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"digest": list(got), "line": list(got.values())}, columns=["digest", "line"]).astype({"digest": "int64", "line": "object"})
 
 
-def repeats(text: str, keepers: dict[int, int], hashes: WordHashes) -> list[tuple[int, int, int, list[int]]]:
-    """Spans to take out: first and last character, words, ids of the documents that keep the paragraphs."""
+def line_shingles(h: np.ndarray) -> np.ndarray:
+    """A hash of each shingle of a line's word hashes."""
+    mixed = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+    for k in range(SHINGLE):
+        mixed = _mixed(mixed ^ h[k : len(h) - SHINGLE + 1 + k])
+    return mixed.view(np.int64)
+
+
+def shared_stretches(h: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of at least LEAST_WORDS words that are covered by known shingles."""
+    covered = np.zeros(len(h) + 1, np.int64)
+    for i in np.flatnonzero(np.isin(line_shingles(h), known)).tolist():
+        covered[i] += 1
+        covered[i + SHINGLE] -= 1
+    edge = np.diff(np.concatenate([[0], (covered.cumsum()[:-1] > 0).astype(np.int8), [0]]))
+    return [(a, b) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()) if b - a >= LEAST_WORDS]
+
+
+def repeats(text: str, keepers: dict[int, int], hashes: WordHashes, near: dict[int, tuple[int, np.ndarray]] | None = None) -> list[tuple[int, int, int, list[int]]]:
+    """Spans to take out: first and last character, words, ids of the documents that keep the paragraphs.
+
+    ``keepers``: who keeps a digest; ``near``: who keeps a line like the one of a digest, and the shingles of that line."""
     found = Batch.of([text], hashes)
     if not len(found.h):
         return []
     (_, s, e, d), (_, ls, le, ld) = found.pieces(), found.lines()
     cover: list[tuple[int, int, int]] = [(a, b, keepers[x]) for a, b, x in zip(ls.tolist(), le.tolist(), ld.tolist()) if x in keepers]
+    for a, b, x in zip(ls.tolist(), le.tolist(), ld.tolist()) if near else ():
+        if x in near and x not in keepers:
+            keep, shingles = near[x]
+            cover += [(a + i, a + j, keep) for i, j in shared_stretches(found.h[a:b], shingles)]
     run: list[tuple[int, int, int]] = []
     for a, b, x in [*zip(s.tolist(), e.tolist(), d.tolist()), (0, 0, None)]:
         if x in keepers:
@@ -205,7 +232,7 @@ def repeats(text: str, keepers: dict[int, int], hashes: WordHashes) -> list[tupl
 
 
 def _near_lines(texts: DataFrame, paragraphs: DataFrame, least: float) -> DataFrame:
-    """(digest, keep): lines whose class has several documents."""
+    """(digest, keep, shingles): lines whose class has several documents, with those of the keeper's first line of the class."""
     bands = [f"b{k}" for k in range(BANDS)]
     distinct = staged(paragraphs.filter("b0 IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), *[F.min(b).alias(b) for b in bands]), "lines")
 
@@ -227,26 +254,48 @@ def _near_lines(texts: DataFrame, paragraphs: DataFrame, least: float) -> DataFr
 
     label = staged(components(linked(distinct.select(F.explode(F.array(*bands)).alias("key"), F.col("digest").alias("id")), compare, sets, least, 0.0)), "line_classes")
     members = staged(distinct.select("digest", "lo", "hi").join(label.withColumnRenamed("id", "digest"), "digest"), "line_members")
-    classes = staged(members.groupBy("component").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi")).filter("keep < hi").select("component", "keep"), "line_keepers")
-    return members.join(classes, "component").select("digest", "keep")
+    first = F.min(F.struct("lo", "digest")).alias("first")
+    classes = staged(members.groupBy("component").agg(first, F.max("hi").alias("hi")).filter("first.lo < hi")
+                     .select("component", F.col("first.lo").alias("keep"), F.col("first.digest").alias("kept")), "line_keepers")
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            got = [np.unique(line_shingles(Batch.of([line], hashes).h)) for line in b["line"]]
+            yield pd.DataFrame({"kept": b["digest"], "shingles": got})
+
+    kept = lines(classes.select(F.col("kept").alias("digest")).distinct()).mapInPandas(hashed, "kept long, shingles array<long>")
+    return members.join(classes.join(kept, "kept"), "component").select("digest", "keep", "shingles")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """(id, keepers map<digest, id of the document that keeps it>) of documents with paragraphs that another one keeps."""
+    """(id, keepers map<digest, id of the document that keeps it>, near map<digest, (keep, shingles)>) of documents with paragraphs that another one keeps."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     paragraphs = staged(texts.mapInArrow(_paragraphs, PARAGRAPHS), "paragraphs")
     rows = paragraphs.select("digest", "doc")
-    exact = rows.groupBy("digest").agg(F.min("doc").alias("keep"), F.max("doc").alias("hi")).filter("keep < hi").select("digest", "keep")
-    known = staged(exact.union(_near_lines(texts, paragraphs, least)).groupBy("digest").agg(F.min("keep").alias("keep")), "repeats")
-    mine = rows.join(known, "digest").filter("doc <> keep").groupBy(F.col("doc").alias("id"))
-    return staged(mine.agg(F.map_from_entries(F.collect_set(F.struct("digest", "keep"))).alias("keepers")), "keepers")
+    exact = staged(rows.groupBy("digest").agg(F.min("doc").alias("keep"), F.max("doc").alias("hi")).filter("keep < hi").select("digest", "keep"), "repeats")
+    near = staged(_near_lines(texts, paragraphs, least), "near_repeats")
+    mine = rows.join(exact, "digest").filter("doc <> keep").groupBy(F.col("doc").alias("id"))
+    mine = mine.agg(F.map_from_entries(F.collect_set(F.struct("digest", "keep"))).alias("keepers"))
+    like = paragraphs.filter("b0 IS NOT NULL").select("digest", "doc").distinct().join(near, "digest").filter("doc <> keep").groupBy(F.col("doc").alias("id"))
+    like = like.agg(F.map_from_entries(F.collect_list(F.struct("digest", F.struct("keep", "shingles")))).alias("near"))
+    return staged(mine.join(like, "id", "full_outer"), "keepers")
+
+
+def known(keepers, near) -> tuple[dict, dict]:
+    """The two maps of a row of ``repeated``, as they come to Python (null: empty)."""
+    lines = {d: (x["keep"], np.asarray(x["shingles"], np.int64)) for d, x in dict(near).items()} if near is not None else {}
+    return dict(keepers) if keepers is not None else {}, lines
 
 
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for b in batches:
-        got = [(i, *span) for i, text, k in zip(b["id"], b["text"], b["keepers"]) for span in repeats(text, dict(k), hashes)]
+        got = []
+        for i, text, k, n in zip(b["id"], b["text"], b["keepers"], b["near"]):
+            exact, like = known(k, n)
+            got += [(i, *span) for span in repeats(text, exact, hashes, like)]
         yield pd.DataFrame(got, columns=["id", "start", "end", "n_words", "keep_ids"])
 
 
@@ -260,20 +309,22 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """``docs`` with the repeats cut out of their texts; a document of which no word is left goes."""
-    keepers, own = fresh(docs, "keepers"), fresh(docs, "own")
-    found = repeated(docs, id_col, text_col, least).select(F.col("id").alias(own), F.col("keepers").alias(keepers))
+    keepers, near, own = (fresh(docs, c) for c in ("keepers", "near", "own"))
+    found = repeated(docs, id_col, text_col, least).select(F.col("id").alias(own), F.col("keepers").alias(keepers), F.col("near").alias(near))
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, known: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, exact: pd.Series, like: pd.Series) -> pd.Series:
         hashes, out = WordHashes(), []
-        for text, k in zip(texts, known):
-            for start, end, _, _ in reversed(repeats(text, dict(k), hashes)) if k is not None and text is not None else ():
-                text = text[:start] + text[end:]
+        for text, k, n in zip(texts, exact, like):
+            if text is not None:
+                mine, lines = known(k, n)
+                for start, end, _, _ in reversed(repeats(text, mine, hashes, lines)):
+                    text = text[:start] + text[end:]
             out.append(text)
         return pd.Series(out, dtype=object)
 
     may, untouched = by_mark(docs, id_col, found.select(own))
     joined = may.join(found, may[id_col].cast("long") == F.col(own), "left")
-    joined = joined.withColumn(text_col, F.when(F.col(keepers).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(keepers))))
-    joined = joined.filter(F.col(keepers).isNull() | F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
+    joined = joined.withColumn(text_col, F.when(F.col(own).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(keepers), F.col(near))))
+    joined = joined.filter(F.col(own).isNull() | F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
     return untouched.select(*docs.columns).unionByName(joined)

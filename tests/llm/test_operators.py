@@ -151,6 +151,20 @@ def test_bounds_never_exclude_a_link(spark):
                 assert len(b) <= got[i]["most"] and len(a) <= got[j]["most"]
 
 
+def test_a_near_line_gives_up_only_what_its_keeper_holds(spark, tmp_path):
+    """Line L, L with a tail P, and P alone: every word stays somewhere."""
+    line, tail = " ".join(f"l{i}" for i in range(90)), " ".join(f"p{i}" for i in range(20))
+    texts = {1: line, 2: f"{line} {tail}", 3: f"before it\n{tail}\nafter it", 4: line.replace("l45", "other") + "\nmore"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "x"))
+    out = {r["doc_id"]: r["text"].split() for r in substring_dedup.without_repeats(spark.read.parquet(str(tmp_path / "x"))).collect()}
+    assert out[1] == line.split() and out[2] == tail.split()
+    assert {w for t in out.values() for w in t} == {w for t in texts.values() for w in t.split()}
+    assert "other" in out[4] and out[3][:2] == ["before", "it"]
+    h = np.arange(40, dtype=np.uint64)
+    shingles = substring_dedup.line_shingles(h[5:30])
+    assert substring_dedup.shared_stretches(h, shingles) == [(5, 30)] and substring_dedup.shared_stretches(h, shingles[:3]) == []
+
+
 def test_small_graphs_are_joined_as_large_ones(spark, monkeypatch):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(5, 5), (7, 9), (9, 7)]
