@@ -62,7 +62,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     # The stretches between a phrase's places give the places.
     cuts = [F.when(F.contains("norm", F.lit(f" {phrase} ")), F.split("norm", f" {phrase}(?= )")).alias(f"cut{i}") for i, (phrase, _) in enumerate(BASE)]
     keys = sorted({r.keyword for r in rules})
-    held = F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains(F.col("norm"), F.concat(F.lit(" "), k, F.lit(" "))))
+    # One pass over the words, however many keywords there are.
+    held = F.array_intersect(F.split("norm", " "), F.array(*map(F.lit, keys)))
     rows = rows.select("row", "id", "norm", n_words.cast("long").alias("n_words"), *cuts, held.alias("keys"))
     first = lambda i: _n(F.element_at(f"cut{i}", 1))
     last = lambda i: F.col("n_words") - len(BASE[i][0].split()) - (_n(F.element_at(f"cut{i}", -1)) - 1)
