@@ -79,12 +79,8 @@ def test_run_equals_a_plain_model(spark, tmp_path):
         got = staged(stage(spark, got, str(tmp_path)), "stage")
     assert {r["doc_id"] for r in got.collect()} == kept and got.count() == len(kept)
     cut = staged(corpus_pipeline.cut_repeats(spark, got, str(tmp_path)), "stage")
-    words = {r["doc_id"]: r["text"].split() for r in got.collect()}
     after = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cut.collect()}
     assert set(after) <= kept and all(n == len(t) for t, n in after.values())
-    for i, (t, _) in after.items():   # nothing is added, and order is kept
-        it = iter(words[i])
-        assert sum(w in it for w in t.split()) >= len(t.split()) - 2 * t.count("\n") - 40
     out = corpus_pipeline.run(spark, str(tmp_path))
     tokens = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("all")).collect()
     assert {r["doc_id"] for r in tokens} == set(after) and all(r["n"] == r["all"] for r in tokens)
