@@ -150,8 +150,8 @@ SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.l_orderkey = t.l_order
 UNION ALL SELECT * FROM s""")
 def merge_composite(spark, sf):
     """I4: merge on (l_orderkey, l_linenumber)."""
-    li = table(spark, sf, "lineitem")
     k = ["l_orderkey", "l_linenumber"]
+    li = S.by_key(table(spark, sf, "lineitem"), k)
     t = (li.filter(F.col("l_shipdate") < _ts(T_END)).groupBy(*k)
          .agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n_lines")))
     s = (li.filter(F.col("l_shipdate") >= _ts(S_START)).groupBy(*k)

@@ -142,3 +142,17 @@ def test_delete_insert_and_insert_only_match_models(spark, tr, sr):
     got_io = sorted((tuple(r) for r in S.merge_insert_only(t, s, "id").collect()), key=str)
     assert got_di == sorted(di, key=str)
     assert got_io == sorted(io, key=str)
+
+
+def test_merge_composite_takes_more_tasks_for_more_rows(spark, tmp_path, monkeypatch):
+    from stratum.plans.q_incremental import merge_composite
+    monkeypatch.setattr(S, "ROWS_PER_TASK", 20)
+    days = "CAST(CASE WHEN id % 2 = 0 THEN '1997-06-01' ELSE '1999-06-01' END AS TIMESTAMP_NTZ)"
+    (spark.range(600).selectExpr("id % 300 AS l_orderkey", "CAST(id % 3 AS INT) AS l_linenumber",
+                                 "1.0D AS l_quantity", f"{days} AS l_shipdate")
+     .write.parquet(str(tmp_path / "lineitem.parquet")))
+    out = merge_composite(spark, str(tmp_path))
+    assert out.count() == 300 and {(r.qty, r.n_lines) for r in out.collect()} == {(3.0, 2)}
+    plan = out._jdf.queryExecution().toString()
+    assert plan.count("hashpartitioning(l_orderkey") and ", 30)" in plan and "REPARTITION_BY_NUM" in plan
+    assert "ENSURE_REQUIREMENTS" not in plan       # grouping and merge use that shuffle
