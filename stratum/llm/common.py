@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.session import scratch_path
+from stratum.session import scratch_path, shared_dir
 
 #: White space of the text contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -51,6 +51,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``staged`` table that nothing reads any more; other tables are left alone."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    root = f"{shared_dir(df.sparkSession)}/stratum/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
+            path.getFileSystem(conf).delete(path, True)
+
+
 #: Marks that ids are hashed to: the table of those that occur has at most so many rows, whatever the data's size.
 MARKS = 1 << 20
 

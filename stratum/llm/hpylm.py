@@ -1,21 +1,27 @@
 """Scoring by a hierarchical Pitman-Yor language model.
 
-A text is its words and one end.  Words are dishes of a Pitman-Yor restaurant
-whose base spells them: a word is its bytes and a final space, each drawn from
+A text is its words and one end.  A word is drawn from the Pitman-Yor restaurant
+of the word before it (of the end, at a text's start).  All these have the word
+restaurant as parent: every table that a word has in them is one of its customers there.
+The word restaurant's base spells words: a word is its bytes and a final space, each drawn from
 the restaurant of the up to ORDER bytes before it (five bits of the older ones),
 whose parent is the restaurant of one byte fewer, down to the uniform
 distribution over bytes.  Contexts share parents, and every table that a word
 has in the word restaurant sends its bytes as customers to the spelling
-restaurants.  Each document in turn is a context whose restaurant has the word
-restaurant as parent: a word is predicted from those before it in its document.  The end is the empty word.  So every word, seen or not, has a
+restaurants.  Each document in turn is a restaurant whose parent, at each place, is
+the restaurant of the word before: a word is predicted from that word and from those before
+it in its document.  The end is the empty word.  So every word, seen or not, has a
 probability, and all words' sum to 1.
 
 Seating is sampled by blocked Gibbs steps: in each sweep the customers of every
 dish are seated anew, one after another, given the tables of all other dishes
 and the parent's probabilities; after the first FEW, stretches of customers that
 grow by a twentieth are drawn at once, at the middle one's probability.  After BURN_IN
-sweeps, a word's predictive probability is averaged over SAMPLES sweeps.  Each
-sweep is a pass over the vocabulary in Spark.  Spelling restaurants are seated in
+sweeps, a word's predictive probability and the tables of pairs are averaged over SAMPLES sweeps.  Each
+sweep is a pass in Spark over the pairs of words that were seen more than once and over the vocabulary.
+A pair that was seen once has one table, whatever the others do, so it is never
+seated: a context's and a word's tables are their customers less those that share a
+table, and only pairs that were seen more often have any of these.  Spelling restaurants are seated in
 Spark too: those whose contexts share the two nearest bytes are a subtree, which
 is seated as a whole, and sends its tables to the restaurants of one byte and of none.
 These have at most 65,536 cells whatever the input; they and numbers of tables
@@ -24,8 +30,11 @@ join to the blocks of 16,384 words that have them.  Discounts of a subtree's
 levels come from all subtrees' counts in the sweep before.
 
 All counts cover all texts.  Texts are dealt in blocks of 1024 rows: a block's
-words and counts go to the words' tasks, and the words' scores come back to the
-block, so that a word that is in every text costs one row a block.
+words and counts go to the words' tasks, and their ids come back to the
+block, so that a word that is in every text costs one row a block.  Texts are
+kept as ids from then on, and pairs and words come back to the blocks likewise;
+pairs that were seen once go only to blocks where no learned text has them.
+Tables that nothing reads any more are deleted on the way.
 
 Null and empty texts are the end alone.  Repeated rows each count and are
 scored each.  Nothing to learn from leaves the spelling's uniform start.  No
@@ -36,16 +45,15 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.common import numbered, small_batches, staged
+from stratum.llm.common import discard, numbered, small_batches, staged
 
 BURN_IN, SAMPLES = 2, 3
 #: Strength of every restaurant; discounts come from how many dishes were served once and twice.
@@ -58,6 +66,8 @@ BLOCK_BITS, WORD_BLOCK_BITS = 10, 14
 ORDER = 5
 #: Levels below this one have few cells and are the driver's.
 SPLIT = 2
+#: Pairs are seated together in parts of about so many.
+PART_PAIRS = 1 << 16
 #: Subtrees are seated together in groups of about so many cells.
 GROUP_CELLS = 1 << 13
 
@@ -180,18 +190,78 @@ def _block_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done()
 
 
+_ENCODED = "block long, row long, id long, learn boolean, words array<int>"
+
+
+def _encoded(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """A block's texts as the ids of their words."""
+    ids = dict(zip(words["word"], words["wid"]))
+    at = [np.array([ids[w] for w in words_of(text)], np.int32) for text in docs["text"]]
+    return docs[["block", "row", "id", "learn"]].assign(words=at).astype({"id": "Int64"})
+
+
+def _joined(words: Iterable[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents' words one after another, and each one's pair: the word before it (the end, at the start) and itself."""
+    w = np.concatenate([[end], *words]).astype(np.int64)  # every document ends with the end, before the next one starts
+    return w[1:], w[:-1] << 32 | w[1:]
+
+
+def _block_pairs(end: int):
+    """(block, pair, n) of the pairs in a block's texts; n counts those of learned texts."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held = None, []
+
+        def done() -> pd.DataFrame:
+            pairs = _joined([w for w, _ in held], end)[1]
+            keys, at = np.unique(pairs, return_inverse=True)
+            n = np.bincount(at, np.repeat([l for _, l in held], [len(w) for w, _ in held]), len(keys))
+            return pd.DataFrame({"block": block, "pair": keys, "n": n.astype(np.int64)})
+
+        for b in batches:
+            for now, w, l in zip(b["block"], b["words"], b["learn"]):
+                if now != block:
+                    if held:
+                        yield done()
+                    block, held = now, []
+                held.append((w, l))
+        if held:
+            yield done()
+
+    return of
+
+
+def _block_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for block, rows in b.groupby("block"):
+            yield pd.DataFrame({"block": block, "wid": np.unique(np.concatenate(list(rows["words"]))).astype(np.int64)})
+
+
+def _paired(d: float, seed: int):
+    """One sweep over some pairs (part, pair, cu, c, t, ts), given their contexts' tables and their words' probabilities: tables seated anew, and summed where they count."""
+
+    def of(pairs: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs.sort_values("pair")
+        rng = np.random.default_rng([seed, int(pairs["part"].iloc[0])])
+        t = pairs["t"].to_numpy()
+        t = seated(pairs["c"].to_numpy(), pairs["now"].to_numpy(), pairs["tables"].to_numpy() - t, d, rng)
+        return pairs[["part", "pair", "cu", "c"]].assign(t=t, ts=pairs["ts"].to_numpy() + (t if seed >= BURN_IN else 0))
+
+    return of
+
+
 def _swept(d: float, customers: int, tables: int, seed: int):
-    """One sweep over a block's words (block, word, c, t, p), given its cells' values: tables seated anew, and the predictive probability added where it counts."""
+    """One sweep over a block's words (block, wid, word, c, k, t, now, p), given its cells' values: tables of the ``k`` customers seated anew, and the predictive probability added where it counts."""
 
     def of(words: pd.DataFrame, spelled: pd.DataFrame) -> pd.DataFrame:
         words, spelled = words.sort_values("word"), spelled.sort_values("cell")
         rng = np.random.default_rng([seed, int(words["block"].iloc[0])])
         which, cells = contexts(list(words["word"]))
         value = np.log(spelled["value"].to_numpy())[np.searchsorted(spelled["cell"].to_numpy(), cells)]
-        base, c, t = np.exp(np.bincount(which, value, minlength=len(words))), words["c"].to_numpy(), words["t"].to_numpy()
+        base, c, t = np.exp(np.bincount(which, value, minlength=len(words))), words["k"].to_numpy(), words["t"].to_numpy()
         t = seated(c, base, tables - t, d, rng)
         now = (c - d * t + (STRENGTH + d * tables) * base) / (customers + STRENGTH)
-        return words.assign(t=t, p=words["p"].to_numpy() + (now if seed >= BURN_IN else 0))
+        return words.assign(t=t, now=now, p=words["p"].to_numpy() + (now if seed >= BURN_IN else 0))
 
     return of
 
@@ -249,16 +319,26 @@ def in_document(dish: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (before - DOC_DISCOUNT * (before > 0) + (DOC_STRENGTH + DOC_DISCOUNT * tables) * p) / (DOC_STRENGTH + n)
 
 
-def _scored(customers: int, kinds: int):
-    def of(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        place = dict(zip(words["h"], range(len(words))))
-        c, p = words["c"].to_numpy(), words["p"].to_numpy()
-        base = np.log10((c + 0.5) / (customers + 0.5 * (kinds + 1)))
-        out = []
-        for row, i, text in zip(docs["row"], docs["id"], docs["text"]):
-            tokens = words_of(text)
-            at = np.fromiter((place[xxhash.xxh3_64_intdigest(w) - 2**63] for w in tokens), np.int64, len(tokens))
-            out.append((row, i, len(tokens), int((c[at] > 0).sum()), base[at].sum(), np.log10(in_document(at, p[at])).sum()))
+def _scored(customers: int, kinds: int, d: float, end: int):
+    """A block's scores, given (key, c, v, back) of its words and (key, v) of its pairs, where ``back`` is null."""
+
+    def of(docs: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        given = given.sort_values("key")
+        words, held = given[given["back"].notna()], given[given["back"].isna()]
+        ids, c, p, back = (words[x].to_numpy() for x in ("key", "c", "v", "back"))
+        w, pairs = _joined(docs["words"], end)
+        n = docs["words"].map(len).to_numpy()
+        keys, at = np.unique(pairs, return_inverse=True)
+        mass = np.where(np.bincount(at, np.repeat(docs["learn"].to_numpy(bool), n), len(keys)) > 0, 1 - d, 0.0)  # those that are not given were served once, or never
+        there = np.searchsorted(keys, held["key"].to_numpy())
+        mass[there] = held["v"].to_numpy()
+        word, before = np.searchsorted(ids, w), np.searchsorted(ids, np.append(end, w[:-1]))
+        p = (mass[at] + back[before] * p[word]) / (c[before] + STRENGTH)
+        base = np.log10((c + 0.5) / (customers + 0.5 * (kinds + 1)))[word]
+        out, start = [], 0
+        for row, i, k in zip(docs["row"], docs["id"], n):
+            here = slice(start, start := start + k)
+            out.append((row, i, k, int((c[word[here]] > 0).sum()), base[here].sum(), np.log10(in_document(word[here], p[here])).sum()))
         return pd.DataFrame(out, columns=["row", "id", "n_tokens", "n_known", "base_score", "score"]).astype({"id": "Int64"})
 
     return of
@@ -269,39 +349,93 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     rows = staged(numbered(rows, "row"), "numbered")
-    found = staged(rows.select("row", "text", "learn").mapInPandas(_block_words, "block long, word binary, n long"), "block_words")
-    words = found.groupBy("word").agg(F.sum("n").alias("c"))
-    block = F.shiftright(F.monotonically_increasing_id(), WORD_BLOCK_BITS)
-    words = staged(words.select(block.alias("block"), "word", "c", F.least("c", F.lit(1)).cast("long").alias("t"), F.lit(0.0).alias("p")), "vocabulary")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), *[F.count_if(F.expr(x)) for x in ("c > 0", "c = 1", "c = 2")]).first()
+    block_words = staged(rows.select("row", "text", "learn").mapInPandas(_block_words, "block long, word binary, n long"), "block_words")
+    # The end is a word even without rows, so that it has an id.
+    words = block_words.select("word", "n").unionByName(docs.sparkSession.range(1).select(F.lit(b"").alias("word"), F.lit(0).cast("long").alias("n"))).groupBy("word").agg(F.sum("n").alias("c"))
+    words = staged(words.select(F.monotonically_increasing_id().alias("at"), "word", "c"), "vocabulary")
+    found, words = _dense(block_words, words)
+    end = words.filter(F.length("word") == 0).first()["wid"]
+    texts = rows.withColumn("block", F.shiftright("row", BLOCK_BITS)).groupBy("block")
+    encoded = staged(texts.cogroup(found.groupBy("block")).applyInPandas(_encoded, _ENCODED), "encoded")
+    discard(rows)
+    discard(block_words)
+
+    total = words.agg(F.sum("c"), F.count_if(F.expr("c > 0"))).first()
     customers, kinds = total[0], total[1]
-    d = discount(total[2], total[3])
+    block_pairs = encoded.mapInPandas(_block_pairs(end), "block long, pair long, n long")
+    # Pairs that were served once have one table: only those of unlearned texts need be told of them.
+    pairs = block_pairs.groupBy("pair").agg(F.sum("n").alias("c"), F.min("n").alias("least")).filter("c > 1 OR c = 1 AND least = 0")
+    pairs = staged(pairs.select(F.shiftright("pair", 32).alias("u"), "pair", "c"), "pairs")
+    once = staged(pairs.filter("c = 1").select("pair"), "pairs_once")
+    often = pairs.filter("c > 1")
+    seen = often.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.expr("c = 2")), F.count(F.lit(1))).first()
+    pair_d = discount(customers - seen[0], seen[1])
+    part = F.pmod(F.xxhash64("pair"), F.lit(seen[2] // PART_PAIRS + 1))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    first = often.join(words.select(F.col("wid").alias("u"), F.col("c").alias("cu")), "u").select(part.alias("part"), "pair", "cu", "c", one.alias("t"), none.alias("ts"))
+    first = staged(first, "often")
+    discard(pairs)
+    pairs = first
+
+    block = F.shiftright("at", WORD_BLOCK_BITS)
+    words = staged(words.select(block.alias("block"), "wid", "word", "c", F.col("c").alias("k"), F.least("c", one).alias("t"), (F.col("c") / max(1, customers)).alias("now"), F.lit(0.0).alias("p")), "vocabulary")
     small_batches(docs.sparkSession, 2_048)  # words are short
     block_cells = staged(words.select("block", "word").groupBy("block").applyInPandas(_block_cells, "block long, cell long"), "block_cells")
     parts = max(1, block_cells.agg(F.count_distinct("cell")).first()[0] // GROUP_CELLS)
     keys, every = np.arange(1 << 8 * SPLIT), range(ORDER + 1 - SPLIT)
     low, discounts, states = Spelling([_NONE] * SPLIT), [0.5 for _ in every], docs.sparkSession.createDataFrame([], _SEATED)
+    u, w = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     for sweep in range(BURN_IN + SAMPLES):
+        # A context's tables are as many as its customers, less those who sit at a table that was there.
+        tables = F.col("cu") - F.sum(F.col("c") - F.col("t")).over(Window.partitionBy("u"))
+        given = pairs.withColumn("u", u).withColumn("tables", tables).withColumn("wid", w).join(words.select("wid", "now"), "wid")
+        last, pairs = pairs, staged(given.groupBy("part").applyInPandas(_paired(pair_d, sweep), pairs.schema), "often")
+        discard(last)
+        cut = pairs.groupBy(w.alias("wid")).agg(F.sum(F.col("c") - F.col("t")).alias("cut"))
+        seating = words.drop("k").join(cut, "wid", "left").withColumn("k", F.col("c") - F.coalesce("cut", none)).select(*words.columns)
+        last, words = words, staged(seating.withColumn("t", F.least("t", "k")), "customers")
+        discard(last)
+        total = words.agg(F.sum("k"), F.count_if(F.expr("k = 1")), F.count_if(F.expr("k = 2")), F.sum("t")).first()
         cells = words.select("word", "t").mapInPandas(_spelled, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
         subtree = F.shiftright("cell", 8).bitwiseAND(F.lit((1 << 8 * SPLIT) - 1))
         subtrees = cells.withColumn("part", F.pmod(F.xxhash64(subtree), F.lit(parts))).groupBy("part").cogroup(states.groupBy("part"))
-        states = staged(subtrees.applyInPandas(_seated_subtrees(discounts, low.probability(keys), sweep), _SEATED), "subtrees")
+        last, states = states, staged(subtrees.applyInPandas(_seated_subtrees(discounts, low.probability(keys), sweep), _SEATED), "subtrees")
+        discard(last)
         up = states.select(F.explode(F.arrays_zip("up", "tables")).alias("x")).groupBy("x.up").agg(F.sum("x.tables").alias("n")).toPandas().sort_values("up")
         served = states.agg(*[F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for c in ("once", "twice") for k in every]).first()
         discounts = [discount(served[k], served[len(every) + k]) for k in every]
         low = Spelling.sampled(up["up"].to_numpy(np.int64), up["n"].to_numpy(np.int64), low, np.random.default_rng(sweep))
-        tables = words.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
         values = block_cells.join(states.select("state").mapInPandas(_values(low.probability(keys)), "cell long, value double"), "cell").select("block", "cell", "value")
-        words = staged(words.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(_swept(d, customers, tables, sweep), words.schema), "vocabulary")
+        swept = words.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(_swept(discount(total[1], total[2]), total[0], total[3], sweep), words.schema)
+        last, words = words, staged(swept, "vocabulary")
+        discard(last)
+    discard(states)
+    discard(block_cells)
 
+    # A pair's customers without its tables' discounts, and a context's weight of its parent, at the mean numbers of tables.
     small_batches(docs.sparkSession)
+    tables = F.col("ts") / SAMPLES
+    mass = pairs.select("pair", (F.col("c") - pair_d * tables).alias("v"), F.lit(True).alias("often")).unionByName(once.select("pair", F.lit(1 - pair_d).alias("v"), F.lit(False).alias("often")))
+    of_pairs = block_pairs.join(mass, "pair").filter("often OR n = 0").select("block", F.col("pair").alias("key"), F.lit(None).cast("long").alias("c"), "v", F.lit(None).cast("double").alias("back"))
+    cut = pairs.groupBy(u.alias("wid")).agg(F.sum(F.col("c") - tables).alias("cut"))
+    back = STRENGTH + pair_d * (F.col("c") - F.coalesce("cut", F.lit(0.0)))
+    known = words.join(cut, "wid", "left").select("wid", "c", (F.col("p") / SAMPLES).alias("v"), back.alias("back"))
+    # The end comes before every block's first word.
+    of_words = encoded.select("block", "words").mapInPandas(_block_ids, "block long, wid long").distinct().join(known, "wid").select("block", F.col("wid").alias("key"), "c", "v", "back")
+    out = encoded.groupBy("block").cogroup(of_words.unionByName(of_pairs).groupBy("block")).applyInPandas(_scored(customers, kinds, pair_d, end), "row long, id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("row", "id", "n_tokens", "n_known", F.lit(customers).cast("long").alias("train_tokens"), "base_score", "score")
 
-    @F.pandas_udf("long")
-    def digest(word: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_64_intdigest(w) - 2**63 for w in word], dtype="int64")
 
-    known = words.select("word", digest("word").alias("h"), "c", (F.col("p") / SAMPLES).alias("p"))
-    of_block = found.select("block", "word").join(known, "word").select("block", "h", "c", "p")
-    texts = rows.select("row", "id", "text", F.shiftright("row", BLOCK_BITS).alias("block"))
-    out = texts.groupBy("block").cogroup(of_block.groupBy("block")).applyInPandas(_scored(customers, kinds), "row long, id long, n_tokens long, n_known long, base_score double, score double")
-    return out.select("row", "id", "n_tokens", "n_known", F.lit(customers).cast("long").alias("train_tokens"), "base_score", "score")
+def _dense(found: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words' numbers ``wid`` without gaps, as pairs of them must fit 64 bits, for the words of blocks (block, word, wid) and the vocabulary (at, word, c, wid)."""
+    task = F.shiftright("at", 33)
+    counts = dict(words.groupBy(task.cast("int").alias("task")).count().collect())
+    starts, start = [], 0
+    for k in range(max(counts) + 1):
+        starts.append(start)
+        start += counts.get(k, 0)
+    if start >= 1 << 31:
+        raise ValueError(f"{start} distinct words are more than ids of 31 bits can tell apart")
+    wid = F.array(*[F.lit(x).cast("long") for x in starts])[task.cast("int")] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    words = words.withColumn("wid", wid)
+    return found.select("block", "word").join(words.select("word", "wid"), "word"), words

@@ -254,6 +254,29 @@ def test_hpylm_scores(spark, stored, none):
     assert hpylm.score(none, F.lit(True)).count() == 0
 
 
+def test_hpylm_words_depend_on_the_word_before(spark, tmp_path):
+    rows = [(i, "aa bb" if i % 2 else "cc dd", True) for i in range(200)] + [(200 + i, f"x{i} y{i}", True) for i in range(50)]
+    rows += [(1000, "aa bb", False), (1001, "aa dd", False), (1002, "x1 y1", False), (1003, "x1 y2", False), (1004, None, False), (1005, "aa zz", False)]
+    spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3).write.parquet(str(tmp_path / "x"))
+    got = {r["id"]: r for r in hpylm.score(spark.read.parquet(str(tmp_path / "x")), F.col("learn")).collect()}
+    assert len(got) == 256 and got[1000]["train_tokens"] == 750
+    assert got[1000]["base_score"] == got[1001]["base_score"] and got[1000]["score"] > got[1001]["score"] + 1  # seen often
+    assert got[1002]["score"] > got[1003]["score"] + 0.5  # seen once
+    assert got[1002]["score"] == got[201]["score"] and got[1005]["n_known"] == 2 and got[1004]["n_tokens"] == 1
+
+
+def test_hpylm_is_a_distribution_over_next_words():
+    """After the end came word 1 three times, at two tables, and word 2 once."""
+    d, p = 0.6, [0.4, 0.3, 0.2, 0.1]
+    given = pd.DataFrame({"key": [0, 1, 2, 3, 1, 2], "c": [4, 3, 1, 0, None, None], "v": [*p, 3 - 2 * d, 1 - d], "back": [hpylm.STRENGTH + 3 * d, 1.0, 1.0, 1.0, None, None]})
+    total = 0
+    for w in range(4):
+        docs = pd.DataFrame({"row": [0], "id": [0], "learn": [False], "words": [np.array([w])]})
+        of_word = given[given["back"].notna() | (given["key"] == w)] if w in (1, 2) else given[given["back"].notna()]
+        total += 10 ** hpylm._scored(8, 3, d, 0)(docs, of_word)["score"].iloc[0]
+    assert abs(total - 1) < 1e-9
+
+
 def test_spelling_is_a_distribution():
     words = [b"ab", b"abc", b"b", b""] * 3
     which, cells = hpylm.contexts(words)
