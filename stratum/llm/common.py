@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +50,32 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage and fixes its rows."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(out)
+    return out
+
+
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables ``staged`` inside are deleted at the end, but for those given to the function that this yields.
+
+    What is read after the end must have been staged inside and kept."""
+    made, kept = [], []
+    before = _MADE.set(made)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _MADE.reset(before)
+        for df in made:
+            if not any(df is x for x in kept):
+                discard(df)
+        if (outer := _MADE.get()) is not None:
+            outer += kept
 
 
 def discard(df: DataFrame) -> None:

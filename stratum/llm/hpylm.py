@@ -232,9 +232,18 @@ def _block_pairs(end: int):
 
 
 def _block_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(block, wid) of the words in a block's texts."""
+    block, held = None, []
+    done = lambda: pd.DataFrame({"block": block, "wid": np.unique(np.concatenate(held)).astype(np.int64)})
     for b in batches:
-        for block, rows in b.groupby("block"):
-            yield pd.DataFrame({"block": block, "wid": np.unique(np.concatenate(list(rows["words"]))).astype(np.int64)})
+        for now, w in zip(b["block"], b["words"]):
+            if now != block:
+                if held:
+                    yield done()
+                block, held = now, []
+            held.append(w)
+    if held:
+        yield done()
 
 
 def _paired(d: float, seed: int):
@@ -420,8 +429,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     cut = pairs.groupBy(u.alias("wid")).agg(F.sum(F.col("c") - tables).alias("cut"))
     back = STRENGTH + pair_d * (F.col("c") - F.coalesce("cut", F.lit(0.0)))
     known = words.join(cut, "wid", "left").select("wid", "c", (F.col("p") / SAMPLES).alias("v"), back.alias("back"))
-    # The end comes before every block's first word.
-    of_words = encoded.select("block", "words").mapInPandas(_block_ids, "block long, wid long").distinct().join(known, "wid").select("block", F.col("wid").alias("key"), "c", "v", "back")
+    # A block that files split comes twice, which changes nothing.
+    of_words = encoded.select("block", "words").mapInPandas(_block_ids, "block long, wid long").join(known, "wid").select("block", F.col("wid").alias("key"), "c", "v", "back")
     out = encoded.groupBy("block").cogroup(of_words.unionByName(of_pairs).groupBy("block")).applyInPandas(_scored(customers, kinds, pair_d, end), "row long, id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("row", "id", "n_tokens", "n_known", F.lit(customers).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import by_mark, fresh, numbered, small_batches, staged, without
+from stratum.llm.common import by_mark, fresh, numbered, small_batches, staged, temporary, without
 from stratum.llm.components import components
 from stratum.llm.near_links import linked
 
@@ -196,5 +196,6 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """One row of each component, with all its columns."""
     row = fresh(docs, "row")
     rows = staged(numbered(docs, row), "numbered")
-    gone = staged(near_duplicates(rows, id_col, text_col, size, least, row).filter("NOT kept").select(F.col("row").alias(fresh(rows, "gone"))), "gone")
+    with temporary() as kept:
+        gone = kept(staged(near_duplicates(rows, id_col, text_col, size, least, row).filter("NOT kept").select(F.col("row").alias(fresh(rows, "gone"))), "gone"))
     return without(rows, row, gone).select(*docs.columns)

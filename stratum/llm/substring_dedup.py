@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import by_mark, fresh, small_batches, staged
+from stratum.llm.common import by_mark, fresh, small_batches, staged, temporary
 from stratum.llm.components import components
 from stratum.llm.near_dedup import WordHashes, hash_sets, verified, words_of
 from stratum.llm.near_links import linked
@@ -252,7 +252,8 @@ def _near_lines(texts: DataFrame, paragraphs: DataFrame, least: float) -> DataFr
         text = lambda c: found.select(F.col("digest").alias(c), F.col("line").alias(f"text_{c}"))
         return pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInPandas(verified(SHINGLE), "a long, b long, jaccard double, exact boolean")
 
-    label = staged(components(linked(distinct.select(F.explode(F.array(*bands)).alias("key"), F.col("digest").alias("id")), compare, sets, least, 0.0)), "line_classes")
+    with temporary() as keep:
+        label = keep(staged(components(linked(distinct.select(F.explode(F.array(*bands)).alias("key"), F.col("digest").alias("id")), compare, sets, least, 0.0)), "line_classes"))
     members = staged(distinct.select("digest", "lo", "hi").join(label.withColumnRenamed("id", "digest"), "digest"), "line_members")
     first = F.min(F.struct("lo", "digest")).alias("first")
     classes = staged(members.groupBy("component").agg(first, F.max("hi").alias("hi")).filter("first.lo < hi")
@@ -272,10 +273,16 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """(id, keepers map<digest, id of the document that keeps it>, near map<digest, (keep, shingles)>) of documents with paragraphs that another one keeps."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    with temporary() as kept:
+        return kept(_keepers(texts, least))
+
+
+def _keepers(texts: DataFrame, least: float) -> DataFrame:
     paragraphs = staged(texts.mapInArrow(_paragraphs, PARAGRAPHS), "paragraphs")
     rows = paragraphs.select("digest", "doc")
     exact = staged(rows.groupBy("digest").agg(F.min("doc").alias("keep"), F.max("doc").alias("hi")).filter("keep < hi").select("digest", "keep"), "repeats")
-    near = staged(_near_lines(texts, paragraphs, least), "near_repeats")
+    with temporary() as kept:
+        near = kept(staged(_near_lines(texts, paragraphs, least), "near_repeats"))
     mine = rows.join(exact, "digest").filter("doc <> keep").groupBy(F.col("doc").alias("id"))
     mine = mine.agg(F.map_from_entries(F.collect_set(F.struct("digest", "keep"))).alias("keepers"))
     like = paragraphs.filter("b0 IS NOT NULL").select("digest", "doc").distinct().join(near, "digest").filter("doc <> keep").groupBy(F.col("doc").alias("id"))

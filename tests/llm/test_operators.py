@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratum.llm import ann, bpe, chat, components, exact_dedup, hpylm, lang_id, license_rules, license_scan, near_dedup, near_links, packing, substring_dedup
-from stratum.session import scratch_path
+from stratum.llm.common import discard, staged, temporary
+from stratum.session import scratch_path, shared_dir
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
 
@@ -254,6 +256,30 @@ def test_hpylm_scores(spark, stored, none):
     assert hpylm.score(none, F.lit(True)).count() == 0
 
 
+def test_staged_tables_that_nothing_reads_are_deleted(spark, tmp_path):
+    with temporary() as kept:
+        a = staged(spark.range(5), "a")
+        with temporary() as inner:
+            b = inner(staged(a.filter("id > 1"), "b"))
+            c = staged(b, "c")
+        d = kept(staged(b, "d"))
+    folder = lambda df: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert d.count() == 3 and os.path.exists(folder(d))
+    assert not any(os.path.exists(folder(x)) for x in (a, b, c))
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    discard(spark.read.parquet(str(tmp_path / "own")))
+    assert spark.read.parquet(str(tmp_path / "own")).count() == 3  # not staged
+
+
+def test_pipeline_stages_leave_only_what_their_rows_need(spark, stored):
+    for found, most in ((near_dedup.kept_rows(stored), {"numbered", "gone", "marks"}), (substring_dedup.without_repeats(stored), {"keepers", "marks"})):
+        shared = os.path.join(shared_dir(spark).removeprefix("file://").removeprefix("file:"), "stratum")
+        before = set(os.listdir(shared))
+        again = near_dedup.kept_rows(stored) if "numbered" in most else substring_dedup.without_repeats(stored)
+        assert {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before} <= most
+        assert sorted(map(str, again.collect())) == sorted(map(str, found.collect()))
+
+
 def test_hpylm_words_depend_on_the_word_before(spark, tmp_path):
     rows = [(i, "aa bb" if i % 2 else "cc dd", True) for i in range(200)] + [(200 + i, f"x{i} y{i}", True) for i in range(50)]
     rows += [(1000, "aa bb", False), (1001, "aa dd", False), (1002, "x1 y1", False), (1003, "x1 y2", False), (1004, None, False), (1005, "aa zz", False)]
