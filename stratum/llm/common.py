@@ -88,6 +88,20 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each query that is made inside are deleted when it ends; else they stay until the driver happens to collect its garbage.
+
+    A table that was made inside and is run twice is shuffled twice."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Marks that ids are hashed to: the table of those that occur has at most so many rows, whatever the data's size.
 MARKS = 1 << 20
 

@@ -34,7 +34,9 @@ words and counts go to the words' tasks, and their ids come back to the
 block, so that a word that is in every text costs one row a block.  Texts are
 kept as ids from then on, and pairs and words come back to the blocks likewise;
 pairs that were seen once go only to blocks where no learned text has them.
-Tables that nothing reads any more are deleted on the way.
+Tables and shuffle files that nothing reads any more are deleted on the way.  Blocks
+are scored in up to TURNS turns, so that only a share of the texts' pairs and
+their values is on the disks at once; every block has its turn.
 
 Null and empty texts are the end alone.  Repeated rows each count and are
 scored each.  Nothing to learn from leaves the spelling's uniform start.  No
@@ -47,13 +49,14 @@ import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.common import discard, numbered, small_batches, staged
+from stratum.llm.common import discard, numbered, shuffles_deleted, small_batches, staged
 
 BURN_IN, SAMPLES = 2, 3
 #: Strength of every restaurant; discounts come from how many dishes were served once and twice.
@@ -70,6 +73,8 @@ SPLIT = 2
 PART_PAIRS = 1 << 16
 #: Subtrees are seated together in groups of about so many cells.
 GROUP_CELLS = 1 << 13
+#: Turns that blocks are scored in at most, and words (all texts') that are worth one.
+TURNS, TURN_WORDS = 8, 1 << 21
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -355,6 +360,11 @@ def _scored(customers: int, kinds: int, d: float, end: int):
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, n_tokens, n_known, train_tokens, base_score, score) of all rows, learned from those that ``learn`` picks."""
+    with shuffles_deleted(docs.sparkSession):
+        return _scores(docs, learn, id_col, text_col)
+
+
+def _scores(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     rows = staged(numbered(rows, "row"), "numbered")
@@ -363,11 +373,13 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     words = block_words.select("word", "n").unionByName(docs.sparkSession.range(1).select(F.lit(b"").alias("word"), F.lit(0).cast("long").alias("n"))).groupBy("word").agg(F.sum("n").alias("c"))
     words = staged(words.select(F.monotonically_increasing_id().alias("at"), "word", "c"), "vocabulary")
     found, words = _dense(block_words, words)
+    found = staged(found, "found")
+    discard(block_words)
     end = words.filter(F.length("word") == 0).first()["wid"]
     texts = rows.withColumn("block", F.shiftright("row", BLOCK_BITS)).groupBy("block")
     encoded = staged(texts.cogroup(found.groupBy("block")).applyInPandas(_encoded, _ENCODED), "encoded")
     discard(rows)
-    discard(block_words)
+    discard(found)
 
     total = words.agg(F.sum("c"), F.count_if(F.expr("c > 0"))).first()
     customers, kinds = total[0], total[1]
@@ -387,7 +399,9 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     pairs = first
 
     block = F.shiftright("at", WORD_BLOCK_BITS)
+    vocabulary = words
     words = staged(words.select(block.alias("block"), "wid", "word", "c", F.col("c").alias("k"), F.least("c", one).alias("t"), (F.col("c") / max(1, customers)).alias("now"), F.lit(0.0).alias("p")), "vocabulary")
+    discard(vocabulary)
     small_batches(docs.sparkSession, 2_048)  # words are short
     block_cells = staged(words.select("block", "word").groupBy("block").applyInPandas(_block_cells, "block long, cell long"), "block_cells")
     parts = max(1, block_cells.agg(F.count_distinct("cell")).first()[0] // GROUP_CELLS)
@@ -425,13 +439,24 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     small_batches(docs.sparkSession)
     tables = F.col("ts") / SAMPLES
     mass = pairs.select("pair", (F.col("c") - pair_d * tables).alias("v"), F.lit(True).alias("often")).unionByName(once.select("pair", F.lit(1 - pair_d).alias("v"), F.lit(False).alias("often")))
-    of_pairs = block_pairs.join(mass, "pair").filter("often OR n = 0").select("block", F.col("pair").alias("key"), F.lit(None).cast("long").alias("c"), "v", F.lit(None).cast("double").alias("back"))
     cut = pairs.groupBy(u.alias("wid")).agg(F.sum(F.col("c") - tables).alias("cut"))
     back = STRENGTH + pair_d * (F.col("c") - F.coalesce("cut", F.lit(0.0)))
-    known = words.join(cut, "wid", "left").select("wid", "c", (F.col("p") / SAMPLES).alias("v"), back.alias("back"))
-    # A block that files split comes twice, which changes nothing.
-    of_words = encoded.select("block", "words").mapInPandas(_block_ids, "block long, wid long").join(known, "wid").select("block", F.col("wid").alias("key"), "c", "v", "back")
-    out = encoded.groupBy("block").cogroup(of_words.unionByName(of_pairs).groupBy("block")).applyInPandas(_scored(customers, kinds, pair_d, end), "row long, id long, n_tokens long, n_known long, base_score double, score double")
+    known = staged(words.join(cut, "wid", "left").select("wid", "c", (F.col("p") / SAMPLES).alias("v"), back.alias("back")), "known")
+    discard(words)
+    turns = 1 + min(TURNS - 1, (encoded.agg(F.sum(F.size("words"))).first()[0] or 0) // TURN_WORDS)
+
+    def scored(turn: int) -> DataFrame:
+        some = encoded.filter(F.pmod(F.xxhash64("block"), F.lit(turns)) == turn)
+        of_pairs = some.mapInPandas(_block_pairs(end), "block long, pair long, n long").join(mass, "pair").filter("often OR n = 0")
+        of_pairs = of_pairs.select("block", F.col("pair").alias("key"), F.lit(None).cast("long").alias("c"), "v", F.lit(None).cast("double").alias("back"))
+        # A block that files split comes twice, which changes nothing.
+        of_words = some.mapInPandas(_block_ids, "block long, wid long").join(known, "wid").select("block", F.col("wid").alias("key"), "c", "v", "back")
+        out = some.groupBy("block").cogroup(of_words.unionByName(of_pairs).groupBy("block"))
+        return staged(out.applyInPandas(_scored(customers, kinds, pair_d, end), "row long, id long, n_tokens long, n_known long, base_score double, score double"), "scores")
+
+    out = reduce(DataFrame.unionByName, [scored(turn) for turn in range(turns)])
+    for table in (encoded, known, pairs, once):
+        discard(table)
     return out.select("row", "id", "n_tokens", "n_known", F.lit(customers).cast("long").alias("train_tokens"), "base_score", "score")
 
 

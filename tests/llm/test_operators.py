@@ -1,6 +1,7 @@
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratum.llm import ann, bpe, chat, components, exact_dedup, hpylm, lang_id, license_rules, license_scan, near_dedup, near_links, packing, substring_dedup
-from stratum.llm.common import discard, staged, temporary
+from stratum.llm.common import discard, shuffles_deleted, staged, temporary
 from stratum.session import scratch_path, shared_dir
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -291,6 +292,39 @@ def test_hpylm_words_depend_on_the_word_before(spark, tmp_path):
     assert got[1002]["score"] == got[201]["score"] and got[1005]["n_known"] == 2 and got[1004]["n_tokens"] == 1
 
 
+def test_hpylm_scores_blocks_in_turns(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * k) % 23}" for k in range(1, 30)), i % 3 > 0) for i in range(40)] + [(7, None, True), (None, "w1 w2", False)]
+    spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(5).write.parquet(str(tmp_path / "x"))
+    docs, folder, got = spark.read.parquet(str(tmp_path / "x")), f"{shared_dir(spark).removeprefix('file:')}/stratum", []
+    for most in (1 << 40, 1):
+        monkeypatch.setattr(hpylm, "TURN_WORDS", most)
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        got.append(sorted(hpylm.score(docs, F.col("learn")).collect(), key=lambda r: r["row"]))
+        left = [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before]
+        assert left.count("scores") == (1 if most > 1 else hpylm.TURNS)
+        assert not {"numbered", "block_words", "found", "encoded", "pairs", "often", "vocabulary", "known"} & set(left)
+    assert len(got[0]) == len(rows) and got[0] == got[1]
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    def shuffled() -> set[str]:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in files.split("\n") if "shuffle_" in x}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffled(), spark.conf.get(key)
+    with shuffles_deleted(spark):
+        a = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "a")
+        assert a.groupBy("count").count().count() == 2
+    assert spark.conf.get(key) == was
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    discard(a)
+
+
 def test_hpylm_is_a_distribution_over_next_words():
     """After the end came word 1 three times, at two tables, and word 2 once."""
     d, p = 0.6, [0.4, 0.3, 0.2, 0.1]
