@@ -115,7 +115,8 @@ def by_mark(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFra
     """
     mark = fresh(df, "mark")
     of = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(MARKS)).cast("int")
-    marks = F.broadcast(staged(ids.select(of(ids.columns[0]).alias(mark)).distinct(), "marks"))
+    with shuffles_deleted(df.sparkSession):
+        marks = F.broadcast(staged(ids.select(of(ids.columns[0]).alias(mark)).distinct(), "marks"))
     marked = df.withColumn(mark, F.when(F.col(key).isNotNull(), of(key)))
     return marked.join(marks, mark, "left_semi").drop(mark), marked.join(marks, mark, "left_anti").drop(mark)
 

@@ -10,7 +10,7 @@ mates are compared by the likelihood of their registers given the set sizes;
 what could be a link is verified on the full sets of words.
 
 Rows with the same words in the same order are one item; the rest of the work is
-on items.  Links need not be listed in full, see
+on items.  Shuffle files of the steps go with their query.  Links need not be listed in full, see
 ``near_links``; components do not change by that.
 
 Null or empty texts, or texts without words, have the empty set and no links;
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import by_mark, fresh, numbered, small_batches, staged, temporary, without
+from stratum.llm.common import by_mark, fresh, numbered, shuffles_deleted, small_batches, staged, temporary, without
 from stratum.llm.components import components
 from stratum.llm.near_links import linked
 
@@ -162,6 +162,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The component is the smallest id that links reach; kept is true for one row of each component, the first of that id.
     """
+    with shuffles_deleted(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col, size, least, number)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, number: str | None) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(n).alias("row") for n in [number] if n])
     texts = texts if number else staged(numbered(texts, "row"), "numbered")
@@ -196,6 +201,6 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """One row of each component, with all its columns."""
     row = fresh(docs, "row")
     rows = staged(numbered(docs, row), "numbered")
-    with temporary() as kept:
+    with shuffles_deleted(docs.sparkSession), temporary() as kept:
         gone = kept(staged(near_duplicates(rows, id_col, text_col, size, least, row).filter("NOT kept").select(F.col("row").alias(fresh(rows, "gone"))), "gone"))
     return without(rows, row, gone).select(*docs.columns)

@@ -18,7 +18,8 @@ document are left alone.
 
 Classes are known by minima and maxima of document ids, which are partial
 aggregates, so a passage in a third of all documents is one row per task.  Only
-ids and digests move; texts move once, to be verified or cut.
+ids and digests move; texts move once, to be verified or cut.  Shuffle files of the
+steps before the cut go with their query.
 
 Null and empty texts have no paragraphs.  Rows with a null id take no part and
 are returned as they are.  Rows that share an id are one document: what repeats
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import by_mark, fresh, small_batches, staged, temporary
+from stratum.llm.common import by_mark, fresh, shuffles_deleted, small_batches, staged, temporary
 from stratum.llm.components import components
 from stratum.llm.near_dedup import WordHashes, hash_sets, verified, words_of
 from stratum.llm.near_links import linked
@@ -273,7 +274,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """(id, keepers map<digest, id of the document that keeps it>, near map<digest, (keep, shingles)>) of documents with paragraphs that another one keeps."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    with temporary() as kept:
+    with shuffles_deleted(docs.sparkSession), temporary() as kept:
         return kept(_keepers(texts, least))
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -325,6 +326,22 @@ def test_shuffle_files_go_with_their_query(spark):
     discard(a)
 
 
+@pytest.mark.parametrize("stage", [lambda docs: exact_dedup.kept_rows(docs, *exact_dedup.index_of(docs.sparkSession)), near_dedup.kept_rows, substring_dedup.without_repeats])
+def test_deduplication_leaves_no_shuffle_files_of_its_steps(spark, stored, stage):
+    """Before their result is read, that is."""
+    def shuffled() -> set[str]:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in files.split("\n") if "shuffle_" in x}
+
+    before = shuffled()
+    out = stage(stored)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and out.columns
+
+
 def test_hpylm_is_a_distribution_over_next_words():
     """After the end came word 1 three times, at two tables, and word 2 once."""
     d, p = 0.6, [0.4, 0.3, 0.2, 0.1]
