@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm import exact_dedup, lang_id, near_dedup, packing, substring_dedup
-from stratum.llm.common import fresh, read, staged
+from stratum.llm.common import discard, fresh, read, staged, temporary
 from stratum.llm.queries import tokenizer
 
 
@@ -50,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents; each one's result is written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """Applies the stages to the documents; each one's result is written and read again, and its other tables and the result before it are deleted."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with temporary() as kept:
+            docs = kept(staged(stage(spark, docs, sf_dir), name))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

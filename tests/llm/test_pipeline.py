@@ -1,5 +1,6 @@
 """The corpus pipeline's stages on odd tables, and run() against a plain model of the first stages."""
 
+import os
 import re
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratum.llm import lang_id, near_dedup
-from stratum.llm.common import staged
+from stratum.llm.common import numbered, staged
+from stratum.session import shared_dir
 
 DROPPING = [(n, f) for n, f in corpus_pipeline.STAGES[:-1]]
 
@@ -84,3 +86,14 @@ def test_run_equals_a_plain_model(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     tokens = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("all")).collect()
     assert {r["doc_id"] for r in tokens} == set(after) and all(r["n"] == r["all"] for r in tokens)
+
+
+def test_run_deletes_what_stages_no_longer_read(spark, odd, tmp_path, monkeypatch):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    stage = lambda spark, docs, sf_dir: staged(numbered(docs, "number"), "numbered").select(*docs.columns)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", stage), ("second", stage), ("third", lambda spark, docs, sf_dir: docs)])
+    folder = f"{shared_dir(spark)}/stratum"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == odd.count()
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == ["second"]
+    assert spark.read.parquet(str(tmp_path / "documents.parquet")).count() == odd.count()
