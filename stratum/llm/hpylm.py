@@ -46,13 +46,14 @@ rows give no rows.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +74,8 @@ SPLIT = 2
 PART_PAIRS = 1 << 16
 #: Subtrees are seated together in groups of about so many cells.
 GROUP_CELLS = 1 << 13
+#: Words, or pairs, of all blocks that are brought together in one group, about.
+GROUP_WORDS = 1 << 20
 #: Turns that blocks are scored in at most, and words (all texts') that are worth one.
 TURNS, TURN_WORDS = 8, 1 << 21
 
@@ -176,33 +179,168 @@ class Spelling:
         return cls(levels, before.first, None, (cells, n), tuple(once), tuple(twice))
 
 
-def _block_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    block, counts = None, Counter()
-    done = lambda: pd.DataFrame({"block": block, "word": list(counts), "n": list(counts.values())})
+def _hashed(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of long values."""
+    m1, m2, m3, m4, m5 = (np.uint64(m) for m in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, by: x << np.uint64(by) | x >> np.uint64(64 - by)
+    with np.errstate(over="ignore"):
+        h = turned(np.asarray(x).astype(np.uint64) * m2, 31) * m1 ^ (m5 + np.uint64(42 + 8))
+        h = turned(h, 27) * m1 + m4
+        h = (h ^ h >> np.uint64(33)) * m2
+        h = (h ^ h >> np.uint64(29)) * m3
+        return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+def _ints(values, kind=np.int64) -> np.ndarray:
+    """The values of packed columns' fields, one after another."""
+    parts = [np.frombuffer(v, kind) for v in values]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, kind), *parts])
+
+
+def _dealt(to: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """Rows by where they go, in their order: (place, columns as bytes)."""
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(to) != 0])) if len(to) else np.empty(0, np.int64)
+    columns = [c[order] for c in columns]
+    for a, b in zip(starts, [*starts[1:], len(to)]):
+        yield int(to[a]), *(c[a:b].tobytes() for c in columns)
+
+
+def _rows(columns: str, rows: Iterable[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=[c.split()[0] for c in columns.split(", ")])
+
+
+def _binary(words: Iterable[bytes], sizes: Iterable[bytes]) -> pa.Array:
+    """Words from packed columns' fields: the words' bytes one after another, and their lengths."""
+    ends = np.concatenate([[0], np.cumsum(_ints(sizes, np.int32), dtype=np.int64)])
+    if ends[-1] >= 1 << 31:
+        raise ValueError("words of 2 GB in one group")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(b"".join(words))])
+
+
+def _packed(words: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The words' bytes one after another, and their lengths."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    return (data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None and len(words) else b""), np.diff(ends)
+
+
+_BLOCKS = "block long, row binary, id binary, no_id binary, learn binary, n binary, code binary, word binary, size binary, c binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: its texts' words as places in the list of the block's words, and how often learned texts have each."""
+    block, held = None, []
+
+    def done() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(t["text"].combine_chunks(), "")))
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        words, ends = lists.values, lists.offsets.to_numpy()
+        there = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0   # white space at a text's ends leaves empty words
+        n = np.diff(np.concatenate([[0], np.cumsum(there)])[ends])
+        coded = words.filter(pa.array(there)).dictionary_encode()
+        code = coded.indices.to_numpy()
+        # The end comes after the first text's words.
+        end = int(code[: n[0]].max()) + 1 if n[0] else 0
+        code = np.insert(code + (code >= end), np.cumsum(n), end).astype(np.int32)
+        n, learn = n + 1, t["learn"].to_numpy().astype(bool)
+        data, size = _packed(coded.dictionary.cast(pa.binary()))
+        size = np.insert(size, end, 0).astype(np.int32)
+        c = np.bincount(code, np.repeat(learn, n), len(size)).astype(np.int64)
+        ids = t["id"].combine_chunks()
+        no_id = pc.is_null(ids).to_numpy(zero_copy_only=False)
+        row = [block, t["row"].to_numpy(), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), no_id, learn, n.astype(np.int64), code, data, size, c]
+        return pa.RecordBatch.from_pydict({x.split()[0]: pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], pa.int64() if isinstance(v, int) else pa.binary()) for x, v in zip(_BLOCKS.split(", "), row)})
+
     for b in batches:
-        for row, text, learn in zip(b["row"], b["text"], b["learn"]):
-            if row >> BLOCK_BITS != block:
-                if counts:
+        at = b.column("row").to_numpy() >> BLOCK_BITS
+        starts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for i, j in zip(starts, starts[1:]):
+            if j > i:
+                if held and block != int(at[i]):
                     yield done()
-                block, counts = row >> BLOCK_BITS, Counter()
-            words = words_of(text)
-            if learn:
-                counts.update(words)
-            else:
-                for w in words:
-                    counts.setdefault(w, 0)
-    if counts:
+                    held = []
+                block = int(at[i])
+                held.append(b.slice(i, j - i))
+    if held:
         yield done()
 
 
-_ENCODED = "block long, row long, id long, learn boolean, words array<int>"
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of blocks."""
+    for b in batches:
+        for word, size, c in zip(*(b.column(x).to_pylist() for x in ("word", "size", "c"))):
+            yield pa.RecordBatch.from_arrays([_binary([word], [size]), pa.array(_ints([c]))], ["word", "n"])
+
+
+_WORDS = "block long, wid binary, word binary, size binary, c binary, k binary, t binary, now binary, p binary, sum_k long, k_one long, k_two long, sum_t long"
+
+
+def _vocabulary(customers: int):
+    """A block of the vocabulary (block, word, c, wid) as one row, in the order of the words."""
+
+    def of(words: pd.DataFrame) -> pd.DataFrame:
+        words = words.sort_values("word")
+        c, size = words["c"].to_numpy(np.int64), words["word"].map(len).to_numpy(np.int32)
+        now = c / max(1, customers)
+        packed = (words["wid"].to_numpy(np.int64), b"".join(words["word"]), size, c, c, np.minimum(c, 1), now, np.zeros(len(c)))
+        return _rows(_WORDS, [(words["block"].iloc[0], *(v if isinstance(v, bytes) else v.tobytes() for v in packed), 0, 0, 0, 0)])
+
+    return of
+
+
+def _listed(words: pd.DataFrame) -> list[bytes]:
+    """The words of a block of the vocabulary."""
+    data, ends = words["word"].iloc[0], np.cumsum(_ints([words["size"].iloc[0]], np.int32), dtype=np.int64).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+_ASKED_WORDS = "bucket long, block long, id binary, word binary, size binary"
+
+
+def _bucketed(buckets: int):
+    """Packed words of blocks (block, id, word, size), or those without ``id`` numbered, by a hash of the word."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block, ids, word, size in zip(b["block"], b["id"], b["word"], b["size"]):
+                size = _ints([size], np.int32)
+                starts = np.cumsum(size, dtype=np.int64) - size
+                place = np.arange(len(word)) - np.repeat(starts, size)
+                with np.errstate(over="ignore"):
+                    power = np.cumprod(np.full(int(size.max(initial=0)), 0x9E3779B185EBCA87, np.uint64))
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)) * power[place])])
+                    to = np.mod(_hashed(sums[starts + size] - sums[starts]), buckets)
+                order = np.argsort(to, kind="stable")
+                ids = (np.arange(len(size), dtype=np.int64) if ids is None else _ints([ids]))[order]
+                data, size = _packed(_binary([word], [size.tobytes()]).take(pa.array(order)))
+                ends, cuts = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), np.searchsorted(to[order], np.arange(buckets + 1))
+                yield _rows(_ASKED_WORDS, [(k, block, ids[i:j].tobytes(), data[ends[i] : ends[j]], size[i:j].astype(np.int32).tobytes()) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i])
+
+    return of
+
+
+_FOUND = "block long, at binary, wid binary"
+
+
+def _found(asked: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """The ids of the words that blocks have in one bucket."""
+    at = pc.index_in(_binary(asked["word"], asked["size"]), value_set=_binary(words["word"], words["size"])).to_numpy()
+    wid, ends = _ints(words["id"])[at].astype(np.int32), np.cumsum(asked["id"].map(len).to_numpy() // 8)
+    return _rows(_FOUND, [(block, i, w.tobytes()) for block, i, w in zip(asked["block"], asked["id"], np.split(wid, ends[:-1]))])
+
+
+_ENCODED = "block long, row binary, id binary, no_id binary, learn binary, n binary, words binary"
 
 
-def _encoded(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+def _encoded(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """A block's texts as the ids of their words."""
-    ids = dict(zip(words["word"], words["wid"]))
-    at = [np.array([ids[w] for w in words_of(text)], np.int32) for text in docs["text"]]
-    return docs[["block", "row", "id", "learn"]].assign(words=at).astype({"id": "Int64"})
+    at = _ints(found["at"])
+    wid = np.empty(len(at), np.int32)
+    wid[at] = _ints(found["wid"], np.int32)
+    return docs.assign(words=[wid[_ints(docs["code"], np.int32)].tobytes()])[[c.split()[0] for c in _ENCODED.split(", ")]]
 
 
 def _joined(words: Iterable[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,86 +349,185 @@ def _joined(words: Iterable[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarr
     return w[1:], w[:-1] << 32 | w[1:]
 
 
-def _block_pairs(end: int):
-    """(block, pair, n) of the pairs in a block's texts; n counts those of learned texts."""
+def _pairs_of(end: int, n: bytes, learn: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words, its pairs in order, and how often learned texts have each."""
+    w, pairs = _joined([_ints([words], np.int32)], end)
+    pairs = pairs << 1 | np.repeat(np.frombuffer(learn, bool), _ints([n]))
+    pairs.sort()
+    keys = pairs >> 1
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
+    return w, keys[starts], np.add.reduceat(pairs & 1, starts)
+
+
+_BLOCK_PAIRS = "part long, pair binary, n binary"
+
+
+def _block_pairs(end: int, parts: int):
+    """(part, pair, n) of the pairs in a block's texts; n counts those of learned texts."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, held = None, []
+        for b in batches:
+            for n, learn, words in zip(b["n"], b["learn"], b["words"]):
+                _, pairs, times = _pairs_of(end, n, learn, words)
+                yield _rows(_BLOCK_PAIRS, _dealt(np.mod(_hashed(pairs), parts), pairs, times.astype(np.int32)))
+
+    return of
+
 
-        def done() -> pd.DataFrame:
-            pairs = _joined([w for w, _ in held], end)[1]
-            keys, at = np.unique(pairs, return_inverse=True)
-            n = np.bincount(at, np.repeat([l for _, l in held], [len(w) for w, _ in held]), len(keys))
-            return pd.DataFrame({"block": block, "pair": keys, "n": n.astype(np.int64)})
+_COUNTED = "pair binary, c binary, once binary, often long, sum_c long, twice long"
 
+
+def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs that were served more than once, and those served once that some block has in unlearned texts alone."""
+    pairs, n = _ints(rows["pair"]), _ints(rows["n"], np.int32).astype(np.int64)
+    order = np.argsort(pairs, kind="stable")
+    pairs, n = pairs[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(pairs) != 0]))
+    pairs, c, least = pairs[starts], np.add.reduceat(n, starts), np.minimum.reduceat(n, starts)
+    often = c > 1
+    return _rows(_COUNTED, [(pairs[often].tobytes(), c[often].tobytes(), pairs[(c == 1) & (least == 0)].tobytes(), int(often.sum()), int(c[often].sum()), int((c == 2).sum()))])
+
+
+_PARTED = "part long, pair binary, c binary, once binary"
+
+
+def _parted(parts: int):
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for now, w, l in zip(b["block"], b["words"], b["learn"]):
-                if now != block:
-                    if held:
-                        yield done()
-                    block, held = now, []
-                held.append((w, l))
-        if held:
-            yield done()
+            for pair, c, once in zip(b["pair"], b["c"], b["once"]):
+                pair, c, once = _ints([pair]), _ints([c]), _ints([once])
+                yield _rows(_PARTED, [(*x, b"") for x in _dealt(np.mod(_hashed(pair), parts), pair, c)] + [(k, b"", b"", x) for k, x in _dealt(np.mod(_hashed(once), parts), once)])
 
     return of
 
 
-def _block_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(block, wid) of the words in a block's texts."""
-    block, held = None, []
-    done = lambda: pd.DataFrame({"block": block, "wid": np.unique(np.concatenate(held)).astype(np.int64)})
-    for b in batches:
-        for now, w in zip(b["block"], b["words"]):
-            if now != block:
-                if held:
-                    yield done()
-                block, held = now, []
-            held.append(w)
-    if held:
-        yield done()
+_OFTEN = "part long, pair binary, c binary, t binary, ts binary, once binary"
+
+
+def _first(rows: pd.DataFrame) -> pd.DataFrame:
+    """A part's pairs in order, with one table each."""
+    pair, c = _ints(rows["pair"]), _ints(rows["c"])
+    order = np.argsort(pair)
+    packed = (pair[order], c[order], np.ones(len(c), np.int64), np.zeros(len(c), np.int64), np.sort(_ints(rows["once"])))
+    return _rows(_OFTEN, [(rows["part"].iloc[0], *(v.tobytes() for v in packed))])
+
+
+_ASKED = "block long, part long, of_context boolean, wid binary, cut binary"
+
+
+def _asked(blocks: np.ndarray, firsts: np.ndarray, mean: bool = False):
+    """What a part's pairs have to do with each block of the vocabulary: their words, and the contexts, with the customers that share a table there.
+
+    Of the tables' means it tells the contexts alone."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part, pair, c, t in zip(b["part"], b["pair"], b["c"], b["ts"] if mean else b["t"]):
+                pair, out = _ints([pair]), []
+                cut = _ints([c]) - (_ints([t]) / SAMPLES if mean else _ints([t]))
+                for of_context, x in ((True, pair >> 32), *(() if mean else ((False, pair & 0xFFFFFFFF),))):
+                    ids, at = np.unique(x, return_inverse=True)
+                    sums = np.bincount(at, cut, len(ids))
+                    out += [(k, part, of_context, i, s) for k, i, s in _dealt(blocks[np.searchsorted(firsts, ids, "right") - 1], ids, sums)]
+                yield _rows(_ASKED, out)
+
+    return of
+
+
+def _places(words: pd.DataFrame) -> tuple[int, np.ndarray]:
+    """The first id of a block of the vocabulary, and where each is."""
+    wid = _ints(words["wid"])
+    place = np.empty(len(wid), np.int64)
+    place[wid - wid.min()] = np.arange(len(wid))
+    return int(wid.min()), place
+
+
+def _cut(words: pd.DataFrame, asked: pd.DataFrame, of_context: bool) -> np.ndarray:
+    """Of each word of a block, the customers that share a table, of all parts."""
+    first, place = _places(words)
+    mine = asked[asked["of_context"] == of_context]
+    ids = [_ints(mine["wid"]) - first, _ints(mine["cut"], np.float64)]
+    return np.bincount(place[ids[0]], ids[1], len(place))
+
+
+_GIVEN = "part long, block long, of_context boolean, value binary"
+
+
+def _given(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """The tables of parts' contexts, and the probability of their words.
+
+    A context's tables are as many as its customers, less those who sit at a table that was there."""
+    first, place = _places(words)
+    tables, now = _ints(words["c"]) - _cut(words, asked, True), _ints(words["now"], np.float64)
+    out = [(part, block, of_context, (tables if of_context else now)[place[_ints([wid]) - first]].tobytes()) for block, part, of_context, wid in zip(asked["block"], asked["part"], asked["of_context"], asked["wid"])]
+    return _rows(_GIVEN, out)
 
 
 def _paired(d: float, seed: int):
-    """One sweep over some pairs (part, pair, cu, c, t, ts), given their contexts' tables and their words' probabilities: tables seated anew, and summed where they count."""
+    """One sweep over a part's pairs, given their contexts' tables and their words' probabilities: tables seated anew, and summed where they count."""
 
-    def of(pairs: pd.DataFrame) -> pd.DataFrame:
-        pairs = pairs.sort_values("pair")
-        rng = np.random.default_rng([seed, int(pairs["part"].iloc[0])])
-        t = pairs["t"].to_numpy()
-        t = seated(pairs["c"].to_numpy(), pairs["now"].to_numpy(), pairs["tables"].to_numpy() - t, d, rng)
-        return pairs[["part", "pair", "cu", "c"]].assign(t=t, ts=pairs["ts"].to_numpy() + (t if seed >= BURN_IN else 0))
+    def of(pairs: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        rng, given = np.random.default_rng([seed, int(pairs["part"].iloc[0])]), given.sort_values("block")
+        pair, c, t, ts = (_ints(pairs[x]) for x in ("pair", "c", "t", "ts"))
+        value = lambda of_context, x: _ints(given["value"][given["of_context"] == of_context], np.float64)[np.unique(x, return_inverse=True)[1]]
+        t = seated(c, value(False, pair & 0xFFFFFFFF), value(True, pair >> 32) - t, d, rng)
+        return pairs.assign(t=[t.tobytes()], ts=[(ts + (t if seed >= BURN_IN else 0)).tobytes()])
 
     return of
 
 
-def _swept(d: float, customers: int, tables: int, seed: int):
-    """One sweep over a block's words (block, wid, word, c, k, t, now, p), given its cells' values: tables of the ``k`` customers seated anew, and the predictive probability added where it counts."""
+def _reseated(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """The customers of a block's words, after a sweep over the pairs."""
+    k = _ints(words["c"]) - _cut(words, asked, False).astype(np.int64)
+    t = np.minimum(_ints(words["t"]), k)
+    return words.assign(k=[k.tobytes()], t=[t.tobytes()], sum_k=int(k.sum()), k_one=int((k == 1).sum()), k_two=int((k == 2).sum()), sum_t=int(t.sum()))
+
+
+def _swept(d: float, customers: int, tables: int, seed: int, parts: int):
+    """One sweep over a block's words, given its cells' values: tables of the ``k`` customers seated anew, and the predictive probability added where it counts."""
 
     def of(words: pd.DataFrame, spelled: pd.DataFrame) -> pd.DataFrame:
-        words, spelled = words.sort_values("word"), spelled.sort_values("cell")
         rng = np.random.default_rng([seed, int(words["block"].iloc[0])])
-        which, cells = contexts(list(words["word"]))
-        value = np.log(spelled["value"].to_numpy())[np.searchsorted(spelled["cell"].to_numpy(), cells)]
-        base, c, t = np.exp(np.bincount(which, value, minlength=len(words))), words["k"].to_numpy(), words["t"].to_numpy()
+        which, cells = contexts(_listed(words))
+        keys, at = np.unique(cells, return_inverse=True)
+        value = np.empty(len(keys))
+        value[np.argsort(_subtree(keys, parts), kind="stable")] = np.log(_ints(spelled.sort_values("part")["value"], np.float64))
+        c, t = _ints(words["k"]), _ints(words["t"])
+        base = np.exp(np.bincount(which, value[at], minlength=len(c)))
         t = seated(c, base, tables - t, d, rng)
         now = (c - d * t + (STRENGTH + d * tables) * base) / (customers + STRENGTH)
-        return words.assign(t=t, now=now, p=words["p"].to_numpy() + (now if seed >= BURN_IN else 0))
+        p = _ints(words["p"], np.float64) + (now if seed >= BURN_IN else 0)
+        return words.assign(t=[t.tobytes()], now=[now.tobytes()], p=[p.tobytes()])
 
     return of
 
 
-def _spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(cell, n) of the words' tables; n is 0 for cells that only words without tables have."""
-    for b in batches:
-        if len(b):
-            which, cells = contexts(list(b["word"]))
-            keys, at = np.unique(cells, return_inverse=True)
-            yield pd.DataFrame({"cell": keys, "n": np.bincount(at, b["t"].to_numpy()[which]).astype(np.int64)})
+def _subtree(cells: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the subtree that each cell is in."""
+    return np.mod(_hashed(cells >> 8 & (1 << 8 * SPLIT) - 1), parts)
+
+
+_SPELLED = "part long, block long, cell binary, n binary"
+
+
+def _spelled(parts: int, all_parts: bool = False):
+    """(part, block, cell, n) of the tables of blocks of words; n is 0 for cells that only words without tables have.  Parts are of subtrees, or of all cells."""
 
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(len(b)):
+                words = b.iloc[i : i + 1]
+                which, cells = contexts(_listed(words))
+                keys, at = np.unique(cells, return_inverse=True)
+                n = np.bincount(at, _ints(words["t"])[which], len(keys)).astype(np.int64)
+                to = np.mod(_hashed(keys), parts) if all_parts else _subtree(keys, parts)
+                yield _rows(_SPELLED, [(k, words["block"].iloc[0], *x) for k, *x in _dealt(to, keys, n)])
+
+    return of
 
-def _block_cells(words: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"block": words["block"].iloc[0], "cell": np.unique(contexts(list(words["word"]))[1])})
+
+def _kinds(spelled: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"cells": [len(np.unique(_ints(spelled["cell"])))]})
 
 
 _SEATED = "part long, state binary, up array<long>, tables array<long>, once array<long>, twice array<long>"
@@ -299,25 +536,117 @@ _SEATED = "part long, state binary, up array<long>, tables array<long>, once arr
 def _seated_subtrees(discounts: list[float], below: np.ndarray, seed: int):
     """The restaurants of SPLIT bytes and more of some subtrees, seated given their state in the sweep before."""
 
-    def of(cells: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("cell")
-        part = int(cells["part"].iloc[0])
+    def of(spelled: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        part = int(spelled["part"].iloc[0])
+        cells, at = np.unique(_ints(spelled["cell"]), return_inverse=True)
+        n = np.bincount(at, _ints(spelled["n"]), len(cells)).astype(np.int64)
         before = Spelling(pickle.loads(states["state"].iloc[0]) if len(states) else [_NONE] * (ORDER + 1 - SPLIT), SPLIT, below)
-        now = Spelling.sampled(cells["cell"].to_numpy(), cells["n"].to_numpy(), before, np.random.default_rng([seed, part]), discounts)
+        now = Spelling.sampled(cells, n, before, np.random.default_rng([seed, part]), discounts)
         return pd.DataFrame([(part, pickle.dumps(now.levels), now.up[0] & _SEEN[SPLIT - 1], now.up[1], now.once, now.twice)], columns=["part", "state", "up", "tables", "once", "twice"])
 
     return of
 
 
+_VALUES = "block long, part long, value binary"
+
+
 def _values(below: np.ndarray):
-    """(cell, value): the predictive probability of each cell of the longest contexts."""
+    """The predictive probability of the cells that each block has in some subtrees."""
+
+    def of(spelled: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        spelling = Spelling(pickle.loads(states["state"].iloc[0]), SPLIT, below)
+        cells = spelling.levels[-1][0]
+        value = spelling.probability(cells)
+        return _rows(_VALUES, [(block, part, value[np.searchsorted(cells, _ints([cell]))].tobytes()) for block, part, cell in zip(spelled["block"], spelled["part"], spelled["cell"])])
+
+    return of
+
+
+# What blocks are told of, by where it is: the pairs' parts, and the blocks of the vocabulary below -1.
+_TOLD = "place long, key binary, c binary, v binary, back binary, once binary"
+
+
+def _told_words(words: pd.DataFrame, asked: pd.DataFrame, d: float) -> pd.DataFrame:
+    """A context's weight of its parent is at the mean number of tables."""
+    order, c = np.argsort(_ints(words["wid"])), _ints(words["c"])
+    back = STRENGTH + d * (c - _cut(words, asked, True))
+    packed = (_ints(words["wid"]), c, _ints(words["p"], np.float64) / SAMPLES, back)
+    return _rows(_TOLD, [(-1 - int(words["block"].iloc[0]), *(x[order].tobytes() for x in packed), b"")])
+
+
+def _told_pairs(d: float):
+    """A pair's customers without its tables' discounts."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for state in b["state"]:
-                spelling = Spelling(pickle.loads(state), SPLIT, below)
-                cells = spelling.levels[-1][0]
-                yield pd.DataFrame({"cell": cells, "value": spelling.probability(cells)})
+            yield _rows(_TOLD, [(part, pair, b"", (_ints([c]) - d * (_ints([ts]) / SAMPLES)).tobytes(), b"", once) for part, pair, c, ts, once in zip(*(b[x] for x in ("part", "pair", "c", "ts", "once")))])
+
+    return of
+
+
+_WANTED = "place long, block long, key binary, learned binary"
+
+
+def _wanted(end: int, parts: int, blocks: np.ndarray, firsts: np.ndarray):
+    """The pairs, and the words, that blocks have."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block, n, learn, words in zip(b["block"], b["n"], b["learn"], b["words"]):
+                w, pairs, times = _pairs_of(end, n, learn, words)
+                ids = np.unique(w)
+                out = [(k, block, *x) for k, *x in _dealt(np.mod(_hashed(pairs), parts), pairs, times > 0)]
+                yield _rows(_WANTED, out + [(k, block, x, b"") for k, x in _dealt(-1 - blocks[np.searchsorted(firsts, ids, "right") - 1], ids)])
+
+    return of
+
+
+def _places_of(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Where ``some`` are in sorted ``keys``; -1 for those that are not."""
+    at = np.searchsorted(keys, some)
+    return np.where(np.append(keys, -1)[at] == some, at, -1)
+
+
+_TOLD_BLOCKS = "block long, key binary, c binary, v binary, back binary"
+
+
+def _told(d: float):
+    """The values of what blocks want; pairs that were served once are told only where no learned text has them."""
+
+    def of(wanted: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out, of_words = [], len(wanted) and wanted["place"].iloc[0] < 0
+        if len(told) and len(wanted):
+            keys, c, once = _ints(told["key"]), _ints(told["c"]), _ints(told["once"])
+            v, back = (_ints(told[x], np.float64) for x in ("v", "back"))
+            for block, key, learned in zip(wanted["block"], wanted["key"], wanted["learned"]):
+                key = _ints([key])
+                if of_words:
+                    at = key - keys[0]  # ids have no gaps
+                    out.append((block, key.tobytes(), c[at].tobytes(), v[at].tobytes(), back[at].tobytes()))
+                    continue
+                at = _places_of(keys, key)
+                single = key[~np.frombuffer(learned, bool)]
+                single = single[_places_of(once, single) >= 0]
+                given = np.concatenate([key[at >= 0], single]), np.concatenate([v[at[at >= 0]], np.full(len(single), 1 - d)])
+                out.append((block, given[0].tobytes(), b"", given[1].tobytes(), b""))
+        return _rows(_TOLD_BLOCKS, out)
+
+    return of
+
+
+def _scored_blocks(customers: int, kinds: int, d: float, end: int):
+    """A block's scores from packed rows."""
+    score_of = _scored(customers, kinds, d, end)
+
+    def of(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told = pd.concat([told[told["c"].map(len) > 0], told[told["c"].map(len) == 0]])
+        key, v, c, back = _ints(told["key"]), _ints(told["v"], np.float64), _ints(told["c"]).astype(np.float64), _ints(told["back"], np.float64)
+        none = np.full(len(key) - len(c), np.nan)
+        given = pd.DataFrame({"key": key, "c": np.concatenate([c, none]), "v": v, "back": np.concatenate([back, none])})
+        ids = pd.array(_ints(docs["id"]), "Int64")
+        ids[_ints(docs["no_id"], bool)] = pd.NA
+        words = np.split(_ints(docs["words"], np.int32), np.cumsum(_ints(docs["n"]))[:-1])
+        return score_of(pd.DataFrame({"row": _ints(docs["row"]), "id": ids, "learn": _ints(docs["learn"], bool), "words": words}), given)
 
     return of
 
@@ -346,7 +675,8 @@ def _scored(customers: int, kinds: int, d: float, end: int):
         mass = np.where(np.bincount(at, np.repeat(docs["learn"].to_numpy(bool), n), len(keys)) > 0, 1 - d, 0.0)  # those that are not given were served once, or never
         there = np.searchsorted(keys, held["key"].to_numpy())
         mass[there] = held["v"].to_numpy()
-        word, before = np.searchsorted(ids, w), np.searchsorted(ids, np.append(end, w[:-1]))
+        word = np.searchsorted(ids, w)
+        before = np.append(np.searchsorted(ids, end), word[:-1])
         p = (mass[at] + back[before] * p[word]) / (c[before] + STRENGTH)
         base = np.log10((c + 0.5) / (customers + 0.5 * (kinds + 1)))[word]
         out, start = [], 0
@@ -365,103 +695,97 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
 
 def _scores(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    rows = staged(numbered(rows, "row"), "numbered")
-    block_words = staged(rows.select("row", "text", "learn").mapInPandas(_block_words, "block long, word binary, n long"), "block_words")
+    blocks = staged(numbered(rows, "row").mapInArrow(_blocks, _BLOCKS), "blocks")
+    small_batches(spark, 4)  # rows of blocks are long
     # The end is a word even without rows, so that it has an id.
-    words = block_words.select("word", "n").unionByName(docs.sparkSession.range(1).select(F.lit(b"").alias("word"), F.lit(0).cast("long").alias("n"))).groupBy("word").agg(F.sum("n").alias("c"))
-    words = staged(words.select(F.monotonically_increasing_id().alias("at"), "word", "c"), "vocabulary")
-    found, words = _dense(block_words, words)
-    found = staged(found, "found")
-    discard(block_words)
+    words = blocks.select("word", "size", "c").mapInArrow(_words, "word binary, n long").unionByName(spark.range(1).select(F.lit(b"").alias("word"), F.lit(0).cast("long").alias("n"))).groupBy("word").agg(F.sum("n").alias("c"))
+    vocabulary = staged(words.select(F.monotonically_increasing_id().alias("at"), "word", "c"), "vocabulary")
+    words = _dense(vocabulary).withColumn("block", F.shiftright("at", WORD_BLOCK_BITS))
     end = words.filter(F.length("word") == 0).first()["wid"]
-    texts = rows.withColumn("block", F.shiftright("row", BLOCK_BITS)).groupBy("block")
-    encoded = staged(texts.cogroup(found.groupBy("block")).applyInPandas(_encoded, _ENCODED), "encoded")
-    discard(rows)
-    discard(found)
-
-    total = words.agg(F.sum("c"), F.count_if(F.expr("c > 0"))).first()
+    total = words.agg(F.sum("c"), F.count_if(F.expr("c > 0")), F.count(F.lit(1)), F.sum(F.length("word"))).first()
     customers, kinds = total[0], total[1]
-    block_pairs = encoded.mapInPandas(_block_pairs(end), "block long, pair long, n long")
+    starts = sorted((r["first"], r["block"]) for r in words.groupBy("block").agg(F.min("wid").alias("first")).collect())
+    firsts, word_blocks = (np.array(x, np.int64) for x in zip(*starts))
+    small_batches(spark, 16_384)
+    words = staged(words.select("block", "word", "c", "wid").groupBy("block").applyInPandas(_vocabulary(customers), _WORDS), "vocabulary")
+    discard(vocabulary)
+    small_batches(spark, 4)
+    known = F.length("size") / 4
+    buckets = 1 + int(blocks.agg(F.coalesce(F.sum(known), F.lit(0))).first()[0]) // GROUP_WORDS
+    bucketed = lambda df, ids: df.select("block", ids.alias("id"), "word", "size").mapInPandas(_bucketed(buckets), _ASKED_WORDS).groupBy("bucket")
+    found = bucketed(blocks, F.lit(None).cast("binary")).cogroup(bucketed(words, F.col("wid"))).applyInPandas(_found, _FOUND)
+    coded = blocks.drop("word", "size", "c")
+    encoded = staged(coded.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_encoded, _ENCODED), "encoded")
+    discard(blocks)
+
+    tokens = encoded.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0] // 4
+    block_pairs = encoded.select("n", "learn", "words").mapInPandas(_block_pairs(end, 1 + tokens // GROUP_WORDS), _BLOCK_PAIRS)
     # Pairs that were served once have one table: only those of unlearned texts need be told of them.
-    pairs = block_pairs.groupBy("pair").agg(F.sum("n").alias("c"), F.min("n").alias("least")).filter("c > 1 OR c = 1 AND least = 0")
-    pairs = staged(pairs.select(F.shiftright("pair", 32).alias("u"), "pair", "c"), "pairs")
-    once = staged(pairs.filter("c = 1").select("pair"), "pairs_once")
-    often = pairs.filter("c > 1")
-    seen = often.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.expr("c = 2")), F.count(F.lit(1))).first()
+    pairs = staged(block_pairs.groupBy("part").applyInPandas(_counted, _COUNTED), "pairs")
+    seen = pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("sum_c", "twice", "often")]).first()
     pair_d = discount(customers - seen[0], seen[1])
-    part = F.pmod(F.xxhash64("pair"), F.lit(seen[2] // PART_PAIRS + 1))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    first = often.join(words.select(F.col("wid").alias("u"), F.col("c").alias("cu")), "u").select(part.alias("part"), "pair", "cu", "c", one.alias("t"), none.alias("ts"))
-    first = staged(first, "often")
+    parts = seen[2] // PART_PAIRS + 1
+    first = staged(pairs.select("pair", "c", "once").mapInPandas(_parted(parts), _PARTED).groupBy("part").applyInPandas(_first, _OFTEN), "often")
     discard(pairs)
     pairs = first
 
-    block = F.shiftright("at", WORD_BLOCK_BITS)
-    vocabulary = words
-    words = staged(words.select(block.alias("block"), "wid", "word", "c", F.col("c").alias("k"), F.least("c", one).alias("t"), (F.col("c") / max(1, customers)).alias("now"), F.lit(0.0).alias("p")), "vocabulary")
-    discard(vocabulary)
-    small_batches(docs.sparkSession, 2_048)  # words are short
-    block_cells = staged(words.select("block", "word").groupBy("block").applyInPandas(_block_cells, "block long, cell long"), "block_cells")
-    parts = max(1, block_cells.agg(F.count_distinct("cell")).first()[0] // GROUP_CELLS)
+    groups = 1 + ((total[3] or 0) + total[2]) // GROUP_WORDS
+    cells = words.select("block", "word", "size", "t").mapInPandas(_spelled(groups, True), _SPELLED)
+    trees = max(1, cells.groupBy("part").applyInPandas(_kinds, "cells long").agg(F.sum("cells")).first()[0] // GROUP_CELLS)
     keys, every = np.arange(1 << 8 * SPLIT), range(ORDER + 1 - SPLIT)
-    low, discounts, states = Spelling([_NONE] * SPLIT), [0.5 for _ in every], docs.sparkSession.createDataFrame([], _SEATED)
-    u, w = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
+    low, discounts, states = Spelling([_NONE] * SPLIT), [0.5 for _ in every], spark.createDataFrame([], _SEATED)
+    asking = lambda: staged(pairs.mapInPandas(_asked(word_blocks, firsts), _ASKED), "asked")
+    asked = asking()
     for sweep in range(BURN_IN + SAMPLES):
-        # A context's tables are as many as its customers, less those who sit at a table that was there.
-        tables = F.col("cu") - F.sum(F.col("c") - F.col("t")).over(Window.partitionBy("u"))
-        given = pairs.withColumn("u", u).withColumn("tables", tables).withColumn("wid", w).join(words.select("wid", "now"), "wid")
-        last, pairs = pairs, staged(given.groupBy("part").applyInPandas(_paired(pair_d, sweep), pairs.schema), "often")
+        given = words.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(_given, _GIVEN)
+        last, pairs = pairs, staged(pairs.groupBy("part").cogroup(given.groupBy("part")).applyInPandas(_paired(pair_d, sweep), _OFTEN), "often")
+        discard(last)
+        last, asked = asked, asking()
         discard(last)
-        cut = pairs.groupBy(w.alias("wid")).agg(F.sum(F.col("c") - F.col("t")).alias("cut"))
-        seating = words.drop("k").join(cut, "wid", "left").withColumn("k", F.col("c") - F.coalesce("cut", none)).select(*words.columns)
-        last, words = words, staged(seating.withColumn("t", F.least("t", "k")), "customers")
+        last, words = words, staged(words.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(_reseated, _WORDS), "customers")
         discard(last)
-        total = words.agg(F.sum("k"), F.count_if(F.expr("k = 1")), F.count_if(F.expr("k = 2")), F.sum("t")).first()
-        cells = words.select("word", "t").mapInPandas(_spelled, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-        subtree = F.shiftright("cell", 8).bitwiseAND(F.lit((1 << 8 * SPLIT) - 1))
-        subtrees = cells.withColumn("part", F.pmod(F.xxhash64(subtree), F.lit(parts))).groupBy("part").cogroup(states.groupBy("part"))
+        total = words.agg(*[F.sum(c) for c in ("sum_k", "k_one", "k_two", "sum_t")]).first()
+        spelled = staged(words.select("block", "word", "size", "t").mapInPandas(_spelled(trees), _SPELLED), "spelled")
+        subtrees = spelled.groupBy("part").cogroup(states.groupBy("part"))
         last, states = states, staged(subtrees.applyInPandas(_seated_subtrees(discounts, low.probability(keys), sweep), _SEATED), "subtrees")
         discard(last)
         up = states.select(F.explode(F.arrays_zip("up", "tables")).alias("x")).groupBy("x.up").agg(F.sum("x.tables").alias("n")).toPandas().sort_values("up")
         served = states.agg(*[F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for c in ("once", "twice") for k in every]).first()
         discounts = [discount(served[k], served[len(every) + k]) for k in every]
         low = Spelling.sampled(up["up"].to_numpy(np.int64), up["n"].to_numpy(np.int64), low, np.random.default_rng(sweep))
-        values = block_cells.join(states.select("state").mapInPandas(_values(low.probability(keys)), "cell long, value double"), "cell").select("block", "cell", "value")
-        swept = words.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(_swept(discount(total[1], total[2]), total[0], total[3], sweep), words.schema)
+        values = spelled.drop("n").groupBy("part").cogroup(states.select("part", "state").groupBy("part")).applyInPandas(_values(low.probability(keys)), _VALUES)
+        swept = words.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(_swept(discount(total[1], total[2]), total[0], total[3], sweep, trees), _WORDS)
         last, words = words, staged(swept, "vocabulary")
         discard(last)
+        discard(spelled)
     discard(states)
-    discard(block_cells)
-
-    # A pair's customers without its tables' discounts, and a context's weight of its parent, at the mean numbers of tables.
-    small_batches(docs.sparkSession)
-    tables = F.col("ts") / SAMPLES
-    mass = pairs.select("pair", (F.col("c") - pair_d * tables).alias("v"), F.lit(True).alias("often")).unionByName(once.select("pair", F.lit(1 - pair_d).alias("v"), F.lit(False).alias("often")))
-    cut = pairs.groupBy(u.alias("wid")).agg(F.sum(F.col("c") - tables).alias("cut"))
-    back = STRENGTH + pair_d * (F.col("c") - F.coalesce("cut", F.lit(0.0)))
-    known = staged(words.join(cut, "wid", "left").select("wid", "c", (F.col("p") / SAMPLES).alias("v"), back.alias("back")), "known")
+    discard(asked)
+
+    contexts_of = pairs.mapInPandas(_asked(word_blocks, firsts, True), _ASKED)
+    told = words.groupBy("block").cogroup(contexts_of.groupBy("block")).applyInPandas(lambda w, a: _told_words(w, a, pair_d), _TOLD)
+    known = staged(told.unionByName(pairs.mapInPandas(_told_pairs(pair_d), _TOLD)), "known")
     discard(words)
-    turns = 1 + min(TURNS - 1, (encoded.agg(F.sum(F.size("words"))).first()[0] or 0) // TURN_WORDS)
+    discard(pairs)
+    turns = 1 + min(TURNS - 1, tokens // TURN_WORDS)
 
     def scored(turn: int) -> DataFrame:
         some = encoded.filter(F.pmod(F.xxhash64("block"), F.lit(turns)) == turn)
-        of_pairs = some.mapInPandas(_block_pairs(end), "block long, pair long, n long").join(mass, "pair").filter("often OR n = 0")
-        of_pairs = of_pairs.select("block", F.col("pair").alias("key"), F.lit(None).cast("long").alias("c"), "v", F.lit(None).cast("double").alias("back"))
-        # A block that files split comes twice, which changes nothing.
-        of_words = some.mapInPandas(_block_ids, "block long, wid long").join(known, "wid").select("block", F.col("wid").alias("key"), "c", "v", "back")
-        out = some.groupBy("block").cogroup(of_words.unionByName(of_pairs).groupBy("block"))
-        return staged(out.applyInPandas(_scored(customers, kinds, pair_d, end), "row long, id long, n_tokens long, n_known long, base_score double, score double"), "scores")
+        wanted = some.select("block", "n", "learn", "words").mapInPandas(_wanted(end, parts, word_blocks, firsts), _WANTED)
+        told = wanted.groupBy("place").cogroup(known.groupBy("place")).applyInPandas(_told(pair_d), _TOLD_BLOCKS)
+        out = some.groupBy("block").cogroup(told.groupBy("block"))
+        return staged(out.applyInPandas(_scored_blocks(customers, kinds, pair_d, end), "row long, id long, n_tokens long, n_known long, base_score double, score double"), "scores")
 
     out = reduce(DataFrame.unionByName, [scored(turn) for turn in range(turns)])
-    for table in (encoded, known, pairs, once):
+    for table in (encoded, known):
         discard(table)
     return out.select("row", "id", "n_tokens", "n_known", F.lit(customers).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _dense(found: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The words' numbers ``wid`` without gaps, as pairs of them must fit 64 bits, for the words of blocks (block, word, wid) and the vocabulary (at, word, c, wid)."""
+def _dense(words: DataFrame) -> DataFrame:
+    """The vocabulary (at, word, c) with the words' numbers ``wid`` without gaps, as pairs of them must fit 64 bits."""
     task = F.shiftright("at", 33)
     counts = dict(words.groupBy(task.cast("int").alias("task")).count().collect())
     starts, start = [], 0
@@ -471,5 +795,4 @@ def _dense(found: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     if start >= 1 << 31:
         raise ValueError(f"{start} distinct words are more than ids of 31 bits can tell apart")
     wid = F.array(*[F.lit(x).cast("long") for x in starts])[task.cast("int")] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    words = words.withColumn("wid", wid)
-    return found.select("block", "word").join(words.select("word", "wid"), "word"), words
+    return words.withColumn("wid", wid)
