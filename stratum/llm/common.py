@@ -47,10 +47,11 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage and fixes its rows."""
+def staged(df: DataFrame, name: str, by: str | None = None, codec: str = "zstd") -> DataFrame:
+    """Writes ``df`` to the shared folder, in a folder for each value of ``by``, and reads it back: cuts lineage and fixes its rows."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", codec)
+    (out.partitionBy(by) if by else out).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     if (made := _MADE.get()) is not None:
         made.append(out)
@@ -83,8 +84,10 @@ def discard(df: DataFrame) -> None:
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     root = f"{shared_dir(df.sparkSession)}/stratum/"
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
+        path, top = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(root)
+        if path.toUri().getPath().startswith(top.toUri().getPath()):
+            while path.getParent().toUri().getPath() != top.toUri().getPath():   # the folder of one value
+                path = path.getParent()
             path.getFileSystem(conf).delete(path, True)
 
 

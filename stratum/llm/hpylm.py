@@ -29,10 +29,11 @@ are all that reaches the driver.  The predictive values of the cells go back by
 join to the blocks of 16,384 words that have them.  Discounts of a subtree's
 levels come from all subtrees' counts in the sweep before.
 
-All counts cover all texts.  Texts are dealt in blocks of 1024 rows: a block's
-words and counts go to the words' tasks, and their ids come back to the
-block, so that a word that is in every text costs one row a block.  Texts are
-kept as ids from then on, and pairs and words come back to the blocks likewise;
+All counts cover all texts.  Texts are dealt in blocks of 1024 rows, and kept as
+ids of words.  Between blocks, parts of the pairs, blocks of the vocabulary and
+subtrees go packed rows: arrays, as bytes, of all that the one has to tell the other.
+So a word that is in every text is told once a block, and numbers are added up by
+numpy, not row by row.  Pairs and words come back to the blocks likewise;
 pairs that were seen once go only to blocks where no learned text has them.
 Tables and shuffle files that nothing reads any more are deleted on the way.  Blocks
 are scored in up to TURNS turns, so that only a share of the texts' pairs and
@@ -46,7 +47,7 @@ rows give no rows.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -54,7 +55,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.common import discard, numbered, shuffles_deleted, small_batches, staged
@@ -197,9 +198,14 @@ def _ints(values, kind=np.int64) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, kind), *parts])
 
 
+def _order(to: np.ndarray) -> np.ndarray:
+    """A stable order, which takes one pass where 16 bits will do."""
+    return np.argsort(to.astype(np.uint16) if len(to) and to.min() >= 0 and to.max() < 1 << 16 else to, kind="stable")
+
+
 def _dealt(to: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """Rows by where they go, in their order: (place, columns as bytes)."""
-    order = np.argsort(to, kind="stable")
+    order = _order(to)
     to = to[order]
     starts = np.flatnonzero(np.concatenate([[True], np.diff(to) != 0])) if len(to) else np.empty(0, np.int64)
     columns = [c[order] for c in columns]
@@ -269,26 +275,35 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of blocks."""
+    """(word, n) of blocks, of several at once."""
+    held, rows = [], 0
+
+    def done() -> pa.RecordBatch:
+        coded = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+        n = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(n, coded.indices.to_numpy(), np.concatenate([c for _, c in held]))
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n)], ["word", "n"])
+
     for b in batches:
         for word, size, c in zip(*(b.column(x).to_pylist() for x in ("word", "size", "c"))):
-            yield pa.RecordBatch.from_arrays([_binary([word], [size]), pa.array(_ints([c]))], ["word", "n"])
+            held.append((_binary([word], [size]), _ints([c])))
+            rows += len(c) // 8 + len(word) // 8   # words, or bytes, are to fit
+            if rows > 2 * GROUP_WORDS:
+                yield done()
+                held, rows = [], 0
+    if held:
+        yield done()
 
 
-_WORDS = "block long, wid binary, word binary, size binary, c binary, k binary, t binary, now binary, p binary, sum_k long, k_one long, k_two long, sum_t long"
+_WORDS = "block long, wid binary, word binary, size binary, c binary, t binary, p binary"
 
 
-def _vocabulary(customers: int):
+def _vocabulary(words: pd.DataFrame) -> pd.DataFrame:
     """A block of the vocabulary (block, word, c, wid) as one row, in the order of the words."""
-
-    def of(words: pd.DataFrame) -> pd.DataFrame:
-        words = words.sort_values("word")
-        c, size = words["c"].to_numpy(np.int64), words["word"].map(len).to_numpy(np.int32)
-        now = c / max(1, customers)
-        packed = (words["wid"].to_numpy(np.int64), b"".join(words["word"]), size, c, c, np.minimum(c, 1), now, np.zeros(len(c)))
-        return _rows(_WORDS, [(words["block"].iloc[0], *(v if isinstance(v, bytes) else v.tobytes() for v in packed), 0, 0, 0, 0)])
-
-    return of
+    words = words.sort_values("word")
+    c, size = words["c"].to_numpy(np.int64), words["word"].map(len).to_numpy(np.int32)
+    packed = (words["wid"].to_numpy(np.int64), b"".join(words["word"]), size, c, np.minimum(c, 1), np.zeros(len(c)))
+    return _rows(_WORDS, [(words["block"].iloc[0], *(v if isinstance(v, bytes) else v.tobytes() for v in packed))])
 
 
 def _listed(words: pd.DataFrame) -> list[bytes]:
@@ -313,7 +328,7 @@ def _bucketed(buckets: int):
                     power = np.cumprod(np.full(int(size.max(initial=0)), 0x9E3779B185EBCA87, np.uint64))
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)) * power[place])])
                     to = np.mod(_hashed(sums[starts + size] - sums[starts]), buckets)
-                order = np.argsort(to, kind="stable")
+                order = _order(to)
                 ids = (np.arange(len(size), dtype=np.int64) if ids is None else _ints([ids]))[order]
                 data, size = _packed(_binary([word], [size.tobytes()]).take(pa.array(order)))
                 ends, cuts = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), np.searchsorted(to[order], np.arange(buckets + 1))
@@ -349,14 +364,14 @@ def _joined(words: Iterable[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarr
     return w[1:], w[:-1] << 32 | w[1:]
 
 
-def _pairs_of(end: int, n: bytes, learn: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's words, its pairs in order, and how often learned texts have each."""
-    w, pairs = _joined([_ints([words], np.int32)], end)
+def _pairs_of(end: int, n: bytes, learn: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A block's pairs in order, and how often learned texts have each."""
+    pairs = _joined([_ints([words], np.int32)], end)[1]
     pairs = pairs << 1 | np.repeat(np.frombuffer(learn, bool), _ints([n]))
     pairs.sort()
     keys = pairs >> 1
     starts = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
-    return w, keys[starts], np.add.reduceat(pairs & 1, starts)
+    return keys[starts], np.add.reduceat(pairs & 1, starts)
 
 
 _BLOCK_PAIRS = "part long, pair binary, n binary"
@@ -368,7 +383,7 @@ def _block_pairs(end: int, parts: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for n, learn, words in zip(b["n"], b["learn"], b["words"]):
-                _, pairs, times = _pairs_of(end, n, learn, words)
+                pairs, times = _pairs_of(end, n, learn, words)
                 yield _rows(_BLOCK_PAIRS, _dealt(np.mod(_hashed(pairs), parts), pairs, times.astype(np.int32)))
 
     return of
@@ -404,32 +419,44 @@ def _parted(parts: int):
 _OFTEN = "part long, pair binary, c binary, t binary, ts binary, once binary"
 
 
-def _first(rows: pd.DataFrame) -> pd.DataFrame:
-    """A part's pairs in order, with one table each."""
-    pair, c = _ints(rows["pair"]), _ints(rows["c"])
-    order = np.argsort(pair)
-    packed = (pair[order], c[order], np.ones(len(c), np.int64), np.zeros(len(c), np.int64), np.sort(_ints(rows["once"])))
-    return _rows(_OFTEN, [(rows["part"].iloc[0], *(v.tobytes() for v in packed))])
+_ASKED = "block long, part long, of_context boolean, wid binary, cut binary"
+_SEATED_PAIRS = f"{_OFTEN}, {_ASKED.replace(', part long', '')}"
 
 
-_ASKED = "block long, part long, of_context boolean, wid binary, cut binary"
+def _asked(of_blocks: Callable, part: int, of_context: bool, ids: np.ndarray, at: np.ndarray, cut: np.ndarray) -> list[tuple]:
+    """What a part's pairs have to do with each block of the vocabulary: their words, or the contexts, with the customers that share a table there."""
+    return [(k, part, of_context, *x) for k, *x in _dealt(of_blocks(ids), ids, np.bincount(at, cut, len(ids)))]
+
+
+def _first(of_blocks: Callable):
+    """A part's pairs in order, with one table each, and what they ask for."""
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        pair, c = _ints(rows["pair"]), _ints(rows["c"])
+        order = np.argsort(pair)
+        return _pairs_row(of_blocks, int(rows["part"].iloc[0]), pair[order], c[order], np.ones(len(c), np.int64), np.zeros(len(c), np.int64), np.sort(_ints(rows["once"])).tobytes())
+
+    return of
+
+
+def _pairs_row(of_blocks: Callable, part: int, pair: np.ndarray, c: np.ndarray, t: np.ndarray, ts: np.ndarray, once: bytes, kinds: dict | None = None) -> pd.DataFrame:
+    kinds = kinds or _kinds_of(pair)
+    asked = [x for of_context, (ids, at) in kinds.items() for x in _asked(of_blocks, part, of_context, ids, at, c - t)]
+    return pd.concat([_rows(_OFTEN, [(part, *(x.tobytes() for x in (pair, c, t, ts)), once)]), _rows(_ASKED, asked)])[[x.split()[0] for x in _SEATED_PAIRS.split(", ")]].astype({"block": "Int64"})
 
 
-def _asked(blocks: np.ndarray, firsts: np.ndarray, mean: bool = False):
-    """What a part's pairs have to do with each block of the vocabulary: their words, and the contexts, with the customers that share a table there.
+def _kinds_of(pair: np.ndarray) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
+    """The pairs' contexts (True) and words (False), and which each pair has."""
+    return {True: np.unique(pair >> 32, return_inverse=True), False: np.unique(pair & 0xFFFFFFFF, return_inverse=True)}
 
-    Of the tables' means it tells the contexts alone."""
+
+def _mean_asked(of_blocks: Callable):
+    """What pairs have to do with contexts, by the means of their tables."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part, pair, c, t in zip(b["part"], b["pair"], b["c"], b["ts"] if mean else b["t"]):
-                pair, out = _ints([pair]), []
-                cut = _ints([c]) - (_ints([t]) / SAMPLES if mean else _ints([t]))
-                for of_context, x in ((True, pair >> 32), *(() if mean else ((False, pair & 0xFFFFFFFF),))):
-                    ids, at = np.unique(x, return_inverse=True)
-                    sums = np.bincount(at, cut, len(ids))
-                    out += [(k, part, of_context, i, s) for k, i, s in _dealt(blocks[np.searchsorted(firsts, ids, "right") - 1], ids, sums)]
-                yield _rows(_ASKED, out)
+            for part, pair, c, ts in zip(b["part"], b["pair"], b["c"], b["ts"]):
+                yield _rows(_ASKED, _asked(of_blocks, part, True, *np.unique(_ints([pair]) >> 32, return_inverse=True), _ints([c]) - _ints([ts]) / SAMPLES))
 
     return of
 
@@ -446,58 +473,82 @@ def _cut(words: pd.DataFrame, asked: pd.DataFrame, of_context: bool) -> np.ndarr
     """Of each word of a block, the customers that share a table, of all parts."""
     first, place = _places(words)
     mine = asked[asked["of_context"] == of_context]
-    ids = [_ints(mine["wid"]) - first, _ints(mine["cut"], np.float64)]
-    return np.bincount(place[ids[0]], ids[1], len(place))
+    return np.bincount(place[_ints(mine["wid"]) - first], _ints(mine["cut"], np.float64), len(place))
 
 
 _GIVEN = "part long, block long, of_context boolean, value binary"
 
 
-def _given(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+def _given_rows(words: pd.DataFrame, asked: pd.DataFrame, now: np.ndarray) -> list[tuple]:
     """The tables of parts' contexts, and the probability of their words.
 
     A context's tables are as many as its customers, less those who sit at a table that was there."""
     first, place = _places(words)
-    tables, now = _ints(words["c"]) - _cut(words, asked, True), _ints(words["now"], np.float64)
-    out = [(part, block, of_context, (tables if of_context else now)[place[_ints([wid]) - first]].tobytes()) for block, part, of_context, wid in zip(asked["block"], asked["part"], asked["of_context"], asked["wid"])]
-    return _rows(_GIVEN, out)
+    tables = _ints(words["c"]) - _cut(words, asked, True)
+    return [(part, block, of_context, (tables if of_context else now)[place[_ints([wid]) - first]].tobytes()) for block, part, of_context, wid in zip(asked["block"], asked["part"], asked["of_context"], asked["wid"])]
+
 
+def _given(customers: int):
+    return lambda words, asked: _rows(_GIVEN, _given_rows(words, asked, _ints(words["c"]) / max(1, customers)))
 
-def _paired(d: float, seed: int):
+
+def _paired(d: float, seed: int, of_blocks: Callable):
     """One sweep over a part's pairs, given their contexts' tables and their words' probabilities: tables seated anew, and summed where they count."""
 
     def of(pairs: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        rng, given = np.random.default_rng([seed, int(pairs["part"].iloc[0])]), given.sort_values("block")
+        part, given = int(pairs["part"].iloc[0]), given.sort_values("block")
         pair, c, t, ts = (_ints(pairs[x]) for x in ("pair", "c", "t", "ts"))
-        value = lambda of_context, x: _ints(given["value"][given["of_context"] == of_context], np.float64)[np.unique(x, return_inverse=True)[1]]
-        t = seated(c, value(False, pair & 0xFFFFFFFF), value(True, pair >> 32) - t, d, rng)
-        return pairs.assign(t=[t.tobytes()], ts=[(ts + (t if seed >= BURN_IN else 0)).tobytes()])
+        kinds = _kinds_of(pair)
+        tables, now = (_ints(given["value"][given["of_context"] == of_context], np.float64)[kinds[of_context][1]] for of_context in (True, False))
+        t = seated(c, now, tables - t, d, np.random.default_rng([seed, part]))
+        return _pairs_row(of_blocks, part, pair, c, t, ts + (t if seed >= BURN_IN else 0), pairs["once"].iloc[0], kinds)
+
+    return of
+
+
+_SPELLED = "part long, block long, cell binary, n binary"
+_CUSTOMERS = f"{_WORDS}, k binary, sum_k long, k_one long, k_two long, sum_t long, part long, cell binary, n binary"
+
+
+def _reseated(parts: int):
+    """The customers of a block's words, after a sweep over the pairs, and (part, block, cell, n) of their tables; n is 0 for cells that only words without tables have."""
+
+    def of(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        k = _ints(words["c"]) - _cut(words, asked, False).astype(np.int64)
+        t = np.minimum(_ints(words["t"]), k)
+        which, cells = contexts(_listed(words))
+        keys, at = np.unique(cells, return_inverse=True)
+        n = np.bincount(at, t[which], len(keys)).astype(np.int64)
+        spelled = _rows(_SPELLED, [(to, words["block"].iloc[0], *x) for to, *x in _dealt(_subtree(keys, parts), keys, n)])
+        words = words.assign(k=[k.tobytes()], t=[t.tobytes()], sum_k=int(k.sum()), k_one=int((k == 1).sum()), k_two=int((k == 2).sum()), sum_t=int(t.sum()))
+        sums = dict.fromkeys(("sum_k", "k_one", "k_two", "sum_t", "part"), "Int64")
+        return pd.concat([words, spelled])[[x.split()[0] for x in _CUSTOMERS.split(", ")]].astype(sums)
 
     return of
 
 
-def _reseated(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """The customers of a block's words, after a sweep over the pairs."""
-    k = _ints(words["c"]) - _cut(words, asked, False).astype(np.int64)
-    t = np.minimum(_ints(words["t"]), k)
-    return words.assign(k=[k.tobytes()], t=[t.tobytes()], sum_k=int(k.sum()), k_one=int((k == 1).sum()), k_two=int((k == 2).sum()), sum_t=int(t.sum()))
+_SWEPT = f"{_WORDS}, {_GIVEN.replace(', block long', '')}"
 
 
 def _swept(d: float, customers: int, tables: int, seed: int, parts: int):
-    """One sweep over a block's words, given its cells' values: tables of the ``k`` customers seated anew, and the predictive probability added where it counts."""
+    """One sweep over a block's words, given its cells' values: tables of the ``k`` customers seated anew, and the predictive probability added where it counts.
+
+    What parts asked for is given as well."""
 
-    def of(words: pd.DataFrame, spelled: pd.DataFrame) -> pd.DataFrame:
+    def of(words: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        spelled, asked = told[told["value"].notna()], told[told["value"].isna()]
         rng = np.random.default_rng([seed, int(words["block"].iloc[0])])
         which, cells = contexts(_listed(words))
         keys, at = np.unique(cells, return_inverse=True)
         value = np.empty(len(keys))
-        value[np.argsort(_subtree(keys, parts), kind="stable")] = np.log(_ints(spelled.sort_values("part")["value"], np.float64))
+        value[_order(_subtree(keys, parts))] = np.log(_ints(spelled.sort_values("part")["value"], np.float64))
         c, t = _ints(words["k"]), _ints(words["t"])
         base = np.exp(np.bincount(which, value[at], minlength=len(c)))
         t = seated(c, base, tables - t, d, rng)
         now = (c - d * t + (STRENGTH + d * tables) * base) / (customers + STRENGTH)
         p = _ints(words["p"], np.float64) + (now if seed >= BURN_IN else 0)
-        return words.assign(t=[t.tobytes()], now=[now.tobytes()], p=[p.tobytes()])
+        given = _rows(_GIVEN, _given_rows(words, asked, now) if seed < BURN_IN + SAMPLES - 1 else [])
+        return pd.concat([words.assign(t=[t.tobytes()], p=[p.tobytes()]), given])[[x.split()[0] for x in _SWEPT.split(", ")]].astype({"part": "Int64"})
 
     return of
 
@@ -507,27 +558,20 @@ def _subtree(cells: np.ndarray, parts: int) -> np.ndarray:
     return np.mod(_hashed(cells >> 8 & (1 << 8 * SPLIT) - 1), parts)
 
 
-_SPELLED = "part long, block long, cell binary, n binary"
-
-
-def _spelled(parts: int, all_parts: bool = False):
-    """(part, block, cell, n) of the tables of blocks of words; n is 0 for cells that only words without tables have.  Parts are of subtrees, or of all cells."""
+def _cells(groups: int):
+    """(part, cell) of blocks of words, by a hash of the cell."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(len(b)):
-                words = b.iloc[i : i + 1]
-                which, cells = contexts(_listed(words))
-                keys, at = np.unique(cells, return_inverse=True)
-                n = np.bincount(at, _ints(words["t"])[which], len(keys)).astype(np.int64)
-                to = np.mod(_hashed(keys), parts) if all_parts else _subtree(keys, parts)
-                yield _rows(_SPELLED, [(k, words["block"].iloc[0], *x) for k, *x in _dealt(to, keys, n)])
+                keys = np.unique(contexts(_listed(b.iloc[i : i + 1]))[1])
+                yield _rows("part, cell", _dealt(np.mod(_hashed(keys), groups), keys))
 
     return of
 
 
-def _kinds(spelled: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"cells": [len(np.unique(_ints(spelled["cell"])))]})
+def _kinds(cells: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"cells": [len(np.unique(_ints(cells["cell"])))]})
 
 
 _SEATED = "part long, state binary, up array<long>, tables array<long>, once array<long>, twice array<long>"
@@ -587,16 +631,16 @@ def _told_pairs(d: float):
 _WANTED = "place long, block long, key binary, learned binary"
 
 
-def _wanted(end: int, parts: int, blocks: np.ndarray, firsts: np.ndarray):
+def _wanted(end: int, parts: int, of_blocks: Callable):
     """The pairs, and the words, that blocks have."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for block, n, learn, words in zip(b["block"], b["n"], b["learn"], b["words"]):
-                w, pairs, times = _pairs_of(end, n, learn, words)
-                ids = np.unique(w)
+                pairs, times = _pairs_of(end, n, learn, words)
+                ids = np.unique(pairs >> 32)   # every word is before one, the end at a text's start
                 out = [(k, block, *x) for k, *x in _dealt(np.mod(_hashed(pairs), parts), pairs, times > 0)]
-                yield _rows(_WANTED, out + [(k, block, x, b"") for k, x in _dealt(-1 - blocks[np.searchsorted(firsts, ids, "right") - 1], ids)])
+                yield _rows(_WANTED, out + [(k, block, x, b"") for k, x in _dealt(-1 - of_blocks(ids), ids)])
 
     return of
 
@@ -651,15 +695,17 @@ def _scored_blocks(customers: int, kinds: int, d: float, end: int):
     return of
 
 
-def in_document(dish: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The probability of each word of a document given those before it, when the corpus gives ``p``: its restaurant has one table a dish."""
-    n = np.arange(len(dish))
-    order = np.argsort(dish, kind="stable")
-    new = np.concatenate([[True], np.diff(dish[order]) != 0])
+def in_documents(dish: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The probability of each word of documents of ``n`` words given those before it there, when the corpus gives ``p``: a document's restaurant has one table a dish."""
+    starts = np.repeat(np.cumsum(n) - n, n)
+    place = np.arange(len(dish))
+    order = np.lexsort((dish, starts))
+    new = np.concatenate([[True], (np.diff(dish[order]) != 0) | (np.diff(starts[order]) != 0)])
     before = np.empty(len(dish), np.int64)
-    before[order] = n - np.maximum.accumulate(np.where(new, n, 0))
-    tables = np.cumsum(before == 0) - (before == 0)
-    return (before - DOC_DISCOUNT * (before > 0) + (DOC_STRENGTH + DOC_DISCOUNT * tables) * p) / (DOC_STRENGTH + n)
+    before[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    first = np.cumsum(before == 0) - (before == 0)
+    tables, place = first - first[starts], place - starts
+    return (before - DOC_DISCOUNT * (before > 0) + (DOC_STRENGTH + DOC_DISCOUNT * tables) * p) / (DOC_STRENGTH + place)
 
 
 def _scored(customers: int, kinds: int, d: float, end: int):
@@ -675,15 +721,18 @@ def _scored(customers: int, kinds: int, d: float, end: int):
         mass = np.where(np.bincount(at, np.repeat(docs["learn"].to_numpy(bool), n), len(keys)) > 0, 1 - d, 0.0)  # those that are not given were served once, or never
         there = np.searchsorted(keys, held["key"].to_numpy())
         mass[there] = held["v"].to_numpy()
-        word = np.searchsorted(ids, w)
+        if len(w) and ids[-1] - ids[0] < 8 * len(w):   # a table is faster than a search
+            place = np.empty(ids[-1] - ids[0] + 1, np.int64)
+            place[ids - ids[0]] = np.arange(len(ids))
+            word = place[w - ids[0]]
+        else:
+            word = np.searchsorted(ids, w)
         before = np.append(np.searchsorted(ids, end), word[:-1])
         p = (mass[at] + back[before] * p[word]) / (c[before] + STRENGTH)
         base = np.log10((c + 0.5) / (customers + 0.5 * (kinds + 1)))[word]
-        out, start = [], 0
-        for row, i, k in zip(docs["row"], docs["id"], n):
-            here = slice(start, start := start + k)
-            out.append((row, i, k, int((c[word[here]] > 0).sum()), base[here].sum(), np.log10(in_document(word[here], p[here])).sum()))
-        return pd.DataFrame(out, columns=["row", "id", "n_tokens", "n_known", "base_score", "score"]).astype({"id": "Int64"})
+        scores, starts = np.log10(in_documents(word, n, p)), np.cumsum(n) - n
+        sums = {"n_known": np.add.reduceat((c > 0)[word], starts, dtype=np.int64), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(scores, starts)}
+        return docs[["row", "id"]].assign(n_tokens=n, **sums).astype({"id": "Int64"})
 
     return of
 
@@ -699,81 +748,79 @@ def _scores(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataF
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     blocks = staged(numbered(rows, "row").mapInArrow(_blocks, _BLOCKS), "blocks")
-    small_batches(spark, 4)  # rows of blocks are long
     # The end is a word even without rows, so that it has an id.
     words = blocks.select("word", "size", "c").mapInArrow(_words, "word binary, n long").unionByName(spark.range(1).select(F.lit(b"").alias("word"), F.lit(0).cast("long").alias("n"))).groupBy("word").agg(F.sum("n").alias("c"))
     vocabulary = staged(words.select(F.monotonically_increasing_id().alias("at"), "word", "c"), "vocabulary")
     words = _dense(vocabulary).withColumn("block", F.shiftright("at", WORD_BLOCK_BITS))
-    end = words.filter(F.length("word") == 0).first()["wid"]
-    total = words.agg(F.sum("c"), F.count_if(F.expr("c > 0")), F.count(F.lit(1)), F.sum(F.length("word"))).first()
-    customers, kinds = total[0], total[1]
-    starts = sorted((r["first"], r["block"]) for r in words.groupBy("block").agg(F.min("wid").alias("first")).collect())
-    firsts, word_blocks = (np.array(x, np.int64) for x in zip(*starts))
-    small_batches(spark, 16_384)
-    words = staged(words.select("block", "word", "c", "wid").groupBy("block").applyInPandas(_vocabulary(customers), _WORDS), "vocabulary")
+    counts = words.groupBy("block").agg(F.min("wid").alias("first"), F.sum("c").alias("c"), F.count_if(F.expr("c > 0")).alias("kinds"), F.sum(F.length("word") + 1).alias("cells"), F.max(F.expr("IF(length(word) = 0, wid, NULL)")).alias("end")).toPandas().sort_values("first")
+    customers, kinds, end = int(counts["c"].sum()), int(counts["kinds"].sum()), int(counts["end"].max())
+    firsts, word_blocks = counts["first"].to_numpy(np.int64), counts["block"].to_numpy(np.int64)
+    of_blocks = lambda ids: word_blocks[np.searchsorted(firsts, ids, "right") - 1]
+    small_batches(spark, 1 << WORD_BLOCK_BITS)  # words are short
+    words = staged(words.select("block", "word", "c", "wid").groupBy("block").applyInPandas(_vocabulary, _WORDS), "vocabulary")
     discard(vocabulary)
-    small_batches(spark, 4)
+    small_batches(spark)  # rows of blocks are long; Spark ends a batch at 64 MB
     known = F.length("size") / 4
     buckets = 1 + int(blocks.agg(F.coalesce(F.sum(known), F.lit(0))).first()[0]) // GROUP_WORDS
     bucketed = lambda df, ids: df.select("block", ids.alias("id"), "word", "size").mapInPandas(_bucketed(buckets), _ASKED_WORDS).groupBy("bucket")
     found = bucketed(blocks, F.lit(None).cast("binary")).cogroup(bucketed(words, F.col("wid"))).applyInPandas(_found, _FOUND)
     coded = blocks.drop("word", "size", "c")
-    encoded = staged(coded.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_encoded, _ENCODED), "encoded")
+    tokens = blocks.agg(F.coalesce(F.sum(F.length("code")), F.lit(0))).first()[0] // 4
+    turns = 1 + min(TURNS - 1, tokens // TURN_WORDS)
+    encoded = coded.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_encoded, _ENCODED)
+    encoded = staged(encoded.withColumn("turn", F.pmod(F.xxhash64("block"), F.lit(turns)).cast("int")), "encoded", "turn")
     discard(blocks)
 
-    tokens = encoded.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0] // 4
     block_pairs = encoded.select("n", "learn", "words").mapInPandas(_block_pairs(end, 1 + tokens // GROUP_WORDS), _BLOCK_PAIRS)
     # Pairs that were served once have one table: only those of unlearned texts need be told of them.
     pairs = staged(block_pairs.groupBy("part").applyInPandas(_counted, _COUNTED), "pairs")
     seen = pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("sum_c", "twice", "often")]).first()
     pair_d = discount(customers - seen[0], seen[1])
     parts = seen[2] // PART_PAIRS + 1
-    first = staged(pairs.select("pair", "c", "once").mapInPandas(_parted(parts), _PARTED).groupBy("part").applyInPandas(_first, _OFTEN), "often")
+    columns = lambda schema: [c.split()[0] for c in schema.split(", ")]
+    # Tables that a sweep leaves have rows of two kinds: of pairs and what they ask for, of words and their cells, of words and what parts are given.
+    seating = staged(pairs.select("pair", "c", "once").mapInPandas(_parted(parts), _PARTED).groupBy("part").applyInPandas(_first(of_blocks), _SEATED_PAIRS), "often", codec="snappy")
     discard(pairs)
-    pairs = first
+    pairs, asked = seating.filter("block IS NULL").select(*columns(_OFTEN)), seating.filter("block IS NOT NULL").select(*columns(_ASKED))
 
-    groups = 1 + ((total[3] or 0) + total[2]) // GROUP_WORDS
-    cells = words.select("block", "word", "size", "t").mapInPandas(_spelled(groups, True), _SPELLED)
+    groups = 1 + int(counts["cells"].sum()) // GROUP_WORDS
+    cells = words.select("block", "word", "size").mapInPandas(_cells(groups), "part long, cell binary")
     trees = max(1, cells.groupBy("part").applyInPandas(_kinds, "cells long").agg(F.sum("cells")).first()[0] // GROUP_CELLS)
     keys, every = np.arange(1 << 8 * SPLIT), range(ORDER + 1 - SPLIT)
     low, discounts, states = Spelling([_NONE] * SPLIT), [0.5 for _ in every], spark.createDataFrame([], _SEATED)
-    asking = lambda: staged(pairs.mapInPandas(_asked(word_blocks, firsts), _ASKED), "asked")
-    asked = asking()
+    swept, given = words, words.select("block", "wid", "c").groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(_given(customers), _GIVEN)
     for sweep in range(BURN_IN + SAMPLES):
-        given = words.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(_given, _GIVEN)
-        last, pairs = pairs, staged(pairs.groupBy("part").cogroup(given.groupBy("part")).applyInPandas(_paired(pair_d, sweep), _OFTEN), "often")
-        discard(last)
-        last, asked = asked, asking()
+        last, seating = seating, staged(pairs.groupBy("part").cogroup(given.groupBy("part")).applyInPandas(_paired(pair_d, sweep, of_blocks), _SEATED_PAIRS), "often", codec="snappy")
         discard(last)
-        last, words = words, staged(words.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(_reseated, _WORDS), "customers")
+        pairs, asked = seating.filter("block IS NULL").select(*columns(_OFTEN)), seating.filter("block IS NOT NULL").select(*columns(_ASKED))
+        last, reseated = swept, staged(words.groupBy("block").cogroup(asked.filter("NOT of_context").groupBy("block")).applyInPandas(_reseated(trees), _CUSTOMERS), "customers", codec="snappy")
         discard(last)
-        total = words.agg(*[F.sum(c) for c in ("sum_k", "k_one", "k_two", "sum_t")]).first()
-        spelled = staged(words.select("block", "word", "size", "t").mapInPandas(_spelled(trees), _SPELLED), "spelled")
+        total = reseated.agg(*[F.sum(c) for c in ("sum_k", "k_one", "k_two", "sum_t")]).first()
+        spelled = reseated.filter("part IS NOT NULL").select(*columns(_SPELLED))
         subtrees = spelled.groupBy("part").cogroup(states.groupBy("part"))
-        last, states = states, staged(subtrees.applyInPandas(_seated_subtrees(discounts, low.probability(keys), sweep), _SEATED), "subtrees")
+        last, states = states, staged(subtrees.applyInPandas(_seated_subtrees(discounts, low.probability(keys), sweep), _SEATED), "subtrees", codec="snappy")
         discard(last)
         up = states.select(F.explode(F.arrays_zip("up", "tables")).alias("x")).groupBy("x.up").agg(F.sum("x.tables").alias("n")).toPandas().sort_values("up")
         served = states.agg(*[F.coalesce(F.sum(F.col(c)[k]), F.lit(0)) for c in ("once", "twice") for k in every]).first()
         discounts = [discount(served[k], served[len(every) + k]) for k in every]
         low = Spelling.sampled(up["up"].to_numpy(np.int64), up["n"].to_numpy(np.int64), low, np.random.default_rng(sweep))
         values = spelled.drop("n").groupBy("part").cogroup(states.select("part", "state").groupBy("part")).applyInPandas(_values(low.probability(keys)), _VALUES)
-        swept = words.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(_swept(discount(total[1], total[2]), total[0], total[3], sweep, trees), _WORDS)
-        last, words = words, staged(swept, "vocabulary")
-        discard(last)
-        discard(spelled)
+        told = values.unionByName(asked if sweep < BURN_IN + SAMPLES - 1 else asked.filter("false"), allowMissingColumns=True)
+        words = reseated.filter("part IS NULL").select(*columns(_WORDS), "k")
+        swept = staged(words.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_swept(discount(total[1], total[2]), total[0], total[3], sweep, trees), _SWEPT), "vocabulary", codec="snappy")
+        discard(reseated)
+        words, given = swept.filter("part IS NULL").select(*columns(_WORDS)), swept.filter("part IS NOT NULL").select(*columns(_GIVEN))
     discard(states)
-    discard(asked)
 
-    contexts_of = pairs.mapInPandas(_asked(word_blocks, firsts, True), _ASKED)
-    told = words.groupBy("block").cogroup(contexts_of.groupBy("block")).applyInPandas(lambda w, a: _told_words(w, a, pair_d), _TOLD)
+    contexts_of = pairs.select("part", "pair", "c", "ts").mapInPandas(_mean_asked(of_blocks), _ASKED)
+    told = words.select("block", "wid", "c", "p").groupBy("block").cogroup(contexts_of.groupBy("block")).applyInPandas(lambda w, a: _told_words(w, a, pair_d), _TOLD)
     known = staged(told.unionByName(pairs.mapInPandas(_told_pairs(pair_d), _TOLD)), "known")
-    discard(words)
-    discard(pairs)
-    turns = 1 + min(TURNS - 1, tokens // TURN_WORDS)
+    discard(swept)
+    discard(seating)
 
     def scored(turn: int) -> DataFrame:
-        some = encoded.filter(F.pmod(F.xxhash64("block"), F.lit(turns)) == turn)
-        wanted = some.select("block", "n", "learn", "words").mapInPandas(_wanted(end, parts, word_blocks, firsts), _WANTED)
+        some = encoded.filter(F.col("turn") == turn).drop("turn")
+        wanted = some.select("block", "n", "learn", "words").mapInPandas(_wanted(end, parts, of_blocks), _WANTED)
         told = wanted.groupBy("place").cogroup(known.groupBy("place")).applyInPandas(_told(pair_d), _TOLD_BLOCKS)
         out = some.groupBy("block").cogroup(told.groupBy("block"))
         return staged(out.applyInPandas(_scored_blocks(customers, kinds, pair_d, end), "row long, id long, n_tokens long, n_known long, base_score double, score double"), "scores")

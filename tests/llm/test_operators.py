@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -307,6 +308,52 @@ def test_hpylm_scores_blocks_in_turns(spark, tmp_path, monkeypatch):
     assert len(got[0]) == len(rows) and got[0] == got[1]
 
 
+def test_hpylm_tables_hold_blocks_not_words(spark, tmp_path, monkeypatch):
+    """A row for each word or pair, sent to and fro in every sweep, was too slow on 6 GB."""
+    rows = [(i, " ".join(f"w{(i * k) % 211}" for k in range(1, 60)), i % 3 > 0) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, learn boolean").coalesce(1).write.parquet(str(tmp_path / "x"))
+    plain, counts = hpylm.staged, []
+    monkeypatch.setattr(hpylm, "staged", lambda df, name, *a, **k: counts.append((name, (out := plain(df, name, *a, **k)).count())) or out)
+    got = hpylm.score(spark.read.parquet(str(tmp_path / "x")), F.col("learn"))
+    assert got.count() == 300 and got.agg(F.sum("n_tokens")).first()[0] == 300 * 60
+    assert [n for name, n in counts if name == "vocabulary"][0] == 212   # the words with their counts, once
+    assert max(n for name, n in counts if name not in ("vocabulary", "scores")) <= 10
+
+
+def test_hpylm_blocks_hold_the_words_of_their_texts():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("aB \t\n\x0b\x0c\r\x1c\x85\u00a0\u00e9\u00c9"), rng.integers(0, 12))) for _ in range(2000)] + [None, "", " a", "a "]
+    learn = rng.random(len(texts)) < 0.7
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([None if i % 5 == 0 else i for i in range(len(texts))], pa.int64()), "text": pa.array(texts), "learn": pa.array(learn), "row": pa.array(range(len(texts)), pa.int64())})
+    rows = [r for b in hpylm._blocks(iter([batch.slice(0, 700), batch.slice(700)])) for r in b.to_pylist()]
+    assert [r["block"] for r in rows] == [0, 1]
+    for r in rows:
+        mine = range(r["block"] << 10, min(len(texts), r["block"] + 1 << 10))
+        words = hpylm._binary([r["word"]], [r["size"]]).to_pylist()
+        code, n, ids = (hpylm._ints([r[x]], kind) for x, kind in (("code", np.int32), ("n", np.int64), ("id", np.int64)))
+        assert [words[c] for c in code] == [w for i in mine for w in hpylm.words_of(texts[i])]
+        assert list(n) == [len(hpylm.words_of(texts[i])) for i in mine]
+        assert [None if gone else i for i, gone in zip(ids.tolist(), hpylm._ints([r["no_id"]], bool))] == [None if i % 5 == 0 else i for i in mine]
+        counted = Counter(w for i in mine if learn[i] for w in hpylm.words_of(texts[i]))
+        assert dict(zip(words, hpylm._ints([r["c"]]).tolist())) == {w: counted[w] for w in words}
+
+
+def test_hpylm_deals_as_spark_hashes(spark):
+    x = [0, 1, -1, 2**40 + 7, -(2**63), 2**63 - 1]
+    assert hpylm._hashed(np.array(x)).tolist() == [r[0] for r in spark.createDataFrame([(v,) for v in x], "x long").select(F.xxhash64("x")).collect()]
+
+
+def test_hpylm_document_restaurants_are_seated_word_by_word():
+    dish, n, p = np.array([3, 3, 1, 3, 3, 1, 1]), np.array([4, 3]), np.linspace(0.1, 0.2, 7)
+    want, start = [], 0
+    for k in n:
+        for i in range(start, start + k):
+            before, c = dish[start:i], (dish[start:i] == dish[i]).sum()
+            want.append((max(0, c - hpylm.DOC_DISCOUNT) + (hpylm.DOC_STRENGTH + hpylm.DOC_DISCOUNT * len(set(before.tolist()))) * p[i]) / (hpylm.DOC_STRENGTH + i - start))
+        start += k
+    assert np.allclose(hpylm.in_documents(dish, n, p), want)
+
+
 def test_shuffle_files_go_with_their_query(spark):
     def shuffled() -> set[str]:
         files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
